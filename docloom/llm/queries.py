@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup
+from . import decontam, fingerprint, line_dedup, pii, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +22,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=100)
+    return warc.read_archives(spark, archives).drop("payload")
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprint.edited_with_next(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", F.round("near_edited", 6).alias("near_edited"), F.round("near_next", 6).alias("near_next"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    counts = [F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind, *_ in pii.KINDS[: pii.BASE]]  # noqa: B023  called at once
+    base = F.sha2(pii.listed(F.filter(spans, lambda x: x["rank"] < pii.BASE)), 256)
+    return pii.find(table(spark, sf_dir, "documents")).select("doc_id", *counts, base.alias("base_sha256"), pii.listed(spans).alias("spans"))
+
+
 QUERIES = {
+    "op2_warc": op2_warc,
+    "op8_fingerprint": op8_fingerprint,
+    "op9_pii": op9_pii,
     "op4_line_dedup": op4_line_dedup,
     "op10_decontamination": op10_decontamination,
 }
@@ -31,7 +51,77 @@ QUERIES = {
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _pii_oracle() -> str:
+    """Positions come from the pieces between matches; patterns as in the contract."""
+    part = "0*([0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    twice = "(ascii(d[i]) - 48) * (CASE WHEN (len(d) - i) % 2 = 1 THEN 2 ELSE 1 END)"
+    luhn = f"len(d) BETWEEN 14 AND 19 AND list_sum([CASE WHEN v > 9 THEN v - 9 ELSE v END FOR v IN [{twice} FOR i IN range(1, len(d) + 1)]]) % 10 = 0"
+    turned = "(m[5:] || m[:4])"
+    step = f"CASE WHEN ascii({turned}[i]) < 58 THEN r * 10 + ascii({turned}[i]) - 48 ELSE r * 100 + ascii({turned}[i]) - 55 END % 97"
+    mod97 = f"list_reduce([0::BIGINT] || range(1, len(m) + 1), lambda r, i: {step}) = 1"
+    kinds = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", rf"regexp_full_match(m, '{part}(\.{part}){{3}}')"),
+        ("card", r"[0-9]([\x20-]?[0-9])+", luhn),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "len(d) BETWEEN 10 AND 15"),
+        ("iban", pii.IBAN, mod97),
+        ("ssn", pii.SSN, f"regexp_matches(lower(t[greatest(s - 40, 0) + 1:s]), '{pii.CONTEXT['ssn']}')"),
+    )
+    tables = []
+    for rank, (kind, pattern, test) in enumerate(kinds):
+        tables.append(f"""
+            SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s, s + len(m) AS e FROM (
+                SELECT doc_id, t, m, {digits} AS d,
+                       list_sum([len(x) FOR x IN g[:k]])::BIGINT + coalesce(list_sum([len(x) FOR x IN f[:k - 1]]), 0)::BIGINT AS s
+                FROM (SELECT doc_id, t, f, string_split_regex(t, '{pattern}') AS g, unnest(f) AS m, unnest(range(1, len(f) + 1)) AS k
+                      FROM (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS f FROM docs))
+            ) WHERE {test}""")
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind, *_ in kinds[:4])
+    return f"""
+        WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), spans AS ({" UNION ALL ".join(tables)}),
+        per AS (
+            SELECT doc_id, {counts},
+                   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 4) AS base,
+                   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
+            FROM spans GROUP BY doc_id
+        )
+        SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in kinds[:4])},
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM docs LEFT JOIN per USING (doc_id)"""
+
+
+def _fingerprint_oracle() -> str:
+    def tree(t: str) -> str:
+        leaf = f"[sha256(p) FOR p IN string_split({t}, chr(10))]"
+        section = f"[sha256(array_to_string(({leaf})[k * 8 + 1:k * 8 + 8], '')) FOR k IN range(0, (len({leaf}) - 1) // 8 + 1)]"
+        return f"sha256(array_to_string({section}, '')) AS {t}_root, [md5(b)[1:8] FOR b IN regexp_extract_all({t}, '[^\\n]{{1,32}}')] AS {t}_blocks"
+
+    def near(b: str) -> str:
+        return f"CASE WHEN t_root = {b}_root THEN 1.0::DOUBLE ELSE round(2.0::DOUBLE * len(list_intersect(t_blocks, {b}_blocks)) / greatest(len(list_distinct(t_blocks)) + len(list_distinct({b}_blocks)), 1), 6) END"
+
+    return f"""
+        WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        follow AS (SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS n FROM docs WINDOW w AS (ORDER BY doc_id DESC)),
+        edit AS (SELECT *, t[:len(t) - len(t) // 3] || n[:len(t) // 3] AS e FROM follow),
+        trees AS (SELECT *, {tree("t")}, {tree("e")}, {tree("n")} FROM edit)
+        SELECT doc_id, len(t)::BIGINT AS n_chars, sha256(e) AS edited_sha256, t_root || ':' || array_to_string(t_blocks, '') AS fingerprint,
+               e_root || ':' || array_to_string(e_blocks, '') AS edited_fingerprint, {near("e")} AS near_edited, {near("n")} AS near_next
+        FROM trees"""
+
+
 ORACLE = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+        SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+        FROM p LEFT JOIN f USING (d)""",
+    "op8_fingerprint": _fingerprint_oracle(),
+    "op9_pii": _pii_oracle(),
     "op4_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos
