@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, line_dedup, pii, warc
+from . import decontam, fingerprint, line_dedup, minhash, pii, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, archives).drop("payload")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+    return out.drop(minhash.TEXT_HASH)
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprint.edited_with_next(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", F.round("near_edited", 6).alias("near_edited"), F.round("near_next", 6).alias("near_next"))
@@ -41,6 +46,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op5_minhash": op5_minhash,
     "op8_fingerprint": op8_fingerprint,
     "op9_pii": op9_pii,
     "op4_line_dedup": op4_line_dedup,
@@ -120,6 +126,23 @@ ORACLE = {
                CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
         FROM p LEFT JOIN f USING (d)""",
+    "op5_minhash": f"""
+        WITH RECURSIVE doc AS (
+            SELECT doc_id, regexp_extract_all(coalesce({_LOWER.format("text")}, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), sets AS (
+            SELECT DISTINCT doc_id, array_to_string(w[k:k + 3], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS k FROM doc WHERE len(w) > 0)
+        ), size AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        rare AS (SELECT *, hash(s) AS h FROM sets),
+        common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i
+            FROM rare a JOIN rare b ON a.h = b.h AND a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+        ), link AS (
+            SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)
+        ), both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
+        SELECT reach.a AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(reach.b) AS component_id, min(reach.b) = reach.a AS kept
+        FROM reach LEFT JOIN size ON size.doc_id = reach.a GROUP BY reach.a""",
     "op8_fingerprint": _fingerprint_oracle(),
     "op9_pii": _pii_oracle(),
     "op4_line_dedup": f"""
