@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, line_dedup, minhash, pii, warc
+from . import decontam, fingerprint, line_dedup, minhash, pii, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop(minhash.TEXT_HASH)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprint.edited_with_next(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", F.round("near_edited", 6).alias("near_edited"), F.round("near_next", 6).alias("near_next"))
@@ -47,6 +53,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_warc": op2_warc,
     "op5_minhash": op5_minhash,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_fingerprint": op8_fingerprint,
     "op9_pii": op9_pii,
     "op4_line_dedup": op4_line_dedup,
@@ -143,6 +150,26 @@ ORACLE = {
         reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
         SELECT reach.a AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(reach.b) AS component_id, min(reach.b) = reach.a AS kept
         FROM reach LEFT JOIN size ON size.doc_id = reach.a GROUP BY reach.a""",
+    "op6_suffix_dedup": """
+        WITH doc AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+        win AS (
+            SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 800)) AS w
+            FROM (SELECT doc_id, lower(hex(b)) AS h, unnest(range(n - 399)) AS i FROM doc WHERE n >= 400)
+        ), again AS (SELECT doc_id, i FROM win WHERE w IN (SELECT w FROM win GROUP BY w HAVING count(*) > 1)),
+        islands AS (
+            SELECT doc_id, min(i) AS s, max(i) + 400 AS e FROM (
+                SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (
+                    SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM again
+                )
+            ) GROUP BY doc_id, g
+        ), gaps AS (
+            SELECT doc_id, coalesce(lag(e) OVER w, 0) AS s, s AS e FROM islands WINDOW w AS (PARTITION BY doc_id ORDER BY s)
+            UNION ALL SELECT doc_id, coalesce(max(islands.e), 0) AS s, any_value(n) AS e FROM doc LEFT JOIN islands USING (doc_id) GROUP BY doc_id
+        ), kept AS (
+            SELECT doc_id, string_agg(substr(hex(b), 2 * s + 1, 2 * (gaps.e - s)), '' ORDER BY s) AS h FROM gaps JOIN doc USING (doc_id) GROUP BY doc_id
+        ), per AS (SELECT doc_id, sum(e - s)::BIGINT AS removed, count(*) AS spans FROM islands GROUP BY doc_id)
+        SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256
+        FROM doc JOIN kept USING (doc_id) LEFT JOIN per USING (doc_id)""",
     "op8_fingerprint": _fingerprint_oracle(),
     "op9_pii": _pii_oracle(),
     "op4_line_dedup": f"""
