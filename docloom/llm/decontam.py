@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_HASH, by_document, identified, text_runs
+from .common import TEXT_HASH, by_document, identified, share, text_runs, value_of
 
 #: Fixed by the contract: words are runs of ASCII letters and digits and of anything beyond ASCII; A-Z are lower-cased.
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -90,7 +90,7 @@ def _scan(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     """Per document: number of words, merged hit word spans, items hit."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows: WindowSet = shared.value
+        windows: WindowSet = value_of(shared)
         number = windows.number.get
         for whole in batches:
             for batch in text_runs(whole):
@@ -187,7 +187,7 @@ def contamination(
     source = identified(docs, id_col, text_col)
 
     def scan(block: list[tuple[int, bytes]]) -> None:
-        shared = spark.sparkContext.broadcast(WindowSet(block, n))
+        shared = share(spark, WindowSet(block, n))
         shares.append(source.mapInArrow(_scan(shared), f"doc_id long, {TEXT_HASH} long, n_words long, spans array<array<int>>, items array<long>"))
 
     for row in items.toLocalIterator():  # the driver holds a block at a time

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, line_dedup, minhash, pii, suffix_dedup, warc
+from . import decontam, fingerprint, langid, line_dedup, minhash, pii, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def fold(modulus: int, column: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo."""
+    return F.crc32(F.col(column).cast("string")) % modulus
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=fold(3) != 1)
+    out = toxicity.score(docs, model, keep=["doc_id"])
+    return out.select("doc_id", (fold(3) == 1).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.fit(docs, learn=fold(5) != 0))
+    return out.select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=100)
     return warc.read_archives(spark, archives).drop("payload")
@@ -51,9 +69,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
     "op5_minhash": op5_minhash,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_language_id": op7_language_id,
     "op8_fingerprint": op8_fingerprint,
     "op9_pii": op9_pii,
     "op4_line_dedup": op4_line_dedup,
