@@ -86,35 +86,54 @@ class WindowSet:
                     k += 1
 
 
-def _scan(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per document: number of words, merged hit word spans, items hit."""
+def _found(windows: WindowSet, texts: pa.Array) -> tuple[list[int], list[list[list[int]]], list[set[int]]]:
+    """Of each text: number of words, merged hit word spans, items hit."""
+    number = windows.number.get
+    runs, ends = [], []
+    for k in range(len(texts)):
+        runs += [number(w, -1) for w in words_of(texts[k].as_buffer().to_pybytes())]
+        runs.append(-1)  # no window reaches across documents
+        ends.append(len(runs))
+    starts = np.array([0, *ends[:-1]])
+    spans: list[list[tuple[int, int]]] = [[] for _ in ends]
+    items: list[set[int]] = [set() for _ in ends]
+    for start, length, window in windows.hits(np.array(runs, dtype=np.int64)):
+        doc = int(np.searchsorted(starts, start, side="right")) - 1
+        spans[doc].append((start - int(starts[doc]), start - int(starts[doc]) + length))
+        items[doc].update(windows.items[window])
+    return [e - s - 1 for s, e in zip(starts.tolist(), ends, strict=True)], [merged(s) for s in spans], items
+
+
+def is_contaminated(n_words: int, n_hit: int) -> bool:
+    return n_hit > 0 and 20 * n_hit >= n_words
+
+
+def _clean(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows that aren't contaminated, as they are."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows: WindowSet = value_of(shared)
-        number = windows.number.get
         for whole in batches:
             for batch in text_runs(whole):
-                texts = batch.column("text")
-                runs, ends = [], []
-                for k in range(batch.num_rows):
-                    words = words_of(texts[k].as_buffer().to_pybytes())
-                    runs += [number(w, -1) for w in words]
-                    runs.append(-1)  # no window reaches across documents
-                    ends.append(len(runs))
-                numbers = np.array(runs, dtype=np.int64)
-                starts = np.array([0, *ends[:-1]])
-                spans: list[list[tuple[int, int]]] = [[] for _ in ends]
-                items: list[set[int]] = [set() for _ in ends]
-                for start, length, window in windows.hits(numbers):
-                    doc = int(np.searchsorted(starts, start, side="right")) - 1
-                    spans[doc].append((start - int(starts[doc]), start - int(starts[doc]) + length))
-                    items[doc].update(windows.items[window])
+                n_words, spans, _ = _found(windows, batch.column("text"))
+                bad = [is_contaminated(n, sum(e - s for s, e in x)) for n, x in zip(n_words, spans, strict=True)]
+                yield batch.filter(pa.array([not x for x in bad], pa.bool_()))
+
+    return scan
+
+
+def _scan(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows: WindowSet = value_of(shared)
+        for whole in batches:
+            for batch in text_runs(whole):
+                n_words, spans, items = _found(windows, batch.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
                         batch.column(TEXT_HASH),
-                        pa.array([e - s - 1 for s, e in zip(starts.tolist(), ends, strict=True)], pa.int64()),
-                        pa.array([merged(s) for s in spans], pa.list_(pa.list_(pa.int32()))),
+                        pa.array(n_words, pa.int64()),
+                        pa.array(spans, pa.list_(pa.list_(pa.int32()))),
                         pa.array([sorted(i, key=str) for i in items], pa.list_(pa.int64())),
                     ],
                     ["doc_id", TEXT_HASH, "n_words", "spans", "items"],
@@ -148,7 +167,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(hit, pa.int64()),
                 pa.array(map(len, items), pa.int64()),
                 pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
-                pa.array([h > 0 and 20 * h >= n for h, n in zip(hit, n_words, strict=True)], pa.bool_()),
+                pa.array([is_contaminated(n, h) for h, n in zip(hit, n_words, strict=True)], pa.bool_()),
                 pa.array(spans, pa.list_(pa.list_(pa.int32()))),
             ],
             ["doc_id", TEXT_HASH, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
@@ -171,6 +190,33 @@ def _pieces(n: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return cut
 
 
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_words: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The items' windows in blocks of at most block_words words; the driver holds a block at a time. One empty block if there are none."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null")
+    items = items.mapInArrow(_pieces(n, max(2 * n, block_words // 16)), "item_id long, text string, n long")
+    block, held = [], 0
+    for row in items.toLocalIterator():
+        if held and held + row["n"] > block_words:
+            yield block
+            block, held = [], 0
+        block.append((row["item_id"], row["text"].encode()))
+        held += row["n"]
+    yield block
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13, block_words: int = 1_000_000) -> DataFrame:
+    """docs without its contaminated rows (null texts become empty). With one block of items that is a filter, without any shuffle."""
+    blocks = _blocks(benchmark, item_col, item_text_col, n, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        rows = docs.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))).withColumnRenamed(text_col, "text")
+        return rows.mapInArrow(_clean(share(docs.sparkSession, WindowSet(first, n))), rows.schema).withColumnRenamed("text", text_col)
+    bad = contamination(docs, benchmark, docs.columns[0], text_col, item_col, item_text_col, n, block_words).where("contaminated")
+    rows = identified(docs, docs.columns[0], text_col, *(F.col(c).alias(f"__{k}") for k, c in enumerate(docs.columns)))
+    kept = by_document(rows, bad.select("doc_id", TEXT_HASH).distinct(), "left_anti")
+    return kept.select(*((F.col("text") if c == text_col else F.col(f"__{k}")).alias(c) for k, c in enumerate(docs.columns)))
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13, block_words: int = 1_000_000
 ) -> DataFrame:
@@ -179,30 +225,16 @@ def contamination(
     A block of items has at most `block_words` words: the proven bound of each broadcast. Items with a null id are left out.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null")
-    items = items.mapInArrow(_pieces(n, max(2 * n, block_words // 16)), "item_id long, text string, n long")
-    blocks: list[list[tuple[int, bytes]]] = [[]]
-    held = 0
-    shares = []
-    source = identified(docs, id_col, text_col)
-
-    def scan(block: list[tuple[int, bytes]]) -> None:
+    source, shares = identified(docs, id_col, text_col), []
+    for block in _blocks(benchmark, item_col, item_text_col, n, block_words):
         shared = share(spark, WindowSet(block, n))
         shares.append(source.mapInArrow(_scan(shared), f"doc_id long, {TEXT_HASH} long, n_words long, spans array<array<int>>, items array<long>"))
-
-    for row in items.toLocalIterator():  # the driver holds a block at a time
-        if held and held + row["n"] > block_words:
-            scan(blocks[-1])
-            blocks[-1], held = [], 0
-        blocks[-1].append((row["item_id"], row["text"].encode()))
-        held += row["n"]
-    scan(blocks[-1])
     if len(shares) == 1:
         found = shares[0].select("doc_id", TEXT_HASH, "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
         return found.mapInArrow(_finish, _RESULT)
     base, rest = shares[0], shares[0]
-    for share in shares[1:]:
-        rest = rest.unionByName(share)
+    for more in shares[1:]:
+        rest = rest.unionByName(more)
     groups = rest.where(F.size("spans") > 0).groupBy("doc_id", TEXT_HASH).agg(F.collect_list("spans").alias("g_spans"), F.collect_list("items").alias("g_items"))
     joined = by_document(base.select("doc_id", TEXT_HASH, "n_words"), groups, keep=("g_spans", "g_items"))
     empty = F.array().cast

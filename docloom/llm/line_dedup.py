@@ -152,9 +152,15 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*rest, pa.array(n_lines, pa.int64())], [*names, "n_lines"])
 
 
+def apply_bitmaps(rows: DataFrame, maps: DataFrame) -> DataFrame:
+    """rows (as from ``identified``, with any further columns) with the kept text, n_dropped and n_lines (before dropping)."""
+    joined = by_document(rows, maps, keep=("n_dropped", "keep_bitmap")).drop(TEXT_HASH)
+    joined = joined.withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0).cast("long")))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "keep_bitmap")
+    return joined.mapInArrow(_kept, f"{schema}, n_lines long")
+
+
 def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10) -> DataFrame:
     """doc_id, kept text, n_dropped and n_lines (before dropping) of every row of docs."""
     maps = keep_bitmaps(docs, id_col, text_col, min_docs)
-    joined = by_document(identified(docs, id_col, text_col), maps, keep=("n_dropped", "keep_bitmap")).drop(TEXT_HASH)
-    joined = joined.withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0).cast("long")))
-    return joined.select("doc_id", "text", "n_dropped", "keep_bitmap").mapInArrow(_kept, "doc_id long, text string, n_dropped long, n_lines long")
+    return apply_bitmaps(identified(docs, id_col, text_col), maps)

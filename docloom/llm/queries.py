@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, langid, line_dedup, minhash, pii, suffix_dedup, toxicity, warc
+from . import decontam, fingerprint, langid, line_dedup, minhash, mixing, pii, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), target_entropy=0.98, max_repeats=4.0)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents"), min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -76,6 +80,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_fingerprint": op8_fingerprint,
     "op9_pii": op9_pii,
+    "op3_mixing": op3_mixing,
     "op4_line_dedup": op4_line_dedup,
     "op10_decontamination": op10_decontamination,
 }

@@ -264,16 +264,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     return model
 
 
-def _score(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _score(shared, text_col: str, drop: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = value_of(shared)
         for batch in batches:
             scores, passages = [], []
-            for text in batch.column("__text"):
-                found = model.passages(text.as_py())
+            for text in batch.column(text_col):
+                found = model.passages(text.as_py() or "")
                 scores.append(model.probability([e for *_, e in found]))
                 passages.append([{"start": s, "end": e, "score": v, "e_value": p} for s, e, v, p in found])
-            at = batch.schema.get_field_index("__text")
+            at = batch.schema.get_field_index(text_col) if drop else -1
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())]))
             rest = [(f.name, c) for k, (f, c) in enumerate(zip(batch.schema, batch.columns, strict=True)) if k != at]
             yield pa.RecordBatch.from_arrays([*[c for _, c in rest], pa.array(scores, pa.float64()), pa.array(passages, kind)], [*[name for name, _ in rest], "__score", "__passages"])
@@ -285,6 +285,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     """The columns `keep` of docs (default: all) with __score and __passages: array<struct<start, end, score, e_value>>, in tokens."""
     model.caches.clear()
     shared = share(docs.sparkSession, model)
-    kept = docs.select(*(keep or docs.columns), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text")
-    return kept.mapInArrow(_score(shared), f"{schema}, __score double, __passages array<struct<start:int,end:int,score:double,e_value:double>>")
+    keep = list(keep or docs.columns)
+    drop = text_col not in keep
+    kept = docs.select(*keep, *[text_col] * drop)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep)
+    return kept.mapInArrow(_score(shared, text_col, drop), f"{schema}, __score double, __passages array<struct<start:int,end:int,score:double,e_value:double>>")
