@@ -37,10 +37,12 @@ from pyspark.sql import functions as F
 from .common import TEXT_HASH, identified, shuffle_parts, stored, text_runs
 from .components import components
 
-POSITIONS, LONG, MISS = 64, 128, 2e-5
+POSITIONS, LONG, WIDE, MISS = 64, 128, 1024, 2e-5
 SMALL, BLOCK = 8, 1024
 _U64 = np.uint64
 _MIX1, _MIX2, _ODD = _U64(0xFF51AFD7ED558CCD), _U64(0xC4CEB9FE1A85EC53), _U64(0x9E3779B97F4A7C15)
+_PAIR = {"a": pa.int64(), "b": pa.int64(), "hash_a": pa.int64(), "hash_b": pa.int64()}
+_PAIRS = ", ".join(f"{name} long" for name in _PAIR)
 _SETS = f"doc_id long, {TEXT_HASH} long, k1 long, k2 long, n int, positions binary, sig binary"
 
 
@@ -92,21 +94,29 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def _factors() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20_240_229)
-    return rng.integers(0, 2**32, LONG, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, LONG, dtype=np.uint32)
+def _factors(n: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(n)
+    return rng.integers(0, 2**32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)
 
 
-def signature(hashes: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> tuple[bytes, bytes]:
-    """16 bits of each of the first POSITIONS minima, and 4 bits of each of LONG minima."""
+def _minima(hashes: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     a, b = factors
     x = (hashes >> _U64(32)).astype(np.uint32)
-    low = np.full(LONG, 0xFFFFFFFF, dtype=np.uint32)
+    low = np.full(len(a), 0xFFFFFFFF, dtype=np.uint32)
     for k in range(0, len(x), 4096):
         low = np.minimum(low, (x[k : k + 4096, None] * a + b).min(axis=0))
-    mixed = mix(low.astype(_U64) + _ODD)
+    return mix(low.astype(_U64) + _ODD)
+
+
+def _nibbles(mixed: np.ndarray) -> bytes:
     nibbles = (mixed >> _U64(40)).astype(np.uint8) & 15
-    return (mixed[:POSITIONS] & _U64(0xFFFF)).astype("<u2").tobytes(), (nibbles[::2] | nibbles[1::2] << 4).tobytes()
+    return (nibbles[::2] | nibbles[1::2] << 4).tobytes()
+
+
+def signature(hashes: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> tuple[bytes, bytes]:
+    """16 bits of each of the first POSITIONS minima, and 4 bits of each of LONG minima."""
+    mixed = _minima(hashes, factors)
+    return (mixed[:POSITIONS] & _U64(0xFFFF)).astype("<u2").tobytes(), _nibbles(mixed)
 
 
 def _set_rows(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -132,6 +142,17 @@ def _set_rows(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return rows
 
 
+def _wide_rows(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = _factors(WIDE)
+        for batch in batches:
+            texts = batch.column("text")
+            sigs = [_nibbles(_minima(shingles(texts[k].as_buffer().to_pybytes(), width), factors)) for k in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigs, pa.binary())], ["id", "wide"])
+
+    return rows
+
+
 def chunk_keys(positions: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
     """(rows, POSITIONS) keys: of each chunk with each of its positions left out in turn."""
     out = np.empty(positions.shape, dtype=_U64)
@@ -210,23 +231,34 @@ def nibble_distance(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=-1, dtype=np.int32)
 
 
-def _filter_rows(most: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _near_wide(one: bytes | None, other: bytes | None, most: int) -> bool:
+    if one is None or other is None:
+        return True
+    x, y = (np.frombuffer(w, dtype="<u8") for w in (one, other))
+    return int(nibble_distance(x, y)) <= most
+
+
+def _filter_rows(most: int, most_wide: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u8").reshape(-1, LONG // 16) for c in ("sig_a", "sig_b")]
             n = [batch.column(c).to_numpy() for c in ("n_a", "n_b")]
             near = (nibble_distance(*sig) <= most) & (100 * np.minimum(*n) >= percent * np.maximum(*n))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(near)), batch.column("b").filter(pa.array(near))], ["a", "b"])
+            wide = [batch.column(c) for c in ("wide_a", "wide_b")]
+            for k in np.flatnonzero(near).tolist():
+                near[k] = _near_wide(wide[0][k].as_py(), wide[1][k].as_py(), most_wide)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in _PAIR], list(_PAIR))
 
     return rows
 
 
-def _block_rows(parts: list[np.ndarray], most: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _block_rows(parts: list[np.ndarray], most: int, most_wide: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of members sorted by (key, block): the near pairs between components. Of the keys that a pair shares only the first gives it."""
 
-    def pairs(key: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        ids, comps, n, sides = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
+    def pairs(key: int, rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
+        ids, comps, n, sides, hashes = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1, 2, 3, 7))
         sig = np.frombuffer(b"".join(r[5] for r in rows), dtype="<u8").reshape(-1, LONG // 16)
+        wide = np.frombuffer(b"".join(r[6] for r in rows), dtype="<u8").reshape(-1, WIDE // 16)
         keys = chunk_keys(np.frombuffer(b"".join(r[4] for r in rows), dtype="<u2").reshape(-1, POSITIONS), parts)
         here = int(np.argmax(keys[0].view("i8") == key))
         values, counts = np.unique(comps, return_counts=True)
@@ -237,20 +269,23 @@ def _block_rows(parts: list[np.ndarray], most: int, percent: int) -> Callable[[I
             other &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
             at = np.flatnonzero(other)
             at = at[nibble_distance(sig[i], sig[at]) <= most]
+            at = at[nibble_distance(wide[i], wide[at]) <= most_wide]
             at = at[np.argmax(keys[at] == keys[i], axis=1) == here]
-            yield from ((min(ids[i], x), max(ids[i], x)) for x in ids[at])
+            for j in at.tolist():
+                low, high = (i, j) if ids[i] < ids[j] else (j, i)
+                yield ids[low], ids[high], hashes[low], hashes[high]
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, out = None, [], []
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [()] * 2
-            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+            columns = list(zip(*out, strict=True)) or [()] * len(_PAIR)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], list(_PAIR))
             out.clear()
             return batch
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "block", "id", "component", "n", "side", "positions", "sig")]
+            columns = [batch.column(c).to_pylist() for c in ("key", "block", "id", "component", "n", "side", "positions", "sig", "wide", "rep_hash")]
             for key, block, *row in zip(*columns, strict=True):
                 if (key, block) != group:
                     if len(held) > 1:
@@ -304,20 +339,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = keys.repartitionByRange(shuffle_parts(spark), *order).sortWithinPartitions(*order)
     found = stored(keys.mapInArrow(_pair_rows, "a long, b long, key long"), "pairs")
 
+    # Members of large buckets have very many candidates; for them alone a signature of WIDE positions is made, which leaves few that aren't similar.
+    wanted = found.where("b is null").select(F.col("a").alias("id")).distinct().join(nodes.select("id", "rep_hash"), "id").select(F.col("id").alias("wanted"), "rep_hash")
+    wide = docs.join(wanted, (F.col("doc_id") == F.col("wanted")) & (F.col(TEXT_HASH) == F.col("rep_hash"))).select(F.col("wanted").alias("id"), "text")
+    wide = stored(wide.mapInArrow(_wide_rows(width), "id long, wide binary").dropDuplicates(["id"]), "wide")
+    most_wide = radius(WIDE, differ)
+
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs whose full sets, from whole texts, are similar enough."""
-        at = nodes.select(F.col("id").alias("a"), F.col("rep_hash").alias("hash_a"))
-        bt = nodes.select(F.col("id").alias("b"), F.col("rep_hash").alias("hash_b"))
-        pairs = pairs.join(at, "a").join(bt, "b")
-        ta = docs.select(F.col("doc_id").alias("a"), F.col(TEXT_HASH).alias("hash_a"), F.col("text").alias("text_a"))
-        tb = docs.select(F.col("doc_id").alias("b"), F.col(TEXT_HASH).alias("hash_b"), F.col("text").alias("text_b"))
-        both = pairs.join(ta, ["a", "hash_a"]).join(tb, ["b", "hash_b"])
-        return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), "a long, b long").distinct(), name)
-
-    sig_a = nodes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
-    sig_b = nodes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-    pairs = found.where("b is not null").select("a", "b").distinct().join(sig_a, "a").join(sig_b, "b")
-    near = stored(pairs.mapInArrow(_filter_rows(most, percent), "a long, b long"), "near")
+        for side in "ab":
+            texts = docs.select(F.col("doc_id").alias(side), F.col(TEXT_HASH).alias(f"hash_{side}"), F.col("text").alias(f"text_{side}"))
+            pairs = pairs.join(texts, [side, f"hash_{side}"])
+        return stored(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), "a long, b long").distinct(), name)
+
+    pairs, known = found.where("b is not null").select("a", "b").distinct(), nodes.join(wide, "id", "left")
+    for side in "ab":
+        pairs = pairs.join(known.select(F.col("id").alias(side), *(F.col(c).alias(f"{new}_{side}") for c, new in (("rep_hash", "hash"), ("n", "n"), ("sig", "sig"), ("wide", "wide")))), side)
+    near = stored(pairs.mapInArrow(_filter_rows(most, most_wide, percent), _PAIRS), "near")
     links = confirmed(near, "confirmed")
     labels = components(links)
 
@@ -328,9 +366,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A bucket of more than BLOCK members is cut; each pair of its cuts is a block, and a cut alone is the pair with itself.
     blocks = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.struct((F.least("cut", o) * F.col("cuts") + F.greatest("cut", o)).alias("block"), F.when(F.col("cut") > o, 1).when(F.col("cut") < o, 2).otherwise(0).alias("side")))
     open_ = open_.select("key", "id", "component", F.explode(blocks).alias("x")).select("key", "id", "component", "x.block", "x.side")
-    open_ = open_.join(nodes.select("id", "n", "positions", "sig"), "id")
+    open_ = open_.join(nodes.join(wide, "id"), "id")
     open_ = open_.repartition(shuffle_parts(spark), "key", "block").sortWithinPartitions("key", "block")
-    late = open_.mapInArrow(_block_rows(parts, most, percent), "a long, b long").distinct()
+    late = open_.mapInArrow(_block_rows(parts, most, most_wide, percent), _PAIRS).distinct()
     late = stored(late.join(near, ["a", "b"], "left_anti"), "late")
     if not late.isEmpty():
         labels = components(links.unionByName(confirmed(late, "confirmed-late")))
