@@ -1,4 +1,6 @@
 """Named queries (``QUERIES``) and the SQL that defines their results (``ORACLE``)."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import dataflow, relational
+
+QUERIES: dict = {**relational.QUERIES, **dataflow.QUERIES}
+ORACLE: dict = {**relational.ORACLE, **dataflow.ORACLE}

@@ -1 +1 @@
-
+"""Readers, writers and the boundary to OCR and models."""
