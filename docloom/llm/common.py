@@ -15,10 +15,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TEXT_HASH = "__text_hash"
+#: Bytes of an Arrow batch between Spark and Python, so that a task's memory doesn't depend on how long texts are.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Set the session's limit of Arrow batches to BATCH_BYTES; a row longer than that is a batch of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='docloom-')}"
         spark.sparkContext.setCheckpointDir(base)
+    if "://" not in base and not base.startswith("file:"):  # without a scheme it is a path of the default file system
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        base = path.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
     return base.rstrip("/")
 
 
@@ -53,12 +64,27 @@ def value_of(shared: Broadcast):
     return pickle.loads(shared.value)
 
 
+def sample_cut(rows: DataFrame, order: Column, n: int) -> int | None:
+    """The n-th smallest value of order, a 64-bit hash (the largest if there are fewer rows, None if there are none).
+
+    Only about 2 * n hashes are sorted: from the number of rows it is known below which value so many lie.
+    """
+    total = rows.count()
+    if not total:
+        return None
+    hashes = rows.select(order.alias("o"))
+    if total > 4 * n:
+        hashes = hashes.where(F.col("o") <= -(2**63) + int(2**64 * (2 * n + 100) / total))
+    return hashes.orderBy("o").limit(n).agg(F.max("o")).first()[0]
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the id, the text (null: empty) and further columns, with the text's hash."""
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias(TEXT_HASH), *more)
 

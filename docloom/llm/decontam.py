@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_HASH, by_document, identified, share, text_runs, value_of
+from .common import TEXT_HASH, bound_batches, by_document, identified, share, text_runs, value_of
 
 #: Fixed by the contract: words are runs of ASCII letters and digits and of anything beyond ASCII; A-Z are lower-cased.
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -192,6 +192,7 @@ def _pieces(n: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_words: int) -> Iterator[list[tuple[int, bytes]]]:
     """The items' windows in blocks of at most block_words words; the driver holds a block at a time. One empty block if there are none."""
+    bound_batches(benchmark.sparkSession)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null")
     items = items.mapInArrow(_pieces(n, max(2 * n, block_words // 16)), "item_id long, text string, n long")
     block, held = [], 0

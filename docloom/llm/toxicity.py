@@ -26,14 +26,14 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from operator import eq
+from operator import eq, itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import share, value_of
+from .common import bound_batches, sample_cut, share, value_of
 
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 WORD, STEMS = "w", (4, 5, 6, 7)  # the kinds of token: words, and stems by their bytes
@@ -127,8 +127,12 @@ def _logit(p: float) -> float:
     return math.log(p) - math.log1p(-p)
 
 
-def log_odds(counts: dict[tuple[str, bytes], tuple[int, int]], n: int, toxic: int, least: int = 3) -> dict[str, dict[bytes, float]]:
-    """Scores by kind of token. counts: (documents, toxic documents) by (kind, token); least: documents a token must be in to be kept."""
+def log_odds(counts: dict[str, dict[bytes, tuple]], n: int, toxic: int, docs: Callable[[tuple], int], bad: Callable[[tuple], int], least: int = 3) -> dict[str, dict[bytes, float]]:
+    """Scores by kind of token.
+
+    counts: rows by kind and token, of which docs and bad give the documents and toxic documents; least: documents a token must
+    be in to be kept. Tokens are left out where neither their own score nor that of the stem that stands in for them is positive.
+    """
     kinds = [*map(str, STEMS), WORD]
     out: dict[str, dict[bytes, float]] = {kind: {} for kind in kinds}
     if not 0 < toxic < n:
@@ -136,12 +140,13 @@ def log_odds(counts: dict[tuple[str, bytes], tuple[int, int]], n: int, toxic: in
     share, rates = toxic / n, {}
     for k, kind in enumerate(kinds):
         rates[kind] = {}
-        for (own, token), (docs, bad) in counts.items():
-            if own == kind and docs >= least:
+        for token, row in counts.get(kind, {}).items():
+            if docs(row) >= least:
                 # the prior is the rate of the longest stem that has one
                 prior = next((r for size in reversed(STEMS[:k]) if (r := rates[str(size)].get(token[:size])) is not None), share)
-                rates[kind][token] = (bad + PRIOR * prior) / (docs + PRIOR)
-                out[kind][token] = _logit(rates[kind][token]) - _logit(share)
+                rate = rates[kind][token] = (bad(row) + PRIOR * prior) / (docs(row) + PRIOR)
+                if rate > share or prior > share:
+                    out[kind][token] = _logit(rate) - _logit(share)
     return out
 
 
@@ -225,11 +230,13 @@ def _probe_batch(rows: list[tuple]) -> pa.RecordBatch:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = 20_000, e_value: float = 0.05) -> Model:
     """A model from the labelled rows where `learn` (over the id) holds; at most `train_docs` documents are counted."""
     spark = docs.sparkSession
+    bound_batches(spark)
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("bad")).where("doc_id is not null and bad in (0, 1)")
     if learn is not None:
         known = known.where(learn)
     known = known.groupBy("doc_id").agg(F.max("bad").cast("int").alias("bad"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
+    last = sample_cut(known, F.xxhash64("doc_id"), train_docs)
+    known = known.where(F.xxhash64("doc_id") <= last) if last is not None else known.limit(0)
     known = known.select(F.col("doc_id").alias("__id"), "bad", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half"))
     text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # train_docs rows of two integers: the bound of the broadcast
@@ -237,15 +244,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
 
     counted = sample.mapInArrow(_count, "half int, kind string, token binary, docs long, bad long").groupBy("kind", "token")
     sides = [F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for h in (0, 1) for c in ("docs", "bad")]
-    counted = counted.agg(*sides).where("docs0 + docs1 >= 3").collect()
+    counts: dict[str, dict[bytes, tuple]] = {}
+    for batch in counted.agg(*sides).where("docs0 + docs1 >= 3").toArrow().to_batches():
+        for kind, token, *row in zip(*[batch.column(c).to_pylist() for c in ("kind", "token", "docs0", "bad0", "docs1", "bad1")], strict=True):
+            counts.setdefault(kind, {})[token] = tuple(row)
     sizes = {r["half"]: (r["n"], r["bad"] or 0) for r in sample.groupBy("half").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")).collect()}
-    by_half = [{(r["kind"], bytes(r["token"])): (r[f"docs{h}"], r[f"bad{h}"]) for r in counted} for h in (0, 1)]
-    whole = {k: (x[0] + by_half[1][k][0], x[1] + by_half[1][k][1]) for k, x in by_half[0].items()}
     n, toxic = (sum(s[k] for s in sizes.values()) for k in (0, 1))
-    model = Model(log_odds(whole, n, toxic), share=toxic / n if n else 0.0, e_value=e_value)
+    model = Model(log_odds(counts, n, toxic, lambda r: r[0] + r[2], lambda r: r[1] + r[3]), share=toxic / n if n else 0.0, e_value=e_value)
     if not 0 < toxic < n:
         return model
-    halves = [log_odds(by_half[h], *sizes.get(h, (0, 0)), least=2) for h in (0, 1)]
+    halves = [log_odds(counts, *sizes.get(h, (0, 0)), itemgetter(2 * h), itemgetter(2 * h + 1), least=2) for h in (0, 1)]
+    counts.clear()
     shared = share(spark, halves)
     probed = sample.mapInArrow(_probe(shared), "bad int, n long, scores array<double>").collect()
     bins: Counter = Counter()
@@ -284,6 +293,7 @@ def _score(shared, text_col: str, drop: bool) -> Callable[[Iterator[pa.RecordBat
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (default: all) with __score and __passages: array<struct<start, end, score, e_value>>, in tokens."""
     model.caches.clear()
+    bound_batches(docs.sparkSession)
     shared = share(docs.sparkSession, model)
     keep = list(keep or docs.columns)
     drop = text_col not in keep
