@@ -46,7 +46,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=100)
-    return warc.read_archives(spark, archives).drop("payload")
+    return warc.read_archives(spark, archives, payloads=False)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Dictionary-compressed WARC archives.
 
 A Zstandard dictionary is trained once on a bounded, documented sample of the
-records (`sample` payloads, picked by hash). Every archive begins with a
+records (`sample` of them, picked by hash). Every archive begins with a
 skippable frame that embeds it; each record is a frame of its own, so any one
 can be read alone. Of records with equal payloads of at least `min_bytes`, that
 with the smallest id is the response and the others revisit it: the smallest id
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_dir, shuffle_parts
+from .common import bound_batches, new_dir, sample_cut, shuffle_parts
 
 #: Fixed values of the format: magic numbers of a skippable frame and of a dictionary.
 SKIPPABLE, DICTIONARY = 0x184D2A5D, b"\x37\xa4\x30\xec"
@@ -36,12 +36,12 @@ _DATE = "2024-01-01T00:00:00Z"
 _RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def train_dictionary(payloads: list[bytes], size: int) -> bytes:
+def train_dictionary(records: list[bytes], size: int) -> bytes:
     """A trained dictionary, or with too few samples to train on, the samples themselves as raw content (perhaps empty)."""
     try:
-        return zstandard.train_dictionary(size, payloads).as_bytes()
+        return zstandard.train_dictionary(size, records).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(payloads)[-size:]
+        return b"".join(records)[-size:]
 
 
 def _urn(page: int | None) -> str:
@@ -91,6 +91,12 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_AUTO)
 
 
+def _encoder(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
+    zdict = _dictionary(dictionary)
+    zdict.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(level=level, dict_data=zdict)
+
+
 def read_archive(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of an archive, one record in memory at a time."""
     magic, size = struct.unpack("<II", stream.read(8))
@@ -125,7 +131,7 @@ def _writer(root: str, shared, level: int) -> Callable[[Iterator[pa.RecordBatch]
         number = TaskContext.get().partitionId()
         final = f"{folder}/part-{number:06d}.warc.zst"
         hidden = f"{folder}/.part-{number:06d}-{uuid.uuid4().hex}"
-        encoder = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(shared.value))
+        encoder = _encoder(shared.value, level)
         out, n = None, 0
         for batch in batches:
             columns = [batch.column(c) for c in ("page_id", "url", "payload", "payload_digest", "refers_to", "revisit")]
@@ -150,10 +156,15 @@ def write_archives(
 ) -> DataFrame:
     """Write the archives to a new shared folder; path and n_records of each. sample, sample_bytes: the dictionary is fitted to so many payloads, of so many bytes at most."""
     spark = pages.sparkSession
+    bound_batches(spark)
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("payload_digest"), F.octet_length(payload).alias("size"))
-    picked = rows.select(F.xxhash64("page_id", "payload_digest").alias("order"), F.substr("payload", F.lit(1), F.lit(sample_bytes)).alias("payload")).orderBy("order").limit(sample)
-    shared = spark.sparkContext.broadcast(train_dictionary([bytes(r["payload"]) for r in picked.select("payload").collect() if r["payload"]], dictionary_bytes))
+    # The sample's last hash first, so that tasks send the driver hashes and then only the payloads that are in it.
+    order = F.xxhash64("page_id", "payload_digest")
+    last = sample_cut(rows, order, sample)
+    start = F.substr("payload", F.lit(1), F.lit(sample_bytes)).alias("start")
+    picked = rows.where(order <= last).select("page_id", "url", start, "payload_digest").limit(2 * sample).collect() if last is not None else []
+    shared = spark.sparkContext.broadcast(train_dictionary([record(r["page_id"], r["url"], bytes(r["start"]), r["payload_digest"], None, False) for r in picked], dictionary_bytes))
 
     long = rows.where(F.col("size") >= min_bytes)
     first = long.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page")).where("n > 1").select(F.col("payload_digest").alias("shared_digest"), "first_page")
@@ -166,41 +177,50 @@ def write_archives(
     return spark.read.schema("path string, n_records long").parquet(f"{root}-list")
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyarrow import fs
-
+def _reader(payloads: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True))
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
-
-    for batch in batches:
-        for path in batch.column("path").to_pylist():
-            system, name = fs.FileSystem.from_uri(path)
-            rows, held = [], 0
-            with system.open_input_stream(name, compression=None) as stream:
-                for fields, block in read_archive(stream):
-                    said, kind = fields["WARC-Payload-Digest"].removeprefix("sha256:"), fields["WARC-Type"]
-                    if kind == "response" and (hashlib.sha256(block).hexdigest() != said or len(block) != int(fields["X-Payload-Length"])):
-                        raise ValueError(f"a payload in {path} differs from its digest")
-                    refers_to = _page(fields["WARC-Refers-To"]) if kind == "revisit" else None
-                    rows.append((_page(fields["WARC-Record-ID"]), int(fields["X-Payload-Length"]), said, kind, refers_to, block if kind == "response" else None))
-                    held += len(block)
-                    if held > 4_000_000 or len(rows) >= 2000:
-                        yield batch_of(rows)
-                        rows, held = [], 0
-            if rows:
-                yield batch_of(rows)
-
-
-def read_archives(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """Every record of the archives at `path`: page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits)."""
+        n = 5 + payloads
+        columns = list(zip(*rows, strict=True))[:n]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][:n]
+        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][:n]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                system, name = fs.FileSystem.from_uri(path)
+                rows, held = [], 0
+                with system.open_input_stream(name, compression=None) as stream:
+                    for fields, block in read_archive(stream):
+                        said, kind = fields["WARC-Payload-Digest"].removeprefix("sha256:"), fields["WARC-Type"]
+                        if kind == "response" and (hashlib.sha256(block).hexdigest() != said or len(block) != int(fields["X-Payload-Length"])):
+                            raise ValueError(f"a payload in {path} differs from its digest")
+                        refers_to = _page(fields["WARC-Refers-To"]) if kind == "revisit" else None
+                        rows.append((_page(fields["WARC-Record-ID"]), int(fields["X-Payload-Length"]), said, kind, refers_to, block if payloads and kind == "response" else None))
+                        held += len(block)
+                        if held > 4_000_000 or len(rows) >= 2000:
+                            yield batch_of(rows)
+                            rows, held = [], 0
+                if rows:
+                    yield batch_of(rows)
+
+    return read
+
+
+def read_archives(spark: SparkSession, paths: DataFrame, payloads: bool = True) -> DataFrame:
+    """Every record of the archives at `path`: page_id, payload_bytes, payload_digest, record_type, refers_to and, if asked for, payload (null for revisits).
+
+    Each response's digest and length are checked against its payload in any case.
+    """
+    bound_batches(spark)
     spread = paths.select("path").repartition(shuffle_parts(spark), "path")
-    return spread.mapInArrow(_reader, f"{_RECORD}, payload binary")
+    return spread.mapInArrow(_reader(payloads), _RECORD + ", payload binary" * payloads)
 
 
 def roundtrip_bytes(payloads: list[bytes], dictionary: bytes, level: int = 3) -> tuple[bytes, list[bytes]]:
     """An archive of the payloads in memory and the payloads read back from it."""
-    encoder = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary))
+    encoder = _encoder(dictionary, level)
     data = frame_of(dictionary) + b"".join(encoder.compress(record(k, "", p, hashlib.sha256(p).hexdigest(), None, False)) for k, p in enumerate(payloads))
     return data, [block for _, block in read_archive(io.BytesIO(data))]
