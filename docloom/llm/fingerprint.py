@@ -5,8 +5,9 @@ A paragraph is a line; its leaf is the SHA-256 of its text. A section is
 the sections. Equal roots: equal texts. Where roots differ, only branches that
 differ are followed (``changed_paragraphs``). So that likeness doesn't hang on
 whole paragraphs, each also has hashes of its blocks of `block` code points;
-two fingerprints' likeness is 1 for equal roots, else the Dice coefficient of
-their distinct block hashes.
+two fingerprints' likeness is 1 for equal roots, else the larger of two parts: the
+Dice coefficient of their distinct block hashes (blocks may have moved) and the
+part of places with equal hashes (blocks may repeat).
 
 Defined results: null is the empty text; two empty texts are equal; repeated
 rows get the same fingerprint; in ``edited_with_next`` ties of the id are
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SECTION, BLOCK = 8, 32
+SECTION, BLOCK = 8, 16
 
 
 def paragraphs(text: Column) -> Column:
@@ -40,8 +41,8 @@ def root(section: Column) -> Column:
 
 
 def blocks(text: Column, block: int = BLOCK) -> Column:
-    """The first 32 bits of the MD5 of each block, in hexadecimal, in order; blocks end with their paragraph."""
-    return F.transform(F.regexp_extract_all(text, F.lit(f"[^\\n]{{1,{block}}}"), F.lit(0)), lambda b: F.substring(F.md5(b), 1, 8))
+    """The first 24 bits of the MD5 of each block, in hexadecimal, in order; blocks end with their paragraph."""
+    return F.transform(F.regexp_extract_all(text, F.lit(f"[^\\n]{{1,{block}}}"), F.lit(0)), lambda b: F.substring(F.md5(b), 1, 6))
 
 
 def fingerprint(root_hash: Column, block_hashes: Column) -> Column:
@@ -50,7 +51,9 @@ def fingerprint(root_hash: Column, block_hashes: Column) -> Column:
 
 def likeness(root_a: Column, blocks_a: Column, root_b: Column, blocks_b: Column) -> Column:
     common, total = F.size(F.array_intersect(blocks_a, blocks_b)), F.size(F.array_distinct(blocks_a)) + F.size(F.array_distinct(blocks_b))
-    return F.when(root_a == root_b, 1.0).otherwise(2.0 * common / F.greatest(total, F.lit(1)))
+    placed = F.size(F.filter(F.arrays_zip(blocks_a.alias("a"), blocks_b.alias("b")), lambda x: x["a"] == x["b"]))
+    longest = F.greatest(F.size(blocks_a), F.size(blocks_b), F.lit(1))
+    return F.when(root_a == root_b, 1.0).otherwise(F.greatest(2.0 * common / F.greatest(total, F.lit(1)), placed / longest))
 
 
 def changed_paragraphs(leaf_a: Column, leaf_b: Column, section: int = SECTION) -> Column:

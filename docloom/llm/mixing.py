@@ -92,9 +92,9 @@ def weights(sources: DataFrame, budget: float | None = None, target_entropy: flo
     return rows.select("x.s.source", F.col("x.s.tokens").alias("tokens"), F.col("x.shares").alias("share"), F.col("x.w").alias("weight"), (F.col("x.w") * F.col("budget")).alias("quota"), "exponent", "entropy")
 
 
-def _unit(*parts: Column) -> Column:
-    """A pseudo-random order."""
-    return F.xxhash64(*parts)
+def _digest(*parts) -> Column:
+    """A pseudo-random order: the MD5 of the parts, a null being empty."""
+    return F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
 
 
 def mix(
@@ -102,7 +102,7 @@ def mix(
 ) -> DataFrame:
     """doc_id, source, n_tokens, epoch (pass over the source, from 0), block, order (position key within the mix) for every copy of a document in the mix."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("text_hash"), n_tokens(F.col(text_col)).alias("n_tokens"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), n_tokens(F.col(text_col)).alias("n_tokens"))
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))  # null is a source too
     rows = stored(rows.withColumn("source_key", key), "mix-rows")  # texts are read once; from here on rows are counts
     totals = stored(rows.groupBy("source_key").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "mix-totals")
@@ -113,12 +113,12 @@ def mix(
     if quotas.count() <= max_sources:  # a row a source: broadcast while they are so few, else AQE splits the hot ones
         quotas = F.broadcast(quotas)
     rows = rows.join(quotas.select("q_source", "n_blocks"), F.col("source_key") == F.col("q_source")).drop("q_source")
-    rows = rows.withColumn("block", F.pmod(_unit(F.lit(seed), F.lit("block"), F.col("doc_id"), F.col("text_hash")), F.col("n_blocks"))).drop("n_blocks")
+    rows = rows.withColumn("block", F.conv(F.substring(_digest(seed, "block", F.col("doc_id"), F.col("text_hash")), 1, 12), 16, 10).cast("long") % F.col("n_blocks")).drop("n_blocks")
 
     blocks = rows.groupBy("source_key", "block").agg(F.sum("n_tokens").alias("block_sum"))
     passes = quotas.select("q_source", "quota", "tokens", F.explode(F.sequence(F.lit(0), F.floor(F.col("quota") / F.greatest("tokens", F.lit(1.0))).cast("int"))).alias("epoch"))
     turns = blocks.join(passes, F.col("source_key") == F.col("q_source")).drop("q_source")
-    turns = turns.withColumn("turn", _unit(F.lit(seed), F.lit("turn"), F.col("source_key"), F.col("epoch"), F.col("block")))
+    turns = turns.withColumn("turn", _digest(seed, "turn", F.col("source_key"), F.col("epoch"), F.col("block")))
     left = F.col("quota") - F.col("epoch") * F.col("tokens")  # tokens of this pass and those after it
     turns = turns.withColumn("left", left).where((F.col("left") > 0) | (F.col("epoch") == 0))
     before = F.sum("block_sum").over(W.partitionBy("source_key", "epoch").orderBy("turn", "block").rowsBetween(W.unboundedPreceding, -1))
@@ -128,9 +128,9 @@ def mix(
     turns = turns.select(F.col("source_key").alias("t_source"), F.col("block").alias("t_block"), "epoch", "turn", "room", (F.col("room") < F.col("block_sum")).alias("cut"))
 
     taken = rows.join(turns, (F.col("source_key") == F.col("t_source")) & (F.col("block") == F.col("t_block"))).drop("t_source", "t_block")
-    taken = taken.withColumn("place", _unit(F.lit(seed), F.lit("place"), F.col("epoch"), F.col("doc_id"), F.col("text_hash")))
+    taken = taken.withColumn("place", _digest(seed, "place", F.col("epoch"), F.col("doc_id"), F.col("text_hash")))
     whole = taken.where(~F.col("cut"))
     within = W.partitionBy("source_key", "block", "epoch").orderBy("place", "doc_id", "text_hash")
     part = taken.where("cut").withColumn("so_far", F.sum("n_tokens").over(within.rowsBetween(W.unboundedPreceding, 0))).where("so_far <= room").drop("so_far")
-    order = F.concat_ws("-", F.lpad(F.hex("turn"), 16, "0"), F.lpad(F.hex("place"), 16, "0"))
+    order = F.concat_ws("-", F.substring("turn", 1, 16), F.substring("place", 1, 16))
     return whole.unionByName(part).select("doc_id", "source", "n_tokens", "epoch", F.col("block").cast("long").alias("block"), order.alias("order"))

@@ -135,10 +135,10 @@ def _fingerprint_oracle() -> str:
     def tree(t: str) -> str:
         leaf = f"[sha256(p) FOR p IN string_split({t}, chr(10))]"
         section = f"[sha256(array_to_string(({leaf})[k * 8 + 1:k * 8 + 8], '')) FOR k IN range(0, (len({leaf}) - 1) // 8 + 1)]"
-        return f"sha256(array_to_string({section}, '')) AS {t}_root, [md5(b)[1:8] FOR b IN regexp_extract_all({t}, '[^\\n]{{1,32}}')] AS {t}_blocks"
+        return f"sha256(array_to_string({section}, '')) AS {t}_root, [md5(b)[1:6] FOR b IN regexp_extract_all({t}, '[^\\n]{{1,16}}')] AS {t}_blocks"
 
     def near(b: str) -> str:
-        return f"CASE WHEN t_root = {b}_root THEN 1.0::DOUBLE ELSE round(2.0::DOUBLE * len(list_intersect(t_blocks, {b}_blocks)) / greatest(len(list_distinct(t_blocks)) + len(list_distinct({b}_blocks)), 1), 6) END"
+        return f"CASE WHEN t_root = {b}_root THEN 1.0::DOUBLE ELSE round(greatest(2.0::DOUBLE * len(list_intersect(t_blocks, {b}_blocks)) / greatest(len(list_distinct(t_blocks)) + len(list_distinct({b}_blocks)), 1), len(list_filter(list_zip(t_blocks, {b}_blocks), lambda x: x[1] = x[2]))::DOUBLE / greatest(len(t_blocks), len({b}_blocks), 1)), 6) END"
 
     return f"""
         WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -150,7 +150,45 @@ def _fingerprint_oracle() -> str:
         FROM trees"""
 
 
+def _mixing_oracle(target: float = 0.98, repeats: float = 4.0, block: int = 200_000) -> str:
+    def powered(e: str) -> str:
+        return f"[x / list_sum([pow(y, {e}) FOR y IN shares]) FOR x IN [pow(y, {e}) FOR y IN shares]]"
+
+    def entropy(e: str) -> str:
+        return f"-list_sum([w * ln(w) FOR w IN {powered(e)}])"
+
+    within = f"list_bool_and([z[1] * total <= z[2] * {repeats} + 1e-6 FOR z IN list_zip({powered('EXP')}, tokens)])"
+    uneven = f"{entropy('EXP')} <= {target} * ln(len(shares))"
+    steps = [f"CASE WHEN {ok.replace('EXP', '((lo + hi) / 2)')} THEN {{'lo': lo, 'hi': (lo + hi) / 2}} ELSE {{'lo': (lo + hi) / 2, 'hi': hi}} END" for ok in (within, uneven)]
+    tables = []
+    for name, step, ok in (("least", steps[0], within), ("even", steps[1], uneven)):
+        tables.append(f"""{name}_steps AS (
+            SELECT 0 AS k, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi UNION ALL
+            SELECT k + 1, s.lo, s.hi FROM (SELECT k, {step} AS s FROM {name}_steps, arrays WHERE k < 50)
+        ), {name} AS (SELECT CASE WHEN {ok.replace('EXP', '0.0')} THEN 0.0 ELSE (SELECT hi FROM {name}_steps WHERE k = 50) END AS e FROM arrays)""")
+    return f"""
+        WITH RECURSIVE doc AS (
+            SELECT doc_id, source, md5(coalesce(text, '')) AS h, coalesce('=' || source, 'null') AS s, coalesce(len(regexp_extract_all(text, '[^ \\t-\\r]+')), 0)::BIGINT AS n FROM documents
+        ), src AS (SELECT s, sum(n)::DOUBLE AS t, count(*) AS docs FROM doc GROUP BY s),
+        arrays AS (SELECT list(s ORDER BY s) AS names, list(t ORDER BY s) AS tokens, sum(t) AS total, list(t / all_t ORDER BY s) AS shares FROM (SELECT *, sum(t) OVER () AS all_t FROM src) WHERE t > 0),
+        {", ".join(tables)}, quota AS (
+            SELECT unnest(names) AS s, unnest([w * total FOR w IN {powered("e")}]) AS q FROM arrays, (SELECT greatest(a.e, b.e) AS e FROM least a, even b)
+        ), plan AS (SELECT src.s, t, q, least(10000, ceil(greatest(t / {block}, docs / 1000, 1)))::BIGINT AS nb FROM src JOIN quota USING (s)),
+        row AS (SELECT doc.*, ('0x' || md5('0:block:' || coalesce(doc_id::VARCHAR, '') || ':' || h)[1:12])::BIGINT % nb AS b FROM doc JOIN plan USING (s)),
+        turn AS (
+            SELECT s, b, epoch, t, q - epoch * t AS have, bs, md5('0:turn:' || s || ':' || epoch || ':' || b) AS turn
+            FROM (SELECT s, b, sum(n) AS bs FROM row GROUP BY ALL) JOIN (SELECT s, t, q, unnest(range(floor(q / greatest(t, 1))::BIGINT + 1)) AS epoch FROM plan) USING (s)
+            WHERE q - epoch * t > 0 OR epoch = 0
+        ), room AS (
+            SELECT s, b, epoch, turn, bs, CASE WHEN have >= t THEN bs + 1.0 ELSE have - coalesce(sum(bs) OVER (PARTITION BY s, epoch ORDER BY turn, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS room FROM turn
+        ), copy AS (
+            SELECT row.*, epoch, turn, room, room < bs AS cut, md5('0:place:' || epoch || ':' || coalesce(doc_id::VARCHAR, '') || ':' || h) AS place FROM row JOIN room USING (s, b) WHERE room > 0
+        ), run AS (SELECT *, sum(n) OVER (PARTITION BY s, b, epoch ORDER BY place, doc_id, h ROWS UNBOUNDED PRECEDING) AS so_far FROM copy)
+        SELECT doc_id, source, n AS n_tokens, epoch::INT AS epoch, b AS block, turn[1:16] || '-' || place[1:16] AS "order" FROM run WHERE NOT cut OR so_far <= room"""
+
+
 ORACLE = {
+    "op3_mixing": _mixing_oracle(),
     "op2_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
         f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
