@@ -1,7 +1,7 @@
 """Language of each word of code-switched text by a linear-chain conditional random field.
 
-A word's features are its prefixes and suffixes of up to three letters, its
-letter trigrams and, as lexicon, the word itself, hashed into `BUCKETS`
+A word's features are its prefixes and suffixes of up to three bytes, its
+byte trigrams and, as lexicon, the word itself, hashed into `BUCKETS`
 weights a label. Transitions between labels are learned. Labels of words are
 only known as the language of their document, so that no document would teach a
 switch; therefore the training sequences are pieces of up to `PIECE` words, and
@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import share, text_runs, value_of
+from .common import bound_batches, sample_cut, share, text_runs, value_of
 
-BUCKETS, PIECE, UNKNOWN = 1 << 16, 32, "und"
+BUCKETS, PIECE, KNOWN, UNKNOWN = 1 << 16, 32, 200_000, "und"  # KNOWN: words whose scores a task remembers
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -41,12 +41,25 @@ def words_of(text: str) -> list[bytes]:
 
 
 def features(word: bytes) -> list[int]:
-    """Buckets of a word's affixes, trigrams and itself."""
-    w = word.decode(errors="replace")
-    found = [f"={w}", *(f"<{w[:k]}" for k in (1, 2, 3)), *(f">{w[-k:]}" for k in (1, 2, 3))]
-    framed = f"^{w}$"
-    found += [framed[k : k + 3] for k in range(len(framed) - 2)]
-    return [zlib.crc32(x.encode()) % BUCKETS for x in found]
+    """Buckets of a word's affixes, trigrams (both in bytes) and itself; the checksum's start keeps the kinds apart."""
+    w, of = b"^" + word + b"$", zlib.crc32
+    found = [of(word, 1), of(w[:2], 2), of(w[:3], 2), of(w[:4], 2), of(w[-2:], 3), of(w[-3:], 3), of(w[-4:], 3)]
+    found += [of(w[k : k + 3], 4) for k in range(len(w) - 2)]
+    return [x % BUCKETS for x in found]
+
+
+class _Numbers(dict):
+    """Numbers of words in the order first seen; `new` holds those not scored yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+        self.scores: np.ndarray | None = None
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        number = self[word] = len(self)
+        return number
 
 
 @dataclass
@@ -55,14 +68,19 @@ class Tagger:
     weights: np.ndarray  # BUCKETS, labels
     transitions: np.ndarray  # labels, labels: log scores
 
-    def emissions(self, words: list[bytes], known: dict[bytes, np.ndarray]) -> np.ndarray:
-        def of(word: bytes) -> np.ndarray:
-            value = known.get(word)
-            if value is None:
-                value = known[word] = self.weights[features(word)].sum(axis=0)
-            return value
-
-        return np.array([of(w) for w in words], dtype=np.float32).reshape(len(words), len(self.labels))
+    def emissions(self, words: list[bytes], known: _Numbers) -> np.ndarray:
+        """Scores of the labels for each word; a word's features are looked up once as long as `known` remembers it."""
+        if len(known) > KNOWN:
+            known.clear()
+            known.scores = None
+        numbers = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+        if known.new:
+            found = [features(w) for w in known.new]
+            starts = np.concatenate([[0], np.cumsum([len(x) for x in found])[:-1]])
+            scores = np.add.reduceat(self.weights[np.concatenate(found)], starts, axis=0)
+            known.scores = scores if known.scores is None else np.concatenate([known.scores, scores])
+            known.new.clear()
+        return known.scores[numbers]
 
     def marginals(self, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Forward-backward over sequences that follow each other in `emissions`, each of `lengths` words (1 at least): word marginals."""
@@ -203,11 +221,12 @@ def _pieces(per_doc: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 3000, per_doc: int = 3) -> Tagger | None:
     """A tagger from at most `train_docs` documents with a language where `learn` (over doc_id) holds; None if there are none."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
     if learn is not None:
         rows = rows.where(learn)
     order = F.xxhash64("doc_id", "text")
-    last = rows.select(order.alias("o")).orderBy("o").limit(train_docs).agg(F.max("o")).first()[0]
+    last = sample_cut(rows, order, train_docs)
     if last is None:
         return None
     sample = rows.where(order <= last).limit(2 * train_docs)
@@ -217,7 +236,7 @@ def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
 
 def _predict(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger, known = value_of(shared), {}
+        tagger, known = value_of(shared), _Numbers()
         for whole in batches:
             for batch in text_runs(whole, most_bytes=8_000_000):
                 texts = batch.column("text").to_pylist()
@@ -225,8 +244,6 @@ def _predict(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 lengths = np.array([len(w) for w in per_doc], dtype=np.int64)
                 langs, scores, shares = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
                 if lengths.sum():
-                    if len(known) > 200_000:
-                        known.clear()
                     full = np.flatnonzero(lengths)
                     found = tagger.marginals(tagger.emissions([w for words in per_doc for w in words], known), lengths[full])
                     sums = np.add.reduceat(found.astype(np.float64), np.concatenate([[0], np.cumsum(lengths[full])[:-1]]), axis=0) / lengths[full][:, None]
@@ -242,6 +259,7 @@ def _predict(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 
 def predict(docs: DataFrame, tagger: Tagger | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score and shares (of each label of the tagger, in order) of every row of docs."""
+    bound_batches(docs.sparkSession)
     shared = share(docs.sparkSession, tagger)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return docs.mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, shares array<double>")
@@ -252,5 +270,5 @@ def tag_words(text: str, tagger: Tagger) -> list[tuple[str, str, float]]:
     words = words_of(text)
     if not words:
         return []
-    found = tagger.marginals(tagger.emissions(words, {}), np.array([len(words)]))
+    found = tagger.marginals(tagger.emissions(words, _Numbers()), np.array([len(words)]))
     return [(w.decode(errors="replace"), tagger.labels[int(x.argmax())], float(x.max())) for w, x in zip(words, found, strict=True)]
