@@ -13,7 +13,8 @@ NAMES = ("train", "val", "test")
 def hash_split(examples: DataFrame, group: str = "document_id", fractions: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 42, ordinal: str | None = None) -> DataFrame:
     """examples with `split` by a hash of the group: no shuffle, any size; fractions hold on average. A null group is a group of its own example."""
     _check(fractions)
-    key = F.coalesce(F.col(group).cast("string"), F.concat(F.lit("example-"), F.col(ordinal).cast("string") if ordinal else F.xxhash64(*examples.columns).cast("string")))
+    plain = [c for c, kind in examples.dtypes if "map<" not in kind]  # maps can't be hashed
+    key = F.coalesce(F.col(group).cast("string"), F.concat(F.lit("example-"), F.col(ordinal).cast("string") if ordinal else F.xxhash64(*plain).cast("string")))
     u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
     return examples.withColumn("split", F.when(u < fractions[0], NAMES[0]).when(u < fractions[0] + fractions[1], NAMES[1]).otherwise(NAMES[2]))
 
