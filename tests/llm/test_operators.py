@@ -336,3 +336,16 @@ def test_pipeline_stages_by_brute_force(spark):
     # the mix takes less of sources that weigh less than their share, and none twice at these weights
     mixed = after["mixing"]
     assert 0 < mixed.count() and mixed.join(after["decontamination"], "doc_id", "left_anti").count() == 0
+
+
+def test_intermediates_can_be_removed(spark):
+    import os
+
+    from docloom.llm import common
+
+    kept = common.stored(spark.range(3).toDF("x"), "kept")
+    assert kept.count() == 3 and common.sample_cut(kept, F.xxhash64("x"), 2) is not None
+    folder = common.application_dir(spark).removeprefix("file://")
+    assert os.listdir(folder)
+    common.remove_intermediates(spark)
+    assert not os.path.exists(folder)
