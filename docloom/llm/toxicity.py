@@ -12,7 +12,8 @@ logistic curve from a document's evidence to its probability.
 Scoring. A linear-time scan finds all maximal-scoring segments of a whole text
 (log-odds less a drift). A segment of score S in a text of n tokens has the
 E-value K * n * exp(-lambda * S); segments with an E-value under `e_value` are
-toxic passages, and the document's evidence is the sum of their -log E-values.
+toxic passages, and the document's evidence is their -log E-values: all together
+and the best one's.
 
 Defined results: null and empty texts have no passages and get the lowest score;
 with no labelled rows, or labels of one kind only, every score is the share of
@@ -92,7 +93,7 @@ class Model:
     decay: float = 1.0  # lambda
     scale: float = 1.0  # K
     e_value: float = 0.05
-    curve: tuple[float, float] | None = None
+    curve: np.ndarray | None = None
     caches: dict = field(default_factory=dict)
 
     def token_scores(self, text: str) -> np.ndarray:
@@ -116,11 +117,13 @@ class Model:
     def probability(self, e_values: list[float]) -> float:
         if self.curve is None:
             return self.share
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.curve[0] + self.curve[1] * evidence(e_values)))))
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, float(self.curve @ evidence(e_values))))))
 
 
-def evidence(e_values: list[float]) -> float:
-    return math.log1p(sum(-math.log(max(e, 1e-300)) for e in e_values))
+def evidence(e_values: list[float]) -> np.ndarray:
+    """1, the logarithm of all passages' -log E-values together, and the -log E-value of the best (up to 30)."""
+    logs = [-math.log(max(e, 1e-300)) for e in e_values]
+    return np.array([1.0, math.log1p(sum(logs)), min(30.0, max(logs, default=0.0)) / 10])
 
 
 def _logit(p: float) -> float:
@@ -165,16 +168,16 @@ def karlin(bins: Counter) -> float:
     return max(low, 0.05)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
-    """Intercept and slope by Newton's method; the ridge keeps them finite where the classes are apart."""
-    design, beta = np.stack([np.ones_like(x), x], axis=1), np.zeros(2)
+def logistic(design: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+    """Coefficients by Newton's method; the ridge keeps them finite where the classes are apart."""
+    beta = np.zeros(design.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(2), design.T @ (y - p) - ridge * beta)
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(len(beta)), design.T @ (y - p) - ridge * beta)
         beta = beta + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return float(beta[0]), float(beta[1])
+    return beta
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
