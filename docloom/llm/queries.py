@@ -216,8 +216,7 @@ ORACLE = {
     "op6_suffix_dedup": """
         WITH doc AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
         win AS (
-            SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 800)) AS w
-            FROM (SELECT doc_id, lower(hex(b)) AS h, unnest(range(n - 399)) AS i FROM doc WHERE n >= 400)
+            SELECT doc_id, i, hash(b[i + 1:i + 400]) AS w FROM (SELECT doc_id, b, unnest(range(n - 399)) AS i FROM doc WHERE n >= 400)
         ), again AS (SELECT doc_id, i FROM win WHERE w IN (SELECT w FROM win GROUP BY w HAVING count(*) > 1)),
         islands AS (
             SELECT doc_id, min(i) AS s, max(i) + 400 AS e FROM (
