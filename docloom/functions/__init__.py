@@ -1 +1 @@
-
+"""Column expressions: geometry and text; page images as arrays."""

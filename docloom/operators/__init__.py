@@ -1 +1 @@
-
+"""Operators over tokens, labels, attributes, documents and examples."""

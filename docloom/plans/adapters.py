@@ -100,12 +100,16 @@ def with_views(sql: str) -> str:
     add(sql)
     if not names:
         return sql
-    head = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
+    return _before(sql, ", ".join(f"{n} AS ({VIEWS[n]})" for n in names))
+
+
+def _before(sql: str, definitions: str) -> str:
+    """sql with further definitions in front of its own."""
     body = sql.lstrip()
-    recursive = body.upper().startswith("WITH RECURSIVE")
-    if body.upper().startswith("WITH"):
-        return f"WITH {'RECURSIVE ' if recursive else ''}{head}, {body.split(None, 2 if recursive else 1)[-1]}"
-    return f"WITH {head} {body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"{start}{definitions}, {body[len(start):]}"
+    return f"WITH {definitions} {body}"
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +134,4 @@ TOKENS_SQL = """
 
 
 def with_tokens(sql: str) -> str:
-    body = sql.lstrip()
-    rest = body.split(None, 1)[1] if body.upper().startswith("WITH") else None
-    return f"WITH tokens AS ({TOKENS_SQL}), {rest}" if rest else f"WITH tokens AS ({TOKENS_SQL}) {body}"
+    return _before(sql, f"tokens AS ({TOKENS_SQL})")

@@ -233,15 +233,12 @@ def spatial_clusters(spark: SparkSession, d: str) -> DataFrame:
                    FROM fold JOIN p ON p.page_id = fold.page_id AND p.paragraph_num = fold.paragraph_num AND p.k = fold.k + 1),
           c AS (SELECT page_id, paragraph_num, chunk, md5(string_agg(token, ' ' ORDER BY k)) AS digest, count(*) AS n_tokens FROM fold JOIN p USING (page_id, paragraph_num, k) GROUP BY ALL),
           n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY paragraph_num, chunk) AS i, count(*) OVER (PARTITION BY page_id) AS total FROM c)
-          SELECT page_id, i AS chunk_index, CASE WHEN total > 1 THEN 'ocr_text_' || i ELSE 'ocr_text' END AS entity_type_label, digest, n_tokens FROM n""".replace("WITH RECURSIVE p AS", "WITH p AS"), on_tokens=True)
+          SELECT page_id, i AS chunk_index, CASE WHEN total > 1 THEN 'ocr_text_' || i ELSE 'ocr_text' END AS entity_type_label, digest, n_tokens FROM n""", on_tokens=True)
 def pack_600(spark: SparkSession, d: str) -> DataFrame:
     """W3."""
     return cluster.packed_paragraphs(tokens(spark, d)).select("page_id", "chunk_index", "entity_type_label", F.md5("extracted_value").alias("digest"), "n_tokens")
 
 
-ORACLE["pack_600"] = ORACLE["pack_600"].replace("WITH tokens", "WITH RECURSIVE tokens", 1)
-
-
 @query()
 def labelled_lines(spark: SparkSession, d: str) -> DataFrame:
     """Every fourth line of a document gets a label; tested against a plain reference."""

@@ -156,8 +156,8 @@ def export_csv_rows(spark: SparkSession, d: str) -> DataFrame:
     return writers.as_csv_rows(search.export_rows(a, p, docs, USER)).select("attribute_id", "bounding_boxes", "document_name", "page_spans")
 
 
-@query("""SELECT document_id, '{"document_id":' || document_id || ',"attributes":[' || string_agg('{"page_number":' || page_number || ',"attribute_id":' || a.id || ',"extracted_value":"' || extracted_value || '"}', ',' ORDER BY page_number, a.id) || ']}' AS json
-          FROM v_attributes a JOIN v_pages p ON p.id = a.page_id JOIN v_documents d ON d.id = a.document_id WHERE validation_status IN ('APPROVED', 'VALIDATED', 'CORRECTED') AND owner_id = 'user7' GROUP BY document_id""".replace("document_id,", "a.document_id,", 1).replace("|| document_id ||", "|| a.document_id ||").replace("GROUP BY document_id", "GROUP BY a.document_id"))
+@query("""SELECT a.document_id, '{"document_id":' || a.document_id || ',"attributes":[' || string_agg('{"page_number":' || page_number || ',"attribute_id":' || a.id || ',"extracted_value":"' || extracted_value || '"}', ',' ORDER BY page_number, a.id) || ']}' AS json
+          FROM v_attributes a JOIN v_pages p ON p.id = a.page_id JOIN v_documents d ON d.id = a.document_id WHERE validation_status IN ('APPROVED', 'VALIDATED', 'CORRECTED') AND owner_id = 'user7' GROUP BY a.document_id""")
 def export_json(spark: SparkSession, d: str) -> DataFrame:
     """K3."""
     a, p, docs = _v(spark, d, "attributes", "pages", "documents")
@@ -200,8 +200,9 @@ def rls_corrections(spark: SparkSession, d: str) -> DataFrame:
     return search.scoped_corrections(c, a, docs, USER).select("id", "operator_user")
 
 
-@query("""SELECT a.id, coalesce(arg_max(c.corrected_value, c.id), any_value(a.extracted_value)) AS extracted_value, coalesce(arg_max(coalesce(c.validation_status, '-'), c.id), '-') AS given, any_value(a.validation_status) AS old_status, count(c.id) AS correction_count, arg_max(c.operator_user, c.id) AS operator_user
-          FROM v_attributes a LEFT JOIN v_corrections c ON c.attribute_id = a.id GROUP BY a.id""".replace("coalesce(arg_max(coalesce(c.validation_status, '-'), c.id), '-') AS given, any_value(a.validation_status) AS old_status", "CASE WHEN coalesce(arg_max(coalesce(c.validation_status, '-'), c.id), '-') = '-' THEN any_value(a.validation_status) ELSE arg_max(coalesce(c.validation_status, '-'), c.id) END AS validation_status"))
+@query("""WITH last AS (SELECT attribute_id, arg_max(row(corrected_value, validation_status, operator_user), id) AS c, count(*) AS n FROM v_corrections GROUP BY attribute_id)
+          SELECT a.id, CASE WHEN n IS NULL THEN a.extracted_value ELSE c[1] END AS extracted_value, coalesce(c[2], a.validation_status) AS validation_status, coalesce(n, 0) AS correction_count, c[3] AS operator_user
+          FROM v_attributes a LEFT JOIN last ON attribute_id = a.id""")
 def latest_corrections(spark: SparkSession, d: str) -> DataFrame:
     """The latest correction over each attribute."""
     a, c = _v(spark, d, "attributes", "corrections")
