@@ -14,6 +14,7 @@ contaminated; items without words have no window; repeated items all count.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from .common import TEXT_HASH, bound_batches, by_document, identified, share, te
 
 #: Fixed by the contract: words are runs of ASCII letters and digits and of anything beyond ASCII; A-Z are lower-cased.
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: The same words where they stand in a text.
+_WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -245,4 +248,24 @@ def contamination(
     return found.mapInArrow(_finish, _RESULT)
 
 
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = []
+        for k in range(batch.num_rows):
+            text, spans = batch.column("text")[k].as_buffer().to_pybytes(), batch.column("spans")[k].as_py()
+            if spans:
+                at = [m.span() for m in _WORDS.finditer(text)]
+                edges = [0, *(x for s, e in spans for x in (at[s][0], at[e - 1][1])), len(text)]
+                text = b"".join(text[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True))
+            kept.append(text.decode())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.string())], ["doc_id", "text"])
+
+
+def remove_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id and text of every row of docs, without the words that are benchmark text and what stands between those of a passage."""
+    hit = contamination(docs, benchmark, id_col, text_col, **options).where(F.size("spans") > 0).dropDuplicates(["doc_id", TEXT_HASH])
+    joined = by_document(identified(docs, id_col, text_col), hit, keep=("spans",))
+    return joined.select("doc_id", "text", "spans").mapInArrow(_without, "doc_id long, text string")
+
+
 _RESULT = f"doc_id long, {TEXT_HASH} long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<int>>"

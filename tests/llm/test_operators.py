@@ -314,6 +314,13 @@ def test_blocks_equal_one_broadcast(spark):
     assert clean == {r["doc_id"] for r in decontam.clean_documents(docs, bench, n=5, block_words=20).collect()} == {r["doc_id"] for r in decontam.contamination(docs, bench, n=5).where("not contaminated").collect()}
 
 
+def test_passages_are_removed(spark):
+    bench = spark.createDataFrame([(1, "The QUICK brown fox"), (2, "é à ô")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "See: the quick, BROWN-fox! jumps; É-à-ô é À ô"), (2, "clean"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in decontam.remove_passages(docs, bench, n=4).collect()}
+    assert got == {1: "See: ! jumps; É-à-ô é À ô", 2: "clean", 3: ""}
+
+
 # --- pipeline
 
 
