@@ -36,17 +36,17 @@ VIEWS = {
                CAST(l_partkey * 7 % 900 AS INT) AS x0, CAST(l_suppkey * 13 % 900 AS INT) AS y0, CAST(l_partkey * 7 % 900 + 20 + l_quantity AS INT) AS x1, CAST(l_suppkey * 13 % 900 + 15 + l_linenumber AS INT) AS y1
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "v_pages": "SELECT DISTINCT l_orderkey * 4 + l_linenumber % 3 AS id, l_orderkey AS document_id, CAST(1 + l_linenumber % 3 AS INT) AS page_number FROM lineitem",
-    # an attribute whose quantity is a multiple of 5 has one or two corrections
+    # an approved or corrected attribute has one or two corrections
     "v_corrections": """
         SELECT a.id * 2 + k AS id, a.id AS attribute_id, a.extracted_value AS original_prediction, a.extracted_value || ' v' || CAST(k AS VARCHAR(2)) AS corrected_value,
                'op' || CAST(a.id % 7 AS VARCHAR(2)) AS operator_user, CASE WHEN k = 1 THEN 'CORRECTED' END AS validation_status
         FROM v_attributes a JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) n ON k <= a.page_id % 4
-        WHERE (a.x1 - a.x0 - 20) % 5 = 0""",
-    # odd and even line items of an order as true and predicted boxes of a page
+        WHERE a.validation_status IN ('APPROVED', 'CORRECTED')""",
+    # line items of an order as the boxes of a page, and moved a little as its tokens
     "v_boxes": """
-        SELECT document_id AS page_id, id AS box_order, entity_type_label AS label, x0, y0, x1, y1 FROM v_attributes WHERE page_id % 4 < 2""",
+        SELECT document_id AS page_id, id AS box_order, entity_type_label AS label, x0, y0, x1, y1 FROM v_attributes""",
     "v_boxed_tokens": """
-        SELECT document_id AS page_id, id AS token_index, extracted_value AS token, x0 + 3 AS x0, y0 + 2 AS y0, x1 + 5 AS x1, y1 + 4 AS y1 FROM v_attributes WHERE confidence_score < 0.6""",
+        SELECT document_id AS page_id, id AS token_index, extracted_value AS token, x0 + 3 AS x0, y0 + 2 AS y0, x1 + 5 AS x1, y1 + 4 AS y1 FROM v_attributes""",
     # labels joined to documents: quality is the truth, length and language the prediction
     "v_eval": """
         SELECT CAST(d.doc_id AS VARCHAR(20)) AS key, d.doc_id AS pos, CASE quality WHEN 1 THEN 'good' ELSE 'bad' END AS t_label,
@@ -57,12 +57,12 @@ VIEWS = {
         SELECT conv_id AS seq_id, turn AS pos, CASE CAST(FLOOR(turn / 2) AS BIGINT) % 3 WHEN 0 THEN 'name' WHEN 1 THEN 'O' ELSE 'date' END AS ref,
                CASE (conv_id + CAST(FLOOR(turn / 3) AS BIGINT)) % 3 WHEN 0 THEN 'name' WHEN 1 THEN 'O' ELSE 'date' END AS pred, (conv_id + turn) % 7 = 0 AS ignored, role, text
         FROM conversations""",
-    # overlapping chunk predictions of a conversation's turns
+    # overlapping chunk predictions of a conversation's turns; the model leaves out short ones
     "v_chunks": """
         SELECT conv_id AS page_id, CAST(c * 3 AS INT) AS chunk_start, CAST(turn - c * 3 AS INT) AS local_index, CAST(s AS INT) AS sub_index, role AS token,
                CASE (conv_id + turn + c + s) % 4 WHEN 0 THEN 'name' WHEN 1 THEN 'date' WHEN 2 THEN 'total' ELSE 'other' END AS label, CAST((conv_id * 7 + turn * 13 + c * 5 + s * 3) % 11 AS DOUBLE) / 10 AS confidence
         FROM conversations JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2) k ON turn >= c * 3 AND turn < c * 3 + 5 JOIN (SELECT 0 AS s UNION ALL SELECT 1) q ON s <= turn % 2
-        WHERE turn % 5 <> 4""",
+        WHERE length(text) > 100""",
     # turns as attributes of pages
     "v_staged": """
         SELECT conv_id AS document_id, turn AS ordinal, CAST(1 + FLOOR(turn / 2) AS INT) AS page_number, CASE WHEN conv_id % 5 = 0 THEN 'OCR' ELSE 'f' || CAST(FLOOR(turn / 4) AS INT) END AS entity_type_label,

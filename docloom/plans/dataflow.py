@@ -34,14 +34,11 @@ def ocr_confidence_gate(spark: SparkSession, d: str) -> DataFrame:
     return tok.confidence_gate(tokens(spark, d)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum("conf_pct").alias("total"))
 
 
-_SHORT = "SELECT * FROM tokens WHERE token_index % 97 = document_id % 97 AND conf_pct < 40"
-
-
-@query(f"""WITH t AS ({_SHORT}), g AS (SELECT * FROM t WHERE conf_pct >= 25), p AS (SELECT DISTINCT page_id FROM t)
-           SELECT page_id, count(g.token_index) AS n_tokens FROM p LEFT JOIN g USING (page_id) GROUP BY page_id HAVING count(g.token_index) = 0 OR (count(g.token_index) < 3 AND max(conf_pct) < 30 AND NOT bool_or(conf_pct = 25))""", on_tokens=True)
+@query("""WITH t AS (SELECT document_id * 100000 + line_num AS page_id, token_index, conf_pct FROM tokens), g AS (SELECT * FROM t WHERE conf_pct >= 25), p AS (SELECT DISTINCT page_id FROM t)
+          SELECT page_id, count(g.token_index) AS n_tokens FROM p LEFT JOIN g USING (page_id) GROUP BY page_id HAVING count(g.token_index) = 0 OR (count(g.token_index) < 3 AND max(conf_pct) < 30 AND NOT bool_or(conf_pct = 25))""", on_tokens=True)
 def blank_pages(spark: SparkSession, d: str) -> DataFrame:
-    """F10."""
-    rows = tokens(spark, d).where("token_index % 97 = document_id % 97 AND conf_pct < 40")
+    """every line as a page of its own."""
+    rows = tokens(spark, d).withColumn("page_id", F.col("document_id") * 100000 + F.col("line_num"))
     return tok.blank_pages(rows, tok.confidence_gate(rows))
 
 
@@ -90,11 +87,11 @@ def gap_fill(spark: SparkSession, d: str) -> DataFrame:
     return tok.fill_gaps(all_tokens, tok.stitch(view(spark, d, "v_chunks"))).select("page_id", "token_index", "label", "confidence")
 
 
-@query("""SELECT page_id, string_agg(label || '=' || words || '=' || round(mean, 6), ';' ORDER BY label) AS layout FROM (SELECT page_id, label, string_agg(token, ' ' ORDER BY chunk_start + local_index, token) AS words, sum(round(confidence * 10)) / 10 / count(*) AS mean FROM v_chunks WHERE sub_index = 0 AND chunk_start = 0 GROUP BY ALL) GROUP BY page_id""")
+@query("""WITH s AS (SELECT page_id, chunk_start + local_index AS i, arg_max(row(token, label, confidence), row(confidence, -chunk_start, -sub_index)) AS b FROM v_chunks GROUP BY ALL)
+          SELECT page_id, string_agg(label || '=' || words || '=' || round(mean, 6), ';' ORDER BY label) AS layout FROM (SELECT page_id, b[2] AS label, string_agg(b[1], ' ' ORDER BY i) AS words, sum(round(b[3] * 10)) / 10 / count(*) AS mean FROM s GROUP BY ALL) GROUP BY page_id""")
 def mean_confidence_by_label(spark: SparkSession, d: str) -> DataFrame:
     """A5 X20."""
-    rows = view(spark, d, "v_chunks").where("sub_index = 0 AND chunk_start = 0").withColumn("token_index", F.col("chunk_start") + F.col("local_index"))
-    maps = tok.by_label(rows)
+    maps = tok.by_label(tok.stitch(view(spark, d, "v_chunks")))
     entry = F.transform(F.array_sort(F.map_keys("entities")), lambda k: F.concat_ws("=", k, F.array_join(F.element_at("entities", k), " "), F.round(F.element_at("mean_confidence_by_label", k), 6).cast("string")))
     return maps.select("page_id", F.array_join(entry, ";").alias("layout"))
 
@@ -110,34 +107,34 @@ def subtoken_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT document_id, token_index, greatest(0, least(1000, round_even(1000.0::DOUBLE * x0 / 640, 0)))::INT AS x0, greatest(0, least(1000, round_even(1000.0::DOUBLE * y0 / 900, 0)))::INT AS y0,
-          greatest(0, least(1000, round_even(1000.0::DOUBLE * x1 / 640, 0)))::INT AS x1, greatest(0, least(1000, round_even(1000.0::DOUBLE * y1 / 900, 0)))::INT AS y1 FROM tokens WHERE token_index < 50""", on_tokens=True)
+          greatest(0, least(1000, round_even(1000.0::DOUBLE * x1 / 640, 0)))::INT AS x1, greatest(0, least(1000, round_even(1000.0::DOUBLE * y1 / 900, 0)))::INT AS y1 FROM tokens""", on_tokens=True)
 def normalize_bbox(spark: SparkSession, d: str) -> DataFrame:
     """X3."""
-    rows = tokens(spark, d).where("token_index < 50")
+    rows = tokens(spark, d)
     box = geometry.normalized([F.col(c) for c in ("x0", "y0", "x1", "y1")], F.lit(640), F.lit(900))
     return rows.select("document_id", "token_index", *[b.alias(c) for b, c in zip(box, ("x0", "y0", "x1", "y1"), strict=True)])
 
 
 def _scaled(k: int) -> str:
-    c, side = ("x0", "y0", "x1", "y1")[k], ("800", "1200")[k % 2]
-    return f"greatest(0, least(1000, round_even(CASE id % 3 WHEN 0 THEN {c} / 1000.0::DOUBLE * 1000.0::DOUBLE WHEN 1 THEN ({c} * 2.0::DOUBLE) * CASE WHEN greatest(x0, y0, x1, y1) * 2 > 1000 THEN 1000.0 / {side} ELSE 1.0 END ELSE {c}::DOUBLE END, 0)))::INT AS {c}"
+    v, side = f"b[{k + 1}]", ("800", "1200")[k % 2]
+    return f"greatest(0, least(1000, round_even(CASE WHEN m <= 1 THEN {v} * 1000 WHEN m > 1000 OR m > 1200 THEN {v} * 1000 / {side} ELSE {v} END, 0)))::INT AS {('x0', 'y0', 'x1', 'y1')[k]}"
 
 
-@query(f"SELECT id, {', '.join(_scaled(k) for k in range(4))} FROM v_attributes WHERE id % 5 = 0 AND greatest(x0, y0, x1, y1) <= 1000 AND NOT (id % 3 = 1)")
+@query(f"SELECT id, {', '.join(_scaled(k) for k in range(4))} FROM (SELECT id, b, list_max(b) AS m FROM (SELECT id, [x / CASE id % 3 WHEN 0 THEN 2048.0 WHEN 1 THEN 0.5 ELSE 1.0 END FOR x IN [x0::DOUBLE, y0::DOUBLE, x1::DOUBLE, y1::DOUBLE]] AS b FROM v_attributes))")
 def attr_box_normalize(spark: SparkSession, d: str) -> DataFrame:
-    """Fractional boxes and boxes as they are; malformed ones go."""
-    a = view(spark, d, "v_attributes").where("id % 5 = 0 AND greatest(x0, y0, x1, y1) <= 1000 AND NOT (id % 3 = 1)")
-    box = F.array(*[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")])
-    raw = F.when(F.col("id") % 3 == 0, F.transform(box, lambda x: x / 1000.0)).otherwise(box)
+    """Fractions, pixels and normalised boxes; malformed ones go."""
+    a = view(spark, d, "v_attributes")
+    unit = F.when(F.col("id") % 3 == 0, 2048.0).when(F.col("id") % 3 == 1, 0.5).otherwise(1.0)
+    raw = F.transform(F.array(*[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")]), lambda x: x / unit)
     boxes = F.array(F.slice(raw, 1, 3), raw, F.array(*[F.lit(float("nan"))] * 4))
     out = a.select("id", F.get(geometry.attribute_boxes(boxes, F.lit(800), F.lit(1200)), F.lit(0)).alias("b"))
     return out.select("id", *[F.get("b", F.lit(k)).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))])
 
 
-@query("""SELECT id, greatest(0, least(2000, y0))::INT AS sx0, greatest(0, least(1500, 999 - x1))::INT AS sy0, greatest(0, least(2000, y1))::INT AS sx1, greatest(0, least(1500, 999 - x0))::INT AS sy1 FROM v_attributes WHERE id % 4 = 0""")
+@query("""SELECT id, greatest(0, least(2000, y0))::INT AS sx0, greatest(0, least(1500, 999 - x1))::INT AS sy0, greatest(0, least(2000, y1))::INT AS sx1, greatest(0, least(1500, 999 - x0))::INT AS sy1 FROM v_attributes""")
 def affine_box(spark: SparkSession, d: str) -> DataFrame:
     """The inverse of a turn by 90 degrees."""
-    a = view(spark, d, "v_attributes").where("id % 4 = 0")
+    a = view(spark, d, "v_attributes")
     turn = geometry.orientation(F.lit(90), F.lit(800), F.lit(1000))
     box = geometry.affine_box([F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")], geometry.inverse_affine(turn), F.lit(2000), F.lit(1500))
     return a.select("id", *[b.alias(c) for b, c in zip(box, ("sx0", "sy0", "sx1", "sy1"), strict=True)])
@@ -213,9 +210,6 @@ def label_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 # --- folds
 
-_ONE_PAGE = "document_id % 10 = 0"
-
-
 def _labelled_tokens(spark: SparkSession, d: str) -> DataFrame:
     label = F.element_at(F.array(*map(F.lit, ("name", "date", "total", ""))), ((F.col("line_num") + F.floor(F.col("word_num") / 5)) % 4 + 1).cast("int"))
     return tokens(spark, d).withColumn("label", label).withColumn("confidence", F.col("conf_pct") / 100.0)
@@ -250,10 +244,10 @@ def labelled_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT page_id, label, string_agg(sign || token, '' ORDER BY token_index) AS value FROM (
             SELECT *, CASE WHEN lag(token) OVER w IS NULL THEN '' WHEN lag(paragraph_num) OVER w <> paragraph_num THEN chr(10) || chr(10) WHEN lag(line_num) OVER w <> line_num THEN chr(10) ELSE ' ' END AS sign
-            FROM (SELECT *, word_num % 3 AS label FROM tokens WHERE document_id % 5 = 0 AND token_index < 60) WINDOW w AS (PARTITION BY page_id, label ORDER BY token_index)) GROUP BY ALL""", on_tokens=True)
+            FROM (SELECT *, word_num % 3 AS label FROM tokens) WINDOW w AS (PARTITION BY page_id, label ORDER BY token_index)) GROUP BY ALL""", on_tokens=True)
 def cluster_text(spark: SparkSession, d: str) -> DataFrame:
     """W2."""
-    rows = tokens(spark, d).where("document_id % 5 = 0 AND token_index < 60").withColumn("label", (F.col("word_num") % 3).cast("bigint"))
+    rows = tokens(spark, d).withColumn("label", (F.col("word_num") % 3).cast("bigint"))
     run = F.array_sort(F.collect_list(F.struct("token_index", "token", "paragraph_num", "line_num")))
     return rows.groupBy("page_id", "label").agg(run.alias("run")).select("page_id", "label", cluster.joined_text(F.col("run")).alias("value"))
 
@@ -294,13 +288,13 @@ def token_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.token_scores(sides[0].join(sides[1], (F.col("t_page") == F.col("p_page")) & (F.col("t_at") == F.col("p_at"))))
 
 
-@query("""WITH t AS (SELECT conv_id AS key, role || turn AS field, ' ' || role AS value FROM conversations WHERE conv_id % 4 <> 1), p AS (SELECT conv_id AS key, role || turn AS field, CASE WHEN turn % 3 = 0 THEN 'other' ELSE role || ' ' END AS value FROM conversations WHERE conv_id % 4 <> 2 AND turn % 5 <> 4)
+@query("""WITH t AS (SELECT conv_id AS key, role || turn AS field, ' ' || role AS value FROM conversations), p AS (SELECT conv_id AS key, role || turn AS field, CASE WHEN turn % 3 = 0 THEN 'other' ELSE role || ' ' END AS value FROM conversations WHERE length(text) > 200)
           SELECT count(*) AS comparable, count(*) FILTER (trim(t.value) = trim(coalesce(p.value, ''))) AS exact, count(*) FILTER (trim(t.value) = trim(coalesce(p.value, '')))::DOUBLE / count(*) AS rate FROM t LEFT JOIN p ON t.key = p.key AND t.field = p.field WHERE t.key IN (SELECT key FROM p)""")
 def field_exact_match(spark: SparkSession, d: str) -> DataFrame:
     """A11 X20."""
-    rows = view(spark, d, "conversations").select(F.col("conv_id").alias("key"), F.concat("role", "turn").alias("field"), "turn", "role")
-    t = rows.where("key % 4 <> 1").select("key", "field", F.concat(F.lit(" "), "role").alias("value"))
-    p = rows.where("key % 4 <> 2 AND turn % 5 <> 4").select("key", "field", F.when(F.col("turn") % 3 == 0, "other").otherwise(F.concat("role", F.lit(" "))).alias("value"))
+    rows = view(spark, d, "conversations").select(F.col("conv_id").alias("key"), F.concat("role", "turn").alias("field"), "turn", "role", "text")
+    t = rows.select("key", "field", F.concat(F.lit(" "), "role").alias("value"))
+    p = rows.where("length(text) > 200").select("key", "field", F.when(F.col("turn") % 3 == 0, "other").otherwise(F.concat("role", F.lit(" "))).alias("value"))
     return evaluate.field_match(t, p)
 
 
@@ -316,11 +310,12 @@ def last_record_wins(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.last_by_key(view(spark, d, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("ordinal"), "role")).select("key", "role", "ordinal")
 
 
-@query("SELECT conv_id AS key, count(*) AS n, count(*) FILTER (turn % 3 = 0) AS matching FROM conversations WHERE conv_id % 3 <> 0 GROUP BY conv_id")
+@query("SELECT conv_id AS key, count(*) AS n, count(*) FILTER (turn % 3 = 0) AS matching FROM conversations GROUP BY conv_id HAVING count(*) > 4")
 def aligned_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Only records that both sides have, token by token."""
     rows = view(spark, d, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("pos"), F.col("role").alias("token"), F.lit("a").alias("label"))
-    p = rows.where("key % 3 <> 0").withColumn("label", F.when(F.col("pos") % 3 == 0, "a").otherwise("b"))
+    long = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 4").select("key")
+    p = rows.join(long, "key", "left_semi").withColumn("label", F.when(F.col("pos") % 3 == 0, "a").otherwise("b"))
     pairs = evaluate.aligned(rows, p)
     return pairs.groupBy(F.col("t_key").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("t_label") == F.col("p_label")).alias("matching"))
 
@@ -389,7 +384,7 @@ def group_split_balanced(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def model_predictions(spark: SparkSession, d: str) -> DataFrame:
     """UDF1 W7 W8 W9: chunks through the predictor boundary, stitched and filled."""
-    rows = tokens(spark, d).where("document_id % 20 = 0")
+    rows = tokens(spark, d)
     pages = rows.groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("token_index", "token", F.array("x0", "y0", "x1", "y1").alias("box")))).alias("t"))
     chunks = tok.chunk_ranges(pages)
     part = F.slice("t", F.col("chunk_start") + 1, F.col("chunk_end") - F.col("chunk_start"))
@@ -398,15 +393,15 @@ def model_predictions(spark: SparkSession, d: str) -> DataFrame:
     return tok.fill_gaps(rows, found).select("page_id", "token_index", "label", "confidence")
 
 
-@query("SELECT page_id, token_index, 'OCR' AS label, 0.0::DOUBLE AS confidence, least(1, greatest(0, conf_pct / 100)) AS unit FROM tokens WHERE token_index < 20", on_tokens=True)
+@query("SELECT page_id, token_index, 'OCR' AS label, 0.0::DOUBLE AS confidence, least(1, greatest(0, conf_pct / 100)) AS unit FROM tokens", on_tokens=True)
 def ocr_only_predictions(spark: SparkSession, d: str) -> DataFrame:
     """UDF1 X23."""
-    return tok.ocr_only(tokens(spark, d).where("token_index < 20")).select("page_id", "token_index", "label", "confidence", text.unit_confidence(F.col("conf_pct")).alias("unit"))
+    return tok.ocr_only(tokens(spark, d)).select("page_id", "token_index", "label", "confidence", text.unit_confidence(F.col("conf_pct")).alias("unit"))
 
 
-@query("SELECT page_id, token_index, label, line_num FROM (SELECT page_id, token_index, word_num % 2 AS label, line_num FROM tokens WHERE token_index < 30)", on_tokens=True)
+@query("SELECT page_id, token_index, label, line_num FROM (SELECT page_id, token_index, word_num % 2 AS label, line_num FROM tokens)", on_tokens=True)
 def attach_layout(spark: SparkSession, d: str) -> DataFrame:
     """J12."""
-    rows = tokens(spark, d).where("token_index < 30")
+    rows = tokens(spark, d)
     predictions = rows.select("page_id", "token_index", (F.col("word_num") % 2).alias("label"))
     return tok.attach_layout(predictions, rows).select("page_id", "token_index", "label", "line_num")

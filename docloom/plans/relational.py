@@ -209,34 +209,34 @@ def latest_corrections(spark: SparkSession, d: str) -> DataFrame:
     return review.apply_corrections(a, c).select("id", "extracted_value", "validation_status", "correction_count", "operator_user")
 
 
-@query("""WITH s AS (SELECT * FROM v_staged WHERE document_id % 3 <> 0), v AS (SELECT * FROM v_staged WHERE document_id % 2 = 0)
+@query("""WITH s AS (SELECT * FROM v_staged WHERE confidence_score >= 0.8), v AS (SELECT * FROM v_staged WHERE confidence_score < 0.4)
           SELECT document_id, ordinal, 'staged' AS origin, CASE WHEN document_id IN (SELECT document_id FROM v) THEN 'saved' ELSE 'draft' END AS review_state FROM s
           UNION ALL SELECT document_id, ordinal, 'saved', 'saved' FROM v WHERE document_id NOT IN (SELECT document_id FROM s)""")
 def staged_or_saved(spark: SparkSession, d: str) -> DataFrame:
     """U5 P4."""
     (rows,) = _v(spark, d, "staged")
-    return review.staged_or_saved(rows.where("document_id % 3 <> 0"), rows.where("document_id % 2 = 0")).select("document_id", "ordinal", "origin", "review_state")
+    return review.staged_or_saved(rows.where("confidence_score >= 0.8"), rows.where("confidence_score < 0.4")).select("document_id", "ordinal", "origin", "review_state")
 
 
 @query("""WITH s AS (SELECT 't' || document_id || '-' || ordinal AS temp_id, * FROM v_staged)
-          SELECT temp_id, document_id, document_id * 100 + page_number AS page_id, 'APPROVED' AS validation_status, CASE WHEN ordinal % 4 = 0 THEN 0.5 ELSE confidence_score END AS confidence_score, CASE WHEN ordinal % 4 = 0 THEN 'manual' ELSE 'model' END AS source FROM s WHERE ordinal % 2 = 0""")
+          SELECT temp_id, document_id, document_id * 100 + page_number AS page_id, 'APPROVED' AS validation_status, CASE WHEN ordinal % 4 = 0 THEN 0.5 ELSE confidence_score END AS confidence_score, CASE WHEN ordinal % 4 = 0 THEN 'manual' ELSE 'model' END AS source FROM s WHERE confidence_score >= 0.5""")
 def save_selected(spark: SparkSession, d: str) -> DataFrame:
     """D6 J14 J15."""
     (rows,) = _v(spark, d, "staged")
     none = F.array().cast("array<array<double>>")
     staged = rows.withColumn("temp_id", F.concat(F.lit("t"), F.col("document_id"), F.lit("-"), F.col("ordinal"))).withColumn("bounding_boxes", none)
-    chosen = staged.where("ordinal % 2 = 0").select("temp_id", "document_id", "page_number", F.concat(F.lit(" "), "entity_type_label").alias("entity_type_label"), "extracted_value", "bounding_boxes", F.lit(0.5).alias("confidence_score"), F.expr("CASE WHEN ordinal % 4 = 0 THEN 'manual' ELSE 'model' END").alias("source"))
+    chosen = staged.where("confidence_score >= 0.5").select("temp_id", "document_id", "page_number", F.concat(F.lit(" "), "entity_type_label").alias("entity_type_label"), "extracted_value", "bounding_boxes", F.lit(0.5).alias("confidence_score"), F.expr("CASE WHEN ordinal % 4 = 0 THEN 'manual' ELSE 'model' END").alias("source"))
     pages = rows.select((F.col("document_id") * 100 + F.col("page_number")).alias("id"), "document_id", "page_number").distinct()
     saved, _ = review.save_selected(staged, chosen, pages)
     return saved.select("temp_id", "document_id", "page_id", "validation_status", "confidence_score", "source")
 
 
-@query("SELECT 't' || document_id || '-' || ordinal AS temp_id FROM v_staged WHERE ordinal % 2 <> 0")
+@query("SELECT 't' || document_id || '-' || ordinal AS temp_id FROM v_staged WHERE confidence_score < 0.5")
 def staged_remaining(spark: SparkSession, d: str) -> DataFrame:
     """What is left after a partial save."""
     (rows,) = _v(spark, d, "staged")
     staged = rows.withColumn("temp_id", F.concat(F.lit("t"), F.col("document_id"), F.lit("-"), F.col("ordinal")))
-    return staged.join(staged.where("ordinal % 2 = 0").select("temp_id"), "temp_id", "left_anti").select("temp_id")
+    return staged.join(staged.where("confidence_score >= 0.5").select("temp_id"), "temp_id", "left_anti").select("temp_id")
 
 
 @query("""WITH RECURSIVE e AS (SELECT document_id, upper(trim(target)) AS target, page_rows, page_count, has_started, has_timing, row_number() OVER (PARTITION BY document_id ORDER BY seq) AS k FROM v_status_events),
@@ -260,7 +260,7 @@ def reprocessable(spark: SparkSession, d: str) -> DataFrame:
     return review.reprocessable(*_v(spark, d, "uploads")).select("id", "status")
 
 
-@query("""WITH p AS (SELECT * FROM v_pages WHERE id % 11 <> 0), c AS (SELECT * FROM v_corrections), a AS (SELECT * FROM v_attributes WHERE id % 13 <> 0), d AS (SELECT * FROM v_documents WHERE id % 7 <> 0)
+@query("""WITH p AS (SELECT * FROM v_pages WHERE page_number <= 2), c AS (SELECT * FROM v_corrections), a AS (SELECT * FROM v_attributes WHERE source = 'model'), d AS (SELECT * FROM v_documents WHERE status <> 'QUEUED')
           SELECT 'page_without_document' AS "constraint", count(*) AS n FROM p WHERE document_id NOT IN (SELECT id FROM d)
           UNION ALL SELECT 'attribute_without_document', count(*) FROM a WHERE document_id NOT IN (SELECT id FROM d)
           UNION ALL SELECT 'attribute_without_page', count(*) FROM a WHERE page_id NOT IN (SELECT id FROM p)
@@ -270,23 +270,23 @@ def reprocessable(spark: SparkSession, d: str) -> DataFrame:
 def dq_orphans(spark: SparkSession, d: str) -> DataFrame:
     """D8."""
     docs, p, a, c = _v(spark, d, "documents", "pages", "attributes", "corrections")
-    return review.orphans(docs.where("id % 7 <> 0"), p.where("id % 11 <> 0"), a.where("id % 13 <> 0"), c)
+    return review.orphans(docs.where("status <> 'QUEUED'"), p.where("page_number <= 2"), a.where("source = 'model'"), c)
 
 
-@query("SELECT a.id, (SELECT count(*) FROM v_corrections c WHERE c.attribute_id = a.id) AS n FROM v_attributes a WHERE a.id % 3 <> 0")
+@query("SELECT a.id, (SELECT count(*) FROM v_corrections c WHERE c.attribute_id = a.id) AS n FROM v_attributes a WHERE a.source <> 'manual'")
 def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Attributes and their corrections without the deleted ones."""
     a, c = _v(spark, d, "attributes", "corrections")
-    left, logs = review.delete_attributes(a, c, a.where("id % 3 = 0").select("id"))
+    left, logs = review.delete_attributes(a, c, a.where("source = 'manual'").select("id"))
     return left.join(logs.groupBy("attribute_id").agg(F.count(F.lit(1)).alias("n")), F.col("id") == F.col("attribute_id"), "left").select("id", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
-@query("SELECT document_id, ordinal, CASE WHEN document_id % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM v_staged WHERE document_id % 2 <> 0 OR ordinal = 0")
+@query("WITH f AS (SELECT document_id, ordinal FROM v_staged WHERE confidence_score > 0.9) SELECT document_id, ordinal, 'new' AS version FROM f UNION ALL SELECT document_id, ordinal, 'old' FROM v_staged WHERE document_id NOT IN (SELECT document_id FROM f)")
 def replace_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """Documents in the new rows replace their old ones."""
     (rows,) = _v(spark, d, "staged")
-    rows = rows.select("document_id", "ordinal")
-    return review.replace_documents(rows.withColumn("version", F.lit("old")), rows.where("document_id % 2 = 0 AND ordinal = 0").withColumn("version", F.lit("new")))
+    old, new = (x.select("document_id", "ordinal", F.lit(v).alias("version")) for x, v in ((rows, "old"), (rows.where("confidence_score > 0.9"), "new")))
+    return review.replace_documents(old, new)
 
 
 @query("SELECT id, (epoch_us(timestamp + to_microseconds(CAST(floor(processing_duration_seconds) AS BIGINT) * 1000000)) - epoch_us(timestamp)) / 1000000.0::DOUBLE AS seconds, lower(status) AS status FROM v_uploads")
