@@ -20,8 +20,8 @@ groups with all their occurrences; a node whose members all go on alike to the
 left gives nothing that a longer one didn't.
 
 A group of more than `GROUP` contexts is first dealt out: a window `d` bytes
-left of its anchor lies in one half of the possible range of d, and the windows
-of a half share a core of bytes, whose hash is the new group. Halving goes on
+left of its anchor lies in one of four parts of the possible range of d, and the
+windows of a part share a core of bytes, whose hash is the new group. This goes on
 until groups are small, or the range is one window, which all members share. No
 task holds more than `GROUP` contexts, and no occurrence is left out.
 
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import TEXT_HASH, by_document, identified, shuffle_parts, stored, text_runs
 
-GRAM, GROUP = 32, 512
+GRAM, GROUP, PARTS = 32, 512, 4
 _PLACE = 24  # bits of a position within a segment; longer texts are cut into segments
 _SEGMENT = 1 << 23
 _U64 = np.uint64
@@ -195,16 +195,17 @@ def _contexts(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 _CONTEXT = f"key long, lo int, hi int, {_ID}, a int, p int, context binary"
 
 
-def _halve(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each context once for each half of its group's range that any of its windows lies in, under the hash of the half's core."""
+def _deal(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each context once for each part of its group's range that any of its windows lies in, under the hash of the part's core."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for key, lo, hi, doc, text_hash, a, p, context in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                middle, b = (lo + hi) // 2, a + len(context) - length
-                for x, y in ((lo, middle), (middle + 1, hi)):
-                    if x <= p - a and y >= p - b:
+                b, edges = a + len(context) - length, [lo + (hi + 1 - lo) * k // PARTS for k in range(PARTS + 1)]
+                for x, y in zip(edges, edges[1:], strict=False):
+                    y -= 1
+                    if x <= y and x <= p - a and y >= p - b:
                         core = context[p - x - a : p + length - y - a]
                         out.append((xxhash.xxh3_64_intdigest(core + b"%d %d %d" % (key, x, y)) - 2**63, x, y, doc, text_hash, a, p, context))
             columns = list(zip(*out, strict=True)) or [()] * 8
@@ -352,11 +353,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         hot = contexts.join(large, "key", "left_semi").select(*contexts.columns).dropDuplicates(["key", "doc_id", TEXT_HASH, "p"])
         one = hot.where("lo = hi")  # all members share this window
         spans = spans.unionByName(one.select("doc_id", TEXT_HASH, (F.col("p") - F.col("lo")).alias("s"), (F.col("p") - F.col("lo") + length).alias("e")))
-        contexts = stored(hot.where("lo < hi").mapInArrow(_halve(length), _CONTEXT), "halves")
-    for contexts in small:
-        grouped = contexts.repartition(parts, "key").sortWithinPartitions("key")
-        spans = spans.unionByName(grouped.mapInArrow(_compare(length), _SPAN))
-    return spans
+        contexts = stored(hot.where("lo < hi").mapInArrow(_deal(length), _CONTEXT), "parts")
+    pile = small[0]
+    for contexts in small[1:]:
+        pile = pile.unionByName(contexts)
+    grouped = pile.repartition(parts, "key").sortWithinPartitions("key")
+    return spans.unionByName(grouped.mapInArrow(_compare(length), _SPAN))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
