@@ -167,14 +167,19 @@ def token_attribute_overlap(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.overlap_index(view(spark, d, "v_boxed_tokens"), view(spark, d, "v_boxes"))
 
 
-@query()
+@query(f"""WITH b AS (SELECT a.document_id AS page_id, a.id AS box_order, CASE WHEN document_type = '1-URGENT' AND entity_type_label = 'A_F' THEN 'approved_field' ELSE lower(entity_type_label) END AS label,
+                  least(x0, 1000) AS x0, least(y0, 1000) AS y0, least(x1, 1000) AS x1, least(y1, 1000) AS y1 FROM v_attributes a JOIN v_documents d ON d.id = a.document_id WHERE validation_status = 'APPROVED'),
+           p AS (SELECT t.page_id, token_index, label, {_IOU} AS iou, row_number() OVER (PARTITION BY t.page_id, token_index ORDER BY {_IOU} DESC, box_order) AS k FROM v_boxed_tokens t JOIN b ON t.page_id = b.page_id WHERE {_INTER} > 0)
+           SELECT t.page_id AS document_id, t.page_id, string_agg(token, '|' ORDER BY t.token_index) AS tokens, string_agg(CASE WHEN iou >= 0.1 THEN label ELSE 'O' END, '|' ORDER BY t.token_index) AS labels, string_agg(t.x0::VARCHAR, '|' ORDER BY t.token_index) AS lefts
+           FROM v_boxed_tokens t LEFT JOIN p ON p.page_id = t.page_id AND p.token_index = t.token_index AND k = 1 WHERE t.page_id IN (SELECT page_id FROM b) GROUP BY t.page_id""")
 def training_records(spark: SparkSession, d: str) -> DataFrame:
     """K2: token records of pages with approved attributes."""
     a = view(spark, d, "v_attributes").withColumn("bounding_boxes", F.array(F.array(*[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")])))
     t = view(spark, d, "v_boxed_tokens").withColumn("document_id", F.col("page_id"))
     a = a.withColumn("page_id", F.col("document_id"))
     aliases = spark.createDataFrame([("1-urgent", "a_f", "approved_field")], "document_type string, alias string, canonical string")
-    return export.training_records(t, a, view(spark, d, "v_documents"), aliases)
+    records = export.training_records(t, a, view(spark, d, "v_documents"), aliases)
+    return records.select("document_id", "page_id", *[F.array_join(c, "|").alias(c) for c in ("tokens", "labels")], F.array_join(F.transform("bboxes", lambda x: F.get(x, F.lit(0)).cast("string")), "|").alias("lefts"))
 
 
 # --- classification and labels
