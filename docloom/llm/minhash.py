@@ -38,7 +38,7 @@ from .common import TEXT_HASH, identified, shuffle_parts, stored, text_runs
 from .components import components
 
 POSITIONS, LONG, WIDE, MISS = 64, 128, 1024, 2e-5
-SMALL, BLOCK, ORDERS = 8, 1024, 16
+SMALL, BLOCK, ORDERS = 8, 2048, 16
 _U64 = np.uint64
 _MIX1, _MIX2, _ODD = _U64(0xFF51AFD7ED558CCD), _U64(0xC4CEB9FE1A85EC53), _U64(0x9E3779B97F4A7C15)
 _PAIR = {"a": pa.int64(), "b": pa.int64(), "hash_a": pa.int64(), "hash_b": pa.int64()}
