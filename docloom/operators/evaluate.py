@@ -32,7 +32,7 @@ def overlap_index(tokens: DataFrame, boxes: DataFrame, page: str = "page_id", to
     """Each token with the last of the boxes (box_order) that overlap it."""
     side = boxes.select(F.col(page).alias("__page"), F.col("box_order").alias("__order"), F.col("label").alias("__label"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
     pairs = tokens.join(side, (F.col(page) == F.col("__page")) & overlaps(_box(""), _box("b_")))
-    return pairs.groupBy(page, token).agg(F.max_by("__label", "__order").alias("label"), F.count(F.lit(1)).alias("n_boxes"))
+    return pairs.groupBy(page, token).agg(F.max_by("__label", F.struct("__order", "__label")).alias("label"), F.count(F.lit(1)).alias("n_boxes"))
 
 
 def last_by_key(records: DataFrame, key: str = "key", ordinal: str = "ordinal") -> DataFrame:

@@ -153,7 +153,7 @@ def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     return t.join(side, (F.col("page_id") == F.col("bp")) & geometry.overlaps(*boxes)).select("page_id", "token_index", "box_order", F.round(geometry.iou(*boxes), 9).alias("iou"))
 
 
-@query(f"""WITH p AS (SELECT t.page_id, token_index, label, {_IOU} AS iou, row_number() OVER (PARTITION BY t.page_id, token_index ORDER BY {_IOU} DESC, box_order) AS k FROM v_boxed_tokens t JOIN v_boxes b ON t.page_id = b.page_id WHERE {_INTER} > 0)
+@query(f"""WITH p AS (SELECT t.page_id, token_index, label, {_IOU} AS iou, row_number() OVER (PARTITION BY t.page_id, token_index ORDER BY {_IOU} DESC, box_order, label DESC) AS k FROM v_boxed_tokens t JOIN v_boxes b ON t.page_id = b.page_id WHERE {_INTER} > 0)
            SELECT t.page_id, t.token_index, CASE WHEN iou >= 0.1 THEN label ELSE 'O' END AS label FROM (SELECT DISTINCT page_id, token_index FROM v_boxed_tokens) t LEFT JOIN p ON p.page_id = t.page_id AND p.token_index = t.token_index AND k = 1""")
 def best_iou_labels(spark: SparkSession, d: str) -> DataFrame:
     """J7 J8."""
@@ -161,7 +161,7 @@ def best_iou_labels(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.best_overlap_labels(t, view(spark, d, "v_boxes")).select("page_id", "token_index", "label")
 
 
-@query(f"SELECT t.page_id, token_index, arg_max(label, box_order) AS label, count(*) AS n_boxes FROM v_boxed_tokens t JOIN v_boxes b ON t.page_id = b.page_id WHERE {_INTER} > 0 GROUP BY ALL")
+@query(f"SELECT t.page_id, token_index, arg_max(label, row(box_order, label)) AS label, count(*) AS n_boxes FROM v_boxed_tokens t JOIN v_boxes b ON t.page_id = b.page_id WHERE {_INTER} > 0 GROUP BY ALL")
 def token_attribute_overlap(spark: SparkSession, d: str) -> DataFrame:
     """The last overlapping box wins."""
     return evaluate.overlap_index(view(spark, d, "v_boxed_tokens"), view(spark, d, "v_boxes"))
@@ -169,7 +169,7 @@ def token_attribute_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH b AS (SELECT a.document_id AS page_id, a.id AS box_order, CASE WHEN document_type = '1-URGENT' AND entity_type_label = 'A_F' THEN 'approved_field' ELSE lower(entity_type_label) END AS label,
                   least(x0, 1000) AS x0, least(y0, 1000) AS y0, least(x1, 1000) AS x1, least(y1, 1000) AS y1 FROM v_attributes a JOIN v_documents d ON d.id = a.document_id WHERE validation_status = 'APPROVED'),
-           p AS (SELECT t.page_id, token_index, label, {_IOU} AS iou, row_number() OVER (PARTITION BY t.page_id, token_index ORDER BY {_IOU} DESC, box_order) AS k FROM v_boxed_tokens t JOIN b ON t.page_id = b.page_id WHERE {_INTER} > 0)
+           p AS (SELECT t.page_id, token_index, label, {_IOU} AS iou, row_number() OVER (PARTITION BY t.page_id, token_index ORDER BY {_IOU} DESC, box_order, label DESC) AS k FROM v_boxed_tokens t JOIN b ON t.page_id = b.page_id WHERE {_INTER} > 0)
            SELECT t.page_id AS document_id, t.page_id, string_agg(token, '|' ORDER BY t.token_index) AS tokens, string_agg(CASE WHEN iou >= 0.1 THEN label ELSE 'O' END, '|' ORDER BY t.token_index) AS labels, string_agg(t.x0::VARCHAR, '|' ORDER BY t.token_index) AS lefts
            FROM v_boxed_tokens t LEFT JOIN p ON p.page_id = t.page_id AND p.token_index = t.token_index AND k = 1 WHERE t.page_id IN (SELECT page_id FROM b) GROUP BY t.page_id""")
 def training_records(spark: SparkSession, d: str) -> DataFrame:
