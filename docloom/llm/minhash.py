@@ -1,7 +1,8 @@
 """Near duplicates by a multi-index Hamming join of b-bit MinHash signatures.
 
 A document's set is its distinct w-word shingles. Documents with equal sets form
-a class, of which the one with the smallest id goes on. A class's signature has
+a class, of which the one with the smallest id goes on under the class's number;
+ids take no part in links, as an id may have several texts. A class's signature has
 `POSITIONS` b-bit values; two sets of Jaccard similarity s differ in a position
 with probability 1 - s. `radius` is the distance that a pair at the threshold
 exceeds with probability `MISS` at most. The positions are cut into chunks so
@@ -20,7 +21,9 @@ blocks of at most 2 * `BLOCK` members, so no link is lost to the star.
 
 Defined results: null and empty texts and texts without words have no set and no
 link; rows with a null id are linked with nothing and are kept; repeated rows
-are in one class; a row's component is that of its text.
+are in one class; a row's component is that of its text, also where its id has
+other texts; of a component's documents one is kept, that with the smallest id,
+then text hash.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ POSITIONS, LONG, WIDE, MISS = 64, 128, 1024, 2e-5
 SMALL, BLOCK, ORDERS = 8, 2048, 16
 _U64 = np.uint64
 _MIX1, _MIX2, _ODD = _U64(0xFF51AFD7ED558CCD), _U64(0xC4CEB9FE1A85EC53), _U64(0x9E3779B97F4A7C15)
-_PAIR = {"a": pa.int64(), "b": pa.int64(), "hash_a": pa.int64(), "hash_b": pa.int64()}
+_PAIR = {name: pa.int64() for name in ("a", "b", "doc_a", "doc_b", "hash_a", "hash_b")}
 _PAIRS = ", ".join(f"{name} long" for name in _PAIR)
 _SETS = f"doc_id long, {TEXT_HASH} long, k1 long, k2 long, n int, positions binary, sig binary"
 
@@ -255,8 +258,8 @@ def _filter_rows(most: int, most_wide: int, percent: int) -> Callable[[Iterator[
 def _block_rows(parts: list[np.ndarray], most: int, most_wide: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of members sorted by (key, block): the near pairs between components. Of the keys that a pair shares only the first gives it."""
 
-    def pairs(key: int, rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
-        ids, comps, n, sides, hashes = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1, 2, 3, 7))
+    def pairs(key: int, rows: list[tuple]) -> Iterator[tuple[int, ...]]:
+        ids, comps, n, sides, docs, hashes = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1, 2, 3, 7, 8))
         sig = np.frombuffer(b"".join(r[5] for r in rows), dtype="<u8").reshape(-1, LONG // 16)
         wide = np.frombuffer(b"".join(r[6] for r in rows), dtype="<u8").reshape(-1, WIDE // 16)
         keys = chunk_keys(np.frombuffer(b"".join(r[4] for r in rows), dtype="<u2").reshape(-1, POSITIONS), parts)
@@ -273,7 +276,7 @@ def _block_rows(parts: list[np.ndarray], most: int, most_wide: int, percent: int
             at = at[np.argmax(keys[at] == keys[i], axis=1) == here]
             for j in at.tolist():
                 low, high = (i, j) if ids[i] < ids[j] else (j, i)
-                yield ids[low], ids[high], hashes[low], hashes[high]
+                yield ids[low], ids[high], docs[low], docs[high], hashes[low], hashes[high]
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, out = None, [], []
@@ -285,7 +288,7 @@ def _block_rows(parts: list[np.ndarray], most: int, most_wide: int, percent: int
             return batch
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "block", "id", "component", "n", "side", "positions", "sig", "wide", "rep_hash")]
+            columns = [batch.column(c).to_pylist() for c in ("key", "block", "id", "component", "n", "side", "positions", "sig", "wide", "rep_id", "rep_hash")]
             for key, block, *row in zip(*columns, strict=True):
                 if (key, block) != group:
                     if len(held) > 1:
@@ -328,11 +331,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     sets = stored(docs.mapInArrow(_set_rows(width), _SETS), "sets")
     usable = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    reps = usable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", TEXT_HASH)).alias("r")).select("k1", "k2", F.col("r.doc_id").alias("id"), F.col(f"r.{TEXT_HASH}").alias("rep_hash"))
+    reps = usable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", TEXT_HASH)).alias("r"))
+    # A class's number is its node's id from here on; it is fixed by being stored.
+    reps = reps.select("k1", "k2", F.monotonically_increasing_id().alias("id"), F.col("r.doc_id").alias("rep_id"), F.col(f"r.{TEXT_HASH}").alias("rep_hash"))
     reps = stored(reps, "classes")
-    lead = reps.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "id", "rep_hash")
-    same = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("doc_id") == F.col("id")) & (F.col(TEXT_HASH) == F.col("rep_hash"))
-    nodes = stored(usable.join(lead, same).select("id", "rep_hash", "n", "positions", "sig").dropDuplicates(["id"]), "nodes")
+    lead = reps.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "id", "rep_id", "rep_hash")
+    same = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("doc_id") == F.col("rep_id")) & (F.col(TEXT_HASH) == F.col("rep_hash"))
+    nodes = stored(usable.join(lead, same).select("id", "rep_id", "rep_hash", "n", "positions", "sig").dropDuplicates(["id"]), "nodes")
 
     keys = nodes.select("id", "positions").mapInArrow(_key_rows(parts), "key long, id long")
     order = [F.col("key"), F.xxhash64("id", F.pmod("key", F.lit(ORDERS))), F.col("id")]
@@ -340,21 +345,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = stored(keys.mapInArrow(_pair_rows, "a long, b long, key long"), "pairs")
 
     # Members of large buckets have very many candidates; for them alone a signature of WIDE positions is made, which leaves few that aren't similar.
-    wanted = found.where("b is null").select(F.col("a").alias("id")).distinct().join(nodes.select("id", "rep_hash"), "id").select(F.col("id").alias("wanted"), "rep_hash")
-    wide = docs.join(wanted, (F.col("doc_id") == F.col("wanted")) & (F.col(TEXT_HASH) == F.col("rep_hash"))).select(F.col("wanted").alias("id"), "text")
+    wanted = found.where("b is null").select(F.col("a").alias("id")).distinct().join(nodes.select("id", "rep_id", "rep_hash"), "id")
+    wide = docs.join(wanted, (F.col("doc_id") == F.col("rep_id")) & (F.col(TEXT_HASH) == F.col("rep_hash"))).select("id", "text")
     wide = stored(wide.mapInArrow(_wide_rows(width), "id long, wide binary").dropDuplicates(["id"]), "wide")
     most_wide = radius(WIDE, differ)
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs whose full sets, from whole texts, are similar enough."""
         for side in "ab":
-            texts = docs.select(F.col("doc_id").alias(side), F.col(TEXT_HASH).alias(f"hash_{side}"), F.col("text").alias(f"text_{side}"))
-            pairs = pairs.join(texts, [side, f"hash_{side}"])
+            texts = docs.select(F.col("doc_id").alias(f"doc_{side}"), F.col(TEXT_HASH).alias(f"hash_{side}"), F.col("text").alias(f"text_{side}"))
+            pairs = pairs.join(texts, [f"doc_{side}", f"hash_{side}"])
         return stored(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), "a long, b long").distinct(), name)
 
     pairs, known = found.where("b is not null").select("a", "b").distinct(), nodes.join(wide, "id", "left")
     for side in "ab":
-        pairs = pairs.join(known.select(F.col("id").alias(side), *(F.col(c).alias(f"{new}_{side}") for c, new in (("rep_hash", "hash"), ("n", "n"), ("sig", "sig"), ("wide", "wide")))), side)
+        pairs = pairs.join(known.select(F.col("id").alias(side), *(F.col(c).alias(f"{new}_{side}") for c, new in (("rep_id", "doc"), ("rep_hash", "hash"), ("n", "n"), ("sig", "sig"), ("wide", "wide")))), side)
     near = stored(pairs.mapInArrow(_filter_rows(most, most_wide, percent), _PAIRS), "near")
     links = confirmed(near, "confirmed")
     labels = components(links)
@@ -373,8 +378,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not late.isEmpty():
         labels = components(links.unionByName(confirmed(late, "confirmed-late")))
 
-    classes = reps.select("k1", "k2", "id").join(labels, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
+    # The component's first document takes the place of its class number.
+    classes = reps.select("k1", "k2", "id", F.struct("rep_id", "rep_hash").alias("r"))
+    firsts = labels.join(classes, "id").groupBy("component").agg(F.min("r").alias("first"))
+    firsts = labels.join(firsts, "component").select("id", "first")
+    classes = classes.join(firsts, "id", "left").withColumn("r", F.coalesce("first", "r"))
+    classes = classes.select("k1", "k2", F.col("r.rep_id").alias("component"), F.col("r.rep_hash").alias("first_hash"))
     out = sets.join(classes, ["k1", "k2"], "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", TEXT_HASH, F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    kept = alone | ((F.col("component") == F.col("doc_id")) & (F.col("first_hash") == F.col(TEXT_HASH)))
+    return out.select("doc_id", TEXT_HASH, F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))

@@ -171,6 +171,19 @@ def test_components_equal_brute_force_with_a_large_group(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == jaccard_components(rows, 4, 80)
 
 
+def test_texts_of_one_id_are_linked_each_on_its_own(spark):
+    rng = random.Random(17)
+    texts = [words(rng, 60, 5000) for _ in range(4)]
+    rows = [(5, texts[0]), (5, texts[1]), (2, texts[0] + " end"), (9, texts[1] + " end"), (7, texts[2]), (7, texts[2] + " end"), (8, texts[3])]
+    got = minhash.near_duplicates(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string"), width=4, percent=80)
+    hashes = {r["h"]: r["text"] for r in spark.createDataFrame(rows, "doc_id long, text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    found = {(r["doc_id"], hashes[r[minhash.TEXT_HASH]]): (r["component_id"], r["kept"]) for r in got.collect()}
+    assert got.count() == 8
+    assert [found[x] for x in rows[:4]] == [(2, False), (5, True), (2, True), (5, False)]
+    assert [found[x][0] for x in rows[4:6]] == [7, 7] and sorted(found[x][1] for x in rows[4:6]) == [False, True]
+    assert found[rows[6]] == (8, True)
+
+
 def test_pigeonhole_covers_the_radius():
     parts = minhash.chunks(0.8)
     r = minhash.radius(minhash.POSITIONS, 0.2)
