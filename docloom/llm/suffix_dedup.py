@@ -73,18 +73,27 @@ def window_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(text: bytes, length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(hash, a, b, p): the windows that start in [a, b] have their anchor at p."""
+    """(hash, a, b, p): the windows that start in [a, b] have their anchor at p. An anchor beside a segment's end is given once, with its whole range."""
+    held: tuple[int, int, int, int] | None = None
     for base in range(0, max(1, len(text) - length + 1), _SEGMENT):
         data = np.frombuffer(text, dtype=np.uint8, offset=base, count=min(len(text) - base, _SEGMENT + length - 1))
         if len(data) < length:
-            return
+            break
         hashes = gram_hashes(data)
         placed = hashes >> _U64(_PLACE) << _U64(_PLACE) | np.arange(len(hashes), dtype=_U64)
         at = (window_least(placed, length - GRAM + 1) & _U64(2**_PLACE - 1)).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
         last = np.concatenate([first[1:] - 1, [len(at) - 1]])
         p = at[first]
-        yield from zip(hashes[p].view("i8").tolist(), (first + base).tolist(), (last + base).tolist(), (p + base).tolist(), strict=True)
+        for h, a, b, place in zip(hashes[p].view("i8").tolist(), (first + base).tolist(), (last + base).tolist(), (p + base).tolist(), strict=True):
+            if held is not None and held[3] == place:
+                held = (h, held[1], b, place)
+                continue
+            if held is not None:
+                yield held
+            held = (h, a, b, place)
+    if held is not None:
+        yield held
 
 
 def _anchor_rows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -233,6 +233,16 @@ def test_repeats_equal_brute_force(spark, monkeypatch, group):
     assert {r["doc_id"]: bytes(r["kept"]) for r in got.collect()} == brute_repeats(rows, 64)
 
 
+@pytest.mark.parametrize("segment", [7, 100, 777])
+def test_anchors_do_not_depend_on_segments(monkeypatch, segment):
+    text = words(random.Random(23), 700, 5000).encode()
+    whole = list(suffix_dedup.anchors(text, 64))
+    monkeypatch.setattr(suffix_dedup, "_SEGMENT", segment)
+    found = list(suffix_dedup.anchors(text, 64))
+    assert len({p for *_, p in found}) == len(found) and found == whole
+    assert [x for _, a, b, _ in found for x in range(a, b + 1)] == list(range(len(text) - 63))
+
+
 def test_repeat_groups_have_all_occurrences():
     text = ["xxabcdefyy", "zzabcdefqq", "kkabcdefyy"]
     rows = [(t[:2][::-1].encode(), t[2:].encode()) for t in text]
