@@ -8,7 +8,9 @@ are scanned where they lie, without a shuffle; a hash that matches is verified
 word by word. With several blocks the hits of each are merged by document.
 
 Defined results: null and empty texts have no words and are never
-contaminated; items without words have no window; repeated items all count.
+contaminated; items without words have no window; repeated items all count; an
+item with a null id hits like any other and counts as one item (all of them
+together), but is not in the list of ids.
 """
 
 from __future__ import annotations
@@ -43,15 +45,15 @@ def windows_of(words: list[bytes], n: int) -> list[tuple[bytes, ...]]:
 class WindowSet:
     """The windows of one block of items, by rolling hash over word numbers."""
 
-    def __init__(self, items: list[tuple[int, bytes]], n: int):
+    def __init__(self, items: list[tuple[int | None, bytes]], n: int):
         self.number: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
+        found: dict[tuple[int, ...], set[int | None]] = {}
         for item, text in items:
             for window in windows_of(words_of(text), n):
                 key = tuple(self.number.setdefault(w, len(self.number)) for w in window)
                 found.setdefault(key, set()).add(item)
         self.windows = list(found)
-        self.items = [sorted(found[w]) for w in self.windows]
+        self.items = [sorted(found[w], key=str) for w in self.windows]
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for length in sorted({len(w) for w in self.windows}):
             at = np.array([k for k, w in enumerate(self.windows) if len(w) == length])
@@ -89,7 +91,7 @@ class WindowSet:
                     k += 1
 
 
-def _found(windows: WindowSet, texts: pa.Array) -> tuple[list[int], list[list[list[int]]], list[set[int]]]:
+def _found(windows: WindowSet, texts: pa.Array) -> tuple[list[int], list[list[list[int]]], list[set[int | None]]]:
     """Of each text: number of words, merged hit word spans, items hit."""
     number = windows.number.get
     runs, ends = [], []
@@ -99,7 +101,7 @@ def _found(windows: WindowSet, texts: pa.Array) -> tuple[list[int], list[list[li
         ends.append(len(runs))
     starts = np.array([0, *ends[:-1]])
     spans: list[list[tuple[int, int]]] = [[] for _ in ends]
-    items: list[set[int]] = [set() for _ in ends]
+    items: list[set[int | None]] = [set() for _ in ends]
     for start, length, window in windows.hits(np.array(runs, dtype=np.int64)):
         doc = int(np.searchsorted(starts, start, side="right")) - 1
         spans[doc].append((start - int(starts[doc]), start - int(starts[doc]) + length))
@@ -159,7 +161,8 @@ def merged(spans) -> list[list[int]]:
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans = [merged(x for group in groups for x in group) for groups in batch.column("spans").to_pylist()]
-        items = [sorted({str(x) for group in groups for x in group}) for groups in batch.column("items").to_pylist()]
+        items = [{x for group in groups for x in group} for groups in batch.column("items").to_pylist()]
+        listed = [sorted(str(i) for i in x if i is not None) for x in items]
         n_words = batch.column("n_words").to_pylist()
         hit = [sum(e - s for s, e in x) for x in spans]
         yield pa.RecordBatch.from_arrays(
@@ -169,7 +172,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("n_words"),
                 pa.array(hit, pa.int64()),
                 pa.array(map(len, items), pa.int64()),
-                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
+                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed], pa.string()),
                 pa.array([is_contaminated(n, h) for h, n in zip(hit, n_words, strict=True)], pa.bool_()),
                 pa.array(spans, pa.list_(pa.list_(pa.int32()))),
             ],
@@ -182,7 +185,7 @@ def _pieces(n: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, str, int]] = []
+            out: list[tuple[int | None, str, int]] = []
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = words_of((text or "").encode())
                 for k in range(0, max(1, len(words) - n + 1), most - n + 1) if words else ():
@@ -193,10 +196,10 @@ def _pieces(n: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return cut
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_words: int) -> Iterator[list[tuple[int, bytes]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_words: int) -> Iterator[list[tuple[int | None, bytes]]]:
     """The items' windows in blocks of at most block_words words; the driver holds a block at a time. One empty block if there are none."""
     bound_batches(benchmark.sparkSession)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
     items = items.mapInArrow(_pieces(n, max(2 * n, block_words // 16)), "item_id long, text string, n long")
     block, held = [], 0
     for row in items.toLocalIterator():
@@ -226,7 +229,7 @@ def contamination(
 ) -> DataFrame:
     """doc_id, text hash, n_words, n_hit, n_items, items_sha256, contaminated and spans (hit words, half-open) of every row of docs.
 
-    A block of items has at most `block_words` words: the proven bound of each broadcast. Items with a null id are left out.
+    A block of items has at most `block_words` words: the proven bound of each broadcast.
     """
     spark = docs.sparkSession
     source, shares = identified(docs, id_col, text_col), []

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import components, decontam, fingerprint, langid, line_dedup, minhash, mixing, pii, queries, suffix_dedup, toxicity, warc
-from tests.conftest import SMALL
+from tests.conftest import SMALL, same_rows
 
 
 def words(rng, n, vocabulary=40):
@@ -337,6 +337,30 @@ def test_blocks_equal_one_broadcast(spark):
     assert clean == {r["doc_id"] for r in decontam.clean_documents(docs, bench, n=5, block_words=20).collect()} == {r["doc_id"] for r in decontam.contamination(docs, bench, n=5).where("not contaminated").collect()}
 
 
+@pytest.mark.parametrize("block_words", [1_000_000, 4])
+def test_items_without_id_hit_as_in_the_sql(spark, monkeypatch, block_words):
+    import duckdb
+
+    rng = random.Random(29)
+    long = [words(rng, 16, 5000) for _ in range(3)]
+    items = [(None, "alpha beta"), (None, "gamma"), (10, "alpha beta"), (9, "delta"), (None, long[0]), (9, long[1])]
+    rows = [(1, "x alpha beta y"), (2, "gamma"), (3, "delta z gamma"), (4, "clean"), (5, long[0] + " " + words(rng, 9, 9)), (6, long[1]), (7, long[2]), (8, None)]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(queries, "table", lambda spark, folder, name: {"documents": docs, "benchmark": bench}[name])
+    monkeypatch.setattr(queries.decontam, "contamination", lambda d, b, n, real=decontam.contamination: real(d, b, n=n, block_words=block_words))
+    con = duckdb.connect()
+    con.execute("create table benchmark (item_id bigint, text varchar)")
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into benchmark values (?, ?)", items)
+    con.executemany("insert into documents values (?, ?)", rows)
+    wanted = con.execute(queries.ORACLE["op10_decontamination"]).df()
+    assert wanted.contaminated.sum() == 5
+    same_rows(queries.op10_decontamination(spark, "").toPandas(), wanted)
+    monkeypatch.undo()
+    kept = decontam.clean_documents(docs, bench, block_words=block_words).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(wanted[~wanted.contaminated].doc_id)
+
+
 def test_passages_are_removed(spark):
     bench = spark.createDataFrame([(1, "The QUICK brown fox"), (2, "é à ô")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "See: the quick, BROWN-fox! jumps; É-à-ô é À ô"), (2, "clean"), (3, None)], "doc_id long, text string")
