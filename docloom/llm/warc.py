@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, new_dir, sample_cut, shuffle_parts
@@ -151,10 +151,17 @@ def _writer(root: str, shared, level: int) -> Callable[[Iterator[pa.RecordBatch]
     return write
 
 
+def spread_pieces(payload: Column, size: Column, most: int, pieces: int = 8) -> Column:
+    """At most `most` bytes of the payload: all of a short one, else pieces spread evenly from its beginning to its end."""
+    piece = most // pieces
+    starts = [F.floor((size - piece) * k / (pieces - 1)).cast("int") + 1 for k in range(pieces)]
+    return F.when(size <= most, payload).otherwise(F.concat(*[F.substr(payload, s, F.lit(piece)) for s in starts]))
+
+
 def write_archives(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 100, sample: int = 1000, sample_bytes: int = 32_768, dictionary_bytes: int = 65_536, level: int = 3
 ) -> DataFrame:
-    """Write the archives to a new shared folder; path and n_records of each. sample, sample_bytes: the dictionary is fitted to so many payloads, of so many bytes at most."""
+    """Write the archives to a new shared folder; path and n_records of each. sample, sample_bytes: the dictionary is fitted to so many payloads, of so many bytes at most, from all over each."""
     spark = pages.sparkSession
     bound_batches(spark)
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
@@ -162,9 +169,9 @@ def write_archives(
     # The sample's last hash first, so that tasks send the driver hashes and then only the payloads that are in it.
     order = F.xxhash64("page_id", "payload_digest")
     last = sample_cut(rows, order, sample)
-    start = F.substr("payload", F.lit(1), F.lit(sample_bytes)).alias("start")
-    picked = rows.where(order <= last).select("page_id", "url", start, "payload_digest").limit(2 * sample).collect() if last is not None else []
-    shared = spark.sparkContext.broadcast(train_dictionary([record(r["page_id"], r["url"], bytes(r["start"]), r["payload_digest"], None, False) for r in picked], dictionary_bytes))
+    spread = spread_pieces(F.col("payload"), F.col("size"), sample_bytes).alias("spread")
+    picked = rows.where(order <= last).select("page_id", "url", spread, "payload_digest").limit(2 * sample).collect() if last is not None else []
+    shared = spark.sparkContext.broadcast(train_dictionary([record(r["page_id"], r["url"], bytes(r["spread"]), r["payload_digest"], None, False) for r in picked], dictionary_bytes))
 
     long = rows.where(F.col("size") >= min_bytes)
     first = long.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page")).where("n > 1").select(F.col("payload_digest").alias("shared_digest"), "first_page")

@@ -79,6 +79,20 @@ def test_revisits(spark):
     assert got[5]["payload_bytes"] == 150 and got[5]["payload"] is None and bytes(got[4]["payload"]) == b""
 
 
+def test_dictionary_holds_what_recurs_at_the_end_of_long_pages(spark):
+    rng = random.Random(31)
+    footer = rng.randbytes(400).hex()
+    pages = spark.createDataFrame([(k, "u", rng.randbytes(20_000).hex() + footer) for k in range(12)], "page_id long, url string, html string")
+    archives = warc.write_archives(pages, sample_bytes=8192)
+    path = archives.first()["path"].removeprefix("file://")
+    with open(path, "rb") as archive:
+        assert footer[200:600].encode() in archive.read(8 + 65_536)
+    payload = F.encode("html", "UTF-8")
+    sizes = pages.select(F.octet_length(warc.spread_pieces(payload, F.octet_length(payload), 8192)).alias("n")).distinct().collect()
+    assert [r["n"] for r in sizes] == [8192]
+    assert {r["page_id"]: bytes(r["payload"]) for r in warc.read_archives(spark, archives).collect()} == {r["page_id"]: r["html"].encode() for r in pages.collect()}
+
+
 # --- mixing
 
 
