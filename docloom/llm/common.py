@@ -53,8 +53,7 @@ def new_dir(spark: SparkSession, name: str) -> str:
 
 def remove_intermediates(spark: SparkSession) -> None:
     """Delete what the operators of this application stored (archives too); results that were read must have been written by then."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, application_dir(spark))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -62,7 +61,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing needs any more: what was made of them has been stored itself."""
+    for df in tables:
+        remove(df.sparkSession, df._stored_at)
 
 
 def share(spark: SparkSession, value: object) -> Broadcast:
@@ -99,6 +111,11 @@ def identified(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataF
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias(TEXT_HASH), *more)
 
 
+def identity(docs: DataFrame) -> str:
+    """DDL of the two columns that identify a document; ids may be of any atomic type."""
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {TEXT_HASH} long"
+
+
 def by_document(left: DataFrame, right: DataFrame, how: str = "left", keep: tuple[str, ...] = ()) -> DataFrame:
     """left joined to the columns `keep` of right on the document's identity; right has one row per document."""
     right = right.select(F.col("doc_id").alias("__id"), F.col(TEXT_HASH).alias("__th"), *keep)

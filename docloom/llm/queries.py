@@ -55,9 +55,9 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400, passage=250, passage_words=50)
     removed = F.col("n_bytes") - F.octet_length("kept")
-    return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.size("passages").cast("long").alias("n_passages"))
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +150,44 @@ def _fingerprint_oracle() -> str:
         FROM trees"""
 
 
+def _repeats_oracle(length: int = 400, passage: int = 250, words: int = 50) -> str:
+    def islands(name: str, n: int) -> str:
+        """Runs of bytes that are covered by windows of n bytes which occur more than once."""
+        return f"""{name}_win AS (
+            SELECT doc_id, i, hash(b[i + 1:i + {n}]) AS w FROM (SELECT doc_id, b, unnest(range(n - {n - 1})) AS i FROM doc WHERE n >= {n})
+        ), {name} AS (
+            SELECT doc_id, min(i) AS s, max(i) + {n} AS e FROM (
+                SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (
+                    SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {n} THEN 0 ELSE 1 END AS fresh
+                    FROM {name}_win WHERE w IN (SELECT w FROM {name}_win GROUP BY w HAVING count(*) > 1)
+                )
+            ) GROUP BY doc_id, g
+        )"""
+
+    word = "[^\\x20\\x09-\\x0D]+"
+    return f"""
+        WITH doc AS (SELECT doc_id, coalesce(text, '') AS t, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+        {islands("islands", length)}, {islands("runs", passage)},
+        gaps AS (
+            SELECT doc_id, coalesce(lag(e) OVER w, 0) AS s, s AS e FROM islands WINDOW w AS (PARTITION BY doc_id ORDER BY s)
+            UNION ALL SELECT doc_id, coalesce(max(islands.e), 0) AS s, any_value(n) AS e FROM doc LEFT JOIN islands USING (doc_id) GROUP BY doc_id
+        ), kept AS (
+            SELECT doc_id, string_agg(substr(hex(b), 2 * s + 1, 2 * (gaps.e - s)), '' ORDER BY s) AS h FROM gaps JOIN doc USING (doc_id) GROUP BY doc_id
+        ), per AS (SELECT doc_id, sum(e - s)::BIGINT AS removed, count(*) AS spans FROM islands GROUP BY doc_id),
+        words AS (
+            SELECT doc_id, sum(gap + size) OVER (PARTITION BY doc_id ORDER BY k) AS e, size FROM (
+                SELECT doc_id, unnest(range(len(w))) AS k, unnest([octet_length(encode(x)) FOR x IN w]) AS size, unnest([len(x) FOR x IN g[:len(w)]]) AS gap
+                FROM (SELECT doc_id, regexp_extract_all(t, '{word}') AS w, string_split_regex(t, '{word}') AS g FROM doc WHERE doc_id IN (SELECT doc_id FROM runs))
+            )
+        ), passages AS (
+            SELECT doc_id, count(*) AS passages FROM (
+                SELECT runs.doc_id, runs.s FROM runs JOIN words ON words.doc_id = runs.doc_id AND words.e - size >= runs.s AND words.e <= runs.e GROUP BY ALL HAVING count(*) >= {words}
+            ) GROUP BY doc_id
+        )
+        SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256, coalesce(passages, 0) AS n_passages
+        FROM doc JOIN kept USING (doc_id) LEFT JOIN per USING (doc_id) LEFT JOIN passages USING (doc_id)"""
+
+
 def _mixing_oracle(target: float = 0.98, repeats: float = 4.0, block: int = 200_000) -> str:
     def powered(e: str) -> str:
         return f"[x / list_sum([pow(y, {e}) FOR y IN shares]) FOR x IN [pow(y, {e}) FOR y IN shares]]"
@@ -213,25 +251,7 @@ ORACLE = {
         reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
         SELECT reach.a AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(reach.b) AS component_id, min(reach.b) = reach.a AS kept
         FROM reach LEFT JOIN size ON size.doc_id = reach.a GROUP BY reach.a""",
-    "op6_suffix_dedup": """
-        WITH doc AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
-        win AS (
-            SELECT doc_id, i, hash(b[i + 1:i + 400]) AS w FROM (SELECT doc_id, b, unnest(range(n - 399)) AS i FROM doc WHERE n >= 400)
-        ), again AS (SELECT doc_id, i FROM win WHERE w IN (SELECT w FROM win GROUP BY w HAVING count(*) > 1)),
-        islands AS (
-            SELECT doc_id, min(i) AS s, max(i) + 400 AS e FROM (
-                SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (
-                    SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM again
-                )
-            ) GROUP BY doc_id, g
-        ), gaps AS (
-            SELECT doc_id, coalesce(lag(e) OVER w, 0) AS s, s AS e FROM islands WINDOW w AS (PARTITION BY doc_id ORDER BY s)
-            UNION ALL SELECT doc_id, coalesce(max(islands.e), 0) AS s, any_value(n) AS e FROM doc LEFT JOIN islands USING (doc_id) GROUP BY doc_id
-        ), kept AS (
-            SELECT doc_id, string_agg(substr(hex(b), 2 * s + 1, 2 * (gaps.e - s)), '' ORDER BY s) AS h FROM gaps JOIN doc USING (doc_id) GROUP BY doc_id
-        ), per AS (SELECT doc_id, sum(e - s)::BIGINT AS removed, count(*) AS spans FROM islands GROUP BY doc_id)
-        SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256
-        FROM doc JOIN kept USING (doc_id) LEFT JOIN per USING (doc_id)""",
+    "op6_suffix_dedup": _repeats_oracle(),
     "op8_fingerprint": _fingerprint_oracle(),
     "op9_pii": _pii_oracle(),
     "op4_line_dedup": f"""

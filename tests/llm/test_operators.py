@@ -239,12 +239,42 @@ def repeat_rows(rng):
     return rows + [(500, "ab" * 200), (501, "a" * 300), (502, rows[0][1]), (503, "z" + "a" * 90)]
 
 
-@pytest.mark.parametrize("group", [512, 6])
+@pytest.mark.parametrize("group", [512, 6, 2])
 def test_repeats_equal_brute_force(spark, monkeypatch, group):
-    monkeypatch.setattr(suffix_dedup, "GROUP", group)  # small: groups are halved
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)  # small: groups are dealt out
     rows = repeat_rows(random.Random(11))
-    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=64)
-    assert {r["doc_id"]: bytes(r["kept"]) for r in got.collect()} == brute_repeats(rows, 64)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for passage in (64, 80):
+        got = suffix_dedup.remove_repeats(docs, length=80, passage=passage, passage_words=12).collect()
+        assert {r["doc_id"]: bytes(r["kept"]) for r in got} == brute_repeats(rows, 80)
+        assert {r["doc_id"]: r["passages"] for r in got} == brute_passages(rows, passage, 12)
+
+
+def brute_passages(rows, passage, n_words):
+    import re
+
+    seen = {}
+    for k, t in rows:
+        b = t.encode()
+        for i in range(len(b) - passage + 1):
+            seen.setdefault(b[i : i + passage], []).append((k, i))
+    covered = {k: set() for k, _ in rows}
+    for places in seen.values():
+        if len(places) > 1:
+            for k, i in places:
+                covered[k].update(range(i, i + passage))
+    out = {}
+    for k, t in rows:
+        runs = [[x, x + 1] for x in sorted(covered[k])]
+        joined = []
+        for s, e in runs:
+            if joined and joined[-1][1] == s:
+                joined[-1][1] = e
+            else:
+                joined.append([s, e])
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t.encode())]
+        out[k] = [r for r in joined if sum(r[0] <= s and e <= r[1] for s, e in at) >= n_words]
+    return out
 
 
 @pytest.mark.parametrize("segment", [7, 100, 777])
