@@ -9,13 +9,14 @@ may exceed `max_repeats` times its tokens). Where even the shares themselves
 exceed the limit the budget is cut to what they allow.
 
 Realisation. Documents are hashed into blocks of about `block_tokens` tokens of
-their source (larger ones where that would be more than MOST_BLOCKS). A source's quota is so many whole passes over its blocks and a
-part of another; each pass is its own permutation of the blocks, and documents
-are permuted within their block. The last pass ends within a block, at the last
-document that fits the quota, so at most one document's tokens are missing from
-each source. Running totals are taken over blocks, and over documents only
-within the one block where a source ends, so a source that holds a third of
-all rows is no task of its own.
+their source, however many that gives. A source's quota is so many whole passes
+over its blocks and a part of another; each pass is its own permutation of the
+blocks, and documents are permuted within their block. The last pass ends within
+a block, at the last document that fits the quota, so at most one document's
+tokens are missing from each source. Running totals are taken over lots (as many
+as the root of the number of blocks), over the blocks within a lot, and over
+documents only within the one block where a source ends, so a source that holds
+a third of all rows is no task of its own.
 
 Defined results: a null source is a source of its own; null and empty texts have
 no tokens and come with every pass that their block is in; repeated rows are
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Bisection steps; documents a block has at most, on average, where texts are short; blocks that a source has at most.
-STEPS, BLOCK_DOCS, MOST_BLOCKS = 50, 1000, 10_000
+#: Bisection steps; documents a block has at most, on average, where texts are short.
+STEPS, BLOCK_DOCS = 50, 1000
 
 
 def n_tokens(text: Column) -> Column:
@@ -40,10 +41,16 @@ def n_tokens(text: Column) -> Column:
     return F.when(F.length(inner) > 0, F.size(F.split(inner, "[ \\t-\\r]+"))).otherwise(0).cast("long")
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), the value being computed once: within a lambda, what stands outside would be computed again for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _powered(shares: Column, exponent: Column) -> Column:
     """Normalised powers of positive shares; a share of 0 stays 0."""
     raised = F.transform(shares, lambda p: F.when(p > 0, F.pow(p, exponent)).otherwise(0.0))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, y: a + y))
+    whole = _let(raised, lambda r: F.struct(r.alias("r"), F.aggregate(r, F.lit(0.0), lambda a, y: a + y).alias("sum")))
+    return _let(whole, lambda s: F.transform(s["r"], lambda x: x / s["sum"]))
 
 
 def _entropy(weights: Column) -> Column:
@@ -56,8 +63,7 @@ def _bisect(enough) -> Column:
 
     def halve(s: Column, _: Column) -> Column:
         middle = (s["lo"] + s["hi"]) / 2
-        ok = enough(middle)
-        return F.struct(F.when(ok, s["lo"]).otherwise(middle).alias("lo"), F.when(ok, middle).otherwise(s["hi"]).alias("hi"))
+        return _let(enough(middle), lambda ok: F.struct(F.when(ok, s["lo"]).otherwise(middle).alias("lo"), F.when(ok, middle).otherwise(s["hi"]).alias("hi")))
 
     return F.when(enough(F.lit(0.0)), 0.0).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve, lambda s: s["hi"]))
 
@@ -74,9 +80,11 @@ def weights(sources: DataFrame, budget: float | None = None, target_entropy: flo
     one = one.withColumn("shares", F.transform(tokens, lambda x: x / F.col("total"))).withColumn("budget", F.least(F.lit(budget) if budget else F.col("total"), F.col("total") * max_repeats))
     shares = F.col("shares")
 
+    one = one.withColumn("tokens", tokens)
+
     def within(exponent: Column) -> Column:
         """No source repeats more often than allowed."""
-        pairs = F.arrays_zip(_powered(shares, exponent).alias("w"), tokens.alias("t"))
+        pairs = F.arrays_zip(_powered(shares, exponent).alias("w"), F.col("tokens").alias("t"))
         return F.forall(pairs, lambda x: x["w"] * F.col("budget") <= x["t"] * max_repeats + 1e-6)
 
     one = one.withColumn("least", _bisect(within))
@@ -107,7 +115,7 @@ def mix(
     rows = stored(rows.withColumn("source_key", key), "mix-rows")  # texts are read once; from here on rows are counts
     totals = stored(rows.groupBy("source_key").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "mix-totals")
     quotas = weights(totals.select(F.col("source_key").alias("source"), "tokens"), budget, target_entropy, max_repeats)
-    n_blocks = F.least(F.lit(MOST_BLOCKS), F.ceil(F.greatest(F.col("tokens") / block_tokens, F.col("docs") / BLOCK_DOCS, F.lit(1.0))))
+    n_blocks = F.ceil(F.greatest(F.col("tokens") / block_tokens, F.col("docs") / BLOCK_DOCS, F.lit(1.0)))
     quotas = quotas.join(totals.select(F.col("source_key").alias("source"), "docs"), "source").select(F.col("source").alias("q_source"), "tokens", "quota", n_blocks.alias("n_blocks"))
     quotas = stored(quotas, "mix-quotas")
     if quotas.count() <= max_sources:  # a row a source: broadcast while they are so few, else AQE splits the hot ones
@@ -116,13 +124,18 @@ def mix(
     rows = rows.withColumn("block", F.conv(F.substring(_digest(seed, "block", F.col("doc_id"), F.col("text_hash")), 1, 12), 16, 10).cast("long") % F.col("n_blocks")).drop("n_blocks")
 
     blocks = rows.groupBy("source_key", "block").agg(F.sum("n_tokens").alias("block_sum"))
-    passes = quotas.select("q_source", "quota", "tokens", F.explode(F.sequence(F.lit(0), F.floor(F.col("quota") / F.greatest("tokens", F.lit(1.0))).cast("int"))).alias("epoch"))
+    passes = quotas.select("q_source", "quota", "tokens", F.ceil(F.sqrt("n_blocks")).alias("n_lots"), F.explode(F.sequence(F.lit(0), F.floor(F.col("quota") / F.greatest("tokens", F.lit(1.0))).cast("int"))).alias("epoch"))
     turns = blocks.join(passes, F.col("source_key") == F.col("q_source")).drop("q_source")
     turns = turns.withColumn("turn", _digest(seed, "turn", F.col("source_key"), F.col("epoch"), F.col("block")))
     left = F.col("quota") - F.col("epoch") * F.col("tokens")  # tokens of this pass and those after it
     turns = turns.withColumn("left", left).where((F.col("left") > 0) | (F.col("epoch") == 0))
-    before = F.sum("block_sum").over(W.partitionBy("source_key", "epoch").orderBy("turn", "block").rowsBetween(W.unboundedPreceding, -1))
-    turns = turns.withColumn("before", F.coalesce(before, F.lit(0)))
+    lot = F.floor(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long") * F.col("n_lots") / 2.0**32)  # lots follow each other as turns do
+    turns = turns.withColumn("lot", lot)
+    lots = turns.groupBy("source_key", "epoch", "lot").agg(F.sum("block_sum").alias("lot_sum"))
+    earlier = F.sum("lot_sum").over(W.partitionBy("source_key", "epoch").orderBy("lot").rowsBetween(W.unboundedPreceding, -1))
+    lots = lots.select("source_key", "epoch", "lot", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    before = F.sum("block_sum").over(W.partitionBy("source_key", "epoch", "lot").orderBy("turn", "block").rowsBetween(W.unboundedPreceding, -1))
+    turns = turns.withColumn("before", F.coalesce(before, F.lit(0))).join(lots, ["source_key", "epoch", "lot"]).withColumn("before", F.col("before") + F.col("earlier"))
     # a whole pass takes every block; in the last one blocks go in while they fit, and the block that doesn't is cut
     turns = turns.withColumn("room", F.when(F.col("left") >= F.col("tokens"), F.col("block_sum") + 1.0).otherwise(F.col("left") - F.col("before"))).where("room > 0")
     turns = turns.select(F.col("source_key").alias("t_source"), F.col("block").alias("t_block"), "epoch", "turn", "room", (F.col("room") < F.col("block_sum")).alias("cut"))
