@@ -1,13 +1,19 @@
 """Merkle trees over paragraphs and sections, in column expressions only.
 
-A paragraph is a line; its leaf is the SHA-256 of its text. A section is
-`section` paragraphs in a row; its node hashes their leaves; the root hashes
-the sections. Equal roots: equal texts. Where roots differ, only branches that
-differ are followed (``changed_paragraphs``). So that likeness doesn't hang on
-whole paragraphs, each also has hashes of its blocks of `block` code points;
-two fingerprints' likeness is 1 for equal roots, else the larger of two parts: the
-Dice coefficient of their distinct block hashes (blocks may have moved) and the
-part of places with equal hashes (blocks may repeat).
+A paragraph is a line; its leaf is the SHA-256 of its text. A section is a run of
+paragraphs; its node hashes their leaves; the root hashes the sections. A text
+has at most `SECTIONS` sections: of `SECTION` paragraphs each, or where that would
+be too many, of twice, four times, ... as many. Equal roots: equal texts.
+
+The fingerprint holds the root and for each section its node, its number of
+blocks (up to `BLOCK` code points within a paragraph) and a sketch: the `SKETCH`
+smallest hashes of its distinct blocks. So its size is bounded, however long the
+text is. Two fingerprints are compared from the root downwards (``likeness``):
+equal roots are 1; equal sections count whole; of those that differ the sketches
+estimate how much they share. As what moved to another section would be lost
+that way, all sections' sketches together give a second estimate, and the larger
+one holds. ``changed_sections`` gives the branches in which two fingerprints
+differ, ``changed_paragraphs`` follows them down to the paragraphs.
 
 Defined results: null is the empty text; two empty texts are equal; repeated
 rows get the same fingerprint; in ``edited_with_next`` ties of the id are
@@ -20,7 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SECTION, BLOCK = 8, 16
+SECTION, SECTIONS, BLOCK, SKETCH = 8, 16, 16, 32
+#: Documents of a range of ids, on average; ranges at most (their bounds are all that comes to the driver).
+RANGE_DOCS, MOST_RANGES = 128, 16_384
+
+
+def let(value: Column, use) -> Column:
+    """use(value), the value being computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def paragraphs(text: Column) -> Column:
@@ -31,65 +44,125 @@ def leaves(text: Column) -> Column:
     return F.transform(paragraphs(text), lambda p: F.sha2(p, 256))
 
 
-def sections(leaf: Column, section: int = SECTION) -> Column:
-    starts = F.sequence(F.lit(0), F.floor((F.size(leaf) - 1) / section).cast("int"))
-    return F.transform(starts, lambda k: F.sha2(F.array_join(F.slice(leaf, k * section + 1, F.lit(section)), ""), 256))
+def section_size(n: Column, section: int = SECTION, most: int = SECTIONS) -> Column:
+    """Paragraphs of a section where a text has n: section * 2**k with the smallest k that gives no more than `most` sections."""
+    return (F.pow(2.0, F.greatest(F.ceil(F.log2(n / (1.0 * section * most))), F.lit(0))) * section).cast("int")
+
+
+def _slices(rows: Column, size: Column) -> Column:
+    """An array cut into runs of `size`."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / size).cast("int")), lambda k: F.slice(rows, k * size + 1, size))
+
+
+def sections(leaf: Column, section: int = SECTION, most: int = SECTIONS) -> Column:
+    return let(leaf, lambda x: F.transform(_slices(x, section_size(F.size(x), section, most)), lambda s: F.sha2(F.array_join(s, ""), 256)))
 
 
 def root(section: Column) -> Column:
     return F.sha2(F.array_join(section, ""), 256)
 
 
-def blocks(text: Column, block: int = BLOCK) -> Column:
-    """The first 24 bits of the MD5 of each block, in hexadecimal, in order; blocks end with their paragraph."""
-    return F.transform(F.regexp_extract_all(text, F.lit(f"[^\\n]{{1,{block}}}"), F.lit(0)), lambda b: F.substring(F.md5(b), 1, 6))
+def least(hashes: Column, n: int = SKETCH) -> Column:
+    """The n smallest of distinct hashes."""
+    return F.slice(F.array_sort(F.array_distinct(hashes)), 1, n)
+
+
+def tree(text: Column, section: int = SECTION, most: int = SECTIONS, block: int = BLOCK, sketch: int = SKETCH) -> Column:
+    """struct<root, sections: array<struct<node, n, sketch>>> of a text."""
+
+    def branch(paras: Column) -> Column:
+        blocks = F.flatten(F.transform(paras, lambda p: F.regexp_extract_all(p, F.lit(f"[^\\n]{{1,{block}}}"), F.lit(0))))
+        node = F.sha2(F.array_join(F.transform(paras, lambda p: F.sha2(p, 256)), ""), 256)
+        return let(blocks, lambda b: F.struct(node.alias("node"), F.size(b).alias("n"), least(F.transform(b, lambda x: F.substring(F.md5(x), 1, 6)), sketch).alias("sketch")))
+
+    found = let(paragraphs(text), lambda p: F.transform(_slices(p, section_size(F.size(p), section, most)), branch))
+    return let(found, lambda s: F.struct(root(F.transform(s, lambda x: x["node"])).alias("root"), s.alias("sections")))
 
 
-def fingerprint(root_hash: Column, block_hashes: Column) -> Column:
-    return F.concat(root_hash, F.lit(":"), F.array_join(block_hashes, ""))
+def fingerprint(tree_: Column) -> Column:
+    """root:node-n-sketch,... with 16 digits of each node."""
+    parts = F.transform(tree_["sections"], lambda s: F.concat_ws("-", F.substring(s["node"], 1, 16), s["n"].cast("string"), F.array_join(s["sketch"], "")))
+    return F.concat(tree_["root"], F.lit(":"), F.array_join(parts, ","))
 
 
-def likeness(root_a: Column, blocks_a: Column, root_b: Column, blocks_b: Column) -> Column:
-    common, total = F.size(F.array_intersect(blocks_a, blocks_b)), F.size(F.array_distinct(blocks_a)) + F.size(F.array_distinct(blocks_b))
-    placed = F.size(F.filter(F.arrays_zip(blocks_a.alias("a"), blocks_b.alias("b")), lambda x: x["a"] == x["b"]))
-    longest = F.greatest(F.size(blocks_a), F.size(blocks_b), F.lit(1))
-    return F.when(root_a == root_b, 1.0).otherwise(F.greatest(2.0 * common / F.greatest(total, F.lit(1)), placed / longest))
+def shared_part(a: Column, b: Column, sketch: int = SKETCH) -> Column:
+    """The sketches' estimate of the part of distinct blocks that both have; 0 where there are none."""
+    both = F.array_intersect(a, b)
+    return let(least(F.concat(a, b), sketch), lambda u: F.size(F.array_intersect(u, both)) / F.greatest(F.size(u), F.lit(1)))
+
+
+def likeness(a: Column, b: Column, sketch: int = SKETCH) -> Column:
+    """0 to 1, from two trees: down the branches that differ, or by all sections' sketches together."""
+    none = F.array().cast("array<string>")
+
+    def weight(x: Column) -> Column:
+        n, m = F.coalesce(x["a"]["n"], F.lit(0)), F.coalesce(x["b"]["n"], F.lit(0))
+        part = F.when(x["a"]["node"] == x["b"]["node"], 1.0).otherwise(shared_part(F.coalesce(x["a"]["sketch"], none), F.coalesce(x["b"]["sketch"], none), sketch))
+        return let(F.greatest(n, m), lambda w: F.struct(w.alias("n"), (w * part).alias("same")))
+
+    pairs = F.transform(F.arrays_zip(a["sections"].alias("a"), b["sections"].alias("b")), weight)
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("same"))
+    down = F.aggregate(pairs, start, lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), (s["same"] + x["same"]).alias("same")), lambda s: s["same"] / F.greatest(s["n"], F.lit(1)))
+    whole = [least(F.flatten(F.transform(t["sections"], lambda s: s["sketch"])), sketch) for t in (a, b)]
+    return F.when(a["root"] == b["root"], 1.0).otherwise(F.greatest(down, shared_part(*whole, sketch)))
+
+
+def changed_sections(a: Column, b: Column) -> Column:
+    """Numbers of the sections in which two trees differ by place."""
+    pairs = F.arrays_zip(a["sections"].alias("a"), b["sections"].alias("b"))
+    marked = F.transform(pairs, lambda x, k: F.when(~x["a"]["node"].eqNullSafe(x["b"]["node"]), k))
+    return F.filter(marked, lambda k: k.isNotNull())
 
 
 def changed_paragraphs(leaf_a: Column, leaf_b: Column, section: int = SECTION) -> Column:
     """Numbers of the paragraphs that differ by place; a section whose node is equal isn't looked into."""
-    pairs = F.arrays_zip(sections(leaf_a, section).alias("a"), sections(leaf_b, section).alias("b"))
+    pairs = F.arrays_zip(sections(leaf_a, section, 1 << 30).alias("a"), sections(leaf_b, section, 1 << 30).alias("b"))
     differing = F.filter(F.transform(pairs, lambda x, k: F.struct(k.alias("k"), (~x["a"].eqNullSafe(x["b"])).alias("d"))), lambda x: x["d"])
     inside = F.flatten(F.transform(differing, lambda x: F.sequence(x["k"] * section, x["k"] * section + (section - 1))))
     return F.filter(inside, lambda p: ~F.get(leaf_a, p).eqNullSafe(F.get(leaf_b, p)))
 
 
-def trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", section: int = SECTION, block: int = BLOCK) -> DataFrame:
-    """doc_id, root, sections, leaves, blocks and fingerprint of every row."""
+def trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, tree and fingerprint of every row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    out = docs.select("doc_id", leaves(F.col("text")).alias("leaves"), blocks(F.col("text"), block).alias("blocks"))
-    out = out.withColumn("sections", sections(F.col("leaves"), section)).withColumn("root", root(F.col("sections")))
-    return out.withColumn("fingerprint", fingerprint(F.col("root"), F.col("blocks")))
+    return docs.select("doc_id", tree(F.col("text"), **options).alias("tree")).withColumn("fingerprint", fingerprint(F.col("tree")))
+
+
+def _ranges(docs: DataFrame, docs_each: int = RANGE_DOCS) -> Column:
+    """The number of the range in which an id lies; ranges hold about as many documents each, however ids are spread. Null ids lie in the first."""
+    n = docs.count()
+    wanted = min(MOST_RANGES, n // docs_each)
+    bounds: list[int] = []
+    if wanted > 1:
+        cuts = docs.agg(F.percentile_approx("id", [k / wanted for k in range(1, wanted)], 10 * wanted).alias("b")).first()["b"]
+        bounds = sorted(set(cuts or ()))
+    if not bounds:
+        return F.lit(0)
+    # the number of bounds that aren't above the id, by bisection
+    table = F.array(*map(F.lit, bounds)) if len(bounds) < 100 else F.expr(f"from_json('{bounds}', 'array<bigint>')")
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        return let(F.floor((s["lo"] + s["hi"]) / 2).cast("int"), lambda m: F.when(s["lo"] >= s["hi"], s).when(F.get(table, m) <= F.col("id"), F.struct((m + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), m.alias("hi"))))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halve, lambda s: s["lo"])
+    return F.when(F.col("id").isNull(), 0).otherwise(found)
 
 
-def _with_next(docs: DataFrame, width_bits: int = 7, upper_bits: int = 10) -> DataFrame:
+def _with_next(docs: DataFrame, docs_each: int = RANGE_DOCS) -> DataFrame:
     """docs (id, text) with next_text, the text of the next lower id, after the lowest the highest.
 
-    Ids are dealt into ranges of 2**width_bits, so that no task sorts more than a range's documents. Only the last
-    document of each range has to look into the next one, found over the ranges alone, again by ranges of ranges.
+    Ids are dealt into ranges, so that no task sorts more than a range's documents. Only the last document of a range
+    has to look into the next one, found over the ranges alone: MOST_RANGES rows at most.
     """
-    docs = docs.withColumn("range", F.shiftright(F.coalesce("id", F.lit(-(2**63))), width_bits))
+    docs = docs.withColumn("range", _ranges(docs, docs_each))
     order = W.partitionBy("range").orderBy(F.col("id").desc_nulls_last(), F.xxhash64("text"))
     inner = docs.withColumn("next_text", F.lead("text").over(order))
     first = docs.withColumn("place", F.row_number().over(order)).where("place = 1").select(F.col("range").alias("first_range"), F.col("text").alias("first_text"))
 
-    ranges = docs.select("range").distinct().withColumn("upper", F.shiftright("range", upper_bits))
-    step = ranges.withColumn("below", F.lead("range").over(W.partitionBy("upper").orderBy(F.col("range").desc())))
-    tops = ranges.groupBy("upper").agg(F.max("range").alias("top"))
-    whole = W.orderBy(F.col("upper").desc())
-    tops = tops.withColumn("next_top", F.coalesce(F.lead("top").over(whole), F.first("top").over(whole)))
-    step = step.join(tops, "upper").select(F.col("range").alias("from_range"), F.coalesce("below", "next_top").alias("to_range"))
-    after = step.join(first, step["to_range"] == first["first_range"]).select("from_range", "first_text")
+    whole = W.orderBy(F.col("range").desc())
+    step = docs.select("range").distinct().withColumn("to_range", F.coalesce(F.lead("range").over(whole), F.max("range").over(W.partitionBy(F.lit(0)))))
+    after = step.select(F.col("range").alias("from_range"), "to_range").join(first, F.col("to_range") == F.col("first_range")).select("from_range", "first_text")
 
     inside = inner.where(F.col("next_text").isNotNull()).select("id", "text", "next_text")
     last = inner.where(F.col("next_text").isNull()).join(after, F.col("range") == F.col("from_range")).select("id", "text", F.col("first_text").alias("next_text"))
@@ -100,24 +173,22 @@ def edited_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Every document's fingerprint beside that of its edited text and of the next document (descending id).
 
     The edited text has its last third (rounded down) replaced by as much of the next document's beginning.
-    Returns doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited and near_next.
+    Returns doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next and changed (numbers of the sections that the edit changed).
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - third), F.substr("next_text", F.lit(1), third))
     out = _with_next(docs).select(F.col("id").alias("doc_id"), n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
-    for name in ("text", "edited", "next_text"):
-        out = out.withColumn(f"{name}_blocks", blocks(F.col(name))).withColumn(f"{name}_leaves", leaves(F.col(name)))
-    for name in ("text", "edited", "next_text"):
-        out = out.withColumn(f"{name}_root", root(sections(F.col(f"{name}_leaves"))))
-    parts = [F.col(c) for c in ("text_root", "text_blocks", "edited_root", "edited_blocks", "next_text_root", "next_text_blocks")]
+    out = out.select("doc_id", "n_chars", "edited", *(tree(F.col(c)).alias(f"{c}_tree") for c in ("text", "edited", "next_text")))
+    own, new, following = (F.col(f"{c}_tree") for c in ("text", "edited", "next_text"))
     return out.select(
         "doc_id",
         "n_chars",
         "edited",
-        fingerprint(*parts[0:2]).alias("fingerprint"),
-        fingerprint(*parts[2:4]).alias("edited_fingerprint"),
-        likeness(*parts[0:2], *parts[2:4]).alias("near_edited"),
-        likeness(*parts[0:2], *parts[4:6]).alias("near_next"),
+        fingerprint(own).alias("fingerprint"),
+        fingerprint(new).alias("edited_fingerprint"),
+        likeness(own, new).alias("near_edited"),
+        likeness(own, following).alias("near_next"),
+        changed_sections(own, new).alias("changed"),
     )

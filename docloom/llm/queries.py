@@ -62,7 +62,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprint.edited_with_next(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", F.round("near_edited", 6).alias("near_edited"), F.round("near_next", 6).alias("near_next"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", F.round("near_edited", 6).alias("near_edited"), F.round("near_next", 6).alias("near_next"), F.size("changed").cast("long").alias("n_changed"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,22 +131,41 @@ def _pii_oracle() -> str:
         FROM docs LEFT JOIN per USING (doc_id)"""
 
 
-def _fingerprint_oracle() -> str:
+def _fingerprint_oracle(section: int = 8, most: int = 16, block: int = 16, sketch: int = 32) -> str:
     def tree(t: str) -> str:
-        leaf = f"[sha256(p) FOR p IN string_split({t}, chr(10))]"
-        section = f"[sha256(array_to_string(({leaf})[k * 8 + 1:k * 8 + 8], '')) FOR k IN range(0, (len({leaf}) - 1) // 8 + 1)]"
-        return f"sha256(array_to_string({section}, '')) AS {t}_root, [md5(b)[1:6] FOR b IN regexp_extract_all({t}, '[^\\n]{{1,16}}')] AS {t}_blocks"
+        paras = f"string_split({t}, chr(10))"
+        size = f"({section} * pow(2, greatest(ceil(log2(len({paras}) / {section * most}.0)), 0)))::INT"
+        cut = f"[({paras})[k * {size} + 1:(k + 1) * {size}] FOR k IN range(0, (len({paras}) - 1) // {size} + 1)]"
+        node = "sha256(array_to_string([sha256(p) FOR p IN s], ''))"
+        blocks = f"flatten([regexp_extract_all(p, '[^\\n]{{1,{block}}}') FOR p IN s])"
+        parts = f"[{{'node': {node}, 'n': len({blocks}), 'sketch': list_sort(list_distinct([md5(b)[1:6] FOR b IN {blocks}]))[:{sketch}]}} FOR s IN {cut}]"
+        return f"{parts} AS {t}_s, sha256(array_to_string([{node} FOR s IN {cut}], '')) AS {t}_root"
+
+    def union(a: str, b: str) -> str:
+        return f"list_sort(list_distinct(list_concat({a}, {b})))[:{sketch}]"
+
+    def shared(a: str, b: str) -> str:
+        return f"(len(list_intersect({union(a, b)}, list_intersect({a}, {b})))::DOUBLE / greatest(len({union(a, b)}), 1))"
 
     def near(b: str) -> str:
-        return f"CASE WHEN t_root = {b}_root THEN 1.0::DOUBLE ELSE round(greatest(2.0::DOUBLE * len(list_intersect(t_blocks, {b}_blocks)) / greatest(len(list_distinct(t_blocks)) + len(list_distinct({b}_blocks)), 1), len(list_filter(list_zip(t_blocks, {b}_blocks), lambda x: x[1] = x[2]))::DOUBLE / greatest(len(t_blocks), len({b}_blocks), 1)), 6) END"
+        x, y, places = "t_s[k]", f"{b}_s[k]", f"range(1, greatest(len(t_s), len({b}_s)) + 1)"
+        n = f"greatest(coalesce({x}.n, 0), coalesce({y}.n, 0))"
+        part = shared(f"coalesce({x}.sketch, []::VARCHAR[])", f"coalesce({y}.sketch, []::VARCHAR[])")
+        down = f"list_sum([{n} * CASE WHEN {x}.node = {y}.node THEN 1.0::DOUBLE ELSE {part} END FOR k IN {places}]) / greatest(list_sum([{n} FOR k IN {places}]), 1)"
+        all_a, all_b = (f"list_sort(list_distinct(flatten([y.sketch FOR y IN {t}_s])))[:{sketch}]" for t in ("t", b))
+        return f"CASE WHEN t_root = {b}_root THEN 1.0::DOUBLE ELSE round(greatest({down}, {shared(all_a, all_b)}), 6) END"
+
+    def shown(t: str) -> str:
+        return f"{t}_root || ':' || array_to_string([x.node[1:16] || '-' || x.n || '-' || array_to_string(x.sketch, '') FOR x IN {t}_s], ',')"
 
     return f"""
         WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         follow AS (SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS n FROM docs WINDOW w AS (ORDER BY doc_id DESC)),
         edit AS (SELECT *, t[:len(t) - len(t) // 3] || n[:len(t) // 3] AS e FROM follow),
         trees AS (SELECT *, {tree("t")}, {tree("e")}, {tree("n")} FROM edit)
-        SELECT doc_id, len(t)::BIGINT AS n_chars, sha256(e) AS edited_sha256, t_root || ':' || array_to_string(t_blocks, '') AS fingerprint,
-               e_root || ':' || array_to_string(e_blocks, '') AS edited_fingerprint, {near("e")} AS near_edited, {near("n")} AS near_next
+        SELECT doc_id, len(t)::BIGINT AS n_chars, sha256(e) AS edited_sha256, {shown("t")} AS fingerprint,
+               {shown("e")} AS edited_fingerprint, {near("e")} AS near_edited, {near("n")} AS near_next,
+               len([1 FOR k IN range(1, greatest(len(t_s), len(e_s)) + 1) IF t_s[k].node IS DISTINCT FROM e_s[k].node])::BIGINT AS n_changed
         FROM trees"""
 
 
@@ -211,7 +230,7 @@ def _mixing_oracle(target: float = 0.98, repeats: float = 4.0, block: int = 200_
         arrays AS (SELECT list(s ORDER BY s) AS names, list(t ORDER BY s) AS tokens, sum(t) AS total, list(t / all_t ORDER BY s) AS shares FROM (SELECT *, sum(t) OVER () AS all_t FROM src) WHERE t > 0),
         {", ".join(tables)}, quota AS (
             SELECT unnest(names) AS s, unnest([w * total FOR w IN {powered("e")}]) AS q FROM arrays, (SELECT greatest(a.e, b.e) AS e FROM least a, even b)
-        ), plan AS (SELECT src.s, t, q, least(10000, ceil(greatest(t / {block}, docs / 1000, 1)))::BIGINT AS nb FROM src JOIN quota USING (s)),
+        ), plan AS (SELECT src.s, t, q, ceil(greatest(t / {block}, docs / 1000, 1))::BIGINT AS nb FROM src JOIN quota USING (s)),
         row AS (SELECT doc.*, ('0x' || md5('0:block:' || coalesce(doc_id::VARCHAR, '') || ':' || h)[1:12])::BIGINT % nb AS b FROM doc JOIN plan USING (s)),
         turn AS (
             SELECT s, b, epoch, t, q - epoch * t AS have, bs, md5('0:turn:' || s || ':' || epoch || ':' || b) AS turn

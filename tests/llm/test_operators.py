@@ -337,11 +337,36 @@ def test_branches_locate_edits(spark):
     assert row["x"] == [17, 40]
 
 
-def test_next_document_over_ranges(spark):
-    ids = [5, 900, 901, 70_000, 70_001, 140_000, 3_000_000]
+@pytest.mark.parametrize("docs_each", [1, 2, 3, 100])
+def test_next_document_over_ranges(spark, docs_each):
+    rng = random.Random(docs_each)
+    ids = sorted({5, 900, 901, 70_000, 70_001, 140_000, 3_000_000, *(rng.randrange(-(2**62), 2**62) for _ in range(300))})
     docs = spark.createDataFrame([(k, f"text{k}") for k in ids], "id long, text string")
-    got = {r["id"]: r["next_text"] for r in fingerprint._with_next(docs).collect()}
-    assert got == {k: f"text{([*reversed(ids)] + [ids[-1]])[[*reversed(ids)].index(k) + 1]}" for k in ids}
+    got = {r["id"]: r["next_text"] for r in fingerprint._with_next(docs, docs_each).collect()}
+    assert got == {k: f"text{ids[n - 1]}" for n, k in enumerate(ids)}
+
+
+def test_ranges_are_even_however_ids_are_spread(spark):
+    rng = random.Random(3)
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(2000)] + list(range(2000))
+    docs = spark.createDataFrame([(k,) for k in ids], "id long")
+    sizes = [r["count"] for r in docs.withColumn("range", fingerprint._ranges(docs, 100)).groupBy("range").count().collect()]
+    assert len(sizes) == 40 and max(sizes) <= 150
+
+
+def test_fingerprints_are_bounded_and_compared_down_the_tree(spark):
+    rng = random.Random(5)
+    long = "\n".join(words(rng, 12, 5000) for _ in range(4000))
+    lines = long.split("\n")
+    edited = "\n".join([*lines[:2000], "changed", *lines[2001:]])
+    df = spark.createDataFrame([(1, long), (2, edited), (3, words(rng, 3000, 5000)), (4, None), (5, ""), (6, long)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprint.trees(df).collect()}
+    assert all(len(r["fingerprint"]) <= 64 + 16 * (16 + 12 + 32 * 6) for r in got.values())
+    assert got[1]["fingerprint"] == got[6]["fingerprint"] != got[2]["fingerprint"] and got[4]["fingerprint"] == got[5]["fingerprint"]
+    t = fingerprint.trees(df)
+    pairs = t.alias("a").crossJoin(t.alias("b")).select("a.doc_id", F.col("b.doc_id").alias("other"), fingerprint.likeness(F.col("a.tree"), F.col("b.tree")).alias("x"), fingerprint.changed_sections(F.col("a.tree"), F.col("b.tree")).alias("c"))
+    near = {(r["doc_id"], r["other"]): (r["x"], r["c"]) for r in pairs.collect()}
+    assert near[1, 6] == (1.0, []) and near[1, 2][1] == [7] and near[1, 2][0] > 0.97 and near[1, 3][0] < 0.3 and near[4, 5][0] == 1.0
 
 
 # --- personal data
