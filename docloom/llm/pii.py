@@ -5,8 +5,13 @@ between the matches of a pattern (``split``) and the matches themselves
 (``regexp_extract_all``) give every match's place in code points.
 
 Kinds `email`, `ip`, `card` and `phone` are the base: what passes its test is
-always kept, whatever its score. `iban` (mod-97) and `ssn` (needs a context
-word) are added where their score reaches `min_score`.
+always kept, whatever its score. `iban` (mod-97; unbroken or in groups of four),
+`ssn` (needs a context word on either side) and `secret` (a name such as token,
+a sign and a value with a digit) are added where their score reaches `min_score`.
+
+Places are running sums over the matches. As a fold copies what it has gathered
+at each step, sums are taken within runs of `CHUNK`, over the runs, and over runs
+of runs, so time stays linear in the number of matches.
 
 Defined results: a null or empty text has no spans; repeated rows each get the
 same result; any other columns of the input are ignored.
@@ -23,11 +28,14 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 # Added kinds.
-IBAN = r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"
+IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
+SECRET = r"(?i)(?:password|passwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)[\"']? ?[:=] ?[\"']?[A-Za-z0-9_./+=-]{16,}"
 
 _PART = "0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
-#: Context words looked for in the `reach` code points before a span, by kind.
+#: Values that one fold gathers.
+CHUNK = 64
+#: Context words looked for in the `reach` code points before and after a span, by kind.
 CONTEXT = {
     "email": "mail|contact|write",
     "ip": "ip|host|server|address",
@@ -35,9 +43,15 @@ CONTEXT = {
     "phone": "phone|call|tel|mobile",
     "iban": "iban|account|bank|konto|cuenta|compte",
     "ssn": "ssn|social|security",
+    "secret": "login|config|env|auth",
 }
 
 
+def let(value: Column, use) -> Column:
+    """use(value), the value being computed once: within a lambda, what stands outside would be computed again for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def luhn(digits: Column) -> Column:
     n = F.length(digits)
 
@@ -50,6 +64,10 @@ def luhn(digits: Column) -> Column:
 
 
 def mod97(iban: Column) -> Column:
+    return let(F.replace(iban, F.lit(" ")), _mod97)
+
+
+def _mod97(iban: Column) -> Column:
     turned = F.concat(F.substr(iban, F.lit(5)), F.substr(iban, F.lit(1), F.lit(4)))
 
     def add(rest: Column, k: Column) -> Column:
@@ -67,42 +85,83 @@ def _digits(match: Column) -> Column:
 KINDS = (
     ("email", EMAIL, "@", lambda m: F.lit(True), 0.8),
     ("ip", IP, ".", lambda m: m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"), 0.6),
-    ("card", CARD, "", lambda m: F.when(F.length(_digits(m)).between(14, 19), luhn(_digits(m))).otherwise(False), 0.7),
+    ("card", CARD, "", lambda m: F.when(F.length(m) < 14, False).otherwise(let(_digits(m), lambda d: F.when(F.length(d).between(14, 19), luhn(d)).otherwise(False))), 0.7),
     ("phone", PHONE, "+", lambda m: F.length(_digits(m)).between(10, 15), 0.5),
     ("iban", IBAN, "", mod97, 0.7),
     ("ssn", SSN, "-", lambda m: F.lit(True), 0.3),
+    ("secret", SECRET, "", lambda m: m.rlike("[0-9]"), 0.6),
 )
 BASE = 4
 
 
+def pieces(text: Column, pattern: str) -> Column:
+    """array<struct<g, m>>: what stands before each match, and the match; the last has the text's rest and no match."""
+    return F.arrays_zip(F.split(text, pattern).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+
+
+def _fold_sums(sizes: Column) -> Column:
+    """Of each value the sum of those before it, by one fold."""
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(sizes, first, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
+def sums_before(sizes: Column, levels: int = 3) -> Column:
+    """Of each value of an array<int> the sum of those before it."""
+    if not levels:
+        return _fold_sums(sizes)
+
+    def runs(values: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(CHUNK))
+        return F.transform(starts, lambda k: F.slice(values, k, F.lit(CHUNK)))
+
+    def summed(parts: Column) -> Column:
+        totals = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x))
+        both = F.arrays_zip(parts.alias("part"), sums_before(totals, levels - 1).alias("at"))
+        return F.flatten(F.transform(both, lambda z: F.transform(_fold_sums(z["part"]), lambda x: x + z["at"])))
+
+    return let(sizes, lambda values: let(runs(values), summed))
+
+
+def placed(cut: Column, test) -> Column:
+    """array<struct<k, start, end>> of the matches that pass the test: number, place in code points, end exclusive."""
+    sized = F.transform(cut, lambda x, k: F.struct(k.alias("k"), F.length(x["g"]).alias("gap"), F.coalesce(F.length(x["m"]), F.lit(0)).alias("n"), (x["m"].isNotNull() & test(x["m"])).alias("ok")))
+
+    def spans(rows: Column) -> Column:
+        zipped = F.arrays_zip(rows.alias("x"), sums_before(F.transform(rows, lambda x: x["gap"] + x["n"])).alias("at"))
+        found = F.filter(zipped, lambda z: z["x"]["ok"])
+        return F.transform(found, lambda z: F.struct(z["x"]["k"].alias("k"), (z["at"] + z["x"]["gap"]).alias("start"), (z["at"] + z["x"]["gap"] + z["x"]["n"]).alias("end")))
+
+    return let(sized, spans)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, m>> of every match, in code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(F.transform(F.split(text, pattern), F.length).alias("gap"), found.alias("m"))
-    empty = F.array().cast("array<struct<start:int,end:int,m:string>>")
+    return let(pieces(text, pattern), lambda cut: F.transform(placed(cut, lambda m: F.lit(True)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.get(cut, x["k"])["m"].alias("m"))))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("m"))
-        return F.struct((start + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])).otherwise(empty)
+def _around(cut: Column, k: Column, reach: int) -> Column:
+    """Up to `reach` code points on each side of match k, from the pieces nearest to it (so no text is counted through), with a space between."""
+    side = lambda n, name: F.coalesce(F.get(cut, k + n)[name], F.lit(""))
+    near = [F.get(F.transform(F.array(k - n), lambda at: F.when(at >= 0, F.concat(F.get(cut, at)["g"], F.get(cut, at)["m"]))), 0) for n in (4, 3, 2, 1)]
+    before = F.concat(*[F.coalesce(x, F.lit("")) for x in near], side(0, "g"))
+    after = F.concat(*[side(n, name) for n in (1, 2, 3, 4) for name in ("g", "m")])
+    return F.concat(F.right(before, F.lit(reach)), F.lit(" "), F.left(after, F.lit(reach)))
 
 
 def _of_kind(text: Column, rank: int, reach: int, min_score: float) -> Column:
     kind, pattern, sign, test, base = KINDS[rank]
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,score:double>>")
 
-    def full(x: Column) -> Column:
-        before = F.lower(F.substr(text, F.greatest(x["start"] - reach, F.lit(0)) + 1, F.least(x["start"], F.lit(reach))))
-        score = F.lit(base) + F.when(before.rlike(CONTEXT[kind]), 0.2).otherwise(0.0)
-        return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.round(score, 2).alias("score"))
+    def spans(cut: Column) -> Column:
+        def full(x: Column) -> Column:
+            score = F.lit(base) + F.when(F.lower(_around(cut, x["k"], reach)).rlike(CONTEXT[kind]), 0.2).otherwise(0.0)
+            return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.round(score, 2).alias("score"))
 
-    spans = F.transform(F.filter(matches(text, pattern), lambda x: test(x["m"])), full)
-    if rank >= BASE:
-        spans = F.filter(spans, lambda x: x["score"] >= min_score)
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,score:double>>")
-    possible = text.contains(sign) if sign else text.rlike("[0-9]")
-    return F.when(possible, spans).otherwise(none)
+        found = F.transform(placed(cut, test), full)
+        return F.filter(found, lambda x: x["score"] >= min_score) if rank >= BASE else found
+
+    possible = text.contains(sign) if sign else text.rlike("[=:]" if kind == "secret" else "[0-9]")
+    return F.when(possible, let(pieces(text, pattern), spans)).otherwise(none)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 40, min_score: float = 0.5) -> DataFrame:

@@ -69,7 +69,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
     counts = [F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind, *_ in pii.KINDS[: pii.BASE]]  # noqa: B023  called at once
     base = F.sha2(pii.listed(F.filter(spans, lambda x: x["rank"] < pii.BASE)), 256)
-    return pii.find(table(spark, sf_dir, "documents")).select("doc_id", *counts, base.alias("base_sha256"), pii.listed(spans).alias("spans"))
+    return pii.find(table(spark, sf_dir, "documents")).select("doc_id", *counts, base.alias("base_sha256"), pii.listed(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
 QUERIES = {
@@ -97,16 +97,17 @@ def _pii_oracle() -> str:
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
     twice = "(ascii(d[i]) - 48) * (CASE WHEN (len(d) - i) % 2 = 1 THEN 2 ELSE 1 END)"
     luhn = f"len(d) BETWEEN 14 AND 19 AND list_sum([CASE WHEN v > 9 THEN v - 9 ELSE v END FOR v IN [{twice} FOR i IN range(1, len(d) + 1)]]) % 10 = 0"
-    turned = "(m[5:] || m[:4])"
+    turned = "(replace(m, ' ', '')[5:] || m[:4])"
     step = f"CASE WHEN ascii({turned}[i]) < 58 THEN r * 10 + ascii({turned}[i]) - 48 ELSE r * 100 + ascii({turned}[i]) - 55 END % 97"
-    mod97 = f"list_reduce([0::BIGINT] || range(1, len(m) + 1), lambda r, i: {step}) = 1"
+    mod97 = f"list_reduce([0::BIGINT] || range(1, len({turned}) + 1), lambda r, i: {step}) = 1"
     kinds = (
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
         ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", rf"regexp_full_match(m, '{part}(\.{part}){{3}}')"),
         ("card", r"[0-9]([\x20-]?[0-9])+", luhn),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "len(d) BETWEEN 10 AND 15"),
         ("iban", pii.IBAN, mod97),
-        ("ssn", pii.SSN, f"regexp_matches(lower(t[greatest(s - 40, 0) + 1:s]), '{pii.CONTEXT['ssn']}')"),
+        ("ssn", pii.SSN, f"regexp_matches(lower(t[greatest(s - 40, 0) + 1:s] || ' ' || t[s + len(m) + 1:s + len(m) + 40]), '{pii.CONTEXT['ssn']}')"),
+        ("secret", pii.SECRET.replace("'", "''"), "regexp_matches(m, '[0-9]')"),
     )
     tables = []
     for rank, (kind, pattern, test) in enumerate(kinds):
@@ -123,11 +124,11 @@ def _pii_oracle() -> str:
         per AS (
             SELECT doc_id, {counts},
                    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 4) AS base,
-                   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
+                   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans, count(*) AS n_spans
             FROM spans GROUP BY doc_id
         )
         SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in kinds[:4])},
-               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_spans, 0) AS n_spans
         FROM docs LEFT JOIN per USING (doc_id)"""
 
 

@@ -373,13 +373,24 @@ def test_fingerprints_are_bounded_and_compared_down_the_tree(spark):
 
 
 def test_spans_and_scores(spark):
-    text = "é mail me: Ann.B@ex-ample.co.uk_x@y.z, ip 10.0.0.256 or 10.0.0.255, card 4111 1111 1111 1111, +1 (555) 010-9999. IBAN GB82WEST12345698765432 ssn 078-05-1120 and 078-05-1121"
+    text = "é mail me: Ann.B@ex-ample.co.uk_x@y.z, ip 10.0.0.256 or 10.0.0.255, card 4111 1111 1111 1111, +1 (555) 010-9999. IBAN GB82WEST12345698765432 ssn 078-05-1120 and 078-05-1121; or DE89 3704 0044 0532 0130 00. " + "x" * 50 + " 078-05-1122 (SSN) " + "y" * 50 + " 078-05-1123 " + "z" * 50 + ' api_key: "abcdefgh12345678" token = abcdefghijklmnopqrst'
     got = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]
     found = [(s["kind"], text[s["start"] : s["end"]]) for s in got]
-    assert found == [("email", "Ann.B@ex-ample.co.uk"), ("email", "_x@y.z"), ("ip", "10.0.0.255"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 010-9999"), ("iban", "GB82WEST12345698765432"), ("ssn", "078-05-1120"), ("ssn", "078-05-1121")]
+    assert found == [("email", "Ann.B@ex-ample.co.uk"), ("email", "_x@y.z"), ("ip", "10.0.0.255"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 010-9999"), ("iban", "GB82WEST12345698765432"), ("ssn", "078-05-1120"), ("ssn", "078-05-1121"), ("iban", "DE89 3704 0044 0532 0130 00"), ("ssn", "078-05-1122"), ("secret", 'api_key: "abcdefgh12345678')]
     assert "[CARD]" in pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
 
 
+def test_very_many_numbers_are_answered(spark):
+    import time
+
+    cards = "4111 1111 1111 1111, " * 100_000
+    numbers = " a ".join(map(str, range(1_000_000)))
+    began = time.time()
+    got = {r["doc_id"]: (r["n"], r["last"]) for r in pii.find(spark.createDataFrame([(1, numbers), (2, cards)], "doc_id long, text string")).select("doc_id", F.size("spans").alias("n"), F.element_at("spans", -1)["end"].alias("last")).where("n > 0").collect()}
+    assert got == {2: (100_000, 21 * 100_000 - 2)}
+    assert time.time() - began < 120
+
+
 @pytest.mark.parametrize("kind", range(4))
 def test_patterns_equal_the_contract(spark, kind):
     import re
