@@ -156,13 +156,17 @@ def _with_next(docs: DataFrame, docs_each: int = RANGE_DOCS) -> DataFrame:
     has to look into the next one, found over the ranges alone: MOST_RANGES rows at most.
     """
     docs = docs.withColumn("range", _ranges(docs, docs_each))
-    order = W.partitionBy("range").orderBy(F.col("id").desc_nulls_last(), F.xxhash64("text"))
+    text_hash = F.xxhash64("text")
+    order = W.partitionBy("range").orderBy(F.col("id").desc_nulls_last(), text_hash)
     inner = docs.withColumn("next_text", F.lead("text").over(order))
-    first = docs.withColumn("place", F.row_number().over(order)).where("place = 1").select(F.col("range").alias("first_range"), F.col("text").alias("first_text"))
 
+    # a row a range: which document comes first in it, and which range comes next
+    firsts = docs.groupBy("range").agg(F.max(F.struct("id", F.bitwise_not(text_hash).alias("h"))).alias("first"))
     whole = W.orderBy(F.col("range").desc())
-    step = docs.select("range").distinct().withColumn("to_range", F.coalesce(F.lead("range").over(whole), F.max("range").over(W.partitionBy(F.lit(0)))))
-    after = step.select(F.col("range").alias("from_range"), "to_range").join(first, F.col("to_range") == F.col("first_range")).select("from_range", "first_text")
+    top = F.max_by("first", "range").over(whole.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    step = firsts.select(F.col("range").alias("from_range"), F.coalesce(F.lead("first").over(whole), top).alias("next"))
+    step = F.broadcast(step.select("from_range", F.col("next.id").alias("n_id"), F.bitwise_not("next.h").alias("n_hash")))
+    after = docs.join(step, F.col("id").eqNullSafe(F.col("n_id")) & (text_hash == F.col("n_hash"))).select("from_range", F.col("text").alias("first_text")).dropDuplicates(["from_range"])
 
     inside = inner.where(F.col("next_text").isNotNull()).select("id", "text", "next_text")
     last = inner.where(F.col("next_text").isNull()).join(after, F.col("range") == F.col("from_range")).select("id", "text", F.col("first_text").alias("next_text"))
