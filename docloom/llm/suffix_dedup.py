@@ -1,12 +1,10 @@
 """Repeated byte strings of at least `length` bytes, removed wherever they occur, and shorter repeated passages, reported.
 
-Sampling. Of the k-grams in each window of `passage` bytes (`length` at most) the
-one with the smallest hash (the leftmost of equals) is the window's anchor, so
-equal windows have equal anchors at the same place. An anchor's windows start in
-a range [a, b]; its context is the bytes from a to b + length, or to the text's
-end. Every window belongs to one anchor, and a string of `length` bytes to that
-of the window it begins with, so both need only be compared within an anchor's
-group.
+Sampling. Of the k-grams in each window of `length` bytes the one with the
+smallest hash (the leftmost of equals) is the window's anchor, so equal windows
+have equal anchors at the same place. An anchor's windows start in a range
+[a, b]; its context is the bytes from a to b + length. Every window belongs to
+one anchor, so windows need only be compared within an anchor's group.
 
 Contexts that are equal as a whole are found first, by streaming the anchors in
 sorted, range-partitioned order (a passage in a third of all documents fills as
@@ -24,12 +22,13 @@ left gives nothing that a longer one didn't.
 A group of more than `GROUP` contexts is first dealt out: a window `d` bytes
 left of its anchor lies in one of four parts of the possible range of d, and the
 windows of a part share a core of bytes, whose hash is the new group. This goes on
-until groups are small, or the range is one window, which all members share (those
-that also share `length` bytes from its start are counted by their hash). No task
-holds more than `GROUP` contexts, and no occurrence is left out.
+until groups are small, or the range is one window, which all members share. No
+task holds more than `GROUP` contexts, and no occurrence is left out.
 
-A passage is a run of bytes that is covered by repeated strings of `passage` bytes
-and holds `passage_words` whole words or more; passages are reported, not removed.
+Shorter passages. Where `passage` is less than `length`, strings of `passage` bytes
+are sought first; a longer one can only lie in a run that these cover, so that
+`length` is sought within runs of so many bytes alone. A passage is such a run
+with `passage_words` whole words or more; passages are reported, not removed.
 
 Defined results: null and empty texts, and texts under `length` bytes, lose
 nothing; matches may overlap themselves; repeated rows are one document (see
@@ -52,7 +51,7 @@ GRAM, GROUP, PARTS = 32, 512, 4
 _PLACE = 24  # bits of a position within a segment; longer texts are cut into segments
 _SEGMENT = 1 << 23
 _U64 = np.uint64
-_PLACES = "a int, b int, e int, p int"
+_ROW = ["h", "c1", "c2", "doc_id", TEXT_HASH, "a", "b", "p"]
 
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -76,7 +75,7 @@ def window_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[:n], before[width - 1 : width - 1 + n])
 
 
-def anchors(text: bytes, length: int) -> Iterator[tuple[int, int, int, int]]:
+def anchors(text: bytes | memoryview, length: int) -> Iterator[tuple[int, int, int, int]]:
     """(hash, a, b, p): the windows that start in [a, b] have their anchor at p. An anchor beside a segment's end is given once, with its whole range."""
     held: tuple[int, int, int, int] | None = None
     for base in range(0, max(1, len(text) - length + 1), _SEGMENT):
@@ -100,34 +99,35 @@ def anchors(text: bytes, length: int) -> Iterator[tuple[int, int, int, int]]:
         yield held
 
 
-def _anchor_rows(length: int, passage: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _anchor_rows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_runs(whole):
                 ids, hashes, texts = batch.column("doc_id").to_pylist(), batch.column(TEXT_HASH).to_pylist(), batch.column("text")
+                within = batch.column("within") if "within" in batch.schema.names else None
                 found, owner, digests = [], [], []
                 for k in range(batch.num_rows):
                     text = texts[k].as_buffer().to_pybytes()
-                    if len(text) < passage:
+                    if len(text) < length:
                         continue
-                    view, new = memoryview(text), [(h, a, b, min(b + length, len(text)), p) for h, a, b, p in anchors(text, passage)]
+                    view, n = memoryview(text), len(found)
+                    for s, e in [(0, len(text))] if within is None else within[k].as_py():
+                        found += [(h, s + a, s + b, s + p) for h, a, b, p in anchors(view[s:e], length)]
                     # the anchor's place counts too: equal bytes with another range of windows are another context
-                    digests += [xxhash.xxh3_128_digest(view[a:e], seed=p - a) for _, a, _, e, p in new]
-                    owner += [k] * len(new)
-                    found += new
+                    digests += [xxhash.xxh3_128_digest(view[a : b + length], seed=p - a) for _, a, b, p in found[n:]]
+                    owner += [k] * (len(found) - n)
                 halves = np.frombuffer(b"".join(digests), dtype=">i8").astype("i8").reshape(-1, 2)
-                h, *places = np.array(found, dtype=np.int64).reshape(-1, 5).T
+                h, a, b, p = np.array(found, dtype=np.int64).reshape(-1, 4).T
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([ids[k] for k in owner], batch.column("doc_id").type), pa.array([hashes[k] for k in owner], pa.int64())]
-                    + [pa.array(x.astype(np.int32)) for x in places],
-                    ["h", "c1", "c2", "doc_id", TEXT_HASH, "a", "b", "e", "p"],
+                    + [pa.array(x.astype(np.int32)) for x in (a, b, p)],
+                    _ROW,
                 )
 
     return rows
 
 
 DONE, COMPARE, OPEN, EDGE = 0, 1, 2, 3
-_ROW = ["h", "c1", "c2", "doc_id", TEXT_HASH, "a", "b", "e", "p"]
 
 
 def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,7 @@ def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close_context(edge: bool) -> None:
         if edge and context is not None:
-            out.append((EDGE, n, gram, *context, *[None] * (len(_ROW) - 3)))
+            out.append((EDGE, n, gram, *context, None, None, None, None, None))
             if n == 1:
                 out.append((OPEN, None, gram, *context, *row))
 
@@ -188,17 +188,17 @@ def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _contexts(passage: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _contexts(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "lo", "hi", "doc_id", TEXT_HASH, "a", "b", "p", "context"]
+        names = ["key", "lo", "hi", "doc_id", TEXT_HASH, "a", "p", "context"]
         for batch in batches:
-            types = [pa.int64(), pa.int32(), pa.int32(), batch.column("doc_id").type, pa.int64(), *[pa.int32()] * 3, pa.binary()]
+            types = [pa.int64(), pa.int32(), pa.int32(), batch.column("doc_id").type, pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             out = []
             for k in range(batch.num_rows):
                 text = batch.column("text")[k].as_buffer().to_pybytes()
                 doc, text_hash = batch.column("doc_id")[k].as_py(), batch.column(TEXT_HASH)[k].as_py()
                 for x in batch.column("at")[k].as_py():
-                    out.append((x["h"], 0, passage - GRAM, doc, text_hash, x["a"], x["b"], x["p"], text[x["a"] : x["e"]]))
+                    out.append((x["h"], 0, length - GRAM, doc, text_hash, x["a"], x["p"], text[x["a"] : x["b"] + length]))
             for k in range(0, max(1, len(out)), 5000):
                 columns = list(zip(*out[k : k + 5000], strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
@@ -206,20 +206,20 @@ def _contexts(passage: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return rows
 
 
-def _deal(passage: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _deal(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Each context once for each part of its group's range that any of its windows lies in, under the hash of the part's core."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, lo, hi, doc, text_hash, a, b, p, context in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                edges = [lo + (hi + 1 - lo) * k // PARTS for k in range(PARTS + 1)]
+            for key, lo, hi, doc, text_hash, a, p, context in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                b, edges = a + len(context) - length, [lo + (hi + 1 - lo) * k // PARTS for k in range(PARTS + 1)]
                 for x, y in zip(edges, edges[1:], strict=False):
                     y -= 1
                     if x <= y and x <= p - a and y >= p - b:
-                        core = context[p - x - a : p + passage - y - a]
-                        out.append((xxhash.xxh3_64_intdigest(core + b"%d %d %d" % (key, x, y)) - 2**63, x, y, doc, text_hash, a, b, p, context))
-            columns = list(zip(*out, strict=True)) or [()] * len(batch.schema)
+                        core = context[p - x - a : p + length - y - a]
+                        out.append((xxhash.xxh3_64_intdigest(core + b"%d %d %d" % (key, x, y)) - 2**63, x, y, doc, text_hash, a, p, context))
+            columns = list(zip(*out, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, batch.schema, strict=True)], batch.schema.names)
 
     return rows
@@ -303,15 +303,13 @@ def united(spans: list[tuple[int, int]]) -> list[list[int]]:
     return joined
 
 
-def _compare(length: int, passage: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of contexts sorted by key: disjoint repeated runs of each, those of strings of `length` bytes (long) and, where they differ, those of `passage` bytes."""
-
+def _compare(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out, kind = None, [], [], pa.int64()
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], ["doc_id", TEXT_HASH, "s", "e", "long"])
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", TEXT_HASH, "s", "e"])
             out.clear()
             return batch
 
@@ -320,12 +318,9 @@ def _compare(length: int, passage: int) -> Callable[[Iterator[pa.RecordBatch]],
             if len(rows) < 2:
                 return
             spans: dict[int, list[tuple[int, int]]] = {}
-            for k, left, right in covered([(c[: p - a][::-1], c[p - a :]) for _, _, a, p, c in rows], passage):
+            for k, left, right in covered([(c[: p - a][::-1], c[p - a :]) for _, _, a, p, c in rows], length):
                 spans.setdefault(k, []).append((rows[k][3] - left, rows[k][3] + right))
-            for k, found in spans.items():
-                long = united([x for x in found if x[1] - x[0] >= length])
-                out.extend((rows[k][0], rows[k][1], s, e, True) for s, e in long)
-                out.extend((rows[k][0], rows[k][1], s, e, False) for s, e in united(found) if [s, e] not in long)
+            out.extend((rows[k][0], rows[k][1], s, e) for k, found in spans.items() for s, e in united(found))
 
         for batch in batches:
             kind = batch.column("doc_id").type
@@ -343,16 +338,19 @@ def _compare(length: int, passage: int) -> Callable[[Iterator[pa.RecordBatch]],
     return rows
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, passage: int | None = None) -> DataFrame:
-    """doc_id, text hash, s and e (bytes, half-open, may overlap) of strings that also start elsewhere; long: of `length` bytes or more, else of `passage`."""
-    passage = min(passage or length, length)
-    if passage < 2 * GRAM:
-        raise ValueError(f"length and passage must be {2 * GRAM} at least")
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, within: DataFrame | None = None) -> DataFrame:
+    """doc_id, text hash, s and e (bytes, half-open, may overlap) of strings of `length` bytes or more that also start elsewhere.
+
+    within: doc_id, text hash and within (array of [s, e]); if given, only these runs of these documents are looked at.
+    """
+    if length < 2 * GRAM:
+        raise ValueError(f"length must be {2 * GRAM} at least")
     docs = identified(docs, id_col, text_col)
     parts, ident = shuffle_parts(docs.sparkSession), identity(docs)
-    context_row = f"key long, lo int, hi int, {ident}, a int, b int, p int, context binary"
-    anchor_row = f"h long, c1 long, c2 long, {ident}, {_PLACES}"
-    anchored = stored(docs.mapInArrow(_anchor_rows(length, passage), anchor_row), "anchors")
+    anchor_row, context_row = f"h long, c1 long, c2 long, {ident}, a int, b int, p int", f"key long, lo int, hi int, {ident}, a int, p int, context binary"
+    if within is not None:
+        docs = by_document(docs, within, "inner", keep=("within",))
+    anchored = stored(docs.mapInArrow(_anchor_rows(length), anchor_row), "anchors")
     order = ["h", "c1", "c2", "doc_id", TEXT_HASH, "a"]
     found = anchored.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found = stored(found.mapInArrow(_sort_out, f"kind int, n int, {anchor_row}"), "anchors-sorted")
@@ -360,33 +358,31 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     again = found.where(F.col("kind") == EDGE).groupBy("h", "c1", "c2").agg(F.sum("n").alias("n")).where("n > 1").select("h", "c1", "c2")
     done = found.where(F.col("kind") == DONE).unionByName(found.where(F.col("kind") == OPEN).join(again, ["h", "c1", "c2"], "left_semi").select(*found.columns))
-    spans = done.select("doc_id", TEXT_HASH, F.col("a").alias("s"), "e", (F.col("e") - F.col("a") >= length).alias("long"))
+    spans = done.select("doc_id", TEXT_HASH, F.col("a").alias("s"), (F.col("b") + length).alias("e"))
 
-    at = found.where(F.col("kind") == COMPARE).groupBy("doc_id", TEXT_HASH).agg(F.collect_list(F.struct("h", "a", "b", "e", "p")).alias("at"))
+    at = found.where(F.col("kind") == COMPARE).groupBy("doc_id", TEXT_HASH).agg(F.collect_list(F.struct("h", "a", "b", "p")).alias("at"))
     texts = by_document(docs, at, "inner", keep=("at",))
-    contexts = stored(texts.select("doc_id", TEXT_HASH, "text", "at").mapInArrow(_contexts(passage), context_row), "contexts")
-    small = []
+    contexts = stored(texts.select("doc_id", TEXT_HASH, "text", "at").mapInArrow(_contexts(length), context_row), "contexts")
+    small, tables = [], [contexts]
     while True:
         large = stored(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > GROUP).select("key"), "large")
+        tables.append(large)
         if large.isEmpty():
             small.append(contexts)
             break
         small.append(contexts.join(large, "key", "left_anti").select(*contexts.columns))
         hot = contexts.join(large, "key", "left_semi").select(*contexts.columns).dropDuplicates(["key", "doc_id", TEXT_HASH, "p"])
         one = hot.where("lo = hi")  # all members share this window
-        at_start = [(F.col("p") - F.col("lo")).alias("s")]
-        spans = spans.unionByName(one.select("doc_id", TEXT_HASH, *at_start, (F.col("p") - F.col("lo") + passage).alias("e"), F.lit(passage == length).alias("long")))
-        if passage < length:  # those that share `length` bytes from the window's start on
-            whole = one.select("key", "doc_id", TEXT_HASH, *at_start, F.expr(f"substring(context, p - lo - a + 1, {length})").alias("bytes")).where(F.octet_length("bytes") == length)
-            whole = whole.withColumn("bytes", F.sha2("bytes", 256))
-            shared = whole.groupBy("key", "bytes").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "bytes")
-            spans = spans.unionByName(whole.join(shared, ["key", "bytes"], "left_semi").select("doc_id", TEXT_HASH, "s", (F.col("s") + length).alias("e"), F.lit(True).alias("long")))
-        contexts = stored(hot.where("lo < hi").mapInArrow(_deal(passage), context_row), "parts")
+        spans = spans.unionByName(one.select("doc_id", TEXT_HASH, (F.col("p") - F.col("lo")).alias("s"), (F.col("p") - F.col("lo") + length).alias("e")))
+        contexts = stored(hot.where("lo < hi").mapInArrow(_deal(length), context_row), "parts")
+        tables.append(contexts)
     pile = small[0]
-    for contexts in small[1:]:
-        pile = pile.unionByName(contexts)
+    for more in small[1:]:
+        pile = pile.unionByName(more)
     grouped = pile.repartition(parts, "key").sortWithinPartitions("key")
-    return spans.unionByName(grouped.mapInArrow(_compare(length, passage), f"{ident}, s int, e int, long boolean"))
+    spans = stored(spans.unionByName(grouped.mapInArrow(_compare(length), f"{ident}, s int, e int")), "spans")
+    release(found, *tables)
+    return spans
 
 
 def whole_words(data: bytes, start: int, end: int) -> int:
@@ -400,22 +396,34 @@ def whole_words(data: bytes, start: int, end: int) -> int:
     return n
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """found (spans of one document) as disjoint runs."""
+    for batch in batches:
+        runs = [united([(y["s"], y["e"]) for y in x]) for x in batch.column("found").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(TEXT_HASH), pa.array(runs, pa.list_(pa.list_(pa.int32())))], ["doc_id", TEXT_HASH, "runs"])
+
+
+def runs_of(spans: DataFrame) -> DataFrame:
+    """doc_id, text hash and runs: the spans of each document, united."""
+    found = spans.groupBy("doc_id", TEXT_HASH).agg(F.collect_list(F.struct("s", "e")).alias("found"))
+    return found.mapInArrow(_runs, f"{identity(spans)}, runs array<array<int>>")
+
+
 def _cut(passage_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = pa.list_(pa.list_(pa.int32()))
+        kind = pa.list_(pa.list_(pa.int32()))
         for batch in batches:
             n_bytes, spans, passages, kept = [], [], [], []
             for k in range(batch.num_rows):
                 data = batch.column("text")[k].as_buffer().to_pybytes()
-                found = batch.column("found")[k].as_py() or ()
-                joined = united([(y["s"], y["e"]) for y in found if y["long"]])
-                edges = [0, *(y for x in joined for y in x), len(data)]
+                gone = batch.column("long")[k].as_py() or []
+                edges = [0, *(y for x in gone for y in x), len(data)]
                 n_bytes.append(len(data))
-                spans.append(joined)
-                passages.append([x for x in united([(y["s"], y["e"]) for y in found]) if whole_words(data, *x) >= passage_words])
+                spans.append(gone)
+                passages.append([x for x in batch.column("short")[k].as_py() or () if whole_words(data, *x) >= passage_words])
                 kept.append(b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(spans, runs), pa.array(passages, runs), pa.array(kept, pa.binary())],
+                [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(spans, kind), pa.array(passages, kind), pa.array(kept, pa.binary())],
                 ["doc_id", "n_bytes", "spans", "passages", "kept"],
             )
 
@@ -424,9 +432,16 @@ def _cut(passage_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, passage: int | None = None, passage_words: int = 50) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs, half-open), passages (runs of repeated strings of `passage` bytes, default `length`, with so many words or more) and kept (the other bytes; perhaps no longer UTF-8) of every row of docs."""
-    spans = repeated_spans(docs, id_col, text_col, length, passage)
-    per_doc = spans.groupBy("doc_id", TEXT_HASH).agg(F.collect_list(F.struct("s", "e", "long")).alias("found"))
+    passage = min(passage or length, length)
+    found = runs_of(repeated_spans(docs, id_col, text_col, passage)).withColumnRenamed("runs", "short")
+    if passage < length:
+        found = stored(found, "runs")
+        within = found.select("doc_id", TEXT_HASH, F.filter("short", lambda x: F.get(x, F.lit(1)) - F.get(x, F.lit(0)) >= length).alias("within")).where(F.size("within") > 0)
+        long = runs_of(repeated_spans(docs, id_col, text_col, length, within)).withColumnRenamed("runs", "long")
+        found = by_document(found, long, keep=("long",))
+    else:
+        found = found.withColumn("long", F.col("short"))
     rows = identified(docs, id_col, text_col)
-    joined = by_document(rows, per_doc, keep=("found",))
+    joined = by_document(rows, found, keep=("short", "long"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return joined.select("doc_id", "text", "found").mapInArrow(_cut(passage_words), f"doc_id {id_type}, n_bytes long, spans array<array<int>>, passages array<array<int>>, kept binary")
+    return joined.select("doc_id", "text", "short", "long").mapInArrow(_cut(passage_words), f"doc_id {id_type}, n_bytes long, spans array<array<int>>, passages array<array<int>>, kept binary")
