@@ -21,9 +21,11 @@ left gives nothing that a longer one didn't.
 
 A group of more than `GROUP` contexts is first dealt out: a window `d` bytes
 left of its anchor lies in one of four parts of the possible range of d, and the
-windows of a part share a core of bytes, whose hash is the new group. This goes on
-until groups are small, or the range is one window, which all members share. No
-task holds more than `GROUP` contexts, and no occurrence is left out.
+windows of a part share a core of bytes, whose hash is the new group. A context
+goes there cut to the windows of the part, and those that are equal then are
+settled by streaming as before, so that many copies that differ elsewhere are one.
+This goes on until groups are small; where the range is one window, all are equal.
+No task holds more than `GROUP` contexts, and no occurrence is left out.
 
 Shorter passages. Where `passage` is less than `length`, strings of `passage` bytes
 are sought first; a longer one can only lie in a run that these cover, so that
@@ -130,62 +132,69 @@ def _anchor_rows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 DONE, COMPARE, OPEN, EDGE = 0, 1, 2, 3
 
 
-def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sort_out(more: tuple[str, ...] = ()) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of anchors sorted by (h, context): occurrences whose context occurs again (DONE), and one of each context to COMPARE where h has several.
 
     A context's run at the partition's edge may go on next door: it leaves its count (EDGE), and a single occurrence stays OPEN.
+    more: further columns, which rows to COMPARE keep.
     """
-    types: list[pa.DataType] = []
-    out: list[tuple] = []
+    names = [*_ROW, *more]
 
-    def flush() -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [()] * len(types)
-        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["kind", "n", *_ROW])
-        out.clear()
-        return batch
+    def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types: list[pa.DataType] = []
+        out: list[tuple] = []
 
-    gram = context = row = seen = None
-    n, first_context, first_gram, lead = 0, True, True, None
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * len(types)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["kind", "n", *names])
+            out.clear()
+            return batch
 
-    def close_context(edge: bool) -> None:
-        if edge and context is not None:
-            out.append((EDGE, n, gram, *context, None, None, None, None, None))
-            if n == 1:
-                out.append((OPEN, None, gram, *context, *row))
+        gram = context = row = seen = None
+        n, first_context, first_gram, lead = 0, True, True, None
+        width, nothing = len(_ROW) - 3, (None,) * len(more)
 
-    def close_gram(edge: bool) -> None:
-        if edge and lead is not None:  # h may have other contexts next door
-            out.append((COMPARE, None, *lead))
+        def close_context(edge: bool) -> None:
+            if edge and context is not None:
+                out.append((EDGE, n, gram, *context, *[None] * width, *nothing))
+                if n == 1:
+                    out.append((OPEN, None, gram, *context, *row[:width], *nothing))
 
-    for batch in batches:
-        types = types or [pa.int32(), pa.int32(), *(batch.column(x).type for x in _ROW)]
-        for h, c1, c2, *rest in zip(*[batch.column(x).to_pylist() for x in _ROW], strict=True):
-            if h != gram or (c1, c2) != context:
-                close_context(first_context)
-                first_context = first_context and context is None
-                if h != gram:
-                    close_gram(first_gram)
-                    first_gram = first_gram and gram is None
-                    lead = (h, c1, c2, *rest)
-                else:
-                    if lead is not None:
-                        out.append((COMPARE, None, *lead))
-                        lead = None
-                    out.append((COMPARE, None, h, c1, c2, *rest))
-                gram, context, n, row, seen = h, (c1, c2), 0, rest, None
-            if rest == seen:
-                continue  # a repeated row
-            seen, n = rest, n + 1
-            if n == 2:
-                out.append((DONE, None, h, c1, c2, *row))
-            if n >= 2:
-                out.append((DONE, None, h, c1, c2, *rest))
-        if len(out) > 5000:
+        def close_gram(edge: bool) -> None:
+            if edge and lead is not None:  # h may have other contexts next door
+                out.append((COMPARE, None, *lead))
+
+        for batch in batches:
+            types = types or [pa.int32(), pa.int32(), *(batch.column(x).type for x in names)]
+            for h, c1, c2, *rest in zip(*[batch.column(x).to_pylist() for x in names], strict=True):
+                if h != gram or (c1, c2) != context:
+                    close_context(first_context)
+                    first_context = first_context and context is None
+                    if h != gram:
+                        close_gram(first_gram)
+                        first_gram = first_gram and gram is None
+                        lead = (h, c1, c2, *rest)
+                    else:
+                        if lead is not None:
+                            out.append((COMPARE, None, *lead))
+                            lead = None
+                        out.append((COMPARE, None, h, c1, c2, *rest))
+                    gram, context, n, row, seen = h, (c1, c2), 0, rest, None
+                if rest == seen:
+                    continue  # a repeated row
+                seen, n = rest, n + 1
+                if n == 2:
+                    out.append((DONE, None, h, c1, c2, *row[:width], *nothing))
+                if n >= 2:
+                    out.append((DONE, None, h, c1, c2, *rest[:width], *nothing))
+                if len(out) > 5000:
+                    yield flush()
+        close_context(True)
+        close_gram(True)
+        if out:
             yield flush()
-    close_context(True)
-    close_gram(True)
-    if out:
-        yield flush()
+
+    return sort_out
 
 
 def _contexts(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -206,21 +215,29 @@ def _contexts(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return rows
 
 
+_MORE = ("lo", "hi", "context")
+
+
 def _deal(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each context once for each part of its group's range that any of its windows lies in, under the hash of the part's core."""
+    """Each context, cut, once for each part of its group's range that any of its windows lies in, under the hash of the part's core."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, lo, hi, doc, text_hash, a, p, context in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                b, edges = a + len(context) - length, [lo + (hi + 1 - lo) * k // PARTS for k in range(PARTS + 1)]
-                for x, y in zip(edges, edges[1:], strict=False):
-                    y -= 1
-                    if x <= y and x <= p - a and y >= p - b:
-                        core = context[p - x - a : p + length - y - a]
-                        out.append((xxhash.xxh3_64_intdigest(core + b"%d %d %d" % (key, x, y)) - 2**63, x, y, doc, text_hash, a, p, context))
-            columns = list(zip(*out, strict=True)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, batch.schema, strict=True)], batch.schema.names)
+        for whole in batches:
+            kind = whole.column("doc_id").type
+            types = [*[pa.int64()] * 3, kind, pa.int64(), *[pa.int32()] * 5, pa.binary()]
+            for at in range(0, whole.num_rows, 1000):
+                out = []
+                for key, lo, hi, doc, text_hash, a, p, context in zip(*[c.to_pylist() for c in whole.slice(at, 1000).columns], strict=True):
+                    b, edges = a + len(context) - length, [lo + (hi + 1 - lo) * k // PARTS for k in range(PARTS + 1)]
+                    for x, y in zip(edges, edges[1:], strict=False):
+                        y -= 1
+                        if x <= y and x <= p - a and y >= p - b:
+                            first, last = max(a, p - y), min(b, p - x)
+                            core, cut = context[p - x - a : p + length - y - a], context[first - a : last + length - a]
+                            c1, c2 = np.frombuffer(xxhash.xxh3_128_digest(cut, seed=p - first), dtype=">i8").tolist()
+                            out.append((xxhash.xxh3_64_intdigest(core + b"%d %d %d" % (key, x, y)) - 2**63, c1, c2, doc, text_hash, first, last, p, x, y, cut))
+                columns = list(zip(*out, strict=True)) or [()] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*_ROW, *_MORE])
 
     return rows
 
@@ -350,20 +367,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchor_row, context_row = f"h long, c1 long, c2 long, {ident}, a int, b int, p int", f"key long, lo int, hi int, {ident}, a int, p int, context binary"
     if within is not None:
         docs = by_document(docs, within, "inner", keep=("within",))
+
+    def settled(rows: DataFrame, kind: str, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+        """Spans of contexts that are equal as a whole, and the stored table with one of each context to compare."""
+        order = ["h", "c1", "c2", "doc_id", TEXT_HASH, "a"]
+        rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        found = stored(rows.mapInArrow(_sort_out(more), f"kind int, n int, {kind}"), "sorted")
+        again = found.where(F.col("kind") == EDGE).groupBy("h", "c1", "c2").agg(F.sum("n").alias("n")).where("n > 1").select("h", "c1", "c2")
+        done = found.where(F.col("kind") == DONE).unionByName(found.where(F.col("kind") == OPEN).join(again, ["h", "c1", "c2"], "left_semi").select(*found.columns))
+        return done.select("doc_id", TEXT_HASH, F.col("a").alias("s"), (F.col("b") + length).alias("e")), found
+
     anchored = stored(docs.mapInArrow(_anchor_rows(length), anchor_row), "anchors")
-    order = ["h", "c1", "c2", "doc_id", TEXT_HASH, "a"]
-    found = anchored.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = stored(found.mapInArrow(_sort_out, f"kind int, n int, {anchor_row}"), "anchors-sorted")
+    spans, found = settled(anchored, anchor_row)
     release(anchored)
 
-    again = found.where(F.col("kind") == EDGE).groupBy("h", "c1", "c2").agg(F.sum("n").alias("n")).where("n > 1").select("h", "c1", "c2")
-    done = found.where(F.col("kind") == DONE).unionByName(found.where(F.col("kind") == OPEN).join(again, ["h", "c1", "c2"], "left_semi").select(*found.columns))
-    spans = done.select("doc_id", TEXT_HASH, F.col("a").alias("s"), (F.col("b") + length).alias("e"))
-
     at = found.where(F.col("kind") == COMPARE).groupBy("doc_id", TEXT_HASH).agg(F.collect_list(F.struct("h", "a", "b", "p")).alias("at"))
     texts = by_document(docs, at, "inner", keep=("at",))
     contexts = stored(texts.select("doc_id", TEXT_HASH, "text", "at").mapInArrow(_contexts(length), context_row), "contexts")
-    small, tables = [], [contexts]
+    small, tables = [], [found, contexts]
     while True:
         large = stored(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > GROUP).select("key"), "large")
         tables.append(large)
@@ -371,17 +392,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             small.append(contexts)
             break
         small.append(contexts.join(large, "key", "left_anti").select(*contexts.columns))
-        hot = contexts.join(large, "key", "left_semi").select(*contexts.columns).dropDuplicates(["key", "doc_id", TEXT_HASH, "p"])
-        one = hot.where("lo = hi")  # all members share this window
-        spans = spans.unionByName(one.select("doc_id", TEXT_HASH, (F.col("p") - F.col("lo")).alias("s"), (F.col("p") - F.col("lo") + length).alias("e")))
-        contexts = stored(hot.where("lo < hi").mapInArrow(_deal(length), context_row), "parts")
-        tables.append(contexts)
+        hot = contexts.join(large, "key", "left_semi").select(*contexts.columns)
+        dealt_row = f"{anchor_row}, lo int, hi int, context binary"
+        dealt = stored(hot.mapInArrow(_deal(length), dealt_row), "dealt")
+        more, found = settled(dealt, dealt_row, _MORE)
+        release(dealt)
+        tables.append(found)
+        spans = spans.unionByName(more)
+        contexts = found.where(F.col("kind") == COMPARE).select(F.col("h").alias("key"), "lo", "hi", "doc_id", TEXT_HASH, "a", "p", "context")
     pile = small[0]
     for more in small[1:]:
         pile = pile.unionByName(more)
     grouped = pile.repartition(parts, "key").sortWithinPartitions("key")
     spans = stored(spans.unionByName(grouped.mapInArrow(_compare(length), f"{ident}, s int, e int")), "spans")
-    release(found, *tables)
+    release(*tables)
     return spans
 
 
