@@ -6,8 +6,9 @@ weights a label. Transitions between labels are learned. Labels of words are
 only known as the language of their document, so that no document would teach a
 switch; therefore the training sequences are pieces of up to `PIECE` words, and
 some join pieces of two documents. Training maximises the likelihood by
-forward-backward on a sample of at most `train_docs` documents (picked by hash;
-each gives pieces from all over its text).
+forward-backward on a sample of at most `train_docs` documents, shared out equally
+among the languages, so that a rare one is learned at every size (picked by hash;
+each document gives pieces from all over its text).
 
 Prediction runs forward-backward over each whole text, many texts at once: a
 step handles all texts that are as long, so cost follows the longest text and
@@ -28,9 +29,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bound_batches, sample_cut, share, text_runs, value_of
+from .common import bound_batches, share, text_runs, value_of
 
 BUCKETS, PIECE, KNOWN, UNKNOWN = 1 << 16, 32, 200_000, "und"  # KNOWN: words whose scores a task remembers
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -220,16 +222,21 @@ def _pieces(per_doc: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 3000, per_doc: int = 3) -> Tagger | None:
-    """A tagger from at most `train_docs` documents with a language where `learn` (over doc_id) holds; None if there are none."""
+    """A tagger from at most `train_docs` documents with a language where `learn` (over doc_id) holds, at least one of each language; None if there are none."""
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
     if learn is not None:
         rows = rows.where(learn)
-    order = F.xxhash64("doc_id", "text")
-    last = sample_cut(rows, order, train_docs)
-    if last is None:
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not sizes:
         return None
-    sample = rows.where(order <= last).limit(2 * train_docs)
+    each = max(1, train_docs // len(sizes))
+    # about 2 * each hashes of a language lie below its cut; of these the smallest are taken, rows that repeat once
+    cuts = {lang: 2**63 - 1 if n <= 4 * each else -(2**63) + int(2**64 * (2 * each + 100) / n) for lang, n in sizes.items()}
+    order = F.xxhash64("doc_id", "text")
+    below = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])
+    sample = rows.where(order <= F.try_element_at(below, F.col("lang"))).groupBy("lang", order.alias("order")).agg(F.min("text").alias("text"))
+    sample = sample.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("order"))).where(F.col("place") <= each)
     pieces = sorted((r["lang"], bytes(r["words"])) for r in sample.select("lang", "text").mapInArrow(_pieces(per_doc), "lang string, words binary").collect())
     return train([(lang, words.split(b" ")) for lang, words in pieces]) if pieces else None
 
@@ -262,7 +269,7 @@ def predict(docs: DataFrame, tagger: Tagger | None, id_col: str = "doc_id", text
     bound_batches(docs.sparkSession)
     shared = share(docs.sparkSession, tagger)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return docs.mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, shares array<double>")
+    return docs.mapInArrow(_predict(shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, shares array<double>")
 
 
 def tag_words(text: str, tagger: Tagger) -> list[tuple[str, str, float]]:

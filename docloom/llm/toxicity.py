@@ -120,10 +120,10 @@ class Model:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, float(self.curve @ evidence(e_values))))))
 
 
-def evidence(e_values: list[float]) -> np.ndarray:
-    """1, the logarithm of all passages' -log E-values together, and the -log E-value of the best (up to 30)."""
+def evidence(e_values: list[float], counts: list[int] | None = None) -> np.ndarray:
+    """1, the logarithm of all passages' -log E-values together (each so many times), and the -log E-value of the best (up to 30)."""
     logs = [-math.log(max(e, 1e-300)) for e in e_values]
-    return np.array([1.0, math.log1p(sum(logs)), min(30.0, max(logs, default=0.0)) / 10])
+    return np.array([1.0, math.log1p(sum(x * n for x, n in zip(logs, counts or [1] * len(logs), strict=True))), min(30.0, max(logs, default=0.0)) / 10])
 
 
 def _logit(p: float) -> float:
@@ -205,7 +205,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _probe(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each sampled document, by the other half's model: label, tokens and segment scores; and of clean ones the token scores, in tenths."""
+    """Of each sampled document, by the other half's model: label, tokens and how many segments have each score; of clean ones the token scores too. Scores are in tenths, so that a row's size doesn't follow its text's."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = [Model(w) for w in value_of(shared)]
@@ -215,19 +215,20 @@ def _probe(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
             for half, bad, text in zip(*[batch.column(c).to_pylist() for c in ("half", "bad", "text")], strict=True):
                 model = models[1 - half]
                 scores = model.token_scores(text)
-                out.append((bad, len(scores), [s for _, _, s in maximal_segments(scores)]))
+                found = Counter(round(10 * s) for _, _, s in maximal_segments(scores))
+                out.append((bad, len(scores), list(found), list(found.values())))
                 if not bad:
                     bins.update(np.rint(10 * scores).astype(int).tolist())
             yield _probe_batch(out)
-        yield _probe_batch([(-1, k, [float(c)]) for k, c in bins.items()])
+        yield _probe_batch([(-1, 0, list(bins), list(bins.values()))])
 
     return rows
 
 
 def _probe_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 3
-    types = [pa.int32(), pa.int64(), pa.list_(pa.float64())]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bad", "n", "scores"])
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    types = [pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bad", "n", "tenths", "counts"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = 20_000, e_value: float = 0.05) -> Model:
@@ -259,20 +260,20 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     halves = [log_odds(counts, *sizes.get(h, (0, 0)), itemgetter(2 * h), itemgetter(2 * h + 1), least=2) for h in (0, 1)]
     counts.clear()
     shared = share(spark, halves)
-    probed = sample.mapInArrow(_probe(shared), "bad int, n long, scores array<double>").collect()
+    probed = sample.mapInArrow(_probe(shared), "bad int, n long, tenths array<int>, counts array<long>").collect()
     bins: Counter = Counter()
     for r in probed:
         if r["bad"] < 0:
-            bins[r["n"]] += int(r["scores"][0])
-    rows = [(r["bad"], r["n"], r["scores"]) for r in probed if r["bad"] >= 0]
+            bins.update(dict(zip(r["tenths"], r["counts"], strict=True)))
+    rows = [(r["n"], r["tenths"], r["counts"], r["bad"]) for r in probed if r["bad"] >= 0]
     model.decay = karlin(bins)
-    clean = [(n, max(scores, default=0.0)) for bad, n, scores in rows if not bad and n]
+    clean = [(n, max(tenths, default=0) / 10) for n, tenths, _, bad in rows if not bad and n]
     model.scale = max(1e-6, len(clean) / max(1.0, sum(n * math.exp(-model.decay * best) for n, best in clean)))
     x = []
-    for _, n, scores in rows:
-        e = [model.scale * n * math.exp(-model.decay * s) for s in scores]
-        x.append(evidence([v for v in e if v < e_value]))
-    model.curve = logistic(np.array(x), np.array([r[0] for r in rows], dtype=float))
+    for n, tenths, counts_, _ in rows:
+        e = [(model.scale * n * math.exp(-model.decay * k / 10), c) for k, c in zip(tenths, counts_, strict=True)]
+        x.append(evidence([v for v, _ in e if v < e_value], [c for v, c in e if v < e_value]))
+    model.curve = logistic(np.array(x), np.array([r[3] for r in rows], dtype=float))
     return model
 
 

@@ -48,6 +48,26 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(p and t for p, t in held) >= 0.7 * sum(t for _, t in held)
 
 
+def test_scores_of_the_query_equal_brute_force(spark):
+    import math
+
+    rng = random.Random(41)
+    rows = [(k, " ".join([rng.choice(["good", "day", "sun", "tree", "river"]) for _ in range(rng.randrange(1, 12))] + (["vile", "scum"] * rng.randrange(1, 3) if k % 4 == 0 else []))) for k in range(200)] + [(200, None), (201, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id long, toxic int"))
+    assert model.curve is not None
+
+    def plain(text):
+        scores = list(model.token_scores(text or ""))
+        e = [model.scale * len(scores) * math.exp(-model.decay * s) for s in brute_segments(scores)]
+        logs = [-math.log(x) for x in e if x < model.e_value]
+        return 1 / (1 + math.exp(-float(model.curve @ [1.0, math.log(1 + sum(logs)), min(30.0, max(logs, default=0.0)) / 10])))
+
+    got = {r["doc_id"]: r["__score"] for r in toxicity.score(docs, model, keep=["doc_id"]).collect()}
+    assert got == pytest.approx({k: plain(t) for k, t in rows}, abs=1e-4)
+    assert min(got[k] for k in range(0, 200, 4)) > 0.7 > max(got[k] for k, _ in rows if k % 4)
+
+
 def test_lambda_is_the_root():
     from collections import Counter
 
@@ -320,6 +340,35 @@ def test_marginals_equal_enumeration():
         at += n
 
 
+def test_predictions_equal_enumeration(spark):
+    rng = random.Random(8)
+    tagger = langid.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), train_docs=200)
+    known = [w for t in ("the of and in", "der die und nicht", "le la les des", "el los que una") for w in t.split()]
+    rows = [(str(k), " ".join(rng.choice(known) for _ in range(rng.randrange(1, 6)))) for k in range(40)] + [("x", None), ("y", "12 !"), ("z", "")]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(spark.createDataFrame(rows, "doc_id string, text string"), tagger).collect()}
+    for k, text in rows:
+        w = langid.words_of(text or "")
+        if not w:
+            assert got[k] == ("und", 0.0)
+            continue
+        emissions = np.array([tagger.weights[langid.features(x)].sum(axis=0) for x in w])
+        sums = np.zeros(len(tagger.labels))
+        for path in itertools.product(range(len(tagger.labels)), repeat=len(w)):
+            p = np.exp(sum(emissions[i, y] for i, y in enumerate(path)) + sum(tagger.transitions[x, y] for x, y in itertools.pairwise(path)))
+            for y in path:
+                sums[y] += p
+        sums /= sums.sum()
+        assert got[k][0] == tagger.labels[int(sums.argmax())] and got[k][1] == pytest.approx(sums.max(), abs=1e-4)
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(k, "en", f"the old house of word{k}") for k in range(3000)] + [(9000 + k, "xx", f"zuqa wuqi buqo kuqe{k}") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    tagger = langid.fit(docs, train_docs=100)
+    assert tagger.labels == ["en", "xx"]
+    assert langid.predict(docs.where("lang = 'xx'"), tagger).first()["lang_pred"] == "xx"
+
+
 def test_code_switching_is_followed(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     tagger = langid.fit(docs, train_docs=400)
