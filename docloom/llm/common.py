@@ -9,9 +9,9 @@ is carried as (id, ``TEXT_HASH``), so that joins never multiply rows.
 from __future__ import annotations
 
 import pickle
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TEXT_HASH = "__text_hash"
+_within: list[str] = []
 #: Bytes of an Arrow batch between Spark and Python, so that a task's memory doesn't depend on how long texts are.
 BATCH_BYTES = 8 << 20
 
@@ -29,13 +30,8 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a new one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='docloom-')}"
-        spark.sparkContext.setCheckpointDir(base)
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset the warehouse."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
     if "://" not in base and not base.startswith("file:"):  # without a scheme it is a path of the default file system
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
         system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -48,7 +44,19 @@ def application_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return "/".join([application_dir(spark), *_within[-1:], f"{name}-{uuid.uuid4().hex}"])
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """What is stored within goes to a folder of its own, which is deleted at the end: results must have been written elsewhere by then."""
+    folder = f"within-{uuid.uuid4().hex}"
+    _within.append(folder)
+    try:
+        yield
+    finally:
+        _within.remove(folder)
+        remove(spark, f"{application_dir(spark)}/{folder}")
 
 
 def remove_intermediates(spark: SparkSession) -> None:

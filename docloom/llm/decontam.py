@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_HASH, bound_batches, by_document, identified, share, text_runs, value_of
+from .common import TEXT_HASH, bound_batches, by_document, identified, identity, share, text_runs, value_of
 
 #: Fixed by the contract: words are runs of ASCII letters and digits and of anything beyond ASCII; A-Z are lower-cased.
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -45,9 +45,9 @@ def windows_of(words: list[bytes], n: int) -> list[tuple[bytes, ...]]:
 class WindowSet:
     """The windows of one block of items, by rolling hash over word numbers."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], n: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], n: int):
         self.number: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int | None]] = {}
+        found: dict[tuple[int, ...], set[str | None]] = {}
         for item, text in items:
             for window in windows_of(words_of(text), n):
                 key = tuple(self.number.setdefault(w, len(self.number)) for w in window)
@@ -91,7 +91,7 @@ class WindowSet:
                     k += 1
 
 
-def _found(windows: WindowSet, texts: pa.Array) -> tuple[list[int], list[list[list[int]]], list[set[int | None]]]:
+def _found(windows: WindowSet, texts: pa.Array) -> tuple[list[int], list[list[list[int]]], list[set[str | None]]]:
     """Of each text: number of words, merged hit word spans, items hit."""
     number = windows.number.get
     runs, ends = [], []
@@ -101,7 +101,7 @@ def _found(windows: WindowSet, texts: pa.Array) -> tuple[list[int], list[list[li
         ends.append(len(runs))
     starts = np.array([0, *ends[:-1]])
     spans: list[list[tuple[int, int]]] = [[] for _ in ends]
-    items: list[set[int | None]] = [set() for _ in ends]
+    items: list[set[str | None]] = [set() for _ in ends]
     for start, length, window in windows.hits(np.array(runs, dtype=np.int64)):
         doc = int(np.searchsorted(starts, start, side="right")) - 1
         spans[doc].append((start - int(starts[doc]), start - int(starts[doc]) + length))
@@ -139,7 +139,7 @@ def _scan(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
                         batch.column(TEXT_HASH),
                         pa.array(n_words, pa.int64()),
                         pa.array(spans, pa.list_(pa.list_(pa.int32()))),
-                        pa.array([sorted(i, key=str) for i in items], pa.list_(pa.int64())),
+                        pa.array([sorted(i, key=str) for i in items], pa.list_(pa.string())),
                     ],
                     ["doc_id", TEXT_HASH, "n_words", "spans", "items"],
                 )
@@ -162,7 +162,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans = [merged(x for group in groups for x in group) for groups in batch.column("spans").to_pylist()]
         items = [{x for group in groups for x in group} for groups in batch.column("items").to_pylist()]
-        listed = [sorted(str(i) for i in x if i is not None) for x in items]
+        listed = [sorted(i for i in x if i is not None) for x in items]
         n_words = batch.column("n_words").to_pylist()
         hit = [sum(e - s for s, e in x) for x in spans]
         yield pa.RecordBatch.from_arrays(
@@ -185,22 +185,22 @@ def _pieces(n: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int | None, str, int]] = []
+            out: list[tuple[str | None, str, int]] = []
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = words_of((text or "").encode())
                 for k in range(0, max(1, len(words) - n + 1), most - n + 1) if words else ():
                     out.append((item, b" ".join(words[k : k + most]).decode(), len(words[k : k + most])))
             columns = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64()), strict=True)], ["item_id", "text", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["item_id", "text", "n"])
 
     return cut
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_words: int) -> Iterator[list[tuple[int | None, bytes]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_words: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """The items' windows in blocks of at most block_words words; the driver holds a block at a time. One empty block if there are none."""
     bound_batches(benchmark.sparkSession)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
-    items = items.mapInArrow(_pieces(n, max(2 * n, block_words // 16)), "item_id long, text string, n long")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).alias("text"))
+    items = items.mapInArrow(_pieces(n, max(2 * n, block_words // 16)), "item_id string, text string, n long")
     block, held = [], 0
     for row in items.toLocalIterator():
         if held and held + row["n"] > block_words:
@@ -235,10 +235,10 @@ def contamination(
     source, shares = identified(docs, id_col, text_col), []
     for block in _blocks(benchmark, item_col, item_text_col, n, block_words):
         shared = share(spark, WindowSet(block, n))
-        shares.append(source.mapInArrow(_scan(shared), f"doc_id long, {TEXT_HASH} long, n_words long, spans array<array<int>>, items array<long>"))
+        shares.append(source.mapInArrow(_scan(shared), f"{identity(source)}, n_words long, spans array<array<int>>, items array<string>"))
     if len(shares) == 1:
         found = shares[0].select("doc_id", TEXT_HASH, "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
-        return found.mapInArrow(_finish, _RESULT)
+        return found.mapInArrow(_finish, f"{identity(source)}, {_RESULT}")
     base, rest = shares[0], shares[0]
     for more in shares[1:]:
         rest = rest.unionByName(more)
@@ -246,9 +246,9 @@ def contamination(
     joined = by_document(base.select("doc_id", TEXT_HASH, "n_words"), groups, keep=("g_spans", "g_items"))
     empty = F.array().cast
     found = joined.select(
-        "doc_id", TEXT_HASH, "n_words", F.coalesce("g_spans", empty("array<array<array<int>>>")).alias("spans"), F.coalesce("g_items", empty("array<array<long>>")).alias("items")
+        "doc_id", TEXT_HASH, "n_words", F.coalesce("g_spans", empty("array<array<array<int>>>")).alias("spans"), F.coalesce("g_items", empty("array<array<string>>")).alias("items")
     )
-    return found.mapInArrow(_finish, _RESULT)
+    return found.mapInArrow(_finish, f"{identity(source)}, {_RESULT}")
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +268,7 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     """doc_id and text of every row of docs, without the words that are benchmark text and what stands between those of a passage."""
     hit = contamination(docs, benchmark, id_col, text_col, **options).where(F.size("spans") > 0).dropDuplicates(["doc_id", TEXT_HASH])
     joined = by_document(identified(docs, id_col, text_col), hit, keep=("spans",))
-    return joined.select("doc_id", "text", "spans").mapInArrow(_without, "doc_id long, text string")
+    return joined.select("doc_id", "text", "spans").mapInArrow(_without, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-_RESULT = f"doc_id long, {TEXT_HASH} long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<int>>"
+_RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<int>>"

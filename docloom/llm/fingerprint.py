@@ -129,21 +129,24 @@ def trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
 
 
 def _ranges(docs: DataFrame, docs_each: int = RANGE_DOCS) -> Column:
-    """The number of the range in which an id lies; ranges hold about as many documents each, however ids are spread. Null ids lie in the first."""
+    """The number of the range in which an id lies; ranges hold about as many documents each, however ids (or the beginnings of strings) are spread. Null ids lie in the first."""
+    kind = dict(docs.dtypes)["id"]
+    # other ids than numbers: their first seven bytes as a number, which keeps their order
+    key = F.col("id").cast("long") if kind != "string" else F.conv(F.rpad(F.hex(F.substring(F.col("id").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
     n = docs.count()
     wanted = min(MOST_RANGES, n // docs_each)
     bounds: list[int] = []
     if wanted > 1:
-        cuts = docs.agg(F.percentile_approx("id", [k / wanted for k in range(1, wanted)], 10 * wanted).alias("b")).first()["b"]
+        cuts = docs.agg(F.percentile_approx(key, [k / wanted for k in range(1, wanted)], 10 * wanted).alias("b")).first()["b"]
         bounds = sorted(set(cuts or ()))
     if not bounds:
         return F.lit(0)
     # the number of bounds that aren't above the id, by bisection
     table = F.array(*map(F.lit, bounds)) if len(bounds) < 100 else F.expr(f"from_json('{bounds}', 'array<bigint>')")
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"), key.alias("key"))
 
     def halve(s: Column, _: Column) -> Column:
-        return let(F.floor((s["lo"] + s["hi"]) / 2).cast("int"), lambda m: F.when(s["lo"] >= s["hi"], s).when(F.get(table, m) <= F.col("id"), F.struct((m + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), m.alias("hi"))))
+        return let(F.floor((s["lo"] + s["hi"]) / 2).cast("int"), lambda m: F.when(s["lo"] >= s["hi"], s).when(F.get(table, m) <= s["key"], F.struct((m + 1).alias("lo"), s["hi"].alias("hi"), s["key"].alias("key"))).otherwise(F.struct(s["lo"].alias("lo"), m.alias("hi"), s["key"].alias("key"))))
 
     found = F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halve, lambda s: s["lo"])
     return F.when(F.col("id").isNull(), 0).otherwise(found)
@@ -179,7 +182,7 @@ def edited_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     The edited text has its last third (rounded down) replaced by as much of the next document's beginning.
     Returns doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next and changed (numbers of the sections that the edit changed).
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - third), F.substr("next_text", F.lit(1), third))

@@ -25,14 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_HASH, by_document, identified, shuffle_parts, stored
+from .common import TEXT_HASH, by_document, identified, identity, shuffle_parts, stored
 
 #: Fixed by the contract: what is stripped from both ends of a line.
 SPACE = b" \t\n\x0b\x0c\r"
 DROP, OPEN, EDGE = 0, 1, 2
-_ID = f"doc_id long, {TEXT_HASH} long"
-_KEYS = f"h1 long, h2 long, {_ID}, n_lines int, positions array<int>"
-_RUNS = f"kind int, n int, {_KEYS}"
+_LINES = "n_lines int, positions array<int>"
 
 
 def line_key(line: bytes) -> bytes:
@@ -56,7 +54,7 @@ def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out_n += [len(lines)] * len(at)
         halves = np.frombuffer(b"".join(digests), dtype=">i8").astype("i8").reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(out_id, pa.int64()), pa.array(out_hash, pa.int64()), pa.array(out_n, pa.int32()), pa.array(out_at, pa.list_(pa.int32()))],
+            [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(out_id, batch.column("doc_id").type), pa.array(out_hash, pa.int64()), pa.array(out_n, pa.int32()), pa.array(out_at, pa.list_(pa.int32()))],
             ["h1", "h2", "doc_id", TEXT_HASH, "n_lines", "positions"],
         )
 
@@ -64,11 +62,11 @@ def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _decide(min_docs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "n", "h1", "h2", "doc_id", TEXT_HASH, "n_lines", "positions"]
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
+        types: list[pa.DataType] = []
         out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            columns = list(zip(*out, strict=True)) or [()] * len(types)
             batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
             out.clear()
             return batch
@@ -82,6 +80,7 @@ def _decide(min_docs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 out.extend((OPEN, None, *key, *row) for row in held)
 
         for batch in batches:
+            types = types or [pa.int32(), pa.int32(), *[pa.int64()] * 2, batch.column("doc_id").type, pa.int64(), pa.int32(), pa.list_(pa.int32())]
             columns = [batch.column(c).to_pylist() for c in ("h1", "h2", "doc_id", TEXT_HASH, "n_lines", "positions")]
             for h1, h2, doc, text_hash, n_lines, positions in zip(*columns, strict=True):
                 if (h1, h2) != key:
@@ -98,7 +97,8 @@ def _decide(min_docs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             if len(out) > 5000:
                 yield flush()
         close(edge=True)
-        yield flush()
+        if out:
+            yield flush()
 
     return stream
 
@@ -121,15 +121,16 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10) -> DataFrame:
     """doc_id, text hash, n_lines, n_dropped and keep_bitmap (zlib over packed bits, 1: keep) of the documents that lose lines."""
     docs = identified(docs, id_col, text_col)
+    ident = identity(docs)
     order = ["h1", "h2", "doc_id", TEXT_HASH]
-    keys = docs.mapInArrow(_key_rows, _KEYS)
+    keys = docs.mapInArrow(_key_rows, f"h1 long, h2 long, {ident}, {_LINES}")
     keys = keys.repartitionByRange(shuffle_parts(docs.sparkSession), *order).sortWithinPartitions(*order)
-    runs = stored(keys.mapInArrow(_decide(min_docs), _RUNS), "line-runs")
+    runs = stored(keys.mapInArrow(_decide(min_docs), f"kind int, n int, h1 long, h2 long, {ident}, {_LINES}"), "line-runs")
     total = runs.where(F.col("kind") == EDGE).groupBy("h1", "h2").agg(F.sum("n").alias("total")).where(F.col("total") >= min_docs)
     late = runs.where(F.col("kind") == OPEN).join(total, ["h1", "h2"], "left_semi")
     lost = runs.where(F.col("kind") == DROP).unionByName(late.select(*runs.columns))
     per_doc = lost.groupBy("doc_id", TEXT_HASH).agg(F.first("n_lines").alias("n_lines"), F.collect_list("positions").alias("groups"))
-    return per_doc.mapInArrow(_bitmaps, f"{_ID}, n_lines int, n_dropped long, keep_bitmap binary")
+    return per_doc.mapInArrow(_bitmaps, f"{ident}, n_lines int, n_dropped long, keep_bitmap binary")
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,8 @@ bucket); as every key has an order of its own, a class meets about as many
 others as it has large buckets. Pairs are filtered by a longer signature and by
 size, and confirmed on the full sets, recomputed from whole texts. The large
 buckets' members that are still in different components are then compared in
-blocks of at most 2 * `BLOCK` members, so no link is lost to the star.
+blocks of at most 2 * `BLOCK` members, so no link is lost to the star; those of
+a bucket's commonest component only meet the others, however many they are.
 
 Defined results: null and empty texts and texts without words have no set and no
 link; rows with a null id are linked with nothing and are kept; repeated rows
@@ -34,19 +35,18 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_HASH, identified, shuffle_parts, stored, text_runs
+from .common import TEXT_HASH, identified, identity, release, shuffle_parts, stored, text_runs
 from .components import components
 
 POSITIONS, LONG, WIDE, MISS = 64, 128, 1024, 2e-5
-SMALL, BLOCK, ORDERS = 8, 2048, 16
+SMALL, BLOCK, ORDERS, SALTS = 8, 2048, 16, 16
 _U64 = np.uint64
 _MIX1, _MIX2, _ODD = _U64(0xFF51AFD7ED558CCD), _U64(0xC4CEB9FE1A85EC53), _U64(0x9E3779B97F4A7C15)
-_PAIR = {name: pa.int64() for name in ("a", "b", "doc_a", "doc_b", "hash_a", "hash_b")}
-_PAIRS = ", ".join(f"{name} long" for name in _PAIR)
-_SETS = f"doc_id long, {TEXT_HASH} long, k1 long, k2 long, n int, positions binary, sig binary"
+_PAIR = ("a", "b")
+_PAIRS = "a long, b long"
 
 
 def radius(positions: int, differ: float, miss: float = MISS) -> int:
@@ -250,7 +250,7 @@ def _filter_rows(most: int, most_wide: int, percent: int) -> Callable[[Iterator[
             wide = [batch.column(c) for c in ("wide_a", "wide_b")]
             for k in np.flatnonzero(near).tolist():
                 near[k] = _near_wide(wide[0][k].as_py(), wide[1][k].as_py(), most_wide)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in _PAIR], list(_PAIR))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in _PAIR], _PAIR)
 
     return rows
 
@@ -259,7 +259,7 @@ def _block_rows(parts: list[np.ndarray], most: int, most_wide: int, percent: int
     """Of members sorted by (key, block): the near pairs between components. Of the keys that a pair shares only the first gives it."""
 
     def pairs(key: int, rows: list[tuple]) -> Iterator[tuple[int, ...]]:
-        ids, comps, n, sides, docs, hashes = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1, 2, 3, 7, 8))
+        ids, comps, n, sides = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1, 2, 3))
         sig = np.frombuffer(b"".join(r[5] for r in rows), dtype="<u8").reshape(-1, LONG // 16)
         wide = np.frombuffer(b"".join(r[6] for r in rows), dtype="<u8").reshape(-1, WIDE // 16)
         keys = chunk_keys(np.frombuffer(b"".join(r[4] for r in rows), dtype="<u2").reshape(-1, POSITIONS), parts)
@@ -276,19 +276,19 @@ def _block_rows(parts: list[np.ndarray], most: int, most_wide: int, percent: int
             at = at[np.argmax(keys[at] == keys[i], axis=1) == here]
             for j in at.tolist():
                 low, high = (i, j) if ids[i] < ids[j] else (j, i)
-                yield ids[low], ids[high], docs[low], docs[high], hashes[low], hashes[high]
+                yield ids[low], ids[high]
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, out = None, [], []
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) or [()] * len(_PAIR)
-            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], list(_PAIR))
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _PAIR)
             out.clear()
             return batch
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "block", "id", "component", "n", "side", "positions", "sig", "wide", "rep_id", "rep_hash")]
+            columns = [batch.column(c).to_pylist() for c in ("key", "block", "id", "component", "n", "side", "positions", "sig", "wide")]
             for key, block, *row in zip(*columns, strict=True):
                 if (key, block) != group:
                     if len(held) > 1:
@@ -329,7 +329,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     differ = (1 - percent / 100) * 15 / 16  # 4-bit values agree by chance once in 16
     most = radius(LONG, differ)
 
-    sets = stored(docs.mapInArrow(_set_rows(width), _SETS), "sets")
+    sets = stored(docs.mapInArrow(_set_rows(width), f"{identity(docs)}, k1 long, k2 long, n int, positions binary, sig binary"), "sets")
     usable = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     reps = usable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", TEXT_HASH)).alias("r"))
     # A class's number is its node's id from here on; it is fixed by being stored.
@@ -353,30 +353,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs whose full sets, from whole texts, are similar enough."""
         for side in "ab":
+            pairs = pairs.join(nodes.select(F.col("id").alias(side), F.col("rep_id").alias(f"doc_{side}"), F.col("rep_hash").alias(f"hash_{side}")), side)
             texts = docs.select(F.col("doc_id").alias(f"doc_{side}"), F.col(TEXT_HASH).alias(f"hash_{side}"), F.col("text").alias(f"text_{side}"))
             pairs = pairs.join(texts, [f"doc_{side}", f"hash_{side}"])
         return stored(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), "a long, b long").distinct(), name)
 
     pairs, known = found.where("b is not null").select("a", "b").distinct(), nodes.join(wide, "id", "left")
     for side in "ab":
-        pairs = pairs.join(known.select(F.col("id").alias(side), *(F.col(c).alias(f"{new}_{side}") for c, new in (("rep_id", "doc"), ("rep_hash", "hash"), ("n", "n"), ("sig", "sig"), ("wide", "wide")))), side)
+        pairs = pairs.join(known.select(F.col("id").alias(side), *(F.col(c).alias(f"{new}_{side}") for c, new in (("n", "n"), ("sig", "sig"), ("wide", "wide")))), side)
     near = stored(pairs.mapInArrow(_filter_rows(most, most_wide, percent), _PAIRS), "near")
     links = confirmed(near, "confirmed")
     labels = components(links)
 
     open_ = found.where("b is null").select("key", F.col("a").alias("id")).distinct()
     open_ = open_.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = open_.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "size")
-    open_ = open_.join(mixed, "key").withColumn("cuts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
-    # A bucket of more than BLOCK members is cut; each pair of its cuts is a block, and a cut alone is the pair with itself.
-    blocks = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.struct((F.least("cut", o) * F.col("cuts") + F.greatest("cut", o)).alias("block"), F.when(F.col("cut") > o, 1).when(F.col("cut") < o, 2).otherwise(0).alias("side")))
-    open_ = open_.select("key", "id", "component", F.explode(blocks).alias("x")).select("key", "id", "component", "x.block", "x.side")
-    open_ = open_.join(nodes.join(wide, "id"), "id")
+    per = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = per.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    cuts = [F.ceil(n / BLOCK).cast("int").alias(c) for n, c in ((F.col("most.n"), "commons"), (F.col("size") - F.col("most.n"), "others"))]
+    # A bucket may hold very many members: both sides of the join are salted.
+    mixed = mixed.select("key", "size", F.col("most.component").alias("common"), *cuts, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    open_ = open_.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(mixed, ["key", "salt"])
+    # Where a bucket has more than BLOCK members, each cut of the commonest component meets each cut of the others, and these meet each other.
+    place = F.xxhash64("id", F.lit(1))
+    common, cut = F.col("component") == F.col("common"), F.pmod(place, F.when(F.col("component") == F.col("common"), F.col("commons")).otherwise(F.col("others"))).cast("int")
+
+    def block(at, side) -> Column:
+        return F.struct(at.cast("int").alias("block"), (side if isinstance(side, Column) else F.lit(side)).cast("int").alias("side"))
+
+    of_common = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: block(F.col("cut") * F.col("others") + o, 1))
+    of_other = F.transform(F.sequence(F.lit(0), F.col("commons") - 1), lambda c: block(c * F.col("others") + F.col("cut"), 2))
+    among = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: block(-1 - (F.least("cut", o) * F.col("others") + F.greatest("cut", o)), F.when(F.col("cut") > o, 1).when(F.col("cut") < o, 2).otherwise(0)))
+    blocks = F.when(F.col("size") <= BLOCK, F.array(block(F.lit(0), 0))).when(common, of_common).otherwise(F.concat(of_other, among))
+    open_ = open_.withColumn("cut", cut).select("key", "id", "component", F.explode(blocks).alias("x")).select("key", "id", "component", "x.block", "x.side")
+    open_ = open_.join(nodes.select("id", "n", "positions", "sig").join(wide, "id"), "id")
     open_ = open_.repartition(shuffle_parts(spark), "key", "block").sortWithinPartitions("key", "block")
     late = open_.mapInArrow(_block_rows(parts, most, most_wide, percent), _PAIRS).distinct()
     late = stored(late.join(near, ["a", "b"], "left_anti"), "late")
     if not late.isEmpty():
         labels = components(links.unionByName(confirmed(late, "confirmed-late")))
+    release(found, nodes, wide, near, links, late)
 
     # The component's first document takes the place of its class number.
     classes = reps.select("k1", "k2", "id", F.struct("rep_id", "rep_hash").alias("r"))

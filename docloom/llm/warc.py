@@ -22,6 +22,7 @@ import hashlib
 import io
 import struct
 from collections.abc import Callable, Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -33,7 +34,7 @@ from .common import bound_batches, new_dir, sample_cut, shuffle_parts
 #: Fixed values of the format: magic numbers of a skippable frame and of a dictionary.
 SKIPPABLE, DICTIONARY = 0x184D2A5D, b"\x37\xa4\x30\xec"
 _DATE = "2024-01-01T00:00:00Z"
-_RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_RECORD = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
 
 def train_dictionary(records: list[bytes], size: int) -> bytes:
@@ -44,16 +45,15 @@ def train_dictionary(records: list[bytes], size: int) -> bytes:
         return b"".join(records)[-size:]
 
 
-def _urn(page: int | None) -> str:
-    return f"<urn:docloom:page:{'' if page is None else page}>"
+def _urn(page: object) -> str:
+    return f"<urn:docloom:page:{'' if page is None else quote(str(page), safe='')}>"
 
 
-def _page(urn: str) -> int | None:
-    number = urn.rstrip(">").rpartition(":")[2]
-    return int(number) if number else None
+def _page(urn: str) -> str | None:
+    return unquote(urn.rstrip(">").rpartition(":")[2]) or None
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def record(page: object, url: str | None, payload: bytes, digest: str, refers_to: object, revisit: bool) -> bytes:
     """One WARC/1.1 record; a revisit has no block and names the response it repeats."""
     block = b"" if revisit else payload
     lines = [
@@ -165,7 +165,7 @@ def write_archives(
     spark = pages.sparkSession
     bound_batches(spark)
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("payload_digest"), F.octet_length(payload).alias("size"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("payload_digest"), F.octet_length(payload).alias("size"))
     # The sample's last hash first, so that tasks send the driver hashes and then only the payloads that are in it.
     order = F.xxhash64("page_id", "payload_digest")
     last = sample_cut(rows, order, sample)
@@ -188,7 +188,7 @@ def _reader(payloads: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         n = 5 + payloads
         columns = list(zip(*rows, strict=True))[:n]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][:n]
+        types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()][:n]
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][:n]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -216,14 +216,16 @@ def _reader(payloads: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return read
 
 
-def read_archives(spark: SparkSession, paths: DataFrame, payloads: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, paths: DataFrame, payloads: bool = True, id_type: str = "long") -> DataFrame:
     """Every record of the archives at `path`: page_id, payload_bytes, payload_digest, record_type, refers_to and, if asked for, payload (null for revisits).
 
-    Each response's digest and length are checked against its payload in any case.
+    Each response's digest and length are checked against its payload in any case. Archives hold ids as text: id_type is what they
+    were (an empty text is null).
     """
     bound_batches(spark)
     spread = paths.select("path").repartition(shuffle_parts(spark), "path")
-    return spread.mapInArrow(_reader(payloads), _RECORD + ", payload binary" * payloads)
+    found = spread.mapInArrow(_reader(payloads), _RECORD + ", payload binary" * payloads)
+    return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def roundtrip_bytes(payloads: list[bytes], dictionary: bytes, level: int = 3) -> tuple[bytes, list[bytes]]:

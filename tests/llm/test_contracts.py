@@ -32,13 +32,15 @@ def awkward(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns(clashing)
 
 
-def operators(spark, docs):
+def operators(spark, docs, names=None):
     bench = spark.createDataFrame([(1, "a b c"), (2, None), (None, "x y"), (3, "")], "item_id long, text string")
     labels = spark.createDataFrame([(1, 1), (4, 0), (2, None), (None, 1), (1, 1)], "doc_id long, toxic int")
+    if names:
+        bench, labels = bench.withColumn("item_id", F.concat(F.lit("mmlu/"), "item_id")), labels.withColumn("doc_id", F.concat(F.lit(names), "doc_id"))
     pages = docs.select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("text").alias("html"))
     return {
         "toxicity": lambda: toxicity.score(docs, toxicity.fit(docs, labels), keep=["doc_id"]),
-        "warc": lambda: warc.read_archives(spark, warc.write_archives(pages)),
+        "warc": lambda: warc.read_archives(spark, warc.write_archives(pages), id_type="string" if names else "long"),
         "line_dedup": lambda: line_dedup.drop_shared_lines(docs, min_docs=2),
         "minhash": lambda: minhash.near_duplicates(docs),
         "suffix_dedup": lambda: suffix_dedup.remove_repeats(docs, length=64),
@@ -59,6 +61,17 @@ def test_awkward_rows_are_all_answered(spark, name):
     assert operators(spark, docs)[name]().count() == docs.count()
 
 
+@pytest.mark.parametrize("name", ["toxicity", "warc", "line_dedup", "minhash", "suffix_dedup", "langid", "fingerprint", "trees", "pii", "redact", "decontam", "decontam_blocks", "clean"])
+def test_ids_may_be_strings(spark, name):
+    """String ids give what the numbers give that they were made of."""
+    docs = awkward(spark)
+    named = docs.withColumn("doc_id", F.concat(F.lit("d/"), F.col("doc_id").cast("string")))
+    of_numbers, of_strings = operators(spark, docs)[name](), operators(spark, named, "d/")[name]()
+    assert of_strings.count() == of_numbers.count()
+    same = [c for c in ("n_dropped", "n_lines", "n_shingles", "kept", "n_bytes", "spans", "n_words", "n_hit", "contaminated", "text", "payload_bytes", "record_type") if c in of_numbers.columns]
+    assert sorted(map(str, of_strings.select(*same).collect())) == sorted(map(str, of_numbers.select(*same).collect()))
+
+
 @pytest.mark.parametrize("name", ["toxicity", "warc", "line_dedup", "minhash", "suffix_dedup", "langid", "fingerprint", "trees", "pii", "redact", "decontam", "clean"])
 def test_empty_tables_give_empty_results(spark, name):
     assert operators(spark, awkward(spark).limit(0))[name]().count() == 0
