@@ -1,7 +1,10 @@
 """A training corpus from raw documents: five stages, each over all that the one before kept.
 
 Every stage but the last returns the columns of `documents`. Between stages the
-rows are written to the shared folder and read again.
+rows are written to the shared folder and read again. A stage of which nothing is
+left gives an empty table, and so do those after it; nulls, empty texts, repeated
+rows and further columns are treated as each operator states (further columns of
+`documents` don't come out).
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import decontam, line_dedup, minhash, mixing, toxicity
-from docloom.llm.common import TEXT_HASH, by_document, identified, stored
+from docloom.llm.common import TEXT_HASH, by_document, identified, intermediates, new_dir, remove
 from docloom.llm.queries import fold, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -61,7 +64,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The mix of all documents; what a stage stored on its way, and the documents before it, are deleted once its result is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = new_dir(spark, f"stage-{name}")
+        with intermediates(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
