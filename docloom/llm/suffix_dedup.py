@@ -49,9 +49,9 @@ from pyspark.sql import functions as F
 
 from .common import TEXT_HASH, by_document, identified, identity, release, shuffle_parts, stored, text_runs
 
-GRAM, GROUP, PARTS = 32, 512, 4
+GRAM, GROUP, PARTS = 32, 256, 4
 _PLACE = 24  # bits of a position within a segment; longer texts are cut into segments
-_SEGMENT = 1 << 23
+_SEGMENT = 1 << 20
 _U64 = np.uint64
 _ROW = ["h", "c1", "c2", "doc_id", TEXT_HASH, "a", "b", "p"]
 
