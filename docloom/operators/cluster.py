@@ -1,7 +1,8 @@
 """From labelled tokens to attributes: spatial clusters, packed paragraphs, labelled lines and continuations over pages.
 
 All folds run inside the JVM (`aggregate` over a page's or document's array in
-reading order); the only shuffles are by page and then by document.
+reading order, with a state of fixed size); the only shuffles are by page and then
+by document.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stripped
 from ..schemas import DOCUMENT_TYPES, line_label_map
-from .tokens import fold_runs
+from .tokens import fold_runs, let, scan
 
 # Gaps allowed within a cluster, in widths and heights of its boxes; overlap that makes one line; length of a packed text; confidence that needs no review.
 LINE_GAP, BLOCK_GAP, LEFT_SHIFT, LINE_OVERLAP, PACKED, APPROVED_FROM = 1.5, 1.75, 2.0, 0.25, 600, 0.75
@@ -28,8 +29,8 @@ def _same(a: Column, b: Column) -> Column:
 
 
 def joins_cluster(run: Column, row: Column) -> Column:
-    """Whether a token goes on a cluster: places of the cluster's last token, block, paragraph and line of its first."""
-    first, last = F.get(run, F.lit(0)), F.get(run, F.size(run) - 1)
+    """Whether a token goes on a cluster (struct<first, last>): places of the cluster's last token, block, paragraph and line of its first."""
+    first, last = run["first"], run["last"]
 
     def side(t: Column, low: str, high: str) -> Column:
         return F.greatest(t[high] - t[low], F.lit(0))
@@ -47,13 +48,15 @@ def joins_cluster(run: Column, row: Column) -> Column:
 
 def joined_text(run: Column) -> Column:
     """Tokens joined by a blank line where the paragraph changes, a line feed where the line does, else a space."""
-    start = F.struct(F.lit("").alias("text"), F.lit(None).cast("int").alias("p"), F.lit(None).cast("int").alias("l"))
+    def parts(tokens: Column) -> Column:
+        def part(t: Column, k: Column) -> Column:
+            before = F.when(k > 0, F.get(tokens, k - 1))
+            sign = F.when(k == 0, "").when(before["paragraph_num"] != t["paragraph_num"], "\n\n").when(before["line_num"] != t["line_num"], "\n").otherwise(" ")
+            return F.concat(sign, t["token"])
 
-    def step(acc: Column, t: Column) -> Column:
-        sign = F.when(acc["p"].isNull(), "").when(acc["p"] != t["paragraph_num"], "\n\n").when(acc["l"] != t["line_num"], "\n").otherwise(" ")
-        return F.struct(F.concat(acc["text"], sign, t["token"]).alias("text"), t["paragraph_num"].alias("p"), t["line_num"].alias("l"))
+        return F.array_join(F.transform(tokens, part), "")
 
-    return stripped(F.aggregate(run, start, step, lambda acc: acc["text"]))
+    return stripped(let(run, parts))
 
 
 def _mean(run: Column, field: str = "confidence") -> Column:
@@ -75,7 +78,7 @@ def spatial_clusters(predictions: DataFrame, page: str = "page_id", threshold: f
         rows = rows.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
     order = ["block_num", "paragraph_num", "line_num", "y0", "x0", "token_index", "x1", "y1", "token", "confidence"]
     grouped = rows.groupBy(page, "label").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("t"), F.min("token_index").alias("seen"))
-    runs = grouped.select(page, "label", "seen", F.explode(fold_runs(F.col("t"), joins_cluster)).alias("run"))
+    runs = grouped.select(page, "label", "seen", F.explode(fold_runs(F.col("t"), lambda t: F.struct(t.alias("first"), t.alias("last")), joins_cluster, lambda run, t: F.struct(run["first"].alias("first"), t.alias("last")))).alias("run"))
     mean = _mean(F.col("run"))
     head = F.get("run", F.lit(0))
     place = [head[c] for c in order[:5]]
@@ -93,7 +96,7 @@ def packed_paragraphs(tokens: DataFrame, page: str = "page_id", most: int = PACK
     grouped = rows.groupBy(page, F.coalesce("block_num", F.lit(0)).alias("b"), F.coalesce("paragraph_num", F.lit(0)).alias("p")).agg(
         F.array_sort(F.collect_list(F.struct("token_index", "token", "conf_pct"))).alias("t"), F.min("token_index").alias("seen"))
     text = lambda run: F.array_join(F.transform(run, lambda t: t["token"]), " ")
-    runs = grouped.select(page, "seen", F.posexplode(fold_runs(F.col("t"), lambda run, row: F.length(text(run)) + 1 + F.length(row["token"]) <= most)).alias("k", "run"))
+    runs = grouped.select(page, "seen", F.posexplode(fold_runs(F.col("t"), lambda t: F.length(t["token"]), lambda used, t: used + 1 + F.length(t["token"]) <= most, lambda used, t: used + 1 + F.length(t["token"]))).alias("k", "run"))
     w = W.partitionBy(page)
     runs = runs.withColumn("chunk_index", F.row_number().over(w.orderBy("seen", "k"))).withColumn("n", F.count(F.lit(1)).over(w))
     label = F.when(F.col("n") > 1, F.concat(F.lit("ocr_text_"), F.col("chunk_index").cast("string"))).otherwise("ocr_text")
@@ -106,9 +109,6 @@ def _label_lookup(types: dict) -> Column:
     return F.create_map(*[x for t, labels in line_label_map(types).items() for x in (F.lit(t), F.create_map(*[y for a, c in labels.items() for y in (F.lit(a), F.lit(c))]))])
 
 
-_CANDIDATE = "struct<label:string,parts:array<string>,boxes:array<array<int>>,confs:array<double>,para:string>"
-
-
 def labelled_lines(tokens: DataFrame, page: str = "page_id", document_type: str = "document_type", types: dict = DOCUMENT_TYPES) -> DataFrame:
     """page, field_index, entity_type_label, extracted_value, bounding_boxes, confidence_score, validation_status of pages whose lines carry labels.
 
@@ -139,43 +139,36 @@ def labelled_lines(tokens: DataFrame, page: str = "page_id", document_type: str
                     F.transform("own", lambda x: x["box"]).alias("boxes"), F.transform("own", lambda x: x["conf"]).alias("confs"))
     pages = lines.groupBy(page, "__type").agg(F.array_sort(F.collect_list(line)).alias("lines"))
 
-    none = F.lit(None).cast(_CANDIDATE)
-    empty = F.array().cast(f"array<{_CANDIDATE}>")
-
-    def state(done: Column, current: Column, body: Column) -> Column:
-        return F.struct(done.alias("done"), current.cast(_CANDIDATE).alias("current"), body.cast(_CANDIDATE).alias("body"))
-
-    def plus(done: Column, *found: Column) -> Column:
-        for x in found:
-            done = F.when(x.isNotNull(), F.concat(done, F.array(x))).otherwise(done)
-        return done
-
-    def fresh(label: Column, x: Column) -> Column:
-        return F.struct(label.alias("label"), F.array(x["part"]).alias("parts"), x["boxes"].alias("boxes"), x["confs"].alias("confs"), x["para"].alias("para")).cast(_CANDIDATE)
+    # A state of (fields so far, what is open, the body's paragraph) gives each line the number of its field, or none, and a new body's label.
+    def state(n: Column, opened: Column, para: Column) -> Column:
+        return F.struct(n.alias("n"), opened.alias("open"), para.alias("para"))
 
-    def grown(c: Column, x: Column) -> Column:
-        return F.struct(c["label"].alias("label"), F.concat(c["parts"], F.array(x["part"])).alias("parts"), F.concat(c["boxes"], x["boxes"]).alias("boxes"), F.concat(c["confs"], x["confs"]).alias("confs"), c["para"].alias("para")).cast(_CANDIDATE)
+    def gives(after: Column, number: Column, label: Column) -> Column:
+        return F.struct(after.alias("state"), F.struct(number.alias("number"), label.alias("label")).alias("out"))
 
+    nothing, field_open, body_open = F.lit(0), F.lit(1), F.lit(2)
+    no_number, no_label = F.lit(None).cast("int"), F.lit(None).cast("string")
     letter = F.col("__type") == "letter"
 
-    def step(acc: Column, x: Column) -> Column:
-        done, current, body = acc["done"], acc["current"], acc["body"]
-        opened = state(plus(done, current, body), fresh(x["field"], x), none)
-        plain = F.when(current.isNotNull(), state(done, grown(current, x), body)).otherwise(acc)
-        closed = plus(done, current)
-        bare = state(closed, none, body)  # a label without value ends the field in a letter, and isn't body
-        same = body.isNotNull() & (body["para"] == x["para"])
-        ended = plus(closed, body)
-        new_body = fresh(F.concat(F.lit("body_"), (F.size(ended) + 1).cast("string")), x)
-        in_letter = F.when(x["field"].isNotNull(), bare).when(same, state(closed, none, grown(body, x))).otherwise(state(ended, none, new_body))
+    def step(s: Column, x: Column) -> Column:
+        n, new = s["n"], s["n"] + 1
+        opened = gives(state(new, field_open, no_label), new, x["field"])
+        plain = gives(s, F.when(s["open"] == field_open, n), no_label)
+        # a label without value ends the field in a letter, and isn't body
+        bare = gives(state(n, F.when(s["open"] == field_open, nothing).otherwise(s["open"]), s["para"]), no_number, no_label)
+        on = gives(s, n, no_label)
+        body = gives(state(new, body_open, x["para"]), new, F.concat(F.lit("body_"), new.cast("string")))
+        in_letter = F.when(x["field"].isNotNull(), bare).when((s["open"] == body_open) & (s["para"] == x["para"]), on).otherwise(body)
         return F.when(x["opens"], opened).when(letter, in_letter).otherwise(plain)
 
-    found = F.aggregate("lines", state(empty, none, none), step, lambda acc: plus(acc["done"], acc["current"], acc["body"]))
-    out = pages.select(page, F.posexplode(found).alias("k", "c"))
-    text = stripped(F.array_join(F.filter("c.parts", lambda p: p != ""), "\n"))
-    out = out.withColumn("extracted_value", text).where("extracted_value <> ''")
-    mean = F.round(F.aggregate("c.confs", F.lit(0.0), lambda a, v: a + v) / F.greatest(F.size("c.confs"), F.lit(1)), 9)
-    out = out.select(page, F.row_number().over(W.partitionBy(page).orderBy("k")).alias("field_index"), F.col("c.label").alias("entity_type_label"), "extracted_value", F.col("c.boxes").alias("bounding_boxes"), mean.alias("confidence_score"))
+    given = scan(F.col("lines"), state(F.lit(0), nothing, no_label), step, "struct<number:int,label:string>")
+    rows = pages.select(page, "__type", F.posexplode(F.arrays_zip(F.col("lines").alias("x"), given.alias("g"))).alias("k", "z")).where("z.g.number is not null")
+    item = F.struct("k", F.col("z.x.part").alias("part"), F.col("z.x.boxes").alias("boxes"), F.col("z.x.confs").alias("confs"))
+    fields = rows.groupBy(page, "__type", F.col("z.g.number").alias("number")).agg(F.array_sort(F.collect_list(item)).alias("c"), F.max("z.g.label").alias("label"))
+    text = stripped(F.array_join(F.filter(F.transform("c", lambda x: x["part"]), lambda p: p != ""), "\n"))
+    out = fields.withColumn("extracted_value", text).where("extracted_value <> ''").withColumn("confs", F.flatten(F.transform("c", lambda x: x["confs"])))
+    mean = F.round(F.aggregate("confs", F.lit(0.0), lambda a, v: a + v) / F.greatest(F.size("confs"), F.lit(1)), 9)
+    out = out.select(page, F.row_number().over(W.partitionBy(page).orderBy("number")).alias("field_index"), F.col("label").alias("entity_type_label"), "extracted_value", F.flatten(F.transform("c", lambda x: x["boxes"])).alias("bounding_boxes"), mean.alias("confidence_score"))
     return out.withColumn("validation_status", gate(F.col("confidence_score")))
 
 

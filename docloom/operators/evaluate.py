@@ -15,24 +15,29 @@ def _box(prefix: str) -> list[Column]:
     return [F.col(f"{prefix}{c}") for c in ("x0", "y0", "x1", "y1")]
 
 
+def _side(boxes: DataFrame, page: str) -> DataFrame:
+    part = F.col("box_part") if "box_part" in boxes.columns else F.lit(0)
+    return boxes.select(F.col(page).alias("__page"), F.col("box_order").alias("__order"), part.alias("__part"), F.col("label").alias("__label"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
+
+
 def best_overlap_labels(tokens: DataFrame, boxes: DataFrame, page: str = "page_id", token: str = "token_index", least: float = 0.1) -> DataFrame:
-    """tokens with `label` and `iou`: of the page's boxes (box_order, label, x0..y1) the one with the largest overlap, the first of equals; O under `least`.
+    """tokens with `label` and `iou`: of the page's boxes (box_order, perhaps box_part, label, x0..y1) the one with the largest overlap, the first of equals; O under `least`.
 
     An equi-join on the page with a filter on positive overlap, then one aggregation, which combines before its shuffle.
     """
-    side = boxes.select(F.col(page).alias("__page"), F.col("box_order").alias("__order"), F.col("label").alias("__label"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
+    side = _side(boxes, page)
     pairs = tokens.join(side, (F.col(page) == F.col("__page")) & overlaps(_box(""), _box("b_")))
     pairs = pairs.withColumn("__iou", iou(_box(""), _box("b_"))).where("__iou > 0")
-    best = pairs.groupBy(page, token).agg(F.max(F.struct("__iou", (-F.col("__order")).alias("o"), F.col("__label").alias("l"))).alias("m"))
+    best = pairs.groupBy(page, token).agg(F.max(F.struct("__iou", F.bitwise_not("__order").alias("o"), F.bitwise_not("__part").alias("p"), F.col("__label").alias("l"))).alias("m"))
     joined = tokens.join(best, [page, token], "left")
     return joined.withColumn("iou", F.coalesce("m.__iou", F.lit(0.0))).withColumn("label", F.when(F.col("iou") >= least, F.col("m.l")).otherwise(OUTSIDE)).drop("m")
 
 
 def overlap_index(tokens: DataFrame, boxes: DataFrame, page: str = "page_id", token: str = "token_index") -> DataFrame:
     """Each token with the last of the boxes (box_order) that overlap it."""
-    side = boxes.select(F.col(page).alias("__page"), F.col("box_order").alias("__order"), F.col("label").alias("__label"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
+    side = _side(boxes, page)
     pairs = tokens.join(side, (F.col(page) == F.col("__page")) & overlaps(_box(""), _box("b_")))
-    return pairs.groupBy(page, token).agg(F.max_by("__label", F.struct("__order", "__label")).alias("label"), F.count(F.lit(1)).alias("n_boxes"))
+    return pairs.groupBy(page, token).agg(F.max_by("__label", F.struct("__order", "__part", "__label")).alias("label"), F.count(F.lit(1)).alias("n_boxes"))
 
 
 def last_by_key(records: DataFrame, key: str = "key", ordinal: str = "ordinal") -> DataFrame:

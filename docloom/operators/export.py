@@ -11,7 +11,7 @@ from .labels import normalize_labels
 
 
 def attribute_boxes_of(attributes: DataFrame, page_sizes: DataFrame | None = None) -> DataFrame:
-    """One row a box: page_id, box_order (attribute, then box), label, x0..y1 in 0..1000 (page_sizes: page_id, width, height)."""
+    """One row a box: page_id, box_order (the attribute's id) and box_part (its box's number), label, x0..y1 in 0..1000 (page_sizes: page_id, width, height)."""
     from ..functions.geometry import attribute_boxes
 
     rows = attributes
@@ -20,8 +20,7 @@ def attribute_boxes_of(attributes: DataFrame, page_sizes: DataFrame | None = Non
     else:
         rows = rows.join(page_sizes.select("page_id", F.col("width").alias("__w"), F.col("height").alias("__h")), "page_id", "left").na.fill(1, ["__w", "__h"])
     boxes = rows.select("page_id", "id", F.col("entity_type_label").alias("label"), F.posexplode(attribute_boxes(F.col("bounding_boxes"), F.col("__w"), F.col("__h"))).alias("k", "b"))
-    order = F.col("id") * 10_000 + F.col("k")
-    return boxes.select("page_id", order.alias("box_order"), "label", *[F.get("b", F.lit(k)).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))])
+    return boxes.select("page_id", F.col("id").alias("box_order"), F.col("k").alias("box_part"), "label", *[F.get("b", F.lit(k)).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))])
 
 
 def training_records(tokens: DataFrame, attributes: DataFrame, documents: DataFrame, aliases: DataFrame, page_sizes: DataFrame | None = None, least: float = 0.1) -> DataFrame:

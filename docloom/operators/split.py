@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import random
+import hashlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,8 @@ def hash_split(examples: DataFrame, group: str = "document_id", fractions: tuple
     _check(fractions)
     plain = [c for c, kind in examples.dtypes if "map<" not in kind]  # maps can't be hashed
     key = F.coalesce(F.col(group).cast("string"), F.concat(F.lit("example-"), F.col(ordinal).cast("string") if ordinal else F.xxhash64(*plain).cast("string")))
-    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
+    digest = F.md5(F.concat(key, F.lit(f":{seed}")))
+    u = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % 1_000_000 / 1_000_000.0
     return examples.withColumn("split", F.when(u < fractions[0], NAMES[0]).when(u < fractions[0] + fractions[1], NAMES[1]).otherwise(NAMES[2]))
 
 
@@ -28,8 +29,7 @@ def balanced_split(examples: DataFrame, group: str = "document_id", fractions: t
     sizes = examples.groupBy(F.col(group).alias("__group")).agg(F.count(F.lit(1)).alias("n")).orderBy("__group").limit(most_groups + 1).collect()
     if len(sizes) > most_groups:
         raise ValueError(f"more than {most_groups} groups: use hash_split")
-    order = list(sizes)
-    random.Random(seed).shuffle(order)
+    order = sorted(sizes, key=lambda r: hashlib.md5(f"{r['__group']}:{seed}".encode()).hexdigest())
     targets = [f * sum(r["n"] for r in sizes) for f in fractions]
     filled, rows = [0] * len(NAMES), []
     for r in order:

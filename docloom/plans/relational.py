@@ -235,8 +235,11 @@ def save_selected(spark: SparkSession, d: str) -> DataFrame:
 def staged_remaining(spark: SparkSession, d: str) -> DataFrame:
     """What is left after a partial save."""
     (rows,) = _v(spark, d, "staged")
-    staged = rows.withColumn("temp_id", F.concat(F.lit("t"), F.col("document_id"), F.lit("-"), F.col("ordinal")))
-    return staged.join(staged.where("confidence_score >= 0.5").select("temp_id"), "temp_id", "left_anti").select("temp_id")
+    staged = rows.withColumn("temp_id", F.concat(F.lit("t"), F.col("document_id"), F.lit("-"), F.col("ordinal"))).withColumn("bounding_boxes", F.array().cast("array<array<double>>"))
+    chosen = staged.where("confidence_score >= 0.5").withColumn("source", F.lit("model"))
+    pages = rows.select((F.col("document_id") * 100 + F.col("page_number")).alias("id"), "document_id", "page_number").distinct()
+    _, left = review.save_selected(staged, chosen, pages)
+    return left.select("temp_id")
 
 
 @query("""WITH RECURSIVE e AS (SELECT document_id, upper(trim(target)) AS target, page_rows, page_count, has_started, has_timing, row_number() OVER (PARTITION BY document_id ORDER BY seq) AS k FROM v_status_events),

@@ -208,5 +208,9 @@ def test_stitching_prefers_confidence_then_the_earlier_chunk(spark):
 
 
 def test_fold_runs_keeps_every_row(spark):
-    df = spark.createDataFrame([([1, 2, 4, 5, 6, 9],), ([],)], "x array<int>").select(tokens.fold_runs(F.col("x"), lambda run, row: row == F.get(run, F.size(run) - 1) + 1).alias("r"))
-    assert [r["r"] for r in df.collect()] == [[[1, 2], [4, 5, 6], [9]], []]
+    rng = random.Random(4)
+    values = [[1, 2, 4, 5, 6, 9], [], [7], [x for k in range(300) for x in range(1000 * k, 1000 * k + rng.randrange(1, 9))]]
+    df = spark.createDataFrame([(v,) for v in values], "x array<int>").select("x", tokens.fold_runs(F.col("x"), lambda row: row, lambda last, row: row == last + 1, lambda last, row: row).alias("r"))
+    for r in df.collect():
+        assert [x for run in r["r"] for x in run] == r["x"]
+        assert all(run == list(range(run[0], run[-1] + 1)) for run in r["r"]) and all(b[0] > a[-1] + 1 for a, b in zip(r["r"], r["r"][1:], strict=False))
