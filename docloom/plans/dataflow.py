@@ -235,16 +235,16 @@ _CLUSTERS = """
     ),
     t AS (SELECT *, CASE WHEN lag(token) OVER w IS NULL THEN '' WHEN lag(paragraph_num) OVER w <> paragraph_num THEN chr(10) || chr(10) WHEN lag(line_num) OVER w <> line_num THEN chr(10) ELSE ' ' END AS sign
           FROM (SELECT r.*, run FROM r JOIN fold USING (page_id, label, k)) WINDOW w AS (PARTITION BY page_id, label, run ORDER BY k)),
-    c AS (SELECT page_id, label, run, md5(string_agg(sign || token, '' ORDER BY k)) AS digest, count(*)::INT AS n_tokens, avg(conf_pct / 100.0) AS conf, min(k) AS k, min(seen) AS seen FROM t GROUP BY ALL)
+    c AS (SELECT page_id, label, run, md5(string_agg(sign || token, '' ORDER BY k)) AS digest, count(*)::INT AS n_tokens, avg(conf_pct / 100.0) AS conf, sum(conf_pct)::BIGINT AS percents, min(k) AS k, min(seen) AS seen FROM t GROUP BY ALL)
     SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY block_num, paragraph_num, line_num, y0, x0, c.seen, token_index) AS cluster_index, label AS entity_type_label, digest, n_tokens,
-           round(conf, 6) AS confidence_score, CASE WHEN round(conf, 9) >= 0.75 THEN 'APPROVED' ELSE 'HITL' END AS validation_status
+           percents, CASE WHEN round(conf, 9) >= 0.75 THEN 'APPROVED' ELSE 'HITL' END AS validation_status
     FROM c JOIN r USING (page_id, label, k)"""
 
 
 @query(_CLUSTERS, on_tokens=True)
 def spatial_clusters(spark: SparkSession, d: str) -> DataFrame:
     """W1 W2 O5 F11 A4."""
-    return cluster.spatial_clusters(_labelled_tokens(spark, d)).select("page_id", "cluster_index", "entity_type_label", F.md5("extracted_value").alias("digest"), F.size("bounding_boxes").alias("n_tokens"), F.round("confidence_score", 6).alias("confidence_score"), "validation_status")
+    return cluster.spatial_clusters(_labelled_tokens(spark, d)).select("page_id", "cluster_index", "entity_type_label", F.md5("extracted_value").alias("digest"), F.size("bounding_boxes").alias("n_tokens"), F.round(F.col("confidence_score") * F.size("bounding_boxes") * 100).cast("bigint").alias("percents"), "validation_status")
 
 
 @query("""WITH RECURSIVE p AS (SELECT page_id, paragraph_num, token, conf_pct, token_index, row_number() OVER (PARTITION BY page_id, paragraph_num ORDER BY token_index) AS k FROM tokens),
@@ -282,7 +282,7 @@ def _lines_sql() -> str:
               FROM fold JOIN line ON line.page_id = fold.page_id AND line.k = fold.k + 1)
     ),
     fields AS (SELECT page_id, number, max(label) AS label, trim(string_agg(part, chr(10) ORDER BY k) FILTER (part <> '')) AS v, flatten(list(confs ORDER BY k)) AS confs FROM line JOIN fold USING (page_id, k) WHERE number IS NOT NULL GROUP BY ALL)
-    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY number) AS field_index, label AS entity_type_label, md5(v) AS digest, len(confs)::INT AS n_boxes, round(list_avg(confs), 6) AS confidence_score,
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY number) AS field_index, label AS entity_type_label, md5(v) AS digest, len(confs)::INT AS n_boxes, round(list_sum(confs) * 100)::BIGINT AS percents,
            CASE WHEN round(list_avg(confs), 9) >= 0.75 THEN 'APPROVED' ELSE 'HITL' END AS validation_status
     FROM fields WHERE v <> ''"""
 
@@ -293,7 +293,7 @@ def labelled_lines(spark: SparkSession, d: str) -> DataFrame:
     word = F.element_at(F.array(*map(F.lit, ("Date:", "subject", "TO:", "Invoice"))), (F.floor(F.col("line_num") / 3) % 4 + 1).cast("int"))
     first = (F.col("word_num") == 1) & (F.col("line_num") % 3 == 0)
     rows = tokens(spark, d).withColumn("token", F.when(first, word).otherwise(F.col("token"))).withColumn("document_type", F.element_at(F.array(*map(F.lit, ("letter", "invoice", "form"))), (F.col("document_id") % 3 + 1).cast("int")))
-    return cluster.labelled_lines(rows).select("page_id", "field_index", "entity_type_label", F.md5("extracted_value").alias("digest"), F.size("bounding_boxes").alias("n_boxes"), F.round("confidence_score", 6).alias("confidence_score"), "validation_status")
+    return cluster.labelled_lines(rows).select("page_id", "field_index", "entity_type_label", F.md5("extracted_value").alias("digest"), F.size("bounding_boxes").alias("n_boxes"), F.round(F.col("confidence_score") * F.size("bounding_boxes") * 100).cast("bigint").alias("percents"), "validation_status")
 
 
 @query("""SELECT page_id, label, string_agg(sign || token, '' ORDER BY token_index) AS value FROM (
