@@ -500,25 +500,94 @@ def test_passages_are_removed(spark):
 # --- pipeline
 
 
+def plain_segments(scores):
+    """Scores of the maximal segments: the best one, then those on either side of it."""
+    todo, out = [(0, len(scores))], []
+    while todo:
+        low, high = todo.pop()
+        best, total, start, found = 0.0, 0.0, low, None
+        for k in range(low, high):
+            if total <= 0:
+                total, start = 0.0, k
+            total += scores[k]
+            if total > best + 1e-12:
+                best, found = total, (start, k + 1)
+        if found:
+            out.append(best)
+            todo += [(low, found[0]), (found[1], high)]
+    return out
+
+
+def toxic_by_brute_force(p, spark, docs):
+    """Ids of documents with a probability of 0.7 or more, by the stage's model and plain loops."""
+    import math
+
+    model = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"), learn=queries.fold(3) != 1)
+    out = set()
+    for r in docs.collect():
+        scores = list(model.token_scores(r["text"] or ""))
+        e = [model.scale * len(scores) * math.exp(-model.decay * s) for s in plain_segments(scores)]
+        if model.probability([x for x in e if x < model.e_value]) >= 0.7:
+            out.add(r["doc_id"])
+    return out
+
+
 def test_pipeline_stages_by_brute_force(spark):
+    import duckdb
+
     import corpus_pipeline as p
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    after = {}
     for name, stage in p.STAGES:
         before = docs
         docs = stage(spark, docs, SMALL).cache()
-        after[name] = docs
         if name != "mixing":
             assert sorted(docs.columns) == sorted(p.COLUMNS)
-        if name == "near_duplicates":
+        con = duckdb.connect()
+        con.register("documents", before.toPandas())
+        con.execute(f"create view benchmark as select * from '{SMALL}/benchmark.parquet'")
+        ids = {r["doc_id"] for r in docs.collect()}
+        if name == "toxicity":
+            assert ids == {r["doc_id"] for r in before.collect()} - toxic_by_brute_force(p, spark, before) and len(ids) < before.count()
+        elif name == "line_dedup":
+            wanted = con.execute(queries.ORACLE["op4_line_dedup"]).df()
+            assert {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in docs.collect()} == dict(zip(wanted.doc_id, wanted.kept_sha256, strict=True))
+            assert docs.where("n_chars <> length(text)").count() == 0
+        elif name == "near_duplicates":
             groups = jaccard_components([(r["doc_id"], r["text"]) for r in before.collect()], 5, 80)
-            assert {r["doc_id"] for r in docs.collect()} == {k for k, g in groups.items() if k == g}
-        if name == "line_dedup":
-            assert docs.count() == before.count() and docs.where("n_chars <> length(text)").count() == 0
-    # the mix takes less of sources that weigh less than their share, and none twice at these weights
-    mixed = after["mixing"]
-    assert 0 < mixed.count() and mixed.join(after["decontamination"], "doc_id", "left_anti").count() == 0
+            assert ids == {k for k, g in groups.items() if k == g}
+        elif name == "decontamination":
+            wanted = con.execute(queries.ORACLE["op10_decontamination"]).df()
+            assert ids == set(wanted[~wanted.contaminated].doc_id)
+        else:
+            same_rows(docs.toPandas(), con.execute(queries.ORACLE["op3_mixing"]).df())
+
+
+def test_pipeline_run_gives_its_stages_result(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for _, stage in p.STAGES:
+        docs = stage(spark, docs, SMALL)
+    same_rows(p.run(spark, SMALL).toPandas(), docs.toPandas())
+
+
+def test_texts_over_the_batch_and_segment_limits(spark):
+    """A text of more than 8 MB: over an Arrow batch, and over several segments of the repeated strings."""
+    from docloom.llm import common
+
+    rng = random.Random(6)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(80))
+    long = " ".join(f"w{rng.randrange(10**7)}" for _ in range(1_050_000)) + " " + passage
+    assert len(long) > common.BATCH_BYTES > suffix_dedup._SEGMENT
+    docs = spark.createDataFrame([(1, long), (2, "start " + passage), (3, "\n".join(["line"] * 3)), (4, long + " end")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n"]) for r in suffix_dedup.remove_repeats(docs.where("doc_id < 4")).select("doc_id", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").alias("n")).collect()}
+    assert got == {1: (len(passage) + 1, 1), 2: (len(passage) + 1, 1), 3: (0, 0)}
+    near = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert near == {1: 1, 2: 2, 3: 3, 4: 1}
+    assert {r["doc_id"]: r["n_lines"] for r in line_dedup.drop_shared_lines(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
+    bench = spark.createDataFrame([("a", passage)], "item_id string, text string")
+    assert {r["doc_id"]: r["n_hit"] for r in decontam.contamination(docs, bench).collect()} == {1: 80, 2: 80, 3: 0, 4: 80}
 
 
 def test_intermediates_can_be_removed(spark):
