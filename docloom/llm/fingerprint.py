@@ -171,9 +171,9 @@ def _with_next(docs: DataFrame, docs_each: int = RANGE_DOCS) -> DataFrame:
     step = F.broadcast(step.select("from_range", F.col("next.id").alias("n_id"), F.bitwise_not("next.h").alias("n_hash")))
     after = docs.join(step, F.col("id").eqNullSafe(F.col("n_id")) & (text_hash == F.col("n_hash"))).select("from_range", F.col("text").alias("first_text")).dropDuplicates(["from_range"])
 
-    inside = inner.where(F.col("next_text").isNotNull()).select("id", "text", "next_text")
-    last = inner.where(F.col("next_text").isNull()).join(after, F.col("range") == F.col("from_range")).select("id", "text", F.col("first_text").alias("next_text"))
-    return inside.unionByName(last)
+    # only a range's last document has no next one in it; the join keeps the rows where the window has put them
+    joined = inner.join(after, (F.col("range") == F.col("from_range")) & F.col("next_text").isNull(), "left")
+    return joined.select("id", "text", F.coalesce("next_text", "first_text").alias("next_text"))
 
 
 def edited_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
