@@ -287,3 +287,17 @@ def test_windowed_counts_drop_late_rows(spark, tmp_path):
 def test_softmax(spark):
     row = one(spark, evaluate.softmax(F.array(F.lit(1.0), F.lit(2.0))), evaluate.argmax_id(F.array(F.lit(1.0), F.lit(3.0), F.lit(3.0))))
     assert row[0][1] == pytest.approx(1 / (1 + math.exp(-1))) and row[1] == 1
+
+
+def test_boxes_of_large_ids_keep_their_order(spark):
+    """Ids near the end of the range, and an attribute with several boxes: the first of equal overlaps wins."""
+    from docloom.operators import evaluate, export
+
+    top = 2**62
+    boxes = [[0.0, 0.0, 100.0, 100.0], [0.0, 0.0, 100.0, 100.0]]
+    attributes = spark.createDataFrame([(1, top + 5, "later", boxes), (1, top + 4, "first", boxes), (1, -(2**63), "far", [[500.0, 500.0, 600.0, 600.0]])], "page_id long, id long, entity_type_label string, bounding_boxes array<array<double>>")
+    tokens_ = spark.createDataFrame([(1, 0, 0, 0, 100, 100), (1, 1, 500, 500, 600, 600)], "page_id long, token_index int, x0 int, y0 int, x1 int, y1 int")
+    found = export.attribute_boxes_of(attributes)
+    assert found.count() == 5
+    assert {r["token_index"]: r["label"] for r in evaluate.best_overlap_labels(tokens_, found).collect()} == {0: "first", 1: "far"}
+    assert {r["token_index"]: r["label"] for r in evaluate.overlap_index(tokens_, found).collect()} == {0: "later", 1: "far"}
