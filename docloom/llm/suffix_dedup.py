@@ -15,9 +15,9 @@ Where an anchor has several contexts, an enhanced suffix array over its
 occurrences (sorted right-hand sides with common-prefix lengths) is scanned with
 a stack, which gives its common-prefix interval tree: each node is a set of
 occurrences that share so many bytes to the right. Its members are ordered by
-their left-hand sides; runs with enough common bytes on the left are repeat
-groups with all their occurrences; a node whose members all go on alike to the
-left gives nothing that a longer one didn't.
+their left-hand sides; runs with enough common bytes on the left, and different
+next bytes on both sides, are the maximal repeat groups with all their
+occurrences, and what is removed is what these cover.
 
 A group of more than `GROUP` contexts is first dealt out: a window `d` bytes
 left of its anchor lies in one of four parts of the possible range of d, and the
@@ -39,7 +39,7 @@ nothing; matches may overlap themselves; repeated rows are one document (see
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,7 @@ _PLACE = 24  # bits of a position within a segment; longer texts are cut into se
 _SEGMENT = 1 << 20
 _U64 = np.uint64
 _ROW = ["h", "c1", "c2", "doc_id", TEXT_HASH, "a", "b", "p"]
+_SPAN = ["doc_id", TEXT_HASH, "s", "e", "repeat"]
 
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -295,21 +296,14 @@ def repeat_groups(rows: list[tuple[bytes, bytes]], length: int) -> Iterator[tupl
     """
     for right, members, lefts in _tree_nodes(rows, length):
         for left, start, end in prefix_intervals(lefts):
-            group = members[start : end + 1]
-            following = {rows[k][1][right : right + 1] for k in group}
-            if left + right >= length and (len(following) > 1 or b"" in following):
-                yield left, right, group
+            if left + right >= length:
+                group = members[start : end + 1]
+                following = {rows[k][1][right : right + 1] for k in group}
+                if len(following) > 1 or b"" in following:
+                    yield left, right, group
 
 
-def covered(rows: list[tuple[bytes, bytes]], length: int) -> Iterator[tuple[int, int, int]]:
-    """(occurrence, bytes left, bytes right): for each node the most that the occurrence shares with another one of it, a neighbour by left-hand side."""
-    for right, members, lefts in _tree_nodes(rows, length):
-        for k, before, after in zip(members, [-1, *lefts], [*lefts, -1], strict=True):
-            if max(before, after) + right >= length:
-                yield k, max(before, after), right
-
-
-def united(spans: list[tuple[int, int]]) -> list[list[int]]:
+def united(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
     """Disjoint half-open spans that don't touch, in order."""
     joined: list[list[int]] = []
     for start, end in sorted(spans):
@@ -320,13 +314,16 @@ def united(spans: list[tuple[int, int]]) -> list[list[int]]:
     return joined
 
 
-def _compare(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _compare(length: int, groups: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Spans of the maximal repeat groups among each key's contexts: united for each occurrence or, with groups, each under its string's hash."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out, kind = None, [], [], pa.int64()
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", TEXT_HASH, "s", "e"])
+            types = (kind, pa.int64(), pa.int32(), pa.int32(), pa.int64())[: 4 + groups]
+            columns = list(zip(*out, strict=True)) or [()] * len(types)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _SPAN[: 4 + groups])
             out.clear()
             return batch
 
@@ -334,9 +331,15 @@ def _compare(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             rows = list({(doc, text_hash, p): (doc, text_hash, a, p, context) for doc, text_hash, a, p, context in held}.values())  # repeated rows are one document
             if len(rows) < 2:
                 return
-            spans: dict[int, list[tuple[int, int]]] = {}
-            for k, left, right in covered([(c[: p - a][::-1], c[p - a :]) for _, _, a, p, c in rows], length):
-                spans.setdefault(k, []).append((rows[k][3] - left, rows[k][3] + right))
+            spans: dict[int, set[tuple[int, int]]] = {}
+            for left, right, group in repeat_groups([(c[: p - a][::-1], c[p - a :]) for _, _, a, p, c in rows], length):
+                if groups:
+                    _, _, a, p, context = rows[group[0]]
+                    repeat = xxhash.xxh3_64_intdigest(context[p - a - left : p - a + right]) - 2**63
+                    out.extend((*rows[k][:2], rows[k][3] - left, rows[k][3] + right, repeat) for k in group)
+                else:
+                    for k in group:
+                        spans.setdefault(k, set()).add((rows[k][3] - left, rows[k][3] + right))
             out.extend((rows[k][0], rows[k][1], s, e) for k, found in spans.items() for s, e in united(found))
 
         for batch in batches:
@@ -345,9 +348,9 @@ def _compare(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 if new != key:
                     close()
                     key, held = new, []
+                    if len(out) > 5000:
+                        yield flush()
                 held.append(row)
-            if len(out) > 5000:
-                yield flush()
         close()
         if out:
             yield flush()
@@ -355,9 +358,13 @@ def _compare(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return rows
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, within: DataFrame | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, within: DataFrame | None = None, groups: bool = False) -> DataFrame:
     """doc_id, text hash, s and e (bytes, half-open, may overlap) of strings of `length` bytes or more that also start elsewhere.
 
+    groups: one row for each repeat group an occurrence is in, with `repeat`, the group's number, which rows of equal strings
+    share. Occurrences whose contexts are equal as a whole are a group of their own, a class, and one of them stands for the
+    class in groups with other contexts; so a group's occurrences are its rows and those of the classes that these stand for.
+
     within: doc_id, text hash and within (array of [s, e]); if given, only these runs of these documents are looked at.
     """
     if length < 2 * GRAM:
@@ -375,7 +382,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         found = stored(rows.mapInArrow(_sort_out(more), f"kind int, n int, {kind}"), "sorted")
         again = found.where(F.col("kind") == EDGE).groupBy("h", "c1", "c2").agg(F.sum("n").alias("n")).where("n > 1").select("h", "c1", "c2")
         done = found.where(F.col("kind") == DONE).unionByName(found.where(F.col("kind") == OPEN).join(again, ["h", "c1", "c2"], "left_semi").select(*found.columns))
-        return done.select("doc_id", TEXT_HASH, F.col("a").alias("s"), (F.col("b") + length).alias("e")), found
+        repeat = [F.xxhash64("h", "c1", "c2").alias("repeat")] if groups else []
+        return done.select("doc_id", TEXT_HASH, F.col("a").alias("s"), (F.col("b") + length).alias("e"), *repeat), found
 
     anchored = stored(docs.mapInArrow(_anchor_rows(length), anchor_row), "anchors")
     spans, found = settled(anchored, anchor_row)
@@ -404,7 +412,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for more in small[1:]:
         pile = pile.unionByName(more)
     grouped = pile.repartition(parts, "key").sortWithinPartitions("key")
-    spans = stored(spans.unionByName(grouped.mapInArrow(_compare(length), f"{ident}, s int, e int")), "spans")
+    spans = stored(spans.unionByName(grouped.mapInArrow(_compare(length, groups), f"{ident}, s int, e int" + (", repeat long" if groups else ""))), "spans")
     release(*tables)
     return spans
 

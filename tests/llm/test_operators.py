@@ -314,6 +314,21 @@ def test_repeat_groups_have_all_occurrences():
     assert found == {(0, 8): [0, 2], (0, 6): [0, 1, 2]}
 
 
+@pytest.mark.parametrize("group", [512, 6])
+def test_repeat_groups_are_equal_strings_and_cover_what_is_removed(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    rows = repeat_rows(random.Random(12))
+    text = {k: t.encode() for k, t in rows}
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), length=80, groups=True).collect()
+    strings, members, gone = {}, {}, {k: set() for k in text}
+    for r in got:
+        strings.setdefault(r["repeat"], set()).add(text[r["doc_id"]][r["s"] : r["e"]])
+        members.setdefault(r["repeat"], set()).add((r["doc_id"], r["s"]))
+        gone[r["doc_id"]].update(range(r["s"], r["e"]))
+    assert all(len(x) == 1 for x in strings.values()) and all(len(x) > 1 for x in members.values())
+    assert {k: bytes(c for i, c in enumerate(t) if i not in gone[k]) for k, t in text.items()} == brute_repeats(rows, 80)
+
+
 # --- language
 
 
