@@ -98,6 +98,18 @@ def progress(status: Column) -> Column:
     return F.when(known == "QUEUED", 35).when(known == "PROCESSING", 67).when(known.isin("PROCESSED", "FAILED"), 100).otherwise(20)
 
 
+def date_shown(value: Column) -> Column:
+    return F.coalesce(F.date_format(value, "MMM d, yyyy"), F.lit("Unknown date"))
+
+
+def age_shown(value: Column, now: Column) -> Column:
+    """How long ago, in rounded minutes (one at least), hours or days; each is rounded from the one before it."""
+    minutes = F.greatest(F.lit(1), F.floor(F.timestamp_diff("MICROSECOND", value, now) / 60e6 + 0.5))
+    hours = F.floor(minutes / 60 + 0.5)
+    text = F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min ago"))).when(hours < 24, F.concat(hours.cast("string"), F.lit(" hr ago")))
+    return F.when(value.isNull(), "Just now").otherwise(text.otherwise(F.concat(F.floor(hours / 24 + 0.5).cast("string"), F.lit(" d ago"))))
+
+
 def seconds_between(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, end) / 1e6
 

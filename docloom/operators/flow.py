@@ -6,10 +6,12 @@ before this, as several branches read them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import record_key, stable_id
+from ..functions.text import dataset_identity, record_key, stable_id
 from ..schemas import DOCUMENT_TYPES, alias_table, keyword_table
 from . import cluster, evaluate, labels
 from . import tokens as tok
@@ -87,3 +89,37 @@ def evaluate_records(predictions: DataFrame, truth: DataFrame, least: float = 0.
         "field_exact_match_rate": match["rate"],
         "per_label": {r["label"]: {k: r[k] for k in ("precision", "recall", "f1")} for r in per},
     }
+
+
+def predicted_records(spark: SparkSession, folder: str, engine: Callable | None = None, predictor: Callable | None = None, decoders: dict | None = None) -> DataFrame:
+    """A record (``schemas.ANNOTATED_PAGE``) for each page of each image under folder, tokens with boxes in 0..1000, labels and confidences.
+
+    engine and predictor are factories as in ``sources.boundary``. Without an engine tokens are a page's dark regions; without a
+    predictor their label is OCR with confidence 0. A page without tokens gives a record with empty arrays; no image is an error.
+    """
+    from ..functions.geometry import normalized
+    from ..sources import boundary, pages, readers
+
+    root = readers.absolute(spark, folder)
+    files = readers.read_images(spark, folder, "*.{" + ",".join(x[1:] for x in (".png", ".tif", ".tiff", *(decoders or {}))) + "}")
+    if files.isEmpty():
+        raise ValueError(f"no images in {folder}")
+    images = pages.page_images(files, decoders).select("*", F.xxhash64("path", "page_number").alias("page_id"))
+    found = boundary.extract_tokens(images.select(F.col("path").alias("document"), "page_number", "content"), engine or boundary.region_engine())
+    size = images.select(F.col("path").alias("document"), "page_number", "page_id", "width", "height")
+    placed = size.join(found, ["document", "page_number"], "left")
+    box = F.array(*[F.coalesce(x, F.lit(0)).cast("int") for x in normalized([F.col(c) for c in ("x0", "y0", "x1", "y1")], F.col("width"), F.col("height"))])
+    item = F.struct("token_index", "token", box.alias("box"))
+    per = placed.groupBy("document", "page_number", "page_id").agg(F.array_sort(F.collect_list(F.when(F.col("token_index").isNotNull(), item))).alias("t"))
+    rows = per.select("*", F.lit(0).alias("chunk_start"), F.lit(None).cast("string").alias("document_type"), *[F.transform("t", lambda x: x[c]).alias(n) for c, n in (("token", "tokens"), ("box", "bboxes"))])  # noqa: B023
+    if predictor is None:
+        labelled = rows.select("*", F.transform("tokens", lambda _: F.lit("OCR")).alias("labels"), F.transform("tokens", lambda _: F.lit(0.0)).alias("confidences"))
+    else:
+        out = F.array_sort(F.collect_list(F.struct("local_index", "label", "confidence")))
+        answers = boundary.predict_pages(rows, predictor).groupBy("page_id").agg(out.alias("p"))
+        p = F.coalesce("p", F.array().cast("array<struct<local_index:int,label:string,confidence:double>>"))
+        labelled = rows.join(answers, "page_id", "left").select(*rows.columns, F.transform(p, lambda x: x["label"]).alias("labels"), F.transform(p, lambda x: x["confidence"]).alias("confidences"))
+    relative = F.replace(F.col("document"), F.lit(root + "/"), F.lit(""))
+    document, number = dataset_identity(relative)
+    return labelled.select(F.regexp_replace(relative, r"(?<=[^/])\.[^./]+$", "").alias("id"), document.alias("document_id"), F.when(F.col("page_number") > 1, F.col("page_number")).otherwise(number).alias("page_id"),
+                           F.col("document").alias("image"), "tokens", "bboxes", "labels", "confidences", "document_type")

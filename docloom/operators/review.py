@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import stripped
+from ..functions.text import media_extension, stripped
 from ..schemas import TRANSITIONS
 
 
@@ -67,6 +67,15 @@ def accepted(status: Column, target: Column, event: Column) -> Column:
     return F.coalesce(known & edge & needs, F.lit(False))
 
 
+def may_follow(status: str, target: str, page_rows: int | None, page_count: int | None, has_started: bool | None, has_timing: bool | None) -> bool:
+    """`accepted` for plain values, where state lives outside of a plan."""
+    if target not in TRANSITIONS or (target != status and target not in TRANSITIONS[status]):
+        return False
+    rows = page_rows or 0
+    needs = {"PROCESSING": has_started, "PROCESSED": rows > 0 and rows == page_count and has_timing, "FAILED": has_timing, "APPROVED": rows > 0}
+    return bool(needs.get(target, True))
+
+
 def fold_status(events: DataFrame, document: str = "document_id", initial: str = "PENDING") -> DataFrame:
     """document, status, n_accepted, n_rejected after all its events in order (document, seq, target, page_rows, page_count, has_started, has_timing).
 
@@ -83,6 +92,20 @@ def fold_status(events: DataFrame, document: str = "document_id", initial: str =
     return rows.select(document, F.aggregate("e", start, step).alias("r")).select(document, "r.status", F.col("r.ok").alias("n_accepted"), F.col("r.bad").alias("n_rejected"))
 
 
+def queued_documents(uploads: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents to append, uploads refused): uploads (document_id, name, media_type, owner_id, timestamp) of an accepted kind, once each, as queued.
+
+    An upload whose document is there already is neither, so a batch that comes again appends nothing.
+    """
+    from ..sources.readers import check_uploads
+
+    checked = check_uploads(uploads)
+    fresh = checked.where("is_valid").dropDuplicates(["document_id"]).join(documents.select(F.col("id").alias("document_id")), "document_id", "left_anti")
+    values = {"id": F.col("document_id"), "name": F.col("name"), "format": F.substring(media_extension(F.col("name")), 2, 20), "owner_id": F.col("owner_id"), "timestamp": F.col("timestamp"), "status": F.lit("QUEUED"), "page_count": F.lit(0)}
+    rows = fresh.select(*[values.get(x.name, F.lit(None)).cast(x.dataType).alias(x.name) for x in documents.schema])
+    return rows, checked.where("not is_valid").drop("is_valid")
+
+
 def reprocessable(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("status").isin("CANCELED", "FAILED"))
 

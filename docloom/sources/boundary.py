@@ -2,13 +2,15 @@
 
 An OCR engine is a factory of functions bytes -> list of token dicts; a predictor
 is a factory of functions (tokens, boxes, document type) -> list of (label,
-confidence). The factory runs once a task, so a model is loaded once. Neither is
-shipped here; ``stub_predictor`` is deterministic and needs nothing.
+confidence). The factory runs once a task, so a model is loaded once. No model is
+shipped here; ``stub_predictor`` is deterministic and needs nothing, and
+``region_engine`` finds where words are but can't read them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import importlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -61,3 +63,25 @@ def stub_predictor(labels: tuple[str, ...] = ("O", "name", "date", "total")) ->
         return predict
 
     return factory
+
+
+def region_engine() -> Callable[[], Callable[[bytes], list[dict]]]:
+    """Tokens of confidence 0 for the dark regions of a PNG page."""
+
+    def factory() -> Callable[[bytes], list[dict]]:
+        from ..functions.images import fallback_tokens
+        from .pages import png_pages
+
+        return lambda data: fallback_tokens(png_pages(data)[0])
+
+    return factory
+
+
+#: The two that need nothing, by name (see ``named_factory``).
+region_factory, stub_factory = region_engine(), stub_predictor()
+
+
+def named_factory(name: str) -> Callable:
+    """The factory that `module:attribute` names."""
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)

@@ -49,6 +49,13 @@ def read_images(spark: SparkSession, path: str, pattern: str = "*.{png,jpg,jpeg,
     return files.select("path", document.alias("document"), page.alias("page_number"), "content")
 
 
+def absolute(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as readers report files under it."""
+    java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = java.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.getFileStatus(java).getPath().toString()
+
+
 def check_uploads(uploads: DataFrame, name: str = "name", media_type: str = "media_type") -> DataFrame:
     """uploads with is_valid: an accepted extension with its media type."""
     table = F.broadcast(format_table(uploads.sparkSession).select(F.col("extension").alias("__ext"), F.col("media_type").alias("__type")))  # a fixed table

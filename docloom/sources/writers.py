@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 # Fixed value: columns of the table export.
@@ -13,8 +13,6 @@ CSV_COLUMNS = (
 
 def write_jsonl(rows: DataFrame, path: str) -> int:
     """JSON lines; returns how many, counted as they are written."""
-    from pyspark.sql import Observation
-
     seen = Observation()
     rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(path)
     return seen.get["n"]
@@ -26,8 +24,11 @@ def as_csv_rows(rows: DataFrame) -> DataFrame:
     return rows.select(*[(F.to_json(c) if c in nested else F.col(c) if c in rows.columns else F.lit(None).cast("string")).alias(c) for c in CSV_COLUMNS])
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    as_csv_rows(rows).write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
+def write_csv(rows: DataFrame, path: str) -> int:
+    """The export as CSV; returns how many rows, counted as they are written."""
+    seen = Observation()
+    as_csv_rows(rows).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
+    return seen.get["n"]
 
 
 def as_json_documents(rows: DataFrame) -> DataFrame:
@@ -40,3 +41,13 @@ def as_json_documents(rows: DataFrame) -> DataFrame:
 def write_run(rows: DataFrame, path: str) -> None:
     """A run's configuration or metrics: one JSON row."""
     rows.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_clustered(rows: DataFrame, path: str, *keys: str, files: int | None = None) -> None:
+    """A table in ranges of its keys (such as owner_id, document_id), sorted within each file.
+
+    A lookup by the first key reads the few files and row groups whose least and greatest value enclose it; a key that holds
+    many rows goes on over several files if further keys tell its rows apart.
+    """
+    dealt = rows.repartitionByRange(files, *keys) if files else rows.repartitionByRange(*keys)
+    dealt.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)

@@ -7,16 +7,20 @@ replaces itself. Documents canceled in the meantime are left out before the sink
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.review import fold_status
+from ..operators.review import may_follow
 
 UPLOAD = "document_id bigint, name string, media_type string, owner_id string, text string"
 STATUS_EVENT = "document_id bigint, seq int, target string, page_rows int, page_count int, has_started boolean, has_timing boolean"
+_EVENT = ["seq", "target", "page_rows", "page_count", "has_started", "has_timing"]
+_STATUS = "status string, n_accepted long, n_rejected long"
 
 
 def stream_uploads(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -42,15 +46,29 @@ def run_ingest(uploads: DataFrame, sink: str, checkpoint: str, canceled: Callabl
 
 
 def run_status(spark: SparkSession, events: str, sink: str, checkpoint: str) -> StreamingQuery:
-    """After each micro-batch the status of every document with new events, folded over all of its events so far."""
+    """After each micro-batch the status of every document with new events.
+
+    A document's status and counts are kept as state, so a batch reads its own events only. Events are folded in order of
+    `seq` within a batch, and batches in order of arrival.
+    """
     stream = spark.readStream.schema(STATUS_EVENT).json(events)
 
-    def fold(batch: DataFrame, number: int) -> None:
-        seen = spark.read.schema(STATUS_EVENT).json(events)
-        touched = batch.select("document_id").distinct()
-        fold_status(seen.join(touched, "document_id", "left_semi")).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, good, bad = state.get if state.exists else ("PENDING", 0, 0)
+        rows = [tuple(None if pd.isna(v) else v for v in row) for frame in frames for row in frame[_EVENT].itertuples(index=False, name=None)]
+        for row in sorted(rows, key=lambda r: [(v is not None, v) for v in r]):
+            target = (row[1] or "").strip().upper()
+            taken = may_follow(status, target, *row[2:])
+            status, good, bad = target if taken else status, good + taken, bad + (not taken)
+        state.update((status, good, bad))
+        yield pd.DataFrame({"document_id": [key[0]], "status": [status], "n_accepted": [good], "n_rejected": [bad]})
+
+    now = stream.groupBy("document_id").applyInPandasWithState(fold, f"document_id long, {_STATUS}", _STATUS, "update", GroupStateTimeout.NoTimeout)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return now.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, time: str = "ts", kind: str = "event_type", late: str = "10 minutes", length: str = "1 hour") -> DataFrame:

@@ -271,7 +271,10 @@ def test_ingest_and_status_streams(spark, tmp_path):
     for k, target in enumerate(["QUEUED", "PROCESSING"]):
         (events / f"{k}.json").write_text(row(k, target))
         ingest.run_status(spark, str(events), str(tmp_path / "status"), str(tmp_path / "cp2")).awaitTermination(120)
-    assert {(r["batch"], r["status"]) for r in spark.read.parquet(str(tmp_path / "status")).collect()} == {(0, "QUEUED"), (1, "PROCESSING")}
+    (events / "9.json").write_text(row(3, " approved ") + "\n" + row(2, "PROCESSED"))
+    ingest.run_status(spark, str(events), str(tmp_path / "status"), str(tmp_path / "cp2")).awaitTermination(120)
+    got = {(r["batch"], r["status"], r["n_accepted"], r["n_rejected"]) for r in spark.read.parquet(str(tmp_path / "status")).collect()}
+    assert got == {(0, "QUEUED", 1, 0), (1, "PROCESSING", 2, 0), (2, "APPROVED", 4, 0)}
 
 
 def test_windowed_counts_drop_late_rows(spark, tmp_path):
