@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 from ..functions.text import label_key, stripped
 from ..schemas import UNKNOWN_TYPE
 
+#: Aliases that are sent to every executor at most.
+MOST_BROADCAST = 100_000
+
 
 def normalize_labels(rows: DataFrame, aliases: DataFrame, document_type: str = "document_type", label: str = "label") -> DataFrame:
     """rows with normalized_label: the alias's field for the (lower-cased) type, else the label stripped and lower-cased, else as it was."""
-    known = F.broadcast(aliases.select(F.col("document_type").alias("__type"), F.col("alias").alias("__alias"), "canonical"))  # a fixed dimension table
+    known = aliases.select(F.col("document_type").alias("__type"), F.col("alias").alias("__alias"), "canonical")
+    if known.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:  # so that rows aren't shuffled; a larger table is joined as the planner likes
+        known = F.broadcast(known)
     key = label_key(F.col(label))
     joined = rows.join(known, (F.lower(document_type) == F.col("__type")) & (key == F.col("__alias")), "left")
     plain = F.when(key != "", key).otherwise(F.col(label))

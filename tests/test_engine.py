@@ -304,3 +304,13 @@ def test_boxes_of_large_ids_keep_their_order(spark):
     assert found.count() == 5
     assert {r["token_index"]: r["label"] for r in evaluate.best_overlap_labels(tokens_, found).collect()} == {0: "first", 1: "far"}
     assert {r["token_index"]: r["label"] for r in evaluate.overlap_index(tokens_, found).collect()} == {0: "later", 1: "far"}
+
+
+@pytest.mark.parametrize("most", [0, 10])
+def test_aliases_are_broadcast_only_where_they_are_few(spark, monkeypatch, most):
+    monkeypatch.setattr(labels, "MOST_BROADCAST", most)
+    rows = spark.createDataFrame([("Invoice", " Total"), ("form", "x")], "document_type string, label string")
+    known = spark.createDataFrame([("invoice", "total", "total_amount")], "document_type string, alias string, canonical string")
+    found = labels.normalize_labels(rows, known)
+    assert {r["normalized_label"] for r in found.collect()} == {"total_amount", "x"}
+    assert ("ResolvedHint" in found._jdf.queryExecution().analyzed().toString()) == (most > 0)
