@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, langid, line_dedup, minhash, mixing, pii, suffix_dedup, toxicity, warc
+from . import conversations, decontam, filter_audit, fingerprint, langid, line_dedup, minhash, mixing, pii, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +72,36 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).select("doc_id", *counts, base.alias("base_sha256"), pii.listed(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, cut, repeated or given to the user, as crc32 of `conv_id:turn` has it; nulls become a space."""
+    space = F.lit(" ")
+    rows = rows.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"))
+    lot = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))) % 20
+    rows = rows.withColumn("lot", lot).where("lot <> 0")
+    text = F.when(F.col("lot") == 1, "").when(F.col("lot") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.select("conv_id", "turn", F.when(F.col("lot") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), F.when(F.col("lot") == 3, 2).otherwise(1))).alias("copy"))
+    return rows.drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    repair = conversations.Repair(damaged(rows))
+    named = lambda df, c: df.withColumnRenamed("conv_id", c)
+    out = rows.select("conv_id").distinct().join(named(repair.report(), "r"), F.col("conv_id").eqNullSafe(F.col("r")), "left")
+    out = out.join(named(conversations.digests(repair.turns()), "d"), F.col("conv_id").eqNullSafe(F.col("d")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
+    out = filter_audit.audit(table(spark, sf_dir, "documents"), filter_audit.standard_filters(), table(spark, sf_dir, "labels"), marked, copies="E")
+    return out.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
 QUERIES = {
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_filter_audit": op12_filter_audit,
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
     "op5_minhash": op5_minhash,
@@ -245,7 +274,85 @@ def _mixing_oracle(target: float = 0.98, repeats: float = 4.0, block: int = 200_
         SELECT doc_id, source, n AS n_tokens, epoch::INT AS epoch, b AS block, turn[1:16] || '-' || place[1:16] AS "order" FROM run WHERE NOT cut OR so_far <= room"""
 
 
+def _repair_oracle() -> str:
+    """The least (cost, letters) to the end by state, row by row from the last."""
+
+    def least(*paths: str) -> str:
+        return f"list_sort([{', '.join(paths)}])[1]"
+
+    def then(path: str, cost: str, letter: str, line: str | None) -> str:
+        return f"{{'c': {path}.c + {cost}, 's': '{letter}' || {path}.s, 't': {f'list_prepend({line}, {path}.t)' if line else f'{path}.t'}}}"
+
+    def layer(x: str) -> str:
+        """With what may be put in."""
+        return f"""SELECT g, i, {least(f"{x}0", "c2i")} AS b0, {least(f"{x}1", "c2i")} AS b1, c2 AS b2, {least(f"{x}3", "c2i")} AS b3 FROM (
+            SELECT *, {then("c2", "5", "I", "'user:'")} AS c2i FROM (SELECT *, {least(f"{x}2", then(f"{x}3", "5", "I", "'assistant:'"))} AS c2 FROM"""
+
+    far, none = "{'c': 1000000000::BIGINT, 's': '', 't': []::VARCHAR[]}", "{'c': 0::BIGINT, 's': '', 't': []::VARCHAR[]}"
+    stay = "CASE WHEN fault IN (2, 3) THEN 1000000000 WHEN fault = 1 THEN 5 ELSE 0 END"
+    own = "role || ':' || text"
+
+    def kept(to: dict[str, int]) -> str:
+        cases = " ".join(f"WHEN starts_with(role, '{r}') THEN {then(f'b{q}', stay, 'K', own)}" for r, q in to.items())
+        return f"CASE {cases} ELSE {far} END"
+
+    rows = [({"s": 1, "u": 2}, "user", 2), ({"u": 2}, "user", 2), ({"a": 3}, "assistant", 3), ({"u": 2}, "user", 2)]
+    raw = ", ".join(f"""{least(then(f"b{q}", "2", "D", None), kept(to), then(f"b{after}", f"1 + {stay}", "R", f"'{name}:' || text"))} AS r{q}""" for q, (to, name, after) in enumerate(rows))
+    crc = "xor(list_reduce([4294967295::BIGINT] || flatten([[ascii(k[j])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR j IN range(1, len(k) + 1)]), lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"
+    return f"""
+        WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+        lots AS (SELECT *, {crc} % 20 AS lot FROM raw),
+        dam AS (
+            SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+                   CASE WHEN lot = 1 THEN '' WHEN lot = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN lot = 3 THEN 2 ELSE 1 END)) AS copy
+            FROM lots WHERE lot <> 0
+        ), placed AS (
+            SELECT *, dense_rank() OVER (ORDER BY conv_id) AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+                   regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final FROM dam
+        ), faults AS (
+            SELECT *, CASE WHEN final = '' THEN 3 WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 THEN 2 WHEN final NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault,
+                   coalesce(role[1] || lead(role[1]) OVER (PARTITION BY g ORDER BY i) NOT IN ('su', 'ua', 'au'), false) AS odd FROM placed
+        ), counts AS (
+            SELECT g, any_value(conv_id) AS conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 3) AS blank,
+                   count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (odd) AS illegal FROM faults GROUP BY g
+        ), dp AS (
+            {layer("r")} (SELECT g, n AS i, {none} AS r0, {far} AS r1, {far} AS r2, {none} AS r3 FROM counts)))
+            UNION ALL
+            {layer("r")} (SELECT dp.g, dp.i - 1 AS i, {raw} FROM dp JOIN faults ON faults.g = dp.g AND faults.i = dp.i WHERE dp.i > 0)))
+        ), done AS (SELECT conv_id, gaps, blank, duplicate, truncated, illegal, b0 FROM dp JOIN counts USING (g) WHERE dp.i = 0)
+        SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(b0.c, 0) AS cost, coalesce(b0.s, '') AS audit, sha256(coalesce(array_to_string(b0.t, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN done ON o.conv_id IS NOT DISTINCT FROM done.conv_id"""
+
+
+def _audit_oracle() -> str:
+    return """
+        WITH lab AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        doc AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        firsts AS (SELECT t, min(doc_id) AS f FROM doc GROUP BY t),
+        masks AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                   (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT + 4 * (100 * len(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * len(t))::INT
+                   + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > f, false)::INT AS mask
+            FROM doc JOIN firsts USING (t) LEFT JOIN lab USING (doc_id)
+        ), counts AS (SELECT part, mask, count(*) AS n, sum(good) AS g, sum(toxic) AS x FROM masks GROUP BY ALL),
+        bits AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS b),
+        orders AS (
+            SELECT v.l || w.l || x.l || y.l || z.l AS filter_order, [v.b, w.b, x.b, y.b, z.b] AS s FROM bits v, bits w, bits x, bits y, bits z WHERE v.b + w.b + x.b + y.b + z.b = 31
+              AND len(list_distinct([v.l, w.l, x.l, y.l, z.l])) = 5
+        ), steps AS (SELECT filter_order, step, s[step] AS own, coalesce(list_sum(s[:step - 1]), 0)::INT AS before FROM orders, (SELECT unnest(range(1, 6))::INT AS step)),
+        sums AS (
+            SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (mask & (before | own) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & own > 0), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (mask & before > 0 AND mask & own > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(g) FILTER (mask & before = 0 AND mask & own > 0), 0)::BIGINT AS good_lost, coalesce(sum(x) FILTER (mask & before = 0 AND mask & own > 0), 0)::BIGINT AS toxic_lost
+            FROM counts, steps GROUP BY part, filter_order, step, own
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM sums"""
+
+
 ORACLE = {
+    "op11_conversation_repair": _repair_oracle(),
+    "op12_filter_audit": _audit_oracle(),
     "op3_mixing": _mixing_oracle(),
     "op2_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
