@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontam, filter_audit, fingerprint, langid, line_dedup, minhash, mixing, pii, suffix_dedup, toxicity, warc
+from . import conversations, decontam, filter_audit, fingerprint, graph_search, langid, line_dedup, minhash, mixing, pii, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,7 +99,13 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
 
 
+def op13_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return graph_search.Index(vectors, keep=20).search(vectors.where("vec_id % 20 = 0"), k=20)
+
+
 QUERIES = {
+    "op13_graph_search": op13_graph_search,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_filter_audit": op12_filter_audit,
     "op1_toxicity": op1_toxicity,

@@ -14,7 +14,7 @@ def test_query_equals_its_sql(spark, duck, name):
     same_rows(queries.QUERIES[name](spark, SMALL).toPandas(), duck.execute(queries.ORACLE[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE) - {"op13_graph_search"}))
 def test_query_without_sql_keeps_documents(spark, name):
     got = queries.QUERIES[name](spark, SMALL)
     n = spark.read.parquet(f"{SMALL}/documents.parquet").count()
