@@ -1,19 +1,22 @@
 """From labelled tokens to attributes: spatial clusters, packed paragraphs, labelled lines and continuations over pages.
 
-All folds run inside the JVM (`aggregate` over a page's or document's array in
-reading order, with a state of fixed size); the only shuffles are by page and then
-by document.
+Clusters and packing are folds along sorted rows (``folds``): what is remembered is
+one cluster or text. Labelled lines are windows. Continuations are `aggregate()`
+over a document's attributes. The only shuffles are by page and then by document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
 from ..schemas import DOCUMENT_TYPES, line_label_map
-from .tokens import fold_runs, let, scan
+from .folds import fold_sorted
+from .tokens import let
 
 # Gaps allowed within a cluster, in widths and heights of its boxes; overlap that makes one line; length of a packed text; confidence that needs no review.
 LINE_GAP, BLOCK_GAP, LEFT_SHIFT, LINE_OVERLAP, PACKED, APPROVED_FROM = 1.5, 1.75, 2.0, 0.25, 600, 0.75
@@ -23,27 +26,48 @@ def gate(confidence: Column, threshold: float = APPROVED_FROM) -> Column:
     return F.when(confidence >= threshold, "APPROVED").otherwise("HITL")
 
 
-def _same(a: Column, b: Column) -> Column:
-    """Equal numbers; 0 is unknown and fits all."""
-    return (a == 0) | (b == 0) | (a == b)
-
-
-def joins_cluster(run: Column, row: Column) -> Column:
-    """Whether a token goes on a cluster (struct<first, last>): places of the cluster's last token, block, paragraph and line of its first."""
-    first, last = run["first"], run["last"]
-
-    def side(t: Column, low: str, high: str) -> Column:
-        return F.greatest(t[high] - t[low], F.lit(0))
-
-    width = F.greatest(side(last, "x0", "x1"), side(row, "x0", "x1"))
-    heights = side(last, "y0", "y1"), side(row, "y0", "y1")
-    block, paragraph = _same(first["block_num"], row["block_num"]), _same(first["paragraph_num"], row["paragraph_num"])
-    shared = F.least(last["y1"], row["y1"]) - F.greatest(last["y0"], row["y0"])
-    level = (shared > 0) & (shared >= LINE_OVERLAP * F.greatest(F.least(*heights), F.lit(1)))
-    line = F.when((first["line_num"] != 0) & (row["line_num"] != 0), first["line_num"] == row["line_num"]).otherwise(level)
-    right, down = row["x0"] - last["x1"], row["y0"] - last["y1"]
-    below = block & (down >= 0) & (down <= BLOCK_GAP * F.greatest(*heights)) & (F.abs(row["x0"] - last["x0"]) <= LEFT_SHIFT * width)
-    return F.when(line & block & paragraph, right <= LINE_GAP * width).otherwise(below)
+#: Columns of a cluster's token from its block on, in reading order.
+_ORDER = ["block_num", "paragraph_num", "line_num", "y0", "x0", "token_index", "x1", "y1", "token", "confidence"]
+
+
+def joins_cluster(first: tuple, last: tuple, row: tuple) -> bool:
+    """Whether a token (values of _ORDER) goes on a cluster: places of the cluster's last token, block, paragraph and line of its first. 0 is unknown and fits all."""
+    width = max(last[6] - last[4], row[6] - row[4], 0)
+    high, tall = max(last[7] - last[3], 0), max(row[7] - row[3], 0)
+    block = first[0] == row[0] or not first[0] or not row[0]
+    if first[2] and row[2]:
+        line = first[2] == row[2]
+    else:
+        shared = min(last[7], row[7]) - max(last[3], row[3])
+        line = shared > 0 and shared >= LINE_OVERLAP * max(min(high, tall), 1)
+    if line and block and (first[1] == row[1] or not first[1] or not row[1]):
+        return row[4] - last[6] <= LINE_GAP * width
+    down = row[3] - last[7]
+    return block and 0 <= down <= BLOCK_GAP * max(high, tall) and abs(row[4] - last[4]) <= LEFT_SHIFT * width
+
+
+def _clusters(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Of a page's tokens of a label: place of the first token, least index, text, boxes and mean confidence of each cluster."""
+    first = last = None
+
+    def done() -> tuple:
+        return (*first[:6], seen, "".join(text), boxes, total / len(boxes))
+
+    for _, label, *row in rows:
+        if not label or not row[8]:
+            continue
+        if first is None or not joins_cluster(first, last, row):
+            if first is not None:
+                yield done()
+            first, seen, text, boxes, total = row, row[5], [row[8]], [], 0.0
+        else:
+            text.append(("\n\n" if last[1] != row[1] else "\n" if last[2] != row[2] else " ") + row[8])
+            seen = min(seen, row[5])
+        last = row
+        boxes.append([row[4], row[3], row[6], row[7]])
+        total += row[9]
+    if first is not None:
+        yield done()
 
 
 def joined_text(run: Column) -> Column:
@@ -59,49 +83,60 @@ def joined_text(run: Column) -> Column:
     return stripped(let(run, parts))
 
 
-def _mean(run: Column, field: str = "confidence") -> Column:
-    return F.aggregate(run, F.lit(0.0), lambda a, t: a + t[field]) / F.size(run)
-
-
-def _boxes(run: Column) -> Column:
-    return F.transform(run, lambda t: F.array(t["x0"], t["y0"], t["x1"], t["y1"]))
-
-
 def spatial_clusters(predictions: DataFrame, page: str = "page_id", threshold: float = APPROVED_FROM) -> DataFrame:
     """page, cluster_index, entity_type_label, extracted_value, bounding_boxes, confidence_score, validation_status.
 
-    predictions: page, token_index, token, label, confidence, x0..y1, block_num, paragraph_num, line_num. Tokens or labels without text are left out.
-    Clusters of a page are in reading order, those that begin alike in the order in which their labels are first seen.
+    predictions: page, token_index, token, label, confidence, x0..y1, block_num, paragraph_num, line_num. Tokens or labels without text, and tokens
+    without a whole box, are left out; a null confidence counts as 0. Clusters of a page are in reading order, those that begin alike in the order in
+    which their labels are first seen.
     """
-    rows = predictions.withColumn("label", stripped(F.col("label"))).withColumn("token", stripped(F.col("token"))).where("label <> '' and token <> '' and x0 is not null")
-    for c in ("block_num", "paragraph_num", "line_num"):
-        rows = rows.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
-    order = ["block_num", "paragraph_num", "line_num", "y0", "x0", "token_index", "x1", "y1", "token", "confidence"]
-    grouped = rows.groupBy(page, "label").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("t"), F.min("token_index").alias("seen"))
-    runs = grouped.select(page, "label", "seen", F.explode(fold_runs(F.col("t"), lambda t: F.struct(t.alias("first"), t.alias("last")), joins_cluster, lambda run, t: F.struct(run["first"].alias("first"), t.alias("last")))).alias("run"))
-    mean = _mean(F.col("run"))
-    head = F.get("run", F.lit(0))
-    place = [head[c] for c in order[:5]]
-    out = runs.select(page, F.row_number().over(W.partitionBy(page).orderBy(*place, "seen", head["token_index"])).alias("cluster_index"), F.col("label").alias("entity_type_label"),
-                      joined_text(F.col("run")).alias("extracted_value"), _boxes(F.col("run")).alias("bounding_boxes"), mean.alias("confidence_score"))
+    rows = predictions.select(page, "label", *_ORDER).na.drop(subset=["x0", "y0", "x1", "y1", "label", "token"]).repartition(page)
+    rows = rows.withColumns({c: stripped(F.col(c)) for c in ("label", "token")} | {c: F.coalesce(F.col(c), F.lit(0)) for c in ("block_num", "paragraph_num", "line_num", "confidence")})
+    place = ["block_num", "paragraph_num", "line_num", "y0", "x0"]
+    kinds = dict(rows.dtypes)
+    results = ", ".join(f"{c} {kinds[c]}" for c in (*place, "token_index")) + f", seen {kinds['token_index']}, extracted_value string, bounding_boxes array<array<{kinds['x0']}>>, confidence_score double"
+    runs = fold_sorted(rows, [page, "label"], _ORDER, _clusters, results, dealt=True).repartition(page)
+    runs = runs.withColumn("seen", F.min("seen").over(W.partitionBy(page, "label")))
+    index = F.row_number().over(W.partitionBy(page).orderBy(*place, "seen", "token_index"))
+    out = runs.select(page, index.alias("cluster_index"), F.col("label").alias("entity_type_label"), "extracted_value", "bounding_boxes", "confidence_score")
     return out.withColumn("validation_status", gate(F.col("confidence_score"), threshold))
 
 
+def _packs(most: int):
+    def packs(rows: Iterator[tuple]) -> Iterator[tuple]:
+        """Of a paragraph's tokens: least index, number, text, tokens and summed confidence of each text."""
+        seen, k, text, used, total = None, 0, [], 0, 0.0
+        for _, _, _, index, token, conf in rows:
+            if not token:
+                continue
+            seen = index if seen is None else seen
+            if text and used + 1 + len(token) > most:
+                yield seen, k, " ".join(text), len(text), total
+                k, text, used, total = k + 1, [], 0, 0.0
+            used += len(token) + bool(text)
+            text.append(token)
+            total += conf
+        if text:
+            yield seen, k, " ".join(text), len(text), total
+
+    return packs
+
+
 def packed_paragraphs(tokens: DataFrame, page: str = "page_id", most: int = PACKED) -> DataFrame:
     """page, chunk_index, entity_type_label, extracted_value, n_tokens, confidence_score: paragraphs packed into texts of up to `most` characters.
 
-    A longer token stands alone; paragraphs come in the order first seen; labels are numbered where a page has several texts.
+    A longer token stands alone; paragraphs come in the order first seen; labels are numbered where a page has several texts; a null confidence counts as 0.
     """
-    rows = tokens.withColumn("token", stripped(F.col("token"))).where("token <> ''")
-    grouped = rows.groupBy(page, F.coalesce("block_num", F.lit(0)).alias("b"), F.coalesce("paragraph_num", F.lit(0)).alias("p")).agg(
-        F.array_sort(F.collect_list(F.struct("token_index", "token", "conf_pct"))).alias("t"), F.min("token_index").alias("seen"))
-    text = lambda run: F.array_join(F.transform(run, lambda t: t["token"]), " ")
-    runs = grouped.select(page, "seen", F.posexplode(fold_runs(F.col("t"), lambda t: F.length(t["token"]), lambda used, t: used + 1 + F.length(t["token"]) <= most, lambda used, t: used + 1 + F.length(t["token"]))).alias("k", "run"))
+    paragraph = [page, "block_num", "paragraph_num"]
+    rows = tokens.select(page, *[F.coalesce(c, F.lit(0)).alias(c) for c in paragraph[1:]], "token_index", "token", F.coalesce(F.col("conf_pct").cast("double"), F.lit(0.0)).alias("conf_pct"))
+    rows = rows.na.drop(subset=["token"]).repartition(*paragraph).withColumn("token", stripped(F.col("token")))
+    results = f"seen {dict(rows.dtypes)['token_index']}, k int, extracted_value string, n_tokens int, total double"
+    runs = fold_sorted(rows, paragraph, ["token_index", "token", "conf_pct"], _packs(most), results, dealt=True)
     w = W.partitionBy(page)
     runs = runs.withColumn("chunk_index", F.row_number().over(w.orderBy("seen", "k"))).withColumn("n", F.count(F.lit(1)).over(w))
     label = F.when(F.col("n") > 1, F.concat(F.lit("ocr_text_"), F.col("chunk_index").cast("string"))).otherwise("ocr_text")
-    mean = F.round(_mean(F.col("run"), "conf_pct") / 100.0, 9)
-    return runs.select(page, "chunk_index", label.alias("entity_type_label"), text(F.col("run")).alias("extracted_value"), F.size("run").alias("n_tokens"), mean.alias("confidence_score"))
+    mean = F.round(F.col("total") / F.col("n_tokens") / 100.0, 9)
+    return runs.select(page, "chunk_index", label.alias("entity_type_label"), "extracted_value", "n_tokens", mean.alias("confidence_score"))
 
 
 def _label_lookup(types: dict) -> Column:
@@ -118,7 +153,8 @@ def labelled_lines(tokens: DataFrame, page: str = "page_id", document_type: str
     """
     kind = F.lower(F.coalesce(F.col(document_type), F.lit("")))
     lookup = _label_lookup(types)
-    rows = tokens.withColumn("__type", F.col(document_type)).withColumn("__known", F.try_element_at(lookup, kind)).where("__known is not null")
+    rows = tokens.repartition(page)  # lines, fields and their numbers all keep to it
+    rows = rows.withColumn("__type", F.col(document_type)).withColumn("__known", F.try_element_at(lookup, kind)).where("__known is not null")
     rows = rows.withColumn("token", stripped(F.coalesce("token", F.lit(""))))
     key = [F.coalesce(c, F.lit(0)).alias(c) for c in ("block_num", "paragraph_num", "line_num")]
     token = F.struct("token_index", "token", F.array("x0", "y0", "x1", "y1").alias("box"), (F.coalesce("conf_pct", F.lit(0.0)) / 100.0).alias("conf"))
@@ -135,36 +171,20 @@ def labelled_lines(tokens: DataFrame, page: str = "page_id", document_type: str
     words = F.size(F.filter(F.split("value", r"(?U)\s+"), lambda w: w != ""))
     own = F.when((words > 0) & (F.size("t") >= words), F.slice("t", F.size("t") - words + 1, words)).otherwise(F.col("t"))
     lines = lines.withColumn("opens", opens).withColumn("own", F.when(F.col("opens"), own).otherwise(F.col("t"))).withColumn("para", F.concat_ws(":", "block_num", "paragraph_num"))
-    line = F.struct("block_num", "paragraph_num", "line_num", "field", "opens", "para", F.when(F.col("opens"), stripped(F.col("value"))).otherwise(F.col("text")).alias("part"),
-                    F.transform("own", lambda x: x["box"]).alias("boxes"), F.transform("own", lambda x: x["conf"]).alias("confs"))
-    pages = lines.groupBy(page, "__type").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-
-    # A state of (fields so far, what is open, the body's paragraph) gives each line the number of its field, or none, and a new body's label.
-    def state(n: Column, opened: Column, para: Column) -> Column:
-        return F.struct(n.alias("n"), opened.alias("open"), para.alias("para"))
-
-    def gives(after: Column, number: Column, label: Column) -> Column:
-        return F.struct(after.alias("state"), F.struct(number.alias("number"), label.alias("label")).alias("out"))
-
-    nothing, field_open, body_open = F.lit(0), F.lit(1), F.lit(2)
-    no_number, no_label = F.lit(None).cast("int"), F.lit(None).cast("string")
-    letter = F.col("__type") == "letter"
-
-    def step(s: Column, x: Column) -> Column:
-        n, new = s["n"], s["n"] + 1
-        opened = gives(state(new, field_open, no_label), new, x["field"])
-        plain = gives(s, F.when(s["open"] == field_open, n), no_label)
-        # a label without value ends the field in a letter, and isn't body
-        bare = gives(state(n, F.when(s["open"] == field_open, nothing).otherwise(s["open"]), s["para"]), no_number, no_label)
-        on = gives(s, n, no_label)
-        body = gives(state(new, body_open, x["para"]), new, F.concat(F.lit("body_"), new.cast("string")))
-        in_letter = F.when(x["field"].isNotNull(), bare).when((s["open"] == body_open) & (s["para"] == x["para"]), on).otherwise(body)
-        return F.when(x["opens"], opened).when(letter, in_letter).otherwise(plain)
-
-    given = scan(F.col("lines"), state(F.lit(0), nothing, no_label), step, "struct<number:int,label:string>")
-    rows = pages.select(page, "__type", F.posexplode(F.arrays_zip(F.col("lines").alias("x"), given.alias("g"))).alias("k", "z")).where("z.g.number is not null")
-    item = F.struct("k", F.col("z.x.part").alias("part"), F.col("z.x.boxes").alias("boxes"), F.col("z.x.confs").alias("confs"))
-    fields = rows.groupBy(page, "__type", F.col("z.g.number").alias("number")).agg(F.array_sort(F.collect_list(item)).alias("c"), F.max("z.g.label").alias("label"))
+    lines = lines.select(page, "__type", "block_num", "paragraph_num", "line_num", "field", "opens", "para", F.when(F.col("opens"), stripped(F.col("value"))).otherwise(F.col("text")).alias("part"),
+                         F.transform("own", lambda x: x["box"]).alias("boxes"), F.transform("own", lambda x: x["conf"]).alias("confs"))
+
+    # In a letter a line without label goes on the body if it is of the paragraph of the last line that isn't bare (a label without value), and that was body too.
+    w = W.partitionBy(page, "__type").orderBy("block_num", "paragraph_num", "line_num")
+    before, now = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
+    letter, plain = F.col("__type") == "letter", ~F.col("opens") & F.col("field").isNull()
+    lines = lines.withColumn("bare", letter & ~F.col("opens") & F.col("field").isNotNull())
+    body = F.last(F.when(~F.col("bare"), F.when(F.col("opens"), "").otherwise(F.col("para"))), ignorenulls=True).over(before)
+    lines = lines.withColumn("begins", F.col("opens") | (letter & plain & ~F.coalesce(body == F.col("para"), F.lit(False))))
+    lines = lines.withColumn("number", F.sum(F.col("begins").cast("int")).over(now)).where((F.col("number") > 0) & ~F.col("bare"))
+    label = F.when(F.col("opens"), F.col("field")).when(F.col("begins"), F.concat(F.lit("body_"), F.col("number").cast("string")))
+    item = F.struct("block_num", "paragraph_num", "line_num", "part", "boxes", "confs")
+    fields = lines.groupBy(page, "__type", "number").agg(F.array_sort(F.collect_list(item)).alias("c"), F.max(label).alias("label"))
     text = stripped(F.array_join(F.filter(F.transform("c", lambda x: x["part"]), lambda p: p != ""), "\n"))
     out = fields.withColumn("extracted_value", text).where("extracted_value <> ''").withColumn("confs", F.flatten(F.transform("c", lambda x: x["confs"])))
     mean = F.round(F.aggregate("confs", F.lit(0.0), lambda a, v: a + v) / F.greatest(F.size("confs"), F.lit(1)), 9)

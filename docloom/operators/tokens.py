@@ -115,41 +115,6 @@ def quality(tokens: DataFrame, page: str = "page_id", conf: str = "conf_pct") ->
     return tokens.groupBy(page).agg(F.count(F.lit(1)).alias("n"), F.avg(conf).alias("mean"), F.percentile(conf, F.lit(0.5)).alias("median"), F.count_if(F.col(conf) < 50).alias("below_50"))
 
 
-#: Rows of an array that one inner fold handles. A fold copies its state at each step, so the state must stay small.
-CHUNK = 64
-
-
 def let(value: Column, use) -> Column:
     """use(value), the value being computed once."""
     return F.get(F.transform(F.array(value), use), 0)
-
-
-def scan(rows: Column, start: Column, step, out: str) -> Column:
-    """A value of type `out` for each row: step(state, row) gives struct<state, out>. Only a chunk's values are copied from row to row."""
-    none = F.array().cast(f"array<{out}>")
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int")), lambda k: F.slice(rows, k * CHUNK + 1, F.lit(CHUNK)))
-
-    def one(acc: Column, row: Column) -> Column:
-        return let(step(acc["state"], row), lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
-
-    def chunk(acc: Column, part: Column) -> Column:
-        inner = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), one)
-        return let(inner, lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], x["out"]).alias("out")))
-
-    found = F.aggregate(chunks, F.struct(start.alias("state"), none.alias("out")), chunk, lambda acc: acc["out"])
-    return F.when(F.size(rows) > 0, found).otherwise(none)
-
-
-def fold_runs(rows: Column, begin, joins, grow) -> Column:
-    """Array to array of arrays: a row goes to the current run where joins(state, row) holds, else it begins another.
-
-    begin(row) is the state of a run of one row, grow(state, row) that of a run with a row more.
-    """
-    def step(state: Column, row: Column) -> Column:
-        on = F.coalesce(joins(state, row), F.lit(False))
-        return F.struct(F.when(on, grow(state, row)).otherwise(begin(row)).alias("state"), (~on).alias("out"))
-
-    nothing = F.when(F.lit(False), begin(F.get(rows, F.lit(0))))
-    marks = F.transform(scan(rows, nothing, step, "boolean"), lambda new, k: F.when(new, k))
-    starts = F.filter(marks, lambda k: k.isNotNull())
-    return let(starts, lambda at: F.transform(at, lambda k, i: F.slice(rows, k + 1, F.coalesce(F.get(at, i + 1), F.size(rows)) - k)))

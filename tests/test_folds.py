@@ -207,10 +207,32 @@ def test_stitching_prefers_confidence_then_the_earlier_chunk(spark):
     assert filled[1] == ("hitl", 0.0) and filled[3] == ("vendor_name", 0.92)
 
 
-def test_fold_runs_keeps_every_row(spark):
+def test_a_fold_reads_every_row_once_in_order(spark):
+    from docloom.operators.folds import fold_sorted
+
     rng = random.Random(4)
-    values = [[1, 2, 4, 5, 6, 9], [], [7], [x for k in range(300) for x in range(1000 * k, 1000 * k + rng.randrange(1, 9))]]
-    df = spark.createDataFrame([(v,) for v in values], "x array<int>").select("x", tokens.fold_runs(F.col("x"), lambda row: row, lambda last, row: row == last + 1, lambda last, row: row).alias("r"))
-    for r in df.collect():
-        assert [x for run in r["r"] for x in run] == r["x"]
-        assert all(run == list(range(run[0], run[-1] + 1)) for run in r["r"]) and all(b[0] > a[-1] + 1 for a, b in zip(r["r"], r["r"][1:], strict=False))
+    rows = [(k % 7 if k % 7 else None, rng.randrange(10**6), f"t{k}") for k in range(30_000)]
+
+    def fold(group):
+        last = count = None
+        for _, n, text in group:
+            assert last is None or last <= n
+            last, count = n, (count or 0) + 1
+            yield n, text + "é"
+        yield -1, str(count)
+
+    got = fold_sorted(spark.createDataFrame(rows, "k int, n long, text string"), ["k"], ["n"], fold, "n long, text string").collect()
+    assert sorted((r["k"] or 0, r["n"], r["text"]) for r in got if r["n"] >= 0) == sorted((k or 0, n, t + "é") for k, n, t in rows)
+    assert {r["k"]: int(r["text"]) for r in got if r["n"] < 0} == {k or None: sum((x[0] or 0) == k for x in rows) for k in range(7)}
+
+
+def test_a_page_of_a_million_tokens(spark):
+    """One page, one label: neither is one array on its way."""
+    n = 1_000_000
+    k, line = F.col("id"), F.floor(F.col("id") / 1000)
+    big = spark.range(n).select(F.lit(1).alias("page_id"), k.cast("int").alias("token_index"), F.lit("ab").alias("token"), F.lit("name").alias("label"), F.lit(0.5).alias("confidence"), F.lit(50.0).alias("conf_pct"),
+                                (k % 1000 * 30).cast("int").alias("x0"), (line * 60).cast("int").alias("y0"), (k % 1000 * 30 + 20).cast("int").alias("x1"), (line * 60 + 12).cast("int").alias("y1"), F.lit(1).alias("block_num"), F.lit(1).alias("paragraph_num"), (line + 1).cast("int").alias("line_num"))
+    got = cluster.spatial_clusters(big).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("bounding_boxes")).alias("boxes"), F.max("cluster_index").alias("last")).first()
+    assert (got["n"], got["boxes"], got["last"]) == (1000, n, 1000)
+    got = cluster.packed_paragraphs(big).agg(F.sum("n_tokens").alias("n"), F.max(F.length("extracted_value")).alias("longest")).first()
+    assert (got["n"], got["longest"]) == (n, 599)
