@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text
 from ..operators import labels, review, search
-from ..sources import readers, writers
+from ..sources import readers, tables, writers
 from .adapters import view, with_views
 
 USER, PREFIX = "user7", "user"
@@ -362,3 +364,40 @@ def alias_union(spark: SparkSession, d: str) -> DataFrame:
     base = a.select(F.col("entity_type_label").alias("document_type"), F.lit("x").alias("alias"), F.lit("high").alias("canonical")).distinct()
     more = a.where("confidence_score < 0.01").select(F.col("entity_type_label").alias("document_type"), F.lit("x").alias("alias"), F.lit("low").alias("canonical")).distinct()
     return labels.merged_aliases(base, more).select("document_type", "canonical")
+
+
+# --- tables of snapshots
+
+
+def _table(spark: SparkSession, rows: DataFrame, name: str, *keys: str, files: int = 16) -> tables.SnapshotTable:
+    table = tables.SnapshotTable(spark, f"{tables.shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    table.replace(rows, *keys, files=files)
+    return table
+
+
+@query("""WITH listed AS (SELECT id, name FROM v_documents WHERE owner_id = 'user7' ORDER BY timestamp DESC, id DESC LIMIT 20)
+          SELECT a.id, listed.name, a.entity_type_label, a.extracted_value, a.confidence_score FROM v_attributes a JOIN listed ON a.document_id = listed.id""")
+def lookup_owner_page(spark: SparkSession, d: str) -> DataFrame:
+    """The attributes of an owner's newest documents, from the files of two laid-out tables that may hold them."""
+    a, docs = _v(spark, d, "attributes", "documents")
+    by_owner, by_document = _table(spark, docs, "documents", "owner_id", "id"), _table(spark, a, "attributes", "document_id", "id")
+    page = by_owner.lookup(owner_id=USER).orderBy(F.desc("timestamp"), F.desc("id")).limit(20).select("id", "name").collect()  # a page of results
+    listed = spark.createDataFrame([tuple(r) for r in page], "document_id long, name string")
+    return by_document.lookup(document_id=[r["id"] for r in page]).join(F.broadcast(listed), "document_id").select("id", "name", "entity_type_label", "extracted_value", "confidence_score")
+
+
+@query("""WITH again AS (SELECT id FROM v_documents WHERE status = 'QUEUED' AND document_type = '1-URGENT'),
+          now AS (SELECT a.id, CASE WHEN document_id IN (SELECT id FROM again) THEN 'PENDING' ELSE validation_status END AS validation_status, confidence_score FROM v_attributes a WHERE NOT (document_id IN (SELECT id FROM again) AND confidence_score < 0.5))
+          SELECT 2::BIGINT AS version, validation_status, count(*) AS n, sum(round(confidence_score * 100))::BIGINT AS percents FROM now GROUP BY validation_status
+          UNION ALL SELECT 3::BIGINT, validation_status, count(*), sum(round(confidence_score * 100))::BIGINT FROM v_attributes GROUP BY validation_status""")
+def snapshot_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents processed again replace their attributes in one commit, and a roll-back undoes it."""
+    a, docs = _v(spark, d, "attributes", "documents")
+    table = _table(spark, a, "attributes", "document_id", "id")
+    again = docs.where("status = 'QUEUED' AND document_type = '1-URGENT'").select(F.col("id").alias("document_id"))
+    fresh = table.read(1).join(again, "document_id", "left_semi").withColumn("validation_status", F.lit("PENDING")).where("confidence_score >= 0.5")
+    replaced = table.read(1).join(again, "document_id", "left_anti").unionByName(fresh)
+    table.replace(replaced, "document_id", "id", files=16, base=1)
+    table.roll_back(1)
+    summed = [table.read(v).groupBy("validation_status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("confidence_score") * 100)).cast("bigint").alias("percents")).select(F.lit(v).cast("bigint").alias("version"), "*") for v in (2, 3)]
+    return summed[0].unionByName(summed[1])
