@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import iou, overlaps
 
 OUTSIDE, IGNORED = "O", -100
+#: A page's grid for overlaps: sides of its cells, and cells a side; what lies beyond is in the outermost cells.
+CELL, CELLS = 64, 64
 
 
 def _box(prefix: str) -> list[Column]:
@@ -20,14 +22,36 @@ def _side(boxes: DataFrame, page: str) -> DataFrame:
     return boxes.select(F.col(page).alias("__page"), F.col("box_order").alias("__order"), part.alias("__part"), F.col("label").alias("__label"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
 
 
+def _grid_cell(value: Column) -> Column:
+    return F.least(F.greatest(F.floor(value / CELL), F.lit(0)), F.lit(CELLS - 1)).cast("int")
+
+
+def _in_cells(rows: DataFrame, prefix: str, side: str) -> DataFrame:
+    """A row for each cell of the grid that a box has a part in (columns <side>x, <side>y); boxes without an area have no part in any."""
+    x0, y0, x1, y1 = _box(prefix)
+    rows = rows.where((x1 > x0) & (y1 > y0)).withColumn(f"{side}x", F.explode(F.sequence(_grid_cell(x0), _grid_cell(x1))))
+    return rows.withColumn(f"{side}y", F.explode(F.sequence(_grid_cell(y0), _grid_cell(y1))))
+
+
+def overlapping(tokens: DataFrame, boxes: DataFrame, page: str = "page_id") -> DataFrame:
+    """Pairs of a page's tokens and boxes (see ``_side``) that share an area, once each.
+
+    An equi-join on the page and the cells of a grid: a dense page is spread over its cells, and only what lies near each
+    other is compared. A pair counts in the cell of its intersection's first corner.
+    """
+    t, b = _in_cells(tokens, "", "__t"), _in_cells(boxes, "b_", "__b")
+    once = (F.col("__tx") == _grid_cell(F.greatest("x0", "b_x0"))) & (F.col("__ty") == _grid_cell(F.greatest("y0", "b_y0")))
+    on = (F.col(page) == F.col("__page")) & (F.col("__tx") == F.col("__bx")) & (F.col("__ty") == F.col("__by"))
+    return t.join(b, on & overlaps(_box(""), _box("b_")) & once).drop("__tx", "__ty", "__bx", "__by")
+
+
 def best_overlap_labels(tokens: DataFrame, boxes: DataFrame, page: str = "page_id", token: str = "token_index", least: float = 0.1) -> DataFrame:
     """tokens with `label` and `iou`: of the page's boxes (box_order, perhaps box_part, label, x0..y1) the one with the largest overlap, the first of equals; O under `least`.
 
-    An equi-join on the page with a filter on positive overlap, then one aggregation, which combines before its shuffle.
+    The pairs of ``overlapping``, then one aggregation, which combines before its shuffle.
     """
-    side = _side(boxes, page)
-    pairs = tokens.join(side, (F.col(page) == F.col("__page")) & overlaps(_box(""), _box("b_")))
-    pairs = pairs.withColumn("__iou", iou(_box(""), _box("b_"))).where("__iou > 0")
+    pairs = overlapping(tokens.select(page, token, "x0", "y0", "x1", "y1"), _side(boxes, page), page)
+    pairs = pairs.withColumn("__iou", iou(_box(""), _box("b_")))
     best = pairs.groupBy(page, token).agg(F.max(F.struct("__iou", F.bitwise_not("__order").alias("o"), F.bitwise_not("__part").alias("p"), F.col("__label").alias("l"))).alias("m"))
     joined = tokens.join(best, [page, token], "left")
     return joined.withColumn("iou", F.coalesce("m.__iou", F.lit(0.0))).withColumn("label", F.when(F.col("iou") >= least, F.col("m.l")).otherwise(OUTSIDE)).drop("m")
@@ -35,8 +59,7 @@ def best_overlap_labels(tokens: DataFrame, boxes: DataFrame, page: str = "page_i
 
 def overlap_index(tokens: DataFrame, boxes: DataFrame, page: str = "page_id", token: str = "token_index") -> DataFrame:
     """Each token with the last of the boxes (box_order) that overlap it."""
-    side = _side(boxes, page)
-    pairs = tokens.join(side, (F.col(page) == F.col("__page")) & overlaps(_box(""), _box("b_")))
+    pairs = overlapping(tokens.select(page, token, "x0", "y0", "x1", "y1"), _side(boxes, page), page)
     return pairs.groupBy(page, token).agg(F.max_by("__label", F.struct("__order", "__part", "__label")).alias("label"), F.count(F.lit(1)).alias("n_boxes"))
 
 

@@ -149,9 +149,9 @@ _IOU = f"({_INTER})::DOUBLE / ((t.x1 - t.x0) * (t.y1 - t.y0) + (b.x1 - b.x0) * (
 def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     """X1 F15."""
     t, b = view(spark, d, "v_boxed_tokens"), view(spark, d, "v_boxes")
-    side = b.select(F.col("page_id").alias("bp"), "box_order", *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
+    side = b.select(F.col("page_id").alias("__page"), "box_order", *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
     boxes = [[F.col(f"{p}{c}") for c in ("x0", "y0", "x1", "y1")] for p in ("", "b_")]
-    return t.join(side, (F.col("page_id") == F.col("bp")) & geometry.overlaps(*boxes)).select("page_id", "token_index", "box_order", F.round(geometry.iou(*boxes), 9).alias("iou"))
+    return evaluate.overlapping(t, side).select("page_id", "token_index", "box_order", F.round(geometry.iou(*boxes), 9).alias("iou"))
 
 
 @query(f"""WITH p AS (SELECT t.page_id, token_index, label, {_IOU} AS iou, row_number() OVER (PARTITION BY t.page_id, token_index ORDER BY {_IOU} DESC, box_order, label DESC) AS k FROM v_boxed_tokens t JOIN v_boxes b ON t.page_id = b.page_id WHERE {_INTER} > 0)
