@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import shuffle_parts
+
 SECTION, SECTIONS, BLOCK, SKETCH = 8, 16, 16, 32
 #: Documents of a range of ids, on average; ranges at most (their bounds are all that comes to the driver).
 RANGE_DOCS, MOST_RANGES = 128, 16_384
@@ -129,27 +131,24 @@ def trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
 
 
 def _ranges(docs: DataFrame, docs_each: int = RANGE_DOCS) -> Column:
-    """The number of the range in which an id lies; ranges hold about as many documents each, however ids (or the beginnings of strings) are spread. Null ids lie in the first."""
-    kind = dict(docs.dtypes)["id"]
-    # other ids than numbers: their first seven bytes as a number, which keeps their order
-    key = F.col("id").cast("long") if kind != "string" else F.conv(F.rpad(F.hex(F.substring(F.col("id").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
-    n = docs.count()
-    wanted = min(MOST_RANGES, n // docs_each)
-    bounds: list[int] = []
-    if wanted > 1:
-        cuts = docs.agg(F.percentile_approx(key, [k / wanted for k in range(1, wanted)], 10 * wanted).alias("b")).first()["b"]
-        bounds = sorted(set(cuts or ()))
-    if not bounds:
-        return F.lit(0)
-    # the number of bounds that aren't above the id, by bisection
-    table = F.array(*map(F.lit, bounds)) if len(bounds) < 100 else F.expr(f"from_json('{bounds}', 'array<bigint>')")
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"), key.alias("key"))
+    """The number of the range in which a row (id, text) lies; ranges rise with ids, and hold no more than about docs_each rows.
+
+    Their bounds are every so-manieth row of a range partitioning of (id, hash of the text): so ids may be of any type with an order
+    and spread in any way, and rows of one id are told apart. About MOST_RANGES bounds at most come through the driver.
+    """
+    each = max(docs_each, -(-docs.count() // MOST_RANGES))
+    key = F.struct("id", F.bitwise_not(F.xxhash64("text")).alias("h"))
+    rows = docs.select(key.alias("k")).select("k.id", "k.h").repartitionByRange(shuffle_parts(docs.sparkSession), "id", "h").sortWithinPartitions("id", "h")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # within the partition
+    bounds, n_bounds = rows.withColumn("place", place).where(F.col("place") % each == 0).agg(F.to_json(F.collect_list(F.struct("id", "h"))), F.count(F.lit(1))).first()
+    # the number of bounds that aren't above the row, by bisection; bounds needn't be exact, only the same for all rows
+    table = F.array_sort(F.from_json(F.lit(bounds), f"array<struct<id:{dict(docs.dtypes)['id']},h:bigint>>"))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n_bounds).cast("int").alias("hi"), key.alias("key"))
 
     def halve(s: Column, _: Column) -> Column:
         return let(F.floor((s["lo"] + s["hi"]) / 2).cast("int"), lambda m: F.when(s["lo"] >= s["hi"], s).when(F.get(table, m) <= s["key"], F.struct((m + 1).alias("lo"), s["hi"].alias("hi"), s["key"].alias("key"))).otherwise(F.struct(s["lo"].alias("lo"), m.alias("hi"), s["key"].alias("key"))))
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halve, lambda s: s["lo"])
-    return F.when(F.col("id").isNull(), 0).otherwise(found)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(int(n_bounds).bit_length())), start, halve, lambda s: s["lo"])
 
 
 def _with_next(docs: DataFrame, docs_each: int = RANGE_DOCS) -> DataFrame:

@@ -33,6 +33,8 @@ from .common import stored
 
 #: Bisection steps; documents a block has at most, on average, where texts are short.
 STEPS, BLOCK_DOCS = 50, 1000
+#: Sources that one row holds while the exponent is found, some 50 bytes each.
+MOST_SOURCES = 2_000_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -71,9 +73,12 @@ def _bisect(enough) -> Column:
 def weights(sources: DataFrame, budget: float | None = None, target_entropy: float | None = 0.95, max_repeats: float = 4.0) -> DataFrame:
     """source, tokens, share, weight, quota (tokens), exponent and entropy; sources has a row (source, tokens) for each source.
 
-    One row holds all sources while the exponent is bisected: their number, not the documents', is its size.
+    One row holds all sources while the exponent is bisected: their number, not the documents', is its size, and MOST_SOURCES its limit.
+    The row with the exponent is stored, so that no column made of it can have the bisection computed again.
     budget: tokens of the mix, default as many as there are.
     """
+    if (n := sources.count()) > MOST_SOURCES:
+        raise ValueError(f"{n} sources; {MOST_SOURCES} at most share a row")
     one = sources.agg(F.array_sort(F.collect_list(F.struct("source", F.col("tokens").cast("double").alias("tokens")))).alias("s"))
     tokens = F.transform("s", lambda x: x["tokens"])
     one = one.withColumn("total", F.aggregate(tokens, F.lit(0.0), lambda a, x: a + x)).where("total > 0")
@@ -95,6 +100,7 @@ def weights(sources: DataFrame, budget: float | None = None, target_entropy: flo
         # entropy grows as the exponent falls: the smallest exponent that is too uneven bounds it from above
         uneven = _bisect(lambda e: _entropy(_powered(shares, e)) <= goal)
         one = one.withColumn("exponent", F.greatest("least", uneven))
+    one = stored(one.select("s", "shares", "budget", "exponent"), "mix-exponent")
     one = one.withColumn("w", _powered(shares, F.col("exponent"))).withColumn("entropy", _entropy(F.col("w")))
     rows = one.select("exponent", "entropy", "budget", F.explode(F.arrays_zip("s", "shares", "w")).alias("x"))
     return rows.select("x.s.source", F.col("x.s.tokens").alias("tokens"), F.col("x.shares").alias("share"), F.col("x.w").alias("weight"), (F.col("x.w") * F.col("budget")).alias("quota"), "exponent", "entropy")

@@ -5,7 +5,7 @@ between the matches of a pattern (``split``) and the matches themselves
 (``regexp_extract_all``) give every match's place in code points.
 
 Kinds `email`, `ip`, `card` and `phone` are the base: what passes its test is
-always kept, whatever its score. `iban` (mod-97; unbroken or in groups of four),
+always kept, whatever its score. `iban` (as long as its country has them, mod-97; unbroken or in groups of four),
 `ssn` (needs a context word on either side) and `secret` (a name such as token,
 a sign and a value with a digit) are added where their score reaches `min_score`.
 
@@ -27,8 +27,25 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-# Added kinds.
-IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+# Added kinds. The countries' account numbers by their length.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG YE", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """Country, two digits and as many more characters as the country's numbers have, unbroken or in groups of four."""
+    kinds = []
+    for length, countries in IBAN_LENGTHS.items():
+        fours, rest = divmod(length - 4, 4)
+        kinds.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else ""))
+    return f"(?:{'|'.join(kinds)})"
+
+
+IBAN_CORE = _iban()
+#: Not within a longer run of letters and digits.
+IBAN = rf"(?<![A-Za-z0-9_])(?=[A-Z]{{2}}[0-9]{{2}}){IBAN_CORE}(?![A-Za-z0-9_])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 SECRET = r"(?i)(?:password|passwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)[\"']? ?[:=] ?[\"']?[A-Za-z0-9_./+=-]{16,}"
 
@@ -92,6 +109,8 @@ KINDS = (
     ("secret", SECRET, "", lambda m: m.rlike("[0-9]"), 0.6),
 )
 BASE = 4
+#: What a text must hold for a kind to be looked for, where no single sign tells.
+POSSIBLE = {"card": "[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "secret": "[:=] ?[\"']?[A-Za-z0-9_./+=-]{16}"}
 
 
 def pieces(text: Column, pattern: str) -> Column:
@@ -160,7 +179,7 @@ def _of_kind(text: Column, rank: int, reach: int, min_score: float) -> Column:
         found = F.transform(placed(cut, test), full)
         return F.filter(found, lambda x: x["score"] >= min_score) if rank >= BASE else found
 
-    possible = text.contains(sign) if sign else text.rlike("[=:]" if kind == "secret" else "[0-9]")
+    possible = text.contains(sign) if sign else text.rlike(POSSIBLE[kind])
     return F.when(possible, let(pieces(text, pattern), spans)).otherwise(none)
 
 
@@ -179,12 +198,23 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id and text with each span replaced by [KIND]; of overlapping spans, the first stays."""
     found = find(docs, id_col, text_col, **options)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    whole = F.col("text")
+
+    def chunk(acc: Column, part: Column) -> Column:
+        """Spans of a chunk are cut out of the piece of text that they lie in, so that no span is counted up to from the text's start."""
+        end = F.greatest(acc["at"], F.array_max(F.transform(part, lambda x: x["end"])))
+
+        def within(piece: Column) -> Column:
+            def add(state: Column, x: Column) -> Column:
+                gap = F.substr(piece, state["at"] - acc["at"] + 1, x["start"] - state["at"])
+                new = F.struct(x["end"].alias("at"), F.concat(state["out"], gap, F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out"))
+                return F.when(x["start"] >= state["at"], new).otherwise(state)
+
+            return F.aggregate(part, F.struct(acc["at"].alias("at"), F.lit("").alias("out")), add)
 
-    def add(acc: Column, x: Column) -> Column:
-        gap = F.substr(F.col("text"), acc["at"] + 1, x["start"] - acc["at"])
-        new = F.struct(x["end"].alias("at"), F.concat(acc["out"], gap, F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out"))
-        return F.when(x["start"] >= acc["at"], new).otherwise(acc)
+        done = let(F.substr(whole, acc["at"] + 1, end - acc["at"]), within)
+        return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], d["out"]).alias("out")))
 
-    text = F.aggregate("spans", start, add, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)))
-    return found.select("doc_id", text.alias("text"))
+    chunks = F.transform(F.sequence(F.lit(1), F.greatest(F.size("spans"), F.lit(1)), F.lit(CHUNK)), lambda k: F.slice("spans", k, F.lit(CHUNK)))
+    text = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), chunk, lambda acc: F.concat(acc["out"], F.substr(whole, acc["at"] + 1)))
+    return found.select("doc_id", F.when(F.size("spans") > 0, text).otherwise(whole).alias("text"))

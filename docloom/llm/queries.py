@@ -140,7 +140,7 @@ def _pii_oracle() -> str:
         ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", rf"regexp_full_match(m, '{part}(\.{part}){{3}}')"),
         ("card", r"[0-9]([\x20-]?[0-9])+", luhn),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "len(d) BETWEEN 10 AND 15"),
-        ("iban", pii.IBAN, mod97),
+        ("iban", rf"\b{pii.IBAN_CORE}\b", mod97),
         ("ssn", pii.SSN, f"regexp_matches(lower(t[greatest(s - 40, 0) + 1:s] || ' ' || t[s + len(m) + 1:s + len(m) + 40]), '{pii.CONTEXT['ssn']}')"),
         ("secret", pii.SECRET.replace("'", "''"), "regexp_matches(m, '[0-9]')"),
     )

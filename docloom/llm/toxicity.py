@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, sample_cut, share, value_of
+from .common import bound_batches, sample_cut, share, stored, value_of
 
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 WORD, STEMS = "w", (4, 5, 6, 7)  # the kinds of token: words, and stems by their bytes
@@ -232,7 +232,7 @@ def _probe_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = 20_000, e_value: float = 0.05) -> Model:
-    """A model from the labelled rows where `learn` (over the id) holds; at most `train_docs` documents are counted."""
+    """A model from the labelled rows where `learn` (over the id) holds; at most `train_docs` documents are counted, one text an id (that of the least hash)."""
     spark = docs.sparkSession
     bound_batches(spark)
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("bad")).where("doc_id is not null and bad in (0, 1)")
@@ -244,7 +244,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     known = known.select(F.col("doc_id").alias("__id"), "bad", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half"))
     text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # train_docs rows of two integers: the bound of the broadcast
-    sample = text.join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("half", "bad", "text")
+    sample = text.join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
+    sample = sample.groupBy("__id", "half", "bad").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # a row an id, whatever repeats it
+    sample = stored(sample.select("half", "bad", "text"), "toxicity-sample")
 
     counted = sample.mapInArrow(_count, "half int, kind string, token binary, docs long, bad long").groupBy("kind", "token")
     sides = [F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for h in (0, 1) for c in ("docs", "bad")]

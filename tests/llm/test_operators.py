@@ -70,6 +70,14 @@ def test_scores_of_the_query_equal_brute_force(spark):
     assert min(got[k] for k in range(0, 200, 4)) > 0.7 > max(got[k] for k, _ in rows if k % 4)
 
 
+def test_repeated_rows_are_one_document_to_the_model(spark):
+    rows = [(k, "vile scum here" if k % 4 == 0 else "good day to all") for k in range(80)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(80)], "doc_id long, toxic int")
+    plain_, repeated = (toxicity.fit(spark.createDataFrame(x, "doc_id long, text string"), labels) for x in (rows, rows + [(0, "vile scum here")] * 500))
+    assert plain_.share == repeated.share == 0.25
+    assert plain_.curve.tolist() == pytest.approx(repeated.curve.tolist())
+
+
 def test_lambda_is_the_root():
     from collections import Counter
 
@@ -459,12 +467,20 @@ def test_next_document_over_ranges(spark, docs_each):
     assert got == {k: f"text{ids[n - 1]}" for n, k in enumerate(ids)}
 
 
-def test_ranges_are_even_however_ids_are_spread(spark):
-    rng = random.Random(3)
-    ids = [rng.randrange(-(2**63), 2**63) for _ in range(2000)] + list(range(2000))
-    docs = spark.createDataFrame([(k,) for k in ids], "id long")
-    sizes = [r["count"] for r in docs.withColumn("range", fingerprint._ranges(docs, 100)).groupBy("range").count().collect()]
-    assert len(sizes) == 40 and max(sizes) <= 150
+IDS = {
+    "numbers": lambda k: F.when(k < 1000, k).otherwise(F.xxhash64(k)), "prefixed": lambda k: F.format_string("https://example.org/document-%08d", k), "doubles": lambda k: k / 4001,
+    "dates": lambda k: F.date_add(F.lit("2000-01-01").cast("date"), k.cast("int")), "times": lambda k: F.timestamp_millis(k * 1000 + 7), "binary": lambda k: F.unhex(F.sha2(k.cast("string"), 256)),
+    "decimals": lambda k: (k.cast("decimal(38,0)") * F.lit("1000000000000000000000000000").cast("decimal(28,0)")).cast("decimal(38,0)"), "one": lambda k: F.lit("same"),
+}
+
+
+@pytest.mark.parametrize("kind", IDS)
+def test_ranges_are_even_however_ids_are_spread(spark, kind):
+    docs = spark.range(4000).select(IDS[kind](F.col("id")).alias("id"), F.concat(F.lit("t"), "id").alias("text")).repartition(5)
+    sizes = {r["range"]: r["count"] for r in docs.withColumn("range", fingerprint._ranges(docs, 100)).groupBy("range").count().collect()}
+    assert 40 <= len(sizes) <= 48 and max(sizes.values()) <= 101
+    ends = docs.withColumn("range", fingerprint._ranges(docs, 100)).groupBy("range").agg(F.min("id").alias("a"), F.max("id").alias("b")).orderBy("range").collect()
+    assert all(x["b"] <= y["a"] for x, y in zip(ends, ends[1:], strict=False))
 
 
 def test_fingerprints_are_bounded_and_compared_down_the_tree(spark):
@@ -485,6 +501,41 @@ def test_fingerprints_are_bounded_and_compared_down_the_tree(spark):
 # --- personal data
 
 
+def test_account_numbers_by_length_and_boundary(spark):
+    texts = {
+        "IBAN ES91 2100 0418 4502 0005 1332 EUR paid": ["ES91 2100 0418 4502 0005 1332"], "ES9121000418450200051332 EUR": ["ES9121000418450200051332"], "PL61 1090 1014 0000 0712 1981 2874 BANK": ["PL61 1090 1014 0000 0712 1981 2874"],
+        "XXDE89370400440532013000": [], "DE89370400440532013000X": [], "x DE89370400440532013000, NO93 8601 1117 947.": ["DE89370400440532013000", "NO93 8601 1117 947"], "ZZ8937040044053201300": [], "MT84 MALT 0110 0001 2345 MTLC AST0 01S": ["MT84 MALT 0110 0001 2345 MTLC AST0 01S"],
+    }
+    got = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["text"]: [r["text"][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "iban"] for r in got} == texts
+
+
+def test_redaction_is_linear_in_the_spans(spark):
+    import time
+
+    def took(n):
+        text = " ".join(f"é{k}.b@c{k}.org" for k in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        assert pii.redact(df).first()["text"] == " ".join("é[EMAIL]" for _ in range(n))
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(20_000) < 15
+
+
+def test_redaction_of_spans_that_overlap(spark):
+    texts = ["call +49 30 1234567 or a@b.c", "4111 1111 1111 1111 " * 200 + "+1 4111 1111 1111 1111 x", "1.2.3.4@a.b " * 150, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.find(df).collect()}
+    for r in pii.redact(df).collect():
+        text, at, out = texts[r["doc_id"]] or "", 0, ""
+        for s in found[r["doc_id"]]["spans"]:
+            if s["start"] >= at:
+                out, at = out + text[at : s["start"]] + f"[{s['kind'].upper()}]", s["end"]
+        assert r["text"] == out + text[at:]
+
+
 def test_spans_and_scores(spark):
     text = "é mail me: Ann.B@ex-ample.co.uk_x@y.z, ip 10.0.0.256 or 10.0.0.255, card 4111 1111 1111 1111, +1 (555) 010-9999. IBAN GB82WEST12345698765432 ssn 078-05-1120 and 078-05-1121; or DE89 3704 0044 0532 0130 00. " + "x" * 50 + " 078-05-1122 (SSN) " + "y" * 50 + " 078-05-1123 " + "z" * 50 + ' api_key: "abcdefgh12345678" token = abcdefghijklmnopqrst'
     got = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]
@@ -665,3 +716,20 @@ def test_intermediates_can_be_removed(spark):
     assert os.listdir(folder)
     common.remove_intermediates(spark)
     assert not os.path.exists(folder)
+
+
+def test_a_mix_of_a_hundred_thousand_sources(spark):
+    """The exponent is found once: not again for each source, as when the plan drops the columns that hold it."""
+    import time
+
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a"), F.when(F.col("id") % 3 == 0, "b c")).alias("text"), F.concat(F.lit("s"), "id").alias("source"))
+    began = time.perf_counter()
+    got = mixing.mix(docs, target_entropy=0.98, max_repeats=4.0).agg(F.countDistinct("source").alias("sources"), F.sum("n_tokens").alias("tokens")).first()
+    assert got["sources"] > 30_000 and abs(got["tokens"] / 166_668 - 1) < 0.5
+    assert time.perf_counter() - began < 150
+    with pytest.raises(ValueError):
+        limit, mixing.MOST_SOURCES = mixing.MOST_SOURCES, 10
+        try:
+            mixing.mix(docs)
+        finally:
+            mixing.MOST_SOURCES = limit
