@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts
+from .common import shuffle_parts, stored
 
 SECTION, SECTIONS, BLOCK, SKETCH = 8, 16, 16, 32
 #: Documents of a range of ids, on average; ranges at most (their bounds are all that comes to the driver).
@@ -136,9 +136,10 @@ def _ranges(docs: DataFrame, docs_each: int = RANGE_DOCS) -> Column:
     Their bounds are every so-manieth row of a range partitioning of (id, hash of the text): so ids may be of any type with an order
     and spread in any way, and rows of one id are told apart. About MOST_RANGES bounds at most come through the driver.
     """
-    each = max(docs_each, -(-docs.count() // MOST_RANGES))
     key = F.struct("id", F.bitwise_not(F.xxhash64("text")).alias("h"))
-    rows = docs.select(key.alias("k")).select("k.id", "k.h").repartitionByRange(shuffle_parts(docs.sparkSession), "id", "h").sortWithinPartitions("id", "h")
+    rows = stored(docs.select(key.alias("k")).select("k.id", "k.h"), "fingerprint-ids")  # texts are read once for it
+    each = max(docs_each, -(-rows.count() // MOST_RANGES))
+    rows = rows.repartitionByRange(shuffle_parts(docs.sparkSession), "id", "h").sortWithinPartitions("id", "h")
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # within the partition
     bounds, n_bounds = rows.withColumn("place", place).where(F.col("place") % each == 0).agg(F.to_json(F.collect_list(F.struct("id", "h"))), F.count(F.lit(1))).first()
     # the number of bounds that aren't above the row, by bisection; bounds needn't be exact, only the same for all rows

@@ -101,7 +101,7 @@ def _digits(match: Column) -> Column:
 #: kind, pattern, cheap test that a text may hold one, confirmation of a match, score of a confirmed match without context.
 KINDS = (
     ("email", EMAIL, "@", lambda m: F.lit(True), 0.8),
-    ("ip", IP, ".", lambda m: m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"), 0.6),
+    ("ip", IP, "", lambda m: m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"), 0.6),
     ("card", CARD, "", lambda m: F.when(F.length(m) < 14, False).otherwise(let(_digits(m), lambda d: F.when(F.length(d).between(14, 19), luhn(d)).otherwise(False))), 0.7),
     ("phone", PHONE, "+", lambda m: F.length(_digits(m)).between(10, 15), 0.5),
     ("iban", IBAN, "", mod97, 0.7),
@@ -110,7 +110,7 @@ KINDS = (
 )
 BASE = 4
 #: What a text must hold for a kind to be looked for, where no single sign tells.
-POSSIBLE = {"card": "[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "secret": "[:=] ?[\"']?[A-Za-z0-9_./+=-]{16}"}
+POSSIBLE = {"ip": r"[0-9]\.[0-9]", "card": "[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "secret": "[:=] ?[\"']?[A-Za-z0-9_./+=-]{16}"}
 
 
 def pieces(text: Column, pattern: str) -> Column:
