@@ -141,9 +141,9 @@ def _ranges(docs: DataFrame, docs_each: int = RANGE_DOCS) -> Column:
     each = max(docs_each, -(-rows.count() // MOST_RANGES))
     rows = rows.repartitionByRange(shuffle_parts(docs.sparkSession), "id", "h").sortWithinPartitions("id", "h")
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # within the partition
-    bounds, n_bounds = rows.withColumn("place", place).where(F.col("place") % each == 0).agg(F.to_json(F.collect_list(F.struct("id", "h"))), F.count(F.lit(1))).first()
+    bounds, n_bounds = rows.withColumn("place", place).where(F.col("place") % each == 0).agg(F.to_json(F.array_sort(F.collect_list(F.struct("id", "h")))), F.count(F.lit(1))).first()
     # the number of bounds that aren't above the row, by bisection; bounds needn't be exact, only the same for all rows
-    table = F.array_sort(F.from_json(F.lit(bounds), f"array<struct<id:{dict(docs.dtypes)['id']},h:bigint>>"))
+    table = F.from_json(F.lit(bounds), f"array<struct<id:{dict(docs.dtypes)['id']},h:bigint>>")  # a constant of the plan: read once
     start = F.struct(F.lit(0).alias("lo"), F.lit(n_bounds).cast("int").alias("hi"), key.alias("key"))
 
     def halve(s: Column, _: Column) -> Column:
