@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -115,6 +117,44 @@ def quality(tokens: DataFrame, page: str = "page_id", conf: str = "conf_pct") ->
     return tokens.groupBy(page).agg(F.count(F.lit(1)).alias("n"), F.avg(conf).alias("mean"), F.percentile(conf, F.lit(0.5)).alias("median"), F.count_if(F.col(conf) < 50).alias("below_50"))
 
 
+def quality_sketches(tokens: DataFrame, page: str = "page_id", conf: str = "conf_pct", width: float = 1.0) -> DataFrame:
+    """A page's confidences as `bins` (bin, n, total, below_50) of one width: a table to store, of which any pages are merged later.
+
+    What is under 0 or over 100 shares a bin at either end, so a page has at most 100 / width + 3 bins; nulls and NaN have one without a number.
+    """
+    if not 0 < width <= 100:
+        raise ValueError("width must be over 0 and at most 100")
+    value = F.when(~F.isnan(F.col(conf).cast("double")), F.col(conf).cast("double"))
+    place = F.when(value.isNotNull(), F.greatest(F.lit(-1), F.least(F.lit(math.ceil(100 / width)), F.floor(value / width))))
+    rows = tokens.select(page, value.alias("__value"), place.cast("int").alias("bin"))
+    counts = rows.groupBy(page, "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("__value").alias("total"), F.count_if(F.col("__value") < 50).alias("below_50"))
+    return counts.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("bin", "n", "total", "below_50"))).alias("bins"))
+
+
+def merged_quality(sketches: DataFrame, by: str, quantiles: dict[str, float] | None = None) -> DataFrame:
+    """by, n, mean, quantiles (unset: the median) and below_50 of all pages that share `by`, from their sketches alone.
+
+    A quantile is off by less than a bin's width, and not at all where a bin's values are equal (whole percents in bins of one).
+    Only bins are shuffled, summed on the way: what a group costs doesn't grow with its pages. Without a confidence the mean and quantiles are null.
+    """
+    bins = sketches.select(by, F.explode("bins").alias("b")).groupBy(F.col(by), F.col("b.bin").alias("bin")).agg(*[F.sum(f"b.{c}").alias(c) for c in ("n", "total", "below_50")])
+    known = F.array_sort(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n", "total"))))
+    rows = bins.groupBy(by).agg(F.sum("n").alias("n"), F.sum("total").alias("__total"), F.sum(F.when(F.col("bin").isNotNull(), F.col("n"))).alias("__known"), F.sum("below_50").alias("below_50"), known.alias("__bins"))
+
+    def ranked(rank: Column) -> Column:
+        """The value of a rank (from 0): the mean of the bin that it lies in."""
+        start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("value"))
+        step = lambda a, b: F.struct((a["seen"] + b["n"]).alias("seen"), F.coalesce(a["value"], F.when(a["seen"] + b["n"] > rank, b["total"] / b["n"])).alias("value"))
+        return F.aggregate("__bins", start, step, lambda a: a["value"])
+
+    def quantile(q: float) -> Column:
+        at = (F.col("__known") - 1) * F.lit(float(q))
+        low = ranked(F.floor(at))
+        return low + (ranked(F.ceil(at)) - low) * (at - F.floor(at))
+
+    return rows.select(by, "n", (F.col("__total") / F.col("__known")).alias("mean"), *[quantile(q).alias(name) for name, q in (quantiles or {"median": 0.5}).items()], "below_50")
+
+
 def let(value: Column, use) -> Column:
     """use(value), the value being computed once."""
     return F.get(F.transform(F.array(value), use), 0)
