@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text
-from ..operators import labels, review, search
+from ..operators import labels, review, search, text_index
 from ..sources import readers, tables, writers
 from .adapters import view, with_views
 
@@ -401,3 +401,11 @@ def snapshot_versions(spark: SparkSession, d: str) -> DataFrame:
     table.roll_back(1)
     summed = [table.read(v).groupBy("validation_status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("confidence_score") * 100)).cast("bigint").alias("percents")).select(F.lit(v).cast("bigint").alias("version"), "*") for v in (2, 3)]
     return summed[0].unionByName(summed[1])
+
+
+@query(f"SELECT id, name FROM v_documents d WHERE owner_id = 'user7' AND status IN ('APPROVED', 'PROCESSED') AND {_DOC_MATCH}")
+def search_documents_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """All that a document search finds, through an index of trigrams."""
+    docs, a = _v(spark, d, "documents", "attributes")
+    index = text_index.TextIndex(spark, f"{tables.shared_folder(spark)}/texts-{uuid.uuid4().hex}").build(docs, a, files=16)
+    return index.find_documents(USER, "ring").select("id", "name")
