@@ -2,6 +2,7 @@
 
 convert    ground-truth JSON folder -> validated JSON lines
 evaluate   predicted JSON lines against a ground-truth folder -> metrics as JSON
+report     predicted JSON lines against a ground-truth folder -> precision, recall, f1 by token label and by entity
 rectangles XML rectangles and token JSON lines -> labelled JSON lines
 split      JSON lines -> the same with a split column
 predict    folder of page images -> predicted JSON lines (--engine and --predictor: module:factory)
@@ -18,7 +19,7 @@ import json
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="docloom", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, inputs in (("convert", ["folder", "output"]), ("evaluate", ["predictions", "truth"]), ("rectangles", ["xml", "tokens", "output"]), ("split", ["examples", "output"]), ("predict", ["folder", "output"]), ("export", ["tables", "output"]), ("training", ["tables", "output"])):
+    for name, inputs in (("convert", ["folder", "output"]), ("evaluate", ["predictions", "truth"]), ("report", ["predictions", "truth"]), ("rectangles", ["xml", "tokens", "output"]), ("split", ["examples", "output"]), ("predict", ["folder", "output"]), ("export", ["tables", "output"]), ("training", ["tables", "output"])):
         sub = commands.add_parser(name)
         for x in inputs:
             sub.add_argument(x)
@@ -46,6 +47,9 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "evaluate":
         print(json.dumps(flow.evaluate_records(readers.read_jsonl(spark, args.predictions), readers.read_json_folder(spark, args.truth), args.iou), indent=2, sort_keys=True))
         return 0
+    elif args.command == "report":
+        print(json.dumps(flow.record_report(readers.read_jsonl(spark, args.predictions), readers.read_json_folder(spark, args.truth)), indent=2, sort_keys=True))
+        return 0
     elif args.command == "rectangles":
         tokens = spark.read.json(args.tokens)
         n = writers.write_jsonl(export.rectangle_records(tokens, readers.read_rectangles(spark, args.xml)), args.output)

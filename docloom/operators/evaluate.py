@@ -153,16 +153,37 @@ def spans(rows: DataFrame, seq: str = "seq_id", pos: str = "pos", label: str = "
     return runs.groupBy(seq, F.col("__l").alias("label"), "__run").agg(F.min(pos).alias("start"), F.max(pos).alias("end")).drop("__run")
 
 
-def entity_scores(rows: DataFrame, seq: str = "seq_id", pos: str = "pos", truth: str = "ref", predicted: str = "pred", ignored: str | None = "ignored") -> DataFrame:
-    """tp, fp, fn, precision, recall and f1 of label spans, ignored positions dropped before spans are built."""
+def _matched(rows: DataFrame, seq: str, pos: str, truth: str, predicted: str, ignored: str | None) -> DataFrame:
+    """A row for each span of either side: its label, `t` and `p` (null where that side hasn't it)."""
     kept = rows.where(~F.col(ignored)) if ignored else rows
     # places after dropping, so that spans join over what was dropped
     kept = kept.withColumn("__at", F.row_number().over(W.partitionBy(seq).orderBy(pos)))
     t, p = (spans(kept, seq, "__at", c).select(seq, "label", "start", "end", F.lit(1).alias(n)) for c, n in ((truth, "t"), (predicted, "p")))
-    both = t.join(p, [seq, "label", "start", "end"], "full")
+    return t.join(p, [seq, "label", "start", "end"], "full")
+
+
+def _hits() -> list[Column]:
     n = lambda c: F.coalesce(F.count_if(c), F.lit(0))
-    counts = both.agg(n(F.col("t").isNotNull() & F.col("p").isNotNull()).alias("tp"), n(F.col("t").isNull()).alias("fp"), n(F.col("p").isNull()).alias("fn"))
-    return precision_recall(counts)
+    return [n(F.col("t").isNotNull() & F.col("p").isNotNull()).alias("tp"), n(F.col("t").isNull()).alias("fp"), n(F.col("p").isNull()).alias("fn")]
+
+
+def entity_scores(rows: DataFrame, seq: str = "seq_id", pos: str = "pos", truth: str = "ref", predicted: str = "pred", ignored: str | None = "ignored") -> DataFrame:
+    """tp, fp, fn, precision, recall and f1 of label spans, ignored positions dropped before spans are built."""
+    return precision_recall(_matched(rows, seq, pos, truth, predicted, ignored).agg(*_hits()))
+
+
+def entity_report(rows: DataFrame, seq: str = "seq_id", pos: str = "pos", truth: str = "ref", predicted: str = "pred", ignored: str | None = "ignored") -> DataFrame:
+    """label, precision, recall, f1 and support (true spans) of each label's spans, then rows `micro avg`, `macro avg` and `weighted avg`.
+
+    The averages are made from the labels' counts. Without any span there are no labels and the averages are 0.
+    """
+    per = precision_recall(_matched(rows, seq, pos, truth, predicted, ignored).groupBy("label").agg(*_hits())).withColumn("support", F.col("tp") + F.col("fn"))
+    scores = ("precision", "recall", "f1")
+    micro = precision_recall(per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])).select(F.lit("micro avg").alias("label"), *scores, (F.col("tp") + F.col("fn")).alias("support"))
+    total = F.coalesce(F.sum("support"), F.lit(0)).alias("support")
+    macro = per.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in scores], total).select(F.lit("macro avg").alias("label"), "*")
+    weighted = per.agg(*[F.coalesce(F.sum(F.col(c) * F.col("support")) / F.greatest(F.sum("support"), F.lit(1)), F.lit(0.0)).alias(c) for c in scores], total).select(F.lit("weighted avg").alias("label"), "*")
+    return per.select("label", *scores, "support").unionByName(micro).unionByName(macro).unionByName(weighted)
 
 
 def argmax_id(scores: Column) -> Column:

@@ -91,6 +91,17 @@ def evaluate_records(predictions: DataFrame, truth: DataFrame, least: float = 0.
     }
 
 
+def record_report(predictions: DataFrame, truth: DataFrame) -> dict:
+    """Reports by label of records that both sides have: `labels` counts tokens, `entities` runs of one label."""
+    from ..sources.readers import validated
+
+    t, p = keyed_records(truth), keyed_records(predictions)
+    pairs = evaluate.aligned(_positions(validated(t.join(p.select("key"), "key", "left_semi"))), _positions(validated(p.join(t.select("key"), "key", "left_semi"))))
+    names = labels.vocabulary(pairs.select(F.col("t_label").alias("label")), pairs.select(F.col("p_label").alias("label")))
+    reports = {"labels": evaluate.classification_report(pairs, names, "t_label", "p_label"), "entities": evaluate.entity_report(pairs, "t_key", "t_pos", "t_label", "p_label", None)}
+    return {name: {r["label"]: {c: r[c] for c in ("precision", "recall", "f1", "support")} for r in rows.collect()} for name, rows in reports.items()}
+
+
 def predicted_records(spark: SparkSession, folder: str, engine: Callable | None = None, predictor: Callable | None = None, decoders: dict | None = None) -> DataFrame:
     """A record (``schemas.ANNOTATED_PAGE``) for each page of each image under folder, tokens with boxes in 0..1000, labels and confidences.
 

@@ -414,6 +414,20 @@ def entity_prf(spark: SparkSession, d: str) -> DataFrame:
     return out.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query(f"""WITH k AS (SELECT seq_id, ref, pred, row_number() OVER (PARTITION BY seq_id ORDER BY pos) AS i FROM v_sequences WHERE NOT ignored), t AS {_islands('ref')}, p AS {_islands('pred')},
+           c AS (SELECT coalesce(t.label, p.label) AS label, count(*) FILTER (t.s IS NOT NULL AND p.s IS NOT NULL) AS tp, count(*) FILTER (t.s IS NULL) AS fp, count(*) FILTER (p.s IS NULL) AS fn
+                 FROM t FULL JOIN p ON t.seq_id = p.seq_id AND t.label = p.label AND t.s = p.s AND t.e = p.e GROUP BY 1),
+           e AS (SELECT label, tp, fp, fn FROM c UNION ALL SELECT 'micro avg', sum(tp), sum(fp), sum(fn) FROM c),
+           r AS (SELECT label, tp::DOUBLE / greatest(tp + fp, 1) AS precision, tp::DOUBLE / greatest(tp + fn, 1) AS recall, 2.0::DOUBLE * tp / greatest(2 * tp + fp + fn, 1) AS f1, (tp + fn)::BIGINT AS support FROM e),
+           w AS (SELECT 'weighted avg' AS label, sum(precision * support) / sum(support) AS precision, sum(recall * support) / sum(support) AS recall, sum(f1 * support) / sum(support) AS f1, sum(support)::BIGINT AS support FROM r WHERE label <> 'micro avg'),
+           m AS (SELECT 'macro avg' AS label, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1, sum(support)::BIGINT AS support FROM r WHERE label <> 'micro avg')
+           SELECT label, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM (FROM r UNION ALL FROM m UNION ALL FROM w)""")
+def entity_report(spark: SparkSession, d: str) -> DataFrame:
+    """Span scores by label, with averages."""
+    out = evaluate.entity_report(view(spark, d, "v_sequences"))
+    return out.select("label", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
 @query("SELECT vec_id, label, list_position(e, list_max(e)) - 1 AS predicted, round(1 / list_sum([exp(x - list_max(e)) FOR x IN e]), 6) AS confidence FROM (SELECT vec_id, label, [x::DOUBLE FOR x IN embedding[1:10]] AS e FROM embeddings)")
 def logit_argmax(spark: SparkSession, d: str) -> DataFrame:
     """X17."""

@@ -50,12 +50,20 @@ def test_evaluation_of_records(spark, tmp_path, capsys):
     assert (got["documents"], got["evaluated_documents"], got["missing_predictions"], got["token_count"]) == (3, 2, ["3:1"], 4)
     assert (got["token_accuracy"], got["bbox_iou_match_rate"], got["field_exact_match_rate"]) == (0.75, 0.75, 0.5)
     assert got["per_label"]["x"] == {"precision": 1.0, "recall": 1.0, "f1": 1.0} and got["per_label"]["y"]["precision"] == 0.0
+    report = flow.record_report(p.coalesce(1), t)
+    assert report["entities"]["x"] == {"precision": 1.0, "recall": 1.0, "f1": 1.0, "support": 2} and report["entities"]["y"]["support"] == 0
+    assert report["entities"]["micro avg"]["precision"] == pytest.approx(2 / 3) and report["entities"]["macro avg"]["recall"] == 0.5 and report["entities"]["weighted avg"]["f1"] == 1.0
+    assert report["labels"]["O"]["recall"] == 0.0 and report["labels"]["accuracy"]["f1"] == 0.75
+    nothing = flow.record_report(p.limit(0), t)["entities"]
+    assert set(nothing) == {"micro avg", "macro avg", "weighted avg"} and all(r == {"precision": 0.0, "recall": 0.0, "f1": 0.0, "support": 0} for r in nothing.values())
     folder = tmp_path / "truth"
     folder.mkdir()
     (folder / "t.json").write_text(json.dumps(truth))
     (tmp_path / "p.jsonl").write_text("\n".join(map(json.dumps, truth)))
     assert cli.main(["evaluate", str(tmp_path / "p.jsonl"), str(folder)]) == 0
     assert json.loads(capsys.readouterr().out)["token_accuracy"] == 1.0
+    assert cli.main(["report", str(tmp_path / "p.jsonl"), str(folder)]) == 0
+    assert json.loads(capsys.readouterr().out)["entities"]["micro avg"]["f1"] == 1.0
     assert cli.main(["convert", str(folder), str(tmp_path / "out")]) == 0 and json.loads(capsys.readouterr().out) == {"records": 3}
     assert cli.main(["split", str(tmp_path / "p.jsonl"), str(tmp_path / "split"), "--seed", "1"]) == 0
     assert {r["split"] for r in spark.read.json(str(tmp_path / "split")).collect()} <= {"train", "val", "test"}
