@@ -24,13 +24,15 @@ def normalize_labels(rows: DataFrame, aliases: DataFrame, document_type: str = "
     return joined.withColumn("normalized_label", F.coalesce("canonical", plain)).drop("__type", "__alias", "canonical")
 
 
-def classify(documents: DataFrame, keywords: DataFrame, key: str = "document_id", text: str = "text", name: str | None = None) -> DataFrame:
+def classify(documents: DataFrame, keywords: DataFrame, key: str = "document_id", text: str = "text", name: str | None = None, most: int = 10_000) -> DataFrame:
     """key, document_type, confidence, best_score and total_score: the type whose keywords score most; ties go to the first declared.
 
     keywords (document_type, ordinal, keyword, weight) is a small dimension table and is collected into one literal, so
-    documents are scanned where they lie: no join and no shuffle.
+    documents are scanned where they lie: no join and no shuffle. More than `most` keywords are refused.
     """
-    words = keywords.orderBy("ordinal", "keyword").collect()
+    words = keywords.orderBy("ordinal", "keyword").limit(most + 1).collect()
+    if len(words) > most:
+        raise ValueError(f"more than {most} keywords")
     hay = F.lower(F.concat_ws(" ", F.coalesce(F.col(name), F.lit("")) if name else F.lit(""), F.coalesce(F.col(text), F.lit(""))))
     types = {}
     for r in words:

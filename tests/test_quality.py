@@ -1,4 +1,4 @@
-"""Merged sketches of confidences against the values themselves."""
+"""Merged sketches of confidences against the values themselves; bounds of small tables."""
 
 import random
 
@@ -46,3 +46,13 @@ def test_nulls_nan_ends_and_empty_tables(spark):
     assert tok.merged_quality(tok.quality_sketches(rows.limit(0)), "page_id").count() == 0
     with pytest.raises(ValueError):
         tok.quality_sketches(rows, width=0)
+
+
+def test_a_keyword_table_over_its_bound_is_refused(spark):
+    from docloom.operators import labels
+
+    words = spark.createDataFrame([("a", 0, "one", 1), ("b", 1, "two", 2)], "document_type string, ordinal int, keyword string, weight int")
+    docs = spark.createDataFrame([(1, "One and two")], "document_id long, text string")
+    assert labels.classify(docs, words, most=2).first()["document_type"] == "b"
+    with pytest.raises(ValueError):
+        labels.classify(docs, words, most=1)
