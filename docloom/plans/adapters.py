@@ -10,6 +10,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import storage
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 VIEWS = {
@@ -112,9 +114,20 @@ def _before(sql: str, definitions: str) -> str:
     return f"WITH {definitions} {body}"
 
 
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents.text as tokens: a line feed ends a line, a space a word, four lines are a paragraph. Positions come from the text alone: no shuffle."""
-    docs = view(spark, sf_dir, "documents")
+#: Bytes of the stored documents whose tokens one partition holds: as rows they take some fifty times that.
+_DEALT = 4 << 20
+
+
+def tokens(spark: SparkSession, sf_dir: str, by_page: bool = False) -> DataFrame:
+    """documents.text as tokens: a line feed ends a line, a space a word, four lines are a paragraph. Positions come from the text alone: no shuffle.
+
+    by_page: documents are dealt out by id before they are split, so that what is grouped or ordered by page later needs no
+    shuffle of tokens; partitions grow in number with the table, never in size.
+    """
+    docs = view(spark, sf_dir, "documents").select("doc_id", "text")
+    if by_page:
+        parts = -(-storage.size_of(spark, f"{sf_dir}/documents.parquet") // _DEALT)
+        docs = docs.repartition(max(spark.sparkContext.defaultParallelism, parts), "doc_id")
     split = F.transform(F.split("text", "\n"), lambda line, k: F.transform(F.split(line, " "), lambda w, j: F.struct(k.alias("line"), j.alias("word"), w.alias("token"))))
     rows = docs.select(F.col("doc_id").alias("document_id"), F.posexplode(F.filter(F.flatten(split), lambda t: t["token"] != "")).alias("token_index", "t"))
     line, word, n = F.col("t.line"), F.col("t.word"), F.length("t.token")

@@ -463,13 +463,8 @@ def group_split_balanced(spark: SparkSession, d: str) -> DataFrame:
           FROM (SELECT page_id, token_index, ('0x' || md5(token)[1:8])::BIGINT AS code FROM tokens)""", on_tokens=True)
 def model_predictions(spark: SparkSession, d: str) -> DataFrame:
     """UDF1 W7 W8 W9: chunks through the predictor boundary, stitched and filled."""
-    rows = tokens(spark, d)
-    pages = rows.groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("token_index", "token", F.array("x0", "y0", "x1", "y1").alias("box")))).alias("t"))
-    chunks = tok.chunk_ranges(pages)
-    part = F.slice("t", F.col("chunk_start") + 1, F.col("chunk_end") - F.col("chunk_start"))
-    chunks = chunks.select("page_id", "chunk_start", F.lit("unknown").alias("document_type"), F.transform(part, lambda x: x["token"]).alias("tokens"), F.transform(part, lambda x: x["box"]).alias("bboxes"))
-    found = tok.stitch(boundary.predict_pages(chunks, boundary.stub_predictor()))
-    return tok.fill_gaps(rows, found).select("page_id", "token_index", "label", "confidence")
+    rows = tokens(spark, d, by_page=True).withColumn("document_type", F.lit("unknown"))
+    return boundary.label_pages(rows, boundary.stub_predictor(), dealt=True)
 
 
 @query("SELECT page_id, token_index, 'OCR' AS label, 0.0::DOUBLE AS confidence, least(1, greatest(0, conf_pct / 100)) AS unit FROM tokens", on_tokens=True)

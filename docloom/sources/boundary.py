@@ -11,11 +11,16 @@ from __future__ import annotations
 
 import hashlib
 import importlib
+import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..operators.folds import fold_blocks, starts_of
+from ..operators.tokens import MODEL_TOKENS, chunk_sizes
+
 _TOKEN = "token string, x0 int, y0 int, x1 int, y1 int, conf_pct double, block_num int, paragraph_num int, line_num int, word_num int"
 
 
@@ -52,6 +57,44 @@ def predict_pages(pages: DataFrame, predictor: Callable[[], Callable]) -> DataFr
     return pages.select("page_id", "chunk_start", "document_type", "tokens", "bboxes").mapInArrow(rows, "page_id long, chunk_start int, local_index int, sub_index int, token string, label string, confidence double")
 
 
+def label_pages(tokens: DataFrame, predictor: Callable[[], Callable], page: str = "page_id", model_tokens: int = MODEL_TOKENS, unlabelled: str = "hitl", dealt: bool = False) -> DataFrame:
+    """page, token_index, label, confidence of every token: pages through the predictor in overlapping chunks, stitched and filled by the task that read them.
+
+    tokens: page, token_index, token, x0..y1, document_type. Results are as of ``chunk_ranges``, ``predict_pages``, ``stitch`` and ``fill_gaps``, positions being
+    counted along a page's token_index, but predictions aren't shuffled and joined again. dealt: a page's tokens share a partition already.
+    """
+    size, overlap = chunk_sizes(model_tokens)
+    stride = max(1, size - overlap)
+
+    def rank(confidence: float | None) -> tuple:
+        return (confidence is not None, confidence != confidence, confidence)
+
+    def labels():
+        predict = predictor()
+
+        def step(block: pa.RecordBatch, last: bool) -> tuple[list, int]:
+            ends = np.append(np.flatnonzero(starts_of(block, [page])), block.num_rows).tolist()
+            if not last:
+                ends.pop()
+            words, kind = (block.column(c).to_pylist() for c in ("token", "document_type"))
+            boxes = [list(b) for b in zip(*(block.column(c).to_pylist() for c in ("x0", "y0", "x1", "y1")), strict=True)]
+            out: list[tuple] = []
+            for s, e in zip(ends, ends[1:], strict=False):
+                for c in range(s, max(s, s + math.ceil((e - s - size) / stride) * stride) + 1, stride):
+                    to = min(e, c + size)
+                    found = [p for _, p in zip(words[c:to], predict(words[c:to], boxes[c:to], kind[s]), strict=True)]
+                    again = len(out) - c
+                    out[c:] = [b if rank(b[1]) > rank(a[1]) else a for a, b in zip(out[c:], found[:again], strict=True)]
+                    out += found[again:]
+            done = block.slice(0, len(out))
+            return [done.column(page), done.column("token_index"), pa.array([unlabelled if x is None else x for x, _ in out], pa.string()), pa.array([0.0 if x is None else x for _, x in out], pa.float64())], len(out)
+
+        return step
+
+    rows = tokens.select(page, "token_index", "token", "x0", "y0", "x1", "y1", "document_type")
+    return fold_blocks(rows, [page], ["token_index", "token"], labels, f"token_index {dict(rows.dtypes)['token_index']}, label string, confidence double", dealt)
+
+
 def stub_predictor(labels: tuple[str, ...] = ("O", "name", "date", "total")) -> Callable[[], Callable]:
     """Labels and confidences from a hash of the token."""
 

@@ -38,6 +38,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(system.exists(java))
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of an object, or of all in a folder."""
+    system, java = _at(spark, path)
+    return int(system.getContentSummary(java).getLength())
+
+
 def page_paths(pages: DataFrame, root: str) -> DataFrame:
     """pages with image_path: the stored one, else root/document/page-NNN.png."""
     return pages.withColumn("image_path", F.coalesce("image_path", F.concat(F.lit(root.rstrip("/") + "/"), F.col("document_id").cast("string"), F.lit("/"), page_file(F.col("page_number")))))
