@@ -308,7 +308,7 @@ def labelled_lines(spark: SparkSession, d: str) -> DataFrame:
             FROM (SELECT *, word_num % 3 AS label FROM tokens) WINDOW w AS (PARTITION BY page_id, label ORDER BY token_index)) GROUP BY ALL""", on_tokens=True)
 def cluster_text(spark: SparkSession, d: str) -> DataFrame:
     """W2."""
-    rows = tokens(spark, d).withColumn("label", (F.col("word_num") % 3).cast("bigint"))
+    rows = tokens(spark, d, by_page=True).withColumn("label", (F.col("word_num") % 3).cast("bigint"))
     run = F.array_sort(F.collect_list(F.struct("token_index", "token", "paragraph_num", "line_num")))
     return rows.groupBy("page_id", "label").agg(run.alias("run")).select("page_id", "label", cluster.joined_text(F.col("run")).alias("value"))
 
