@@ -52,7 +52,7 @@ def page_lines(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH l AS (SELECT document_id, line_num, string_agg(token, ' ' ORDER BY token_index) AS text FROM tokens GROUP BY ALL) SELECT document_id, md5(string_agg(text, chr(10) ORDER BY line_num)) AS digest FROM l GROUP BY ALL", on_tokens=True)
 def page_texts(spark: SparkSession, d: str) -> DataFrame:
     """A6 W11."""
-    return tok.page_text(tok.lines(tokens(spark, d))).select("document_id", F.md5("text").alias("digest"))
+    return tok.page_text(tok.lines(tokens(spark, d, by_page=True))).select("document_id", F.md5("text").alias("digest"))
 
 
 @query("SELECT page_id, count(DISTINCT line_num) AS n_lines FROM tokens GROUP BY page_id", on_tokens=True)
