@@ -46,7 +46,7 @@ def blank_pages(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT document_id, paragraph_num, line_num, string_agg(token, ' ' ORDER BY token_index) AS text, count(*) AS n_tokens FROM tokens GROUP BY ALL", on_tokens=True)
 def page_lines(spark: SparkSession, d: str) -> DataFrame:
     """A6."""
-    return tok.lines(tokens(spark, d)).select("document_id", "paragraph_num", "line_num", "text", "n_tokens")
+    return tok.lines(tokens(spark, d, by_page=True)).select("document_id", "paragraph_num", "line_num", "text", "n_tokens")
 
 
 @query("WITH l AS (SELECT document_id, line_num, string_agg(token, ' ' ORDER BY token_index) AS text FROM tokens GROUP BY ALL) SELECT document_id, md5(string_agg(text, chr(10) ORDER BY line_num)) AS digest FROM l GROUP BY ALL", on_tokens=True)
