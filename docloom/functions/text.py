@@ -17,6 +17,11 @@ def stripped(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
+def stripped_word(word: Column) -> Column:
+    """As ``stripped``, sooner for a column of single words: visible ASCII alone has nothing to strip."""
+    return F.when(word.rlike("^[!-~]+$"), word).otherwise(stripped(word))
+
+
 def label_key(label: Column) -> Column:
     return F.lower(stripped(label))
 

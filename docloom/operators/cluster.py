@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import stripped
+from ..functions.text import stripped, stripped_word
 from ..schemas import DOCUMENT_TYPES, line_label_map
 from .folds import fold_sorted
 from .tokens import let
@@ -144,18 +144,19 @@ def _label_lookup(types: dict) -> Column:
     return F.create_map(*[x for t, labels in line_label_map(types).items() for x in (F.lit(t), F.create_map(*[y for a, c in labels.items() for y in (F.lit(a), F.lit(c))]))])
 
 
-def labelled_lines(tokens: DataFrame, page: str = "page_id", document_type: str = "document_type", types: dict = DOCUMENT_TYPES) -> DataFrame:
+def labelled_lines(tokens: DataFrame, page: str = "page_id", document_type: str = "document_type", types: dict = DOCUMENT_TYPES, dealt: bool = False) -> DataFrame:
     """page, field_index, entity_type_label, extracted_value, bounding_boxes, confidence_score, validation_status of pages whose lines carry labels.
 
     A line that begins with a known label (`Label: value` or `Label value`) opens a field; further lines go on it. In letters
     other lines close it and are gathered by paragraph as body_n, n counting all fields so far. Pages of an unknown type, or
     without any labelled line, give nothing here (see ``packed_paragraphs``).
+    dealt: a page's tokens share a partition already.
     """
     kind = F.lower(F.coalesce(F.col(document_type), F.lit("")))
     lookup = _label_lookup(types)
-    rows = tokens.repartition(page)  # lines, fields and their numbers all keep to it
+    rows = tokens if dealt else tokens.repartition(page)  # lines, fields and their numbers all keep to it
     rows = rows.withColumn("__type", F.col(document_type)).withColumn("__known", F.try_element_at(lookup, kind)).where("__known is not null")
-    rows = rows.withColumn("token", stripped(F.coalesce("token", F.lit(""))))
+    rows = rows.withColumn("token", F.coalesce(stripped_word(F.col("token")), F.lit("")))
     key = [F.coalesce(c, F.lit(0)).alias(c) for c in ("block_num", "paragraph_num", "line_num")]
     token = F.struct("token_index", "token", F.array("x0", "y0", "x1", "y1").alias("box"), (F.coalesce("conf_pct", F.lit(0.0)) / 100.0).alias("conf"))
     lines = rows.groupBy(page, "__type", *key).agg(F.array_sort(F.collect_list(token)).alias("t"), F.first("__known").alias("known"))

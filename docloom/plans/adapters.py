@@ -114,8 +114,8 @@ def _before(sql: str, definitions: str) -> str:
     return f"WITH {definitions} {body}"
 
 
-#: Bytes of the stored documents whose tokens one partition holds: as rows they take some fifty times that.
-_DEALT = 4 << 20
+#: Bytes of the stored documents whose tokens one partition holds: as rows, sorted and gathered, they take over a hundred times that.
+_DEALT = 2 << 20
 
 
 def tokens(spark: SparkSession, sf_dir: str, by_page: bool = False) -> DataFrame:

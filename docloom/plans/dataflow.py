@@ -299,8 +299,8 @@ def labelled_lines(spark: SparkSession, d: str) -> DataFrame:
     """Every third line of a document begins with a label."""
     word = F.element_at(F.array(*map(F.lit, ("Date:", "subject", "TO:", "Invoice"))), (F.floor(F.col("line_num") / 3) % 4 + 1).cast("int"))
     first = (F.col("word_num") == 1) & (F.col("line_num") % 3 == 0)
-    rows = tokens(spark, d).withColumn("token", F.when(first, word).otherwise(F.col("token"))).withColumn("document_type", F.element_at(F.array(*map(F.lit, ("letter", "invoice", "form"))), (F.col("document_id") % 3 + 1).cast("int")))
-    return cluster.labelled_lines(rows).select("page_id", "field_index", "entity_type_label", F.md5("extracted_value").alias("digest"), F.size("bounding_boxes").alias("n_boxes"), F.round(F.col("confidence_score") * F.size("bounding_boxes") * 100).cast("bigint").alias("percents"), "validation_status")
+    rows = tokens(spark, d, by_page=True).withColumn("token", F.when(first, word).otherwise(F.col("token"))).withColumn("document_type", F.element_at(F.array(*map(F.lit, ("letter", "invoice", "form"))), (F.col("document_id") % 3 + 1).cast("int")))
+    return cluster.labelled_lines(rows, dealt=True).select("page_id", "field_index", "entity_type_label", F.md5("extracted_value").alias("digest"), F.size("bounding_boxes").alias("n_boxes"), F.round(F.col("confidence_score") * F.size("bounding_boxes") * 100).cast("bigint").alias("percents"), "validation_status")
 
 
 @query("""SELECT page_id, label, string_agg(sign || token, '' ORDER BY token_index) AS value FROM (

@@ -12,7 +12,7 @@ from docloom.sources import boundary
 from tests.conftest import SMALL
 
 
-@pytest.mark.parametrize("name", ["model_predictions", "cluster_text", "page_texts", "page_lines"])
+@pytest.mark.parametrize("name", ["model_predictions", "labelled_lines", "cluster_text", "page_texts", "page_lines"])
 def test_only_documents_are_shuffled(spark, name):
     plan = plans.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert re.findall(r"Exchange (\w+\(\w+)", plan) == ["hashpartitioning(doc_id"]
