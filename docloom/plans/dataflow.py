@@ -71,7 +71,7 @@ def page_quality(spark: SparkSession, d: str) -> DataFrame:
 def source_quality(spark: SparkSession, d: str) -> DataFrame:
     """pages' sketches merged by source."""
     owner = view(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "source")
-    return tok.merged_quality(tok.quality_sketches(tokens(spark, d)).join(owner, "page_id"), "source", {"median": 0.5, "p10": 0.1})
+    return tok.merged_quality(tok.quality_sketches(tokens(spark, d, by_page=True)).join(owner, "page_id"), "source", {"median": 0.5, "p10": 0.1})
 
 
 @query("""SELECT page_id, s::INT AS chunk_start, least(n, s + 510)::INT AS chunk_end FROM (SELECT page_id, n, unnest(range(0, CASE WHEN n > 510 THEN (ceil((n - 510) / 446.0) * 446)::BIGINT ELSE 0 END + 1, 446)) AS s FROM (SELECT page_id, count(*) AS n FROM tokens GROUP BY page_id))""", on_tokens=True)

@@ -36,3 +36,8 @@ def test_pages_labelled_at_once_equal_chunks_stitched(spark):
     got = boundary.label_pages(df, factory, model_tokens=22).collect()
     assert sorted(map(str, got)) == sorted(map(str, wanted)) and len(got) == len(rows)
     assert boundary.label_pages(df.limit(0), factory).count() == 0
+
+
+def test_pages_sketches_are_made_where_documents_lie(spark):
+    plan = plans.QUERIES["source_quality"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(page_id" not in plan and "hashpartitioning(document_id" not in plan
