@@ -7,15 +7,16 @@ over a document's attributes. The only shuffles are by page and then by document
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped, stripped_word
 from ..schemas import DOCUMENT_TYPES, line_label_map
-from .folds import fold_sorted
+from .folds import fold_blocks, joined, starts_of
 from .tokens import let
 
 # Gaps allowed within a cluster, in widths and heights of its boxes; overlap that makes one line; length of a packed text; confidence that needs no review.
@@ -46,28 +47,64 @@ def joins_cluster(first: tuple, last: tuple, row: tuple) -> bool:
     return block and 0 <= down <= BLOCK_GAP * max(high, tall) and abs(row[4] - last[4]) <= LEFT_SHIFT * width
 
 
-def _clusters(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Of a page's tokens of a label: place of the first token, least index, text, boxes and mean confidence of each cluster."""
-    first = last = None
-
-    def done() -> tuple:
-        return (*first[:6], seen, "".join(text), boxes, total / len(boxes))
+def _breaks(block: pa.RecordBatch, first: np.ndarray) -> np.ndarray:
+    """Whether a token of a sorted block (columns of _ORDER; `first`: it is its label's first) begins a cluster: ``joins_cluster`` for whole columns.
 
-    for _, label, *row in rows:
-        if not label or not row[8]:
-            continue
-        if first is None or not joins_cluster(first, last, row):
-            if first is not None:
-                yield done()
-            first, seen, text, boxes, total = row, row[5], [row[8]], [], 0.0
-        else:
-            text.append(("\n\n" if last[1] != row[1] else "\n" if last[2] != row[2] else " ") + row[8])
-            seen = min(seen, row[5])
-        last = row
-        boxes.append([row[4], row[3], row[6], row[7]])
-        total += row[9]
-    if first is not None:
-        yield done()
+    A cluster takes by the gap on the line where it began, below that by the drop alone, which lines being sorted it never leaves again. So for
+    each token only this matters: has its cluster left its first line, that is, did a line begin by a drop and every token since join by one.
+    """
+    n = block.num_rows
+    at = np.arange(n)
+    x0, y0, x1, y1 = (block.column(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1"))
+    x0, y0, x1, y1 = (v.astype(np.int64 if v.dtype.kind in "iu" else np.float64) for v in (x0, y0, x1, y1))
+    places = [block.column(c).to_numpy(zero_copy_only=False) for c in ("block_num", "paragraph_num", "line_num")]
+    same = [np.concatenate([[False], p[1:] == p[:-1]]) & ~first for p in places]
+    before = np.maximum(at - 1, 0)
+    width = np.maximum(np.maximum((x1 - x0)[before], x1 - x0), 0)
+    tall = np.maximum(np.maximum((y1 - y0)[before], y1 - y0), 0)
+    down = y0 - y1[before]
+    gap = x0 - x1[before] <= LINE_GAP * width
+    drop = same[0] & (down >= 0) & (down <= BLOCK_GAP * tall) & (np.abs(x0 - x0[before]) <= LEFT_SHIFT * width)
+    line = same[0] & same[1] & same[2]
+    entered = np.maximum.accumulate(np.where(~line, at, -1))
+    refused = np.maximum.accumulate(np.where(~drop, at, -1))
+    below = np.concatenate([[False], (entered > refused)[:-1]])  # of the token before
+    out = first | np.where(line & ~below, ~gap, ~drop)
+
+    unknown = np.logical_or.reduce([p == 0 for p in places])
+    if unknown.any():  # a place that is 0 fits all, so these labels go token by token
+        group = np.cumsum(first) - 1
+        mine = np.flatnonzero(np.isin(group, group[unknown]))
+        rows = zip(*(block.column(c).take(pa.array(mine)).to_pylist() for c in _ORDER[:8]), strict=True)
+        start = last = None
+        for k, row in zip(mine, rows, strict=True):
+            out[k] = first[k] or not joins_cluster(start, last, row)
+            start, last = row if out[k] else start, row
+    return out
+
+
+def _clusters():
+    def step(block: pa.RecordBatch, last: bool) -> tuple[list, int]:
+        """Of tokens sorted by page and label: keys, place of the first token, least index, text, boxes and mean confidence of each cluster."""
+        begins = _breaks(block, starts_of(block, block.schema.names[:2]))
+        starts = np.flatnonzero(begins)
+        end = block.num_rows if last else int(starts[-1])
+        starts, block, begins = starts[starts < end], block.slice(0, end), begins[:end]
+        if not end:
+            return [pa.array([], f.type) for f in block.schema][:2] + [pa.array([], block.schema.field(c).type) for c in (*_ORDER[:6], "token_index")] + [pa.array([], t) for t in (pa.string(), pa.list_(pa.list_(block.schema.field("x0").type)), pa.float64())], 0
+        offsets = np.append(starts, end)
+        paragraph, line = (np.concatenate([[False], v[1:] != v[:-1]]) for v in (block.column(c).to_numpy(zero_copy_only=False) for c in ("paragraph_num", "line_num")))
+        signs = pa.array(["", "\n\n", "\n", " "]).take(pa.array(np.where(begins, 0, np.where(paragraph, 1, np.where(line, 2, 3)))))
+        text = joined(pc.binary_join_element_wise(signs, block.column("token"), ""), offsets, "")
+        sides = np.stack([block.column(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1")], axis=1)
+        boxes = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * end + 1, 4), pa.int32()), pa.array(sides.ravel()))
+        boxes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), boxes)
+        seen = np.minimum.reduceat(block.column("token_index").to_numpy(zero_copy_only=False), starts)
+        total = np.bincount(np.cumsum(begins) - 1, weights=block.column("confidence").to_numpy(zero_copy_only=False))
+        heads = block.take(pa.array(starts))
+        return [heads.column(k) for k in (*block.schema.names[:2], *_ORDER[:6])] + [pa.array(seen), text, boxes, pa.array(total / np.diff(offsets))], end
+
+    return step
 
 
 def joined_text(run: Column) -> Column:
@@ -83,19 +120,20 @@ def joined_text(run: Column) -> Column:
     return stripped(let(run, parts))
 
 
-def spatial_clusters(predictions: DataFrame, page: str = "page_id", threshold: float = APPROVED_FROM) -> DataFrame:
+def spatial_clusters(predictions: DataFrame, page: str = "page_id", threshold: float = APPROVED_FROM, dealt: bool = False) -> DataFrame:
     """page, cluster_index, entity_type_label, extracted_value, bounding_boxes, confidence_score, validation_status.
 
     predictions: page, token_index, token, label, confidence, x0..y1, block_num, paragraph_num, line_num. Tokens or labels without text, and tokens
     without a whole box, are left out; a null confidence counts as 0. Clusters of a page are in reading order, those that begin alike in the order in
-    which their labels are first seen.
+    which their labels are first seen. dealt: a page's tokens share a partition already.
     """
-    rows = predictions.select(page, "label", *_ORDER).na.drop(subset=["x0", "y0", "x1", "y1", "label", "token"]).repartition(page)
-    rows = rows.withColumns({c: stripped(F.col(c)) for c in ("label", "token")} | {c: F.coalesce(F.col(c), F.lit(0)) for c in ("block_num", "paragraph_num", "line_num", "confidence")})
+    rows = predictions.select(page, "label", *_ORDER).na.drop(subset=["x0", "y0", "x1", "y1", "label", "token"])
+    rows = rows if dealt else rows.repartition(page)
+    rows = rows.withColumns({c: stripped_word(F.col(c)) for c in ("label", "token")} | {c: F.coalesce(F.col(c), F.lit(0)) for c in ("block_num", "paragraph_num", "line_num", "confidence")}).where("label <> '' AND token <> ''")
     place = ["block_num", "paragraph_num", "line_num", "y0", "x0"]
     kinds = dict(rows.dtypes)
     results = ", ".join(f"{c} {kinds[c]}" for c in (*place, "token_index")) + f", seen {kinds['token_index']}, extracted_value string, bounding_boxes array<array<{kinds['x0']}>>, confidence_score double"
-    runs = fold_sorted(rows, [page, "label"], _ORDER, _clusters, results, dealt=True).repartition(page)
+    runs = fold_blocks(rows, [page, "label"], _ORDER, _clusters, results, dealt=True).repartition(page)
     runs = runs.withColumn("seen", F.min("seen").over(W.partitionBy(page, "label")))
     index = F.row_number().over(W.partitionBy(page).orderBy(*place, "seen", "token_index"))
     out = runs.select(page, index.alias("cluster_index"), F.col("label").alias("entity_type_label"), "extracted_value", "bounding_boxes", "confidence_score")
@@ -103,35 +141,52 @@ def spatial_clusters(predictions: DataFrame, page: str = "page_id", threshold: f
 
 
 def _packs(most: int):
-    def packs(rows: Iterator[tuple]) -> Iterator[tuple]:
-        """Of a paragraph's tokens: least index, number, text, tokens and summed confidence of each text."""
-        seen, k, text, used, total = None, 0, [], 0, 0.0
-        for _, _, _, index, token, conf in rows:
-            if not token:
-                continue
-            seen = index if seen is None else seen
-            if text and used + 1 + len(token) > most:
-                yield seen, k, " ".join(text), len(text), total
-                k, text, used, total = k + 1, [], 0, 0.0
-            used += len(token) + bool(text)
-            text.append(token)
-            total += conf
-        if text:
-            yield seen, k, " ".join(text), len(text), total
+    def packs():
+        """Of tokens sorted by paragraph: keys, the paragraph's least index, number, text, tokens and summed confidence of each text."""
+        carried = None  # the open text's paragraph and number, where it isn't its paragraph's first
+
+        def step(block: pa.RecordBatch, last: bool) -> tuple[list, int]:
+            nonlocal carried
+            keys, n = block.schema.names[:3], block.num_rows
+            paragraphs = np.append(np.flatnonzero(starts_of(block, keys)), n)
+            ends = np.concatenate([[0], np.cumsum(pc.utf8_length(block.column("token")).to_numpy(zero_copy_only=False).astype(np.int64) + 1)])
+            index = block.column("token_index")
+            starts, numbers, seen = [], [], []
+            for s, e in zip(paragraphs[:-1], paragraphs[1:], strict=True):
+                first, k = carried if carried is not None and s == 0 else (index[s].as_py(), 0)
+                while s < e:
+                    starts.append(s)
+                    numbers.append(k)
+                    seen.append(first)
+                    s = min(e, max(s + 1, np.searchsorted(ends, ends[s] + most + 1, "right") - 1))
+                    k += 1
+            if not last:
+                n = starts.pop()
+                carried = seen.pop(), numbers.pop()
+            starts, offsets = np.array(starts, np.int64), np.array([*starts, n], np.int32)
+            text = joined(block.column("token"), offsets, " ")
+            place = np.repeat(np.arange(len(starts)), np.diff(offsets))
+            total = np.bincount(place, weights=block.column("conf_pct").to_numpy(zero_copy_only=False)[:n], minlength=len(starts))
+            heads = block.take(pa.array(starts))
+            return [heads.column(k) for k in keys] + [pa.array(seen, index.type), pa.array(numbers, pa.int32()), text, pa.array(np.diff(offsets), pa.int32()), pa.array(total)], int(n)
+
+        return step
 
     return packs
 
 
-def packed_paragraphs(tokens: DataFrame, page: str = "page_id", most: int = PACKED) -> DataFrame:
+def packed_paragraphs(tokens: DataFrame, page: str = "page_id", most: int = PACKED, dealt: bool = False) -> DataFrame:
     """page, chunk_index, entity_type_label, extracted_value, n_tokens, confidence_score: paragraphs packed into texts of up to `most` characters.
 
     A longer token stands alone; paragraphs come in the order first seen; labels are numbered where a page has several texts; a null confidence counts as 0.
+    dealt: a page's tokens share a partition already.
     """
     paragraph = [page, "block_num", "paragraph_num"]
     rows = tokens.select(page, *[F.coalesce(c, F.lit(0)).alias(c) for c in paragraph[1:]], "token_index", "token", F.coalesce(F.col("conf_pct").cast("double"), F.lit(0.0)).alias("conf_pct"))
-    rows = rows.na.drop(subset=["token"]).repartition(*paragraph).withColumn("token", stripped(F.col("token")))
+    rows = rows.na.drop(subset=["token"])
+    rows = (rows if dealt else rows.repartition(*paragraph)).withColumn("token", stripped_word(F.col("token"))).where("token <> ''")
     results = f"seen {dict(rows.dtypes)['token_index']}, k int, extracted_value string, n_tokens int, total double"
-    runs = fold_sorted(rows, paragraph, ["token_index", "token", "conf_pct"], _packs(most), results, dealt=True)
+    runs = fold_blocks(rows, paragraph, ["token_index", "token", "conf_pct"], _packs(most), results, dealt=True)
     w = W.partitionBy(page)
     runs = runs.withColumn("chunk_index", F.row_number().over(w.orderBy("seen", "k"))).withColumn("n", F.count(F.lit(1)).over(w))
     label = F.when(F.col("n") > 1, F.concat(F.lit("ocr_text_"), F.col("chunk_index").cast("string"))).otherwise("ocr_text")
