@@ -263,7 +263,7 @@ def spatial_clusters(spark: SparkSession, d: str) -> DataFrame:
           SELECT page_id, i AS chunk_index, CASE WHEN total > 1 THEN 'ocr_text_' || i ELSE 'ocr_text' END AS entity_type_label, digest, n_tokens FROM n""", on_tokens=True)
 def pack_600(spark: SparkSession, d: str) -> DataFrame:
     """W3."""
-    return cluster.packed_paragraphs(tokens(spark, d)).select("page_id", "chunk_index", "entity_type_label", F.md5("extracted_value").alias("digest"), "n_tokens")
+    return cluster.packed_paragraphs(tokens(spark, d, by_page=True), dealt=True).select("page_id", "chunk_index", "entity_type_label", F.md5("extracted_value").alias("digest"), "n_tokens")
 
 
 def _lines_sql() -> str:

@@ -31,7 +31,7 @@ def test_pages_sketches_are_made_where_documents_lie(spark):
     assert "hashpartitioning(doc_id" in plan and "hashpartitioning(page_id" not in plan and "hashpartitioning(document_id" not in plan
 
 
-@pytest.mark.parametrize("name", ["spatial_clusters"])
+@pytest.mark.parametrize("name", ["spatial_clusters", "pack_600"])
 def test_tokens_reach_a_fold_unshuffled(spark, name):
     plan = plans.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert re.findall(r"Exchange hashpartitioning\((\w+)", plan[plan.index("MapInArrow"):]) == ["doc_id"]
