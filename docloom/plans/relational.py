@@ -369,9 +369,9 @@ def alias_union(spark: SparkSession, d: str) -> DataFrame:
 # --- tables of snapshots
 
 
-def _table(spark: SparkSession, rows: DataFrame, name: str, *keys: str, files: int = 16) -> tables.SnapshotTable:
+def _table(spark: SparkSession, rows: DataFrame, name: str, *keys: str) -> tables.SnapshotTable:
     table = tables.SnapshotTable(spark, f"{tables.shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
-    table.replace(rows, *keys, files=files)
+    table.replace(rows, *keys)  # as many files as the rows need, so that no task sorts more as the table grows
     return table
 
 
@@ -395,9 +395,9 @@ def snapshot_versions(spark: SparkSession, d: str) -> DataFrame:
     a, docs = _v(spark, d, "attributes", "documents")
     table = _table(spark, a, "attributes", "document_id", "id")
     again = docs.where("status = 'QUEUED' AND document_type = '1-URGENT'").select(F.col("id").alias("document_id"))
-    fresh = table.read(1).join(again, "document_id", "left_semi").withColumn("validation_status", F.lit("PENDING")).where("confidence_score >= 0.5")
-    replaced = table.read(1).join(again, "document_id", "left_anti").unionByName(fresh)
-    table.replace(replaced, "document_id", "id", files=16, base=1)
+    rows = table.read(1).join(again.distinct().withColumn("__again", F.lit(True)), "document_id", "left")  # one join: the attributes are shuffled once
+    rows = rows.where("__again IS NULL OR confidence_score >= 0.5").withColumn("validation_status", F.when(F.col("__again"), "PENDING").otherwise(F.col("validation_status"))).drop("__again")
+    table.replace(rows, "document_id", "id", base=1)
     table.roll_back(1)
     summed = [table.read(v).groupBy("validation_status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("confidence_score") * 100)).cast("bigint").alias("percents")).select(F.lit(v).cast("bigint").alias("version"), "*") for v in (2, 3)]
     return summed[0].unionByName(summed[1])
