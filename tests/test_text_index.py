@@ -48,3 +48,40 @@ def test_empty_tables(spark):
     docs, attributes = spark.createDataFrame([], DOCUMENTS), spark.createDataFrame([], ATTRIBUTES)
     index = text_index.TextIndex(spark, f"{tables.shared_folder(spark)}/texts-{uuid.uuid4().hex}").build(docs, attributes, files=2)
     assert index.find_documents("me", "abc").count() == 0 and index.find_documents("me", "a").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "string", "decimal(20,2)", "date"])
+def test_lists_hold_each_document_of_a_gram(spark, kind):
+    """Ids of any type and far apart, in several blocks, rows out of order and texts that repeat; rare grams and ones of all documents."""
+    spread = {"long": "(id - 1250) * 7205759403792793", "date": "date_add(date'1970-01-01', int(id))"}.get(kind, f"cast(id as {kind})")
+    docs = spark.range(2000, numPartitions=3).selectExpr(f"{spread} AS id", "concat('Ärger ', id % 37, '😀b', id) AS name", "if(id % 3 = 0, null, 'pdf') AS format", "named_struct('k', id % 5) AS extracted_attributes")
+    more = spark.range(6000, numPartitions=3).selectExpr(f"{spread.replace('id', '(id * 7 % 2500)')} AS document_id", "concat('L', id % 11) AS entity_type_label", "if(id % 4 = 0, null, concat('Wert ', id % 97)) AS extracted_value")
+    more = more.unionByName(more.selectExpr("cast(null AS " + more.schema["document_id"].dataType.simpleString() + ") AS document_id", "'nobody' AS entity_type_label", "'nowhere' AS extracted_value"))
+    texts = [(r[0], t) for r in docs.selectExpr("id", "array(name, format, to_json(extracted_attributes)) AS t").collect() for t in r[1]]
+    texts += [(r[0], t) for r in more.collect() for t in r[1:] if r[0] is not None]
+    wanted = {(t.lower()[i : i + 3], k) for k, t in texts if t for i in range(len(t) - 2)}
+    lists = text_index.postings(docs, more)
+    assert {tuple(r) for r in text_index.listed(lists).collect()} == wanted
+    rows = lists.selectExpr("gram", "first", "n").collect()
+    assert len(rows) < len(wanted) / 5 and sum(r["n"] for r in rows) >= len(wanted) and {(r["gram"], r["first"]) for r in rows} <= wanted
+
+
+def test_blocks_are_bounded_and_change_nothing(spark, data, monkeypatch):
+    docs, attributes, _ = data
+    monkeypatch.setattr(text_index, "_BLOCK", 500)
+    monkeypatch.setattr(text_index, "_ROWS", 7)
+    small = text_index.postings(docs.limit(300), attributes.limit(300))
+    most = small.groupBy("gram").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert most > 10
+    monkeypatch.undo()
+    whole = text_index.postings(docs.limit(300), attributes.limit(300))
+    assert set(text_index.listed(small).collect()) == set(text_index.listed(whole).collect())
+
+
+def test_no_single_posting_is_shuffled_and_only_searched_columns_are_copied(data):
+    docs, attributes, index = data
+    plan = text_index.postings(docs, attributes)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    single = text_index.listed(index.postings.read()).distinct().count()
+    assert index.postings.read().count() < single / 3
+    assert "extra" in index.documents.read().columns and index.attributes.read().columns == ["id", "document_id", "entity_type_label", "extracted_value"]
