@@ -165,8 +165,7 @@ def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
            SELECT t.page_id, t.token_index, CASE WHEN iou >= 0.1 THEN label ELSE 'O' END AS label FROM (SELECT DISTINCT page_id, token_index FROM v_boxed_tokens) t LEFT JOIN p ON p.page_id = t.page_id AND p.token_index = t.token_index AND k = 1""")
 def best_iou_labels(spark: SparkSession, d: str) -> DataFrame:
     """J7 J8."""
-    t = view(spark, d, "v_boxed_tokens").dropDuplicates(["page_id", "token_index"])
-    return evaluate.best_overlap_labels(t, view(spark, d, "v_boxes")).select("page_id", "token_index", "label")
+    return evaluate.best_overlap_labels(view(spark, d, "v_boxed_tokens"), view(spark, d, "v_boxes"), distinct=True).select("page_id", "token_index", "label")
 
 
 @query(f"SELECT t.page_id, token_index, arg_max(label, row(box_order, label)) AS label, count(*) AS n_boxes FROM v_boxed_tokens t JOIN v_boxes b ON t.page_id = b.page_id WHERE {_INTER} > 0 GROUP BY ALL")
